@@ -66,8 +66,8 @@ class DigestIndex:
         rows = docs.select(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
         slot = _slot(F.col("digest"))
         found = rows.withColumn("slot", slot).join(bits, F.floor(F.col("slot") / _ROW) == F.col("bucket"))
-        byte = F.conv(F.hex(F.substring("bits", (F.col("slot") % _ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return found.where(F.shiftright(byte * F.pow(F.lit(2), 7 - F.col("slot") % 8).cast("int"), 7) % 2 == 1).select("digest", "text")
+        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("slot") % _ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return found.withColumn("byte", byte).where(F.expr("(shiftright(byte, cast(slot % 8 as int)) & 1) = 1")).select("digest", "text")
 
     def collisions(self, docs: DataFrame) -> DataFrame:
         """Byte verification: digests that stand for different texts. Copies are combined before the shuffle."""
