@@ -159,5 +159,18 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS ws
   FROM documents
-), t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+), f AS (SELECT doc_id, {fold} AS held_out FROM documents
+), t AS (SELECT doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d JOIN f USING (doc_id)
+), b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t
+), c1 AS (SELECT w, count(*) AS c FROM b WHERE NOT held_out GROUP BY w
+), c2 AS (SELECT h, w, count(*) AS c FROM b WHERE NOT held_out AND h IS NOT NULL GROUP BY h, w
+), z AS (SELECT sum(c) AS n, count(*) AS v FROM c1
+), p AS (
+  SELECT b.doc_id, b.held_out, coalesce(c1.c, 0) AS c, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (z.n + 0.1::DOUBLE * (z.v + 1)) AS p1, ch.c AS ch, coalesce(c2.c, 0) AS chw, z.n
+  FROM b CROSS JOIN z LEFT JOIN c1 ON c1.w = b.w LEFT JOIN c1 ch ON ch.w = b.h LEFT JOIN c2 ON c2.h = b.h AND c2.w = b.w
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, any_value(n)::BIGINT AS train_tokens,
+  round(sum(log10(p1)), 6) AS base_score,
+  round(sum(log10(CASE WHEN ch > 0 THEN 0.6::DOUBLE * chw / ch + 0.4::DOUBLE * p1 ELSE p1 END)), 6) AS score
+FROM p GROUP BY doc_id, held_out
 """

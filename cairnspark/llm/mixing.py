@@ -116,12 +116,12 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, a
     """
     rows = _rows(docs)
     named, cells = fit_mix(rows, targets, alpha, min_share, budget)
-    table = docs.sparkSession.createDataFrame([(*k, *v) for k, v in cells.items()], "c_source string, c_lang string, c_topic string, __weight double, __probability double")
+    table = docs.sparkSession.createDataFrame([(*k, *v) for k, v in cells.items()], "__c_source string, __c_lang string, __c_topic string, __weight double, __probability double")
     for d, values in zip(DIMENSIONS, named, strict=True):
         rows = rows.withColumn(f"__{d}", F.when(F.col(f"__{d}").isin(values), F.col(f"__{d}")).otherwise(REST))
-    same = [F.col(f"__{d}") == F.col(f"c_{d}") for d in DIMENSIONS]
+    same = [F.col(f"__{d}") == F.col(f"__c_{d}") for d in DIMENSIONS]
     # Bounded by min_share and the targets, see fit_mix.
-    found = rows.join(F.broadcast(table), same, "left").drop(*(f"c_{d}" for d in DIMENSIONS))
+    found = rows.join(F.broadcast(table), same, "left").drop(*(f"__c_{d}" for d in DIMENSIONS))
     return found.withColumn("__sampled", unit_hash(F.lit(seed), "doc_id", "text") < F.coalesce(F.col("__probability"), F.lit(0.0)))
 
 
