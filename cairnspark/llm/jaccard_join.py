@@ -128,8 +128,8 @@ def _prefixes(docs: DataFrame, words: int, percent: int, keys: np.ndarray, count
 
 def _members(pairs: DataFrame) -> np.ndarray:
     """A bitmap over the nodes of pairs, MEMBER_BITS long."""
-    slot = F.pmod(F.explode(F.array("a", "b")), F.lit(MEMBER_BITS)).alias("slot")
-    rows = pairs.select(slot).groupBy(F.floor(F.col("slot") / _ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits")).collect()
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(MEMBER_BITS)).alias("slot"))
+    rows = slots.groupBy(F.floor(F.col("slot") / _ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits")).collect()
     bits = np.zeros(MEMBER_BITS // 8, np.uint8)
     for r in rows:
         bits[r["row"] * _ROW // 8 : (r["row"] + 1) * _ROW // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)

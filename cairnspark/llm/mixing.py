@@ -57,7 +57,7 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int
             w *= np.divide(wanted, share, out=np.zeros_like(share), where=share > 0)[at]
         if max(np.abs(np.bincount(at, w, len(wanted)) - wanted).max() for at, wanted in sides) <= tolerance:
             break
-    return dict(zip(names, w / w.sum(), strict=True))
+    return dict(zip(names, (w / w.sum()).tolist(), strict=True))
 
 
 def probabilities(cells: dict[tuple, float], weights: dict[tuple, float], budget: float) -> dict[tuple, float]:
