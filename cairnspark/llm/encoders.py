@@ -7,6 +7,7 @@ its units (a run of white space and the non-space run after it), one after the o
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -15,7 +16,7 @@ _WORDS = re.compile(r"[^ \t\n\r]+").findall
 #: Python counts these four as white space, the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
 #: Distinct units that a worker keeps; then it starts anew.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_000_000
 
 _loaded: dict = {}
 
@@ -48,6 +49,7 @@ class ByteLevelIds(dict):
         super().__init__()
         self.tokenizer = _tokenizer(name)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
+        self.kind = "H" if self.dtype == "<u2" else "I"
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splits = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
@@ -59,7 +61,7 @@ class ByteLevelIds(dict):
         if any(s in unit for s in self.special):
             ids = self._whole(unit)
         else:
-            ids = np.array([t.id for piece, _ in self.pre.pre_tokenize_str(unit) for t in self.model.tokenize(piece)], self.dtype).tobytes()
+            ids = array(self.kind, [t.id for piece, _ in self.pre.pre_tokenize_str(unit) for t in self.model.tokenize(piece)]).tobytes()
         self[unit] = ids
         return ids
 
