@@ -15,6 +15,9 @@ _UNITS = re.compile(r"\s*\S+|\s+").findall
 _WORDS = re.compile(r"[^ \t\n\r]+").findall
 #: Python counts these four as white space, the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
+#: A line feed or none, a word of Latin letters with or without its space, and marks: three pre-tokens at most.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PARTS = re.compile(f"(\n?)( ?[{_LATIN}]+)([.,;:!?]*)").fullmatch
 #: Distinct units that a worker keeps; then it starts anew.
 CACHE_UNITS = 1_000_000
 
@@ -53,12 +56,19 @@ class ByteLevelIds(dict):
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splits = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        latin = [c for c in map(chr, range(0x250)) if c == " " or re.fullmatch(f"[{_LATIN}]", c)]
+        self.shown = {ord(c): self.pre.pre_tokenize_str(c)[0][0] for c in latin} if self.splits else {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        if any(s in unit for s in self.special):
+        parts = _PARTS(unit)
+        if parts and (parts[1] or parts[3]):  # its pre-tokens are kept apart
+            ids = b"".join(self[x] for x in parts.groups() if x)
+        elif parts:
+            ids = array(self.kind, [t.id for t in self.model.tokenize(unit.translate(self.shown))]).tobytes()
+        elif any(s in unit for s in self.special):
             ids = self._whole(unit)
         else:
             ids = array(self.kind, [t.id for piece, _ in self.pre.pre_tokenize_str(unit) for t in self.model.tokenize(piece)]).tobytes()
