@@ -1,8 +1,368 @@
 """Registered queries over the given tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cairnspark.functions import clean, scalar, text
+from cairnspark.operators import contract, joins, learn, stats
+from cairnspark.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: Places for customers: the same arithmetic in both engines.
+_PLACES = "SELECT c_custkey AS k, c_mktsegment AS attr, c_nationkey AS nation, c_acctbal AS value, 33 + CAST(c_custkey * 7919 % 997 AS DOUBLE) / 997 AS lat, -85 + CAST(c_custkey * 104729 % 1009 AS DOUBLE) / 1009 AS lon FROM customer"
+_KM = "2 * 6371.0088::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
+_PAIRS = f"WITH c AS ({_PLACES}), pairs AS (SELECT x.k AS k, x.attr AS qa, x.value AS qv, y.k AS p, y.attr AS pa, y.value AS pv, {_KM.format(a='x.', b='y.')} AS km FROM c x JOIN c y ON x.k <> y.k)"
+#: Word lists of our own test bed.
+ANCHORS = {"north": (33.9, -84.5), "south": (33.1, -84.4), "west": (33.5, -84.95)}
+BRANDS = ("part", "misty", "lavender blue")
+STREETS = {"street": "st", "st": "st", "avenue": "ave", "ave": "ave", "road": "rd", "rd": "rd"}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    lat = F.lit(33) + (F.col("c_custkey") * 7919 % 997).cast("double") / 997
+    lon = F.lit(-85) + (F.col("c_custkey") * 104729 % 1009).cast("double") / 1009
+    return c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("attr"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("value"), lat.alias("lat"), lon.alias("lon"))
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with two predictions made by arithmetic, for error tables."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * (F.lit(90) + F.col("o_orderkey") % 21) / 100).alias("p_a"), (F.col("o_totalprice") + (F.col("o_orderkey") % 7 - 3) * 1000).alias("p_b"))
+
+
+_PRICED = "WITH t AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_totalprice AS y, o_totalprice * (90 + o_orderkey % 21) / 100 AS p_a, o_totalprice + (o_orderkey % 7 - 3) * 1000 AS p_b FROM orders)"
+
+
+# --- B: cleaning ---------------------------------------------------------------------------------
+@query("""SELECT o_orderkey, CASE WHEN t IN ('Yes', 'T', '1') THEN 1 WHEN t IN ('no', '') THEN 0 END AS flag FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'no' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'odd' END END AS t FROM orders)""")
+def clean_bool_tokens(spark, d):
+    o = table(spark, d, "orders")
+    token = F.when(F.col("o_orderstatus") == "F", " Yes ").when(F.col("o_orderstatus") == "O", "no").when(F.col("o_orderkey") % 2 == 0, "T").otherwise("odd")
+    return o.select("o_orderkey", clean.flag(token, ["Yes", "T"], ["no", ""]).alias("flag"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 1 WHEN p_size < 20 THEN 2 WHEN p_size < 40 THEN 3 END AS grade FROM part")
+def grade_ordinal(spark, d):
+    letter = F.when(F.col("p_size") < 10, "c").when(F.col("p_size") < 20, "B").when(F.col("p_size") < 40, " a ").otherwise("?")
+    return table(spark, d, "part").select("p_partkey", clean.ordinal(letter, ["C", "B", "A"]).alias("grade"))
+
+
+@query("""SELECT event_id, (props::JSON->>'k')::DOUBLE AS k, CASE WHEN event_id % 3 = 0 THEN event_id % 5 ELSE 1 END::INTEGER AS size FROM events""")
+def json_parse_match(spark, d):
+    e = table(spark, d, "events")
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[{'name': 'x', 'size': 9}, {'name': 'y', 'size': "), (F.col("event_id") % 5).cast("string"), F.lit("}]"))).otherwise('{"name": "z", "size": 1}')
+    item = clean.matching(clean.structs(raw, "name string, size int"), "name", F.lit("y"))
+    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"), item["size"].alias("size"))
+
+
+@query("SELECT o_orderkey, greatest(0, 2000 - nullif(year(o_orderdate), 1996))::INTEGER + CASE WHEN year(o_orderdate) = 1996 THEN NULL ELSE 0 END AS age, CASE WHEN year(o_orderdate) = 1996 THEN 'missing' ELSE (year(o_orderdate) // 10 * 10)::VARCHAR || 's' END AS decade FROM orders")
+def age_clip(spark, d):
+    year = F.nullif(F.year("o_orderdate"), F.lit(1996))
+    return table(spark, d, "orders").select("o_orderkey", scalar.age(year, 2000).alias("age"), scalar.decade(year).alias("decade"))
+
+
+@query("SELECT n_nationkey AS nation_id, n_name AS label, 'v1' AS version, n_regionkey::DOUBLE AS region_value, n_nationkey AS nation_copy FROM nation")
+def schema_projection(spark, d):
+    return clean.renamed(table(spark, d, "nation"), {"n_nationkey": "nation_id", "n_name": "label", "n_regionkey": "region_value"}, {"nation_copy": "nation_id"}, {"version": "v1"}, {"region_value": "double"}, first=["label"])
+
+
+@query("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), '__missing__') AS status FROM orders WHERE o_totalprice > 0 AND o_orderkey % 11 <> 0")
+def usable_rows(spark, d):
+    o = table(spark, d, "orders").withColumn("size", F.nullif(F.col("o_orderkey") % 11, F.lit(0)))
+    return clean.usable(o, "o_totalprice", present=["size"]).select("o_orderkey", clean.or_sentinel(F.nullif("o_orderstatus", F.lit("P"))).alias("status"))
+
+
+# --- C: scalars and text -------------------------------------------------------------------------
+@query(f"WITH c AS ({_PLACES}), e AS (SELECT k, " + ", ".join(f"{_KM.format(a='', b='').replace('radians(lat - lat)', f'radians({y} - lat)').replace('cos(radians(lat)) * cos(radians(lat))', f'cos(radians(lat)) * cos(radians({y}))').replace('radians(lon - lon)', f'radians({x} - lon)')} AS dist_{n}_km" for n, (y, x) in ANCHORS.items()) + " FROM c) SELECT *, least(dist_north_km, dist_south_km, dist_west_km) AS dist_min_km FROM e")
+def anchor_distances(spark, d):
+    each = scalar.anchor_distances(F.col("lat"), F.col("lon"), ANCHORS)
+    return places(spark, d).select("k", *[c.alias(n) for n, c in each.items()])
+
+
+@query(f"WITH c AS ({_PLACES}) SELECT k, CASE WHEN k % 11 = 0 THEN '__missing__' ELSE floor(lat / 0.05::DOUBLE)::BIGINT || '_' || floor(lon / 0.05::DOUBLE)::BIGINT END AS fine, CASE WHEN k % 11 = 0 THEN '__missing__' ELSE floor(lat / 0.25::DOUBLE)::BIGINT || '_' || floor(lon / 0.25::DOUBLE)::BIGINT END AS coarse FROM c")
+def grid_cells(spark, d):
+    lat = F.when(F.col("k") % 11 != 0, F.col("lat"))
+    return places(spark, d).select("k", scalar.grid_cell(lat, F.col("lon"), 0.05).alias("fine"), scalar.grid_cell(lat, F.col("lon"), 0.25).alias("coarse"))
+
+
+@query("SELECT p_partkey, p_size * p_retailprice AS product, p_retailprice / CASE WHEN p_size % 5 > 0 THEN p_size % 5 ELSE 1 END AS safe, CASE WHEN p_size % 5 > 0 THEN p_retailprice / (p_size % 5) END AS strict, ln(1 + p_size) AS log_size, least(p_size / 40.0::DOUBLE, 1.0::DOUBLE) AS clipped FROM part")
+def interactions_ratios(spark, d):
+    size, b = F.col("p_size"), F.col("p_size") % 5
+    return table(spark, d, "part").select("p_partkey", (size * F.col("p_retailprice")).alias("product"), scalar.safe_ratio(F.col("p_retailprice"), b).alias("safe"), scalar.ratio(F.col("p_retailprice"), b).alias("strict"), scalar.log1p_or_zero(size).alias("log_size"), scalar.unit_clip(size / F.lit(40.0)).alias("clipped"))
+
+
+@query("SELECT p_partkey, ((coalesce(s, -1) >= 0)::INT + (coalesce(s, -1) >= 10)::INT + (coalesce(s, -1) >= 25)::INT) AS bin, coalesce(round_even(s / 2.0::DOUBLE, 0), -1)::INT AS half FROM (SELECT p_partkey, nullif(p_size, 7) AS s FROM part)")
+def edge_bins(spark, d):
+    s = F.nullif("p_size", F.lit(7))
+    return table(spark, d, "part").select("p_partkey", scalar.edge_bin(s, [0, 10, 25]).alias("bin"), scalar.half_even(s / F.lit(2.0)).alias("half"))
+
+
+@query("SELECT o_orderkey, ln(1 + o_totalprice) AS log_y, greatest(o_totalprice, 1000.0::DOUBLE) AS back, ln(1 + o_totalprice / (1 + o_orderkey % 9)) AS log_unit FROM orders")
+def log_target_roundtrip(spark, d):
+    y, size = F.col("o_totalprice"), 1 + F.col("o_orderkey") % 9
+    return table(spark, d, "orders").select("o_orderkey", scalar.log_target(y).alias("log_y"), F.greatest(F.round(scalar.from_log_target(scalar.log_target(y), floor=1000.0), 4), F.lit(1000.0)).alias("back"), scalar.log_target(y, size).alias("log_unit"))
+
+
+_ADDRESS = "(1 + p_partkey % 90)::VARCHAR || CASE WHEN p_partkey % 4 = 0 THEN '-7' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' NE' ELSE '' END || '  Oak Hill ' || CASE p_partkey % 3 WHEN 0 THEN 'Street' WHEN 1 THEN 'Ave' ELSE 'Way' END"
+
+
+def _addresses(spark, d):
+    k = F.col("p_partkey")
+    address = F.concat((1 + k % 90).cast("string"), F.when(k % 4 == 0, "-7").otherwise(""), F.when(k % 3 == 0, " NE").otherwise(""), F.lit("  Oak Hill "), F.when(k % 3 == 0, "Street").when(k % 3 == 1, "Ave").otherwise("Way"))
+    return table(spark, d, "part").withColumn("address", address)
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, lower(p_name) AS n, {_ADDRESS} AS a FROM part) SELECT p_partkey, CASE WHEN n LIKE 'lavender blue %' OR n = 'lavender blue' THEN 'lavender blue' WHEN n LIKE 'misty %' OR n = 'misty' THEN 'misty' WHEN n LIKE 'part %' OR n = 'part' THEN 'part' ELSE regexp_extract(n, '^\S+') END AS brand, CASE p_partkey % 3 WHEN 0 THEN 'st' WHEN 1 THEN 'ave' ELSE '__missing__' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'ne oak hill street' WHEN p_partkey % 3 = 1 THEN 'oak hill ave' ELSE 'oak hill way' END AS street, CASE WHEN p_partkey % 3 = 0 THEN 'NE' ELSE '__missing__' END AS direction, 1 + p_partkey % 90 AS house FROM t""")
+def text_brand_street(spark, d):
+    a = F.col("address")
+    return _addresses(spark, d).select("p_partkey", text.brand(F.col("p_name"), BRANDS).alias("brand"), text.street_type(a, STREETS).alias("kind"), text.street_name(a).alias("street"), text.direction(a).alias("direction"), text.house_number(a).alias("house"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents) SELECT doc_id, (lower(t) LIKE '%the%' OR lower(t) LIKE '%der %')::INT AS has_any, regexp_matches(t, '^(The|Der|La)\s')::INT AS starts, regexp_matches(t, '[0-9]')::INT AS digit, (t LIKE '%&%')::INT AS ampersand, length(t) AS n_chars, CASE WHEN trim(t, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim(t, ' '), '\s+')) END::INT AS n_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) / greatest(length(t), 1)::DOUBLE AS upper_ratio, (contains(lower(t), lang))::INT AS lang_in FROM t""")
+def text_flags_stats(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.any_of(t, ["the", "der "]).alias("has_any"), text.like(t, r"^(The|Der|La)\s").alias("starts"), text.like(t, "[0-9]").alias("digit"), text.like(t, "&").alias("ampersand"), *[c.alias(n) for n, c in text.statistics(t).items()], text.first_word_in(F.col("lang"), t).alias("lang_in"))
+
+
+# --- D: joins ------------------------------------------------------------------------------------
+@query("SELECT c_custkey, c_name, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def m2o_join_guard(spark, d):
+    fact = table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    dimension = table(spark, d, "nation")
+    clean.no_overlap(fact, dimension, ["n_nationkey"])
+    return joins.many_to_one(fact, dimension, ["n_nationkey"]).select("c_custkey", "c_name", "n_name", "n_regionkey")
+
+
+@query("SELECT o_orderkey, a.mean, a.n FROM orders JOIN (SELECT o_custkey, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY o_custkey) a USING (o_custkey)")
+def group_broadcast(spark, d):
+    o = table(spark, d, "orders")
+    means = o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"), F.count("*").alias("n"))
+    return joins.lookup(o, means, ["o_custkey"], ["mean", "n"]).select("o_orderkey", "mean", "n")
+
+
+@query(f"{_PAIRS} SELECT c.k, count(p) AS n FROM c LEFT JOIN pairs ON pairs.k = c.k AND km <= 8 AND qa = pa GROUP BY c.k")
+def radius_count(spark, d):
+    c = places(spark, d)
+    pairs = joins.radius_pairs(c, c, 8.0, ["attr"]).where("q_k <> p_k").groupBy(F.col("q_k").alias("k")).agg(F.count("*").alias("n"))
+    return joins.lookup(c, pairs, ["k"], ["n"], 0).select("k", "n")
+
+
+@query(f"{_PAIRS}, a AS (SELECT k, count(*) AS n, quantile_cont(pv, [0.25, 0.5, 0.75]) AS q FROM pairs WHERE km <= 8 AND qa = pa GROUP BY k HAVING count(*) >= 3) SELECT c.k, q[1] AS p25, q[2] AS p50, q[3] AS p75, q[3] - q[1] AS iqr FROM c LEFT JOIN a ON a.k = c.k")
+def radius_percentiles(spark, d):
+    return _radius_percentiles(spark, d, 8.0)
+
+
+def _radius_percentiles(spark, d, km):
+    c = places(spark, d)
+    pairs = joins.radius_pairs(c, c, km, ["attr"]).where("q_k <> p_k")
+    g = pairs.groupBy(F.col("q_k").alias("k")).agg(F.count("*").alias("n"), F.percentile("p_value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).where("n >= 3")
+    return c.select("k").join(g, "k", "left").select("k", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _radius_percentiles(spark, sf_dir, 40.0)
+
+
+@query(f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(km, 6), p) AS i FROM pairs) SELECT k, avg(pv) FILTER (WHERE i <= 3) AS mean_k3, stddev_pop(pv) FILTER (WHERE i <= 3) AS std_k3, avg(pv) AS mean_k5, stddev_pop(pv) AS std_k5 FROM r WHERE i <= 5 GROUP BY k")
+def knn_stats(spark, d):
+    c = places(spark, d)
+    return joins.neighbour_stats(joins.nearest(c, c, 5, "k", 5.0, exclude=("k", "k")), "k", "value", [3, 5])
+
+
+@query(f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(km, 6), p) AS i FROM pairs), t AS (SELECT *, qa = pa AS s, pv BETWEEN qv * 0.8::DOUBLE AND qv * 1.2::DOUBLE AS b FROM r WHERE i <= 40), n AS (SELECT *, count(*) FILTER (WHERE s AND b) OVER w AS n1, count(*) FILTER (WHERE s) OVER w AS n2, count(*) FILTER (WHERE b) OVER w AS n3 FROM t WINDOW w AS (PARTITION BY k)), z AS (SELECT *, CASE WHEN n1 >= 4 THEN 1 WHEN n2 >= 4 THEN 2 WHEN n3 >= 4 THEN 3 ELSE 4 END AS tier FROM n), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS j FROM z WHERE CASE tier WHEN 1 THEN s AND b WHEN 2 THEN s WHEN 3 THEN b ELSE true END) SELECT k, median(pv) AS comparable, min(tier)::INT AS tier, count(*) AS n_used FROM f WHERE j <= 4 GROUP BY k")
+def comparables_cascade(spark, d):
+    c = places(spark, d)
+    return joins.comparables(joins.nearest(c, c, 40, "k", 16.0, exclude=("k", "k")), "k", "value", "attr", "value", 0.2, 4)
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_totalprice AS y, o_orderpriority AS a, o_orderstatus AS b, (o_custkey % 50)::VARCHAR AS c FROM orders), l3 AS (SELECT a, b, c, avg(y) AS v FROM t GROUP BY ALL HAVING count(*) >= 5), l2 AS (SELECT a, b, avg(y) AS v FROM t GROUP BY ALL HAVING count(*) >= 5), l1 AS (SELECT a, avg(y) AS v FROM t GROUP BY ALL HAVING count(*) >= 5) SELECT o_orderkey, coalesce(l3.v, l2.v, l1.v, (SELECT avg(y) FROM t)) AS fallback, CASE WHEN l3.v IS NOT NULL THEN 3 WHEN l2.v IS NOT NULL THEN 2 WHEN l1.v IS NOT NULL THEN 1 ELSE 0 END AS depth FROM t LEFT JOIN l3 USING (a, b, c) LEFT JOIN l2 USING (a, b) LEFT JOIN l1 USING (a)""")
+def hier_fallback(spark, d):
+    t = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("y"), F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b"), (F.col("o_custkey") % 50).alias("c"))
+    return stats.fallback(t, ["a", "b", "c"], "y", 5).select("o_orderkey", "fallback", "depth")
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT * FROM embeddings WHERE vec_id % 10 <> 0), r AS (SELECT q.vec_id, p.label::DOUBLE AS y, round(sqrt(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))), 9) AS d, p.vec_id AS pid FROM q CROSS JOIN p), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, pid) AS i FROM r) SELECT vec_id, coalesce(avg(y) FILTER (WHERE d = 0), sum(y / d) FILTER (WHERE d > 0) / sum(1 / d) FILTER (WHERE d > 0)) AS predicted FROM k WHERE i <= 5 GROUP BY vec_id""")
+def feature_knn_regression(spark, d):
+    e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    return joins.feature_knn(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "vec_id", "v", "label", 5)
+
+
+# --- E, F, G: aggregates, windows, top-k ---------------------------------------------------------
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_quantity) AS n_sizes, count(DISTINCT l_returnflag) AS n_kinds, min(l_quantity) AS size_min, max(l_quantity) AS size_max, median(l_quantity) AS size_median FROM lineitem GROUP BY l_orderkey), s AS (SELECT *, (size_max - size_min) / nullif(size_median, 0) AS spread FROM g) SELECT *, (n >= 3)::INT + (n_sizes >= 2)::INT + (n_kinds >= 2)::INT + coalesce(spread > 0.5, false)::INT AS score, ((n >= 3) AND (n_sizes >= 2) AND (n_kinds >= 2) AND coalesce(spread > 0.5, false))::INT AS is_mixed FROM s""")
+def group_typology(spark, d):
+    return stats.structure(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", "l_returnflag", "l_linenumber").drop("first_kind")
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderpriority, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT o_orderpriority, avg(v) AS o_totalprice_mean, median(v) AS o_totalprice_median, stddev_samp(v) AS o_totalprice_std, count(v) AS o_totalprice_count FROM e GROUP BY ALL""")
+def geo_stats(spark, d):
+    return stats.level_stats(table(spark, d, "orders"), "o_custkey", "o_orderpriority", ["o_totalprice"])
+
+
+@query("""WITH g AS (SELECT avg(o_totalprice) AS g FROM orders) SELECT o_custkey, (sum(o_totalprice) + 10 * any_value(g)) / (count(*) + 10) AS encoded, count(*) AS n FROM orders, g GROUP BY o_custkey""")
+def smoothed_encode(spark, d):
+    return stats.smoothed_means(table(spark, d, "orders"), "o_custkey", "o_totalprice", 10.0)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice / (1 + o_orderkey % 9) AS u, o_orderkey % 9 + 1 AS size FROM orders), m AS (SELECT o_orderpriority, median(u) AS m FROM o WHERE o_orderpriority NOT LIKE '1%' GROUP BY ALL) SELECT o_orderkey, coalesce(m, (SELECT median(u) FROM o)) * size AS unit_value FROM o LEFT JOIN m USING (o_orderpriority)""")
+def group_unit_price(spark, d):
+    o = table(spark, d, "orders").withColumn("size", F.col("o_orderkey") % 9 + 1).withColumn("u", F.col("o_totalprice") / F.col("size"))
+    m = o.where("o_orderpriority not like '1%'").groupBy("o_orderpriority").agg(F.median("u").alias("m"))
+    overall = o.agg(F.median("u").alias("g"))
+    return o.join(m, "o_orderpriority", "left").join(F.broadcast(overall), how="cross").select("o_orderkey", (F.coalesce("m", "g") * F.col("size")).alias("unit_value"))
+
+
+@query("""WITH p AS (SELECT o_custkey, date_trunc('month', o_orderdate)::DATE AS m, min(o_totalprice) AS v FROM orders GROUP BY ALL), w AS (SELECT o_custkey, min(v) FILTER (WHERE m = DATE '1997-12-01') AS lag_1, min(v) FILTER (WHERE m = DATE '1997-11-01') AS lag_2, min(v) FILTER (WHERE m = DATE '1996-12-01') AS lag_13 FROM p WHERE m IN (DATE '1997-12-01', DATE '1997-11-01', DATE '1996-12-01') GROUP BY o_custkey) SELECT *, CASE WHEN lag_13 > 0 THEN lag_1 / lag_13 - 1 END AS yoy FROM w""")
+def lag_pivot_yoy(spark, d):
+    panel = table(spark, d, "orders").groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("m")).agg(F.min("o_totalprice").alias("v"))
+    w = stats.lag_pivot(panel, ["o_custkey"], "m", "v", "1998-01-01", [1, 2, 13])
+    return w.withColumn("yoy", scalar.ratio(F.col("lag_1"), F.col("lag_13")) - 1)
+
+
+@query("""WITH o AS (SELECT o_orderpriority, o_orderstatus, o_custkey, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, sum(s) OVER w - s AS rs, sum(n) OVER w - n AS rn FROM o WINDOW w AS (PARTITION BY o_orderpriority, o_orderstatus)) SELECT o_orderpriority, o_orderstatus, o_custkey, CASE WHEN rn > 0 THEN (rs + 5 * (SELECT avg(o_totalprice) FROM orders)) / (rn + 5) END AS encoded, rn::BIGINT AS n_rest FROM r""")
+def leave_group_out(spark, d):
+    return stats.leave_group_out(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], "o_custkey", "o_totalprice", 5.0)
+
+
+_METRICS = "avg(abs(y - p)) AS mae, avg(abs(y - p) / greatest(abs(y), 1e-9)) AS mape, median(abs(y - p) / greatest(abs(y), 1e-9)) AS median_ape"
+
+
+@query(f"{_PRICED} SELECT avg(abs(y - p)) AS mae, avg(abs(y - p) / greatest(abs(y), 1e-9)) AS mape, median(abs(y - p) / greatest(abs(y), 1e-9)) AS median_ape, sqrt(avg(pow(y - p, 2))) AS rmse, median(abs(y - p)) AS median_ae, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS r2 FROM (SELECT y, p_a AS p FROM t)")
+def regression_metrics(spark, d):
+    return priced(spark, d).agg(*stats.metrics("y", "p_a"))
+
+
+@query(f"{_PRICED}, l AS (SELECT 'o_orderstatus' AS segment, o_orderstatus AS value, y, p_a AS p FROM t UNION ALL SELECT 'o_orderpriority', o_orderpriority, y, p_a FROM t) SELECT segment, value, count(*) AS n, avg(y) AS mean_actual, avg(abs(y - p)) AS mae, avg(abs(y - p) / y) AS mape, median(abs(y - p) / y) AS median_ape, avg(p - y) AS bias, sum(abs(y - p)) / sum(sum(abs(y - p))) OVER (PARTITION BY segment) AS error_share FROM l GROUP BY segment, value")
+def segment_errors(spark, d):
+    return stats.segment_errors(priced(spark, d), "y", "p_a", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("WITH e AS (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders) SELECT o_orderkey, CASE WHEN o_totalprice <= q[1] THEN 'q1' WHEN o_totalprice <= q[2] THEN 'q2' WHEN o_totalprice <= q[3] THEN 'q3' ELSE 'q4' END AS class FROM orders, e")
+def quantile_bins(spark, d):
+    return stats.quantile_class(table(spark, d, "orders"), "o_totalprice", ["q1", "q2", "q3", "q4"]).select("o_orderkey", "class")
+
+
+@query("WITH t AS (SELECT p_partkey, nullif(p_size, 7)::DOUBLE AS s FROM part), f AS (SELECT p_partkey, coalesce(s, (SELECT median(s) FROM t)) AS s FROM t) SELECT p_partkey, least(greatest((s - avg(s) OVER ()) / stddev_pop(s) OVER (), -8), 8) AS s FROM f")
+def impute_standardise(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.nullif("p_size", F.lit(7)).cast("double").alias("s"))
+    return stats.standardised(t, ["s"])
+
+
+@query(f"{_PRICED}, l AS (SELECT 'p_a' AS model, y, p_a AS p FROM t UNION ALL SELECT 'p_b', y, p_b FROM t) SELECT model, {_METRICS}, avg(p - y) AS bias FROM l GROUP BY model")
+def model_compare(spark, d):
+    return stats.compare_models(priced(spark, d), "y", ["p_a", "p_b"])
+
+
+@query("SELECT 'o_orderstatus' AS \"column\", count(*) AS n_rows, count(DISTINCT nullif(o_orderstatus, 'P')) AS n_distinct, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_null FROM orders UNION ALL SELECT 'o_custkey', count(*), count(DISTINCT o_custkey), 0 FROM orders")
+def table_profile(spark, d):
+    return stats.profile(table(spark, d, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P"))), ["o_orderstatus", "o_custkey"])
+
+
+@query("WITH t AS (SELECT o_orderkey, o_totalprice AS v, avg(o_totalprice) OVER w AS g_mean, stddev_samp(o_totalprice) OVER w AS g_std, min(o_totalprice) OVER w AS g_min, max(o_totalprice) OVER w AS g_max, median(o_totalprice) OVER w AS g_median FROM orders WINDOW w AS (PARTITION BY o_custkey)) SELECT o_orderkey, g_mean, g_std, g_min, g_max, g_median, coalesce(CASE WHEN g_std > 1e-9 THEN (v - g_mean) / g_std END, 0) AS z FROM t")
+def within_group_z(spark, d):
+    return stats.z_scores(table(spark, d, "orders"), "o_custkey", "o_totalprice").select("o_orderkey", "g_mean", "g_std", "g_min", "g_max", "g_median", "z")
+
+
+@query("WITH t AS (SELECT p_partkey, p_brand, nullif(p_size, 7) AS s FROM part) SELECT p_partkey, CASE WHEN s IS NULL THEN 0.5::DOUBLE ELSE (rank() OVER (PARTITION BY p_brand ORDER BY s NULLS LAST) + (count(*) OVER (PARTITION BY p_brand, s) - 1) / 2.0::DOUBLE) / count(s) OVER (PARTITION BY p_brand) END AS pct FROM t")
+def percent_rank_avg(spark, d):
+    t = table(spark, d, "part").select("p_partkey", "p_brand", F.nullif("p_size", F.lit(7)).alias("s"))
+    return t.select("p_partkey", stats.average_rank(["p_brand"], "s").alias("pct"))
+
+
+@query("WITH t AS (SELECT p_partkey, p_size::DOUBLE AS v, sum(p_size) OVER w AS s, max(p_size) OVER w AS hi, min(p_size) OVER w AS lo FROM part WINDOW w AS (PARTITION BY p_brand)) SELECT p_partkey, ln(1 + v) AS log_value, v / s AS share, v / hi AS of_max, (v >= hi)::INT AS is_max, (v <= lo)::INT AS is_min FROM t")
+def dominant_share(spark, d):
+    t = table(spark, d, "part").withColumn("v", F.col("p_size").cast("double"))
+    return stats.dominance(t, "p_brand", "v").select("p_partkey", "log_value", "share", "of_max", "is_max", "is_min")
+
+
+@query(f"{_PRICED} SELECT o_orderkey, y, p_a, abs(y - p_a) AS abs_err FROM t ORDER BY abs_err DESC, o_orderkey LIMIT 40")
+def top_residuals(spark, d):
+    return stats.worst(priced(spark, d), "y", "p_a", "o_orderkey", 40).select("o_orderkey", "y", "p_a", "abs_err")
+
+
+@query("SELECT l_returnflag, l_linestatus, l_shipmode_ AS mode, min(l_orderkey) AS first_order, arg_min(l_quantity, l_orderkey * 100 + l_linenumber * 1.0 + l_quantity / 1000) AS quantity FROM (SELECT *, l_linenumber AS l_shipmode_ FROM lineitem) GROUP BY ALL")
+def dedup_keep_first(spark, d):
+    t = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_linenumber").alias("mode"), F.col("l_orderkey").alias("first_order"), F.col("l_quantity").alias("quantity"))
+    order = F.col("first_order") * 100 + F.col("mode") * 1.0 + F.col("quantity") / 1000
+    return stats.first_per_key(t.withColumn("o", order), ["l_returnflag", "l_linestatus", "mode"], "o").drop("o")
+
+
+# --- I: folds, stacking --------------------------------------------------------------------------
+@query("SELECT o_orderkey, o_custkey, ((o_custkey * 2654435761) % 4294967296 // 65536 % 5)::INT AS fold FROM orders")
+def group_folds(spark, d):
+    return stats.group_folds(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 5)
+
+
+@query("WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL), i AS (SELECT *, row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS i FROM s), f AS (SELECT o_custkey, n, CASE WHEN i % 10 < 5 THEN i % 10 ELSE 9 - i % 10 END AS fold FROM i) SELECT fold::INT AS fold, count(*) AS n_groups, sum(n)::BIGINT AS n_rows FROM f GROUP BY fold")
+def balanced_fold_sizes(spark, d):
+    o = stats.balanced_folds(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 5)
+    return o.groupBy("fold").agg(F.countDistinct("o_custkey").alias("n_groups"), F.count("*").alias("n_rows"))
+
+
+@query("WITH o AS (SELECT o_orderkey, o_orderpriority AS c, o_totalprice AS y, ((o_custkey * 2654435761) % 4294967296 // 65536 % 5)::INT AS fold FROM orders), f AS (SELECT fold, (SELECT sum(y) FROM o) - sum(y) AS s, (SELECT count(*) FROM o) - count(*) AS n FROM o GROUP BY fold), g AS (SELECT c, fold, sum(y) AS s, count(*) AS n FROM o GROUP BY ALL), r AS (SELECT c, fold, sum(s) OVER (PARTITION BY c) - s AS rs, sum(n) OVER (PARTITION BY c) - n AS rn FROM g) SELECT o_orderkey, o.fold, (rs + 10 * (f.s / f.n)) / (rn + 10) AS encoded FROM o JOIN r USING (c, fold) JOIN f ON f.fold = o.fold")
+def leave_fold_out_encode(spark, d):
+    o = stats.group_folds(table(spark, d, "orders"), "o_custkey", 5)
+    return stats.leave_fold_out(o, "o_orderpriority", "o_totalprice", "fold", 10.0).select("o_orderkey", "fold", "encoded")
+
+
+@query("SELECT o_orderkey, CASE WHEN NOT (((o_orderkey + 3) * 2654435761 % 4294967296) // 65536 % 10000 < 3000) THEN o_totalprice END AS o_totalprice FROM orders")
+def nullify_mask(spark, d):
+    return stats.nullified(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], "o_orderkey", 0.3, 3)
+
+
+@query(f"{_PRICED} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN p_b ELSE p_a END AS routed FROM t")
+def route_by_null(spark, d):
+    t = priced(spark, d).withColumn("signal", F.when(F.col("o_orderkey") % 3 != 0, F.col("y")))
+    return learn.routed(t, "signal", "p_a", "p_b").select("o_orderkey", "routed")
+
+
+@query(f"{_PRICED}, r AS (SELECT rank() OVER (ORDER BY p_a - y) + (count(*) OVER (PARTITION BY p_a - y) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY p_b - y) + (count(*) OVER (PARTITION BY p_b - y) - 1) / 2.0::DOUBLE AS b FROM t) SELECT corr(a, b) AS spearman, count(*) AS n FROM r")
+def residual_correlation(spark, d):
+    return stats.spearman(priced(spark, d).select((F.col("p_a") - F.col("y")).alias("a"), (F.col("p_b") - F.col("y")).alias("b")), "a", "b")
+
+
+@query()
+def stack_ridge(spark, d):
+    """Two base learners over three group folds, their out-of-fold predictions, and a cross-fitted ridge on top."""
+    o = table(spark, d, "orders")
+    items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.count("*").alias("lines"))
+    rows = stats.group_folds(o.join(items, "o_orderkey", "left").fillna(0.0, ["quantity", "price"]).fillna(0, ["lines"]), "o_custkey", 3)
+    rows = rows.withColumn("label", scalar.log_target(F.col("o_totalprice")))
+    data = learn.assembled(rows, ["quantity", "price", "lines"], ["o_orderpriority", "o_orderstatus"]).select("o_orderkey", "fold", "label", "features")
+    bases = {"forest": {"numTrees": 5, "maxDepth": 4}, "linear": {}}
+    found = learn.wide(learn.out_of_fold(data, "label", "fold", 3, bases, "o_orderkey"), "o_orderkey", list(bases))
+    stacked = learn.cross_fitted_ridge(data.select("o_orderkey", "fold", "label").join(found, "o_orderkey"), "label", ["pred_forest", "pred_linear"], "fold", 3)
+    return stacked.select("o_orderkey", "fold", "pred_forest", "pred_linear", "stacked")
+
+
+# --- J: contracts --------------------------------------------------------------------------------
+@query("SELECT 'bounds' AS kind, 'error' AS severity, 'o_totalprice' AS \"column\", count(*) AS n, 'outside [0, 200000]' AS message FROM orders WHERE o_totalprice < 0 OR o_totalprice > 200000 HAVING count(*) > 0 UNION ALL SELECT 'null', 'error', 'o_orderstatus', count(*), 'identity is null' FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0")
+def contract_bounds(spark, d):
+    o = table(spark, d, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+    return contract.value_issues(o, contract.Contract({}, {"o_totalprice": (0, 200000)}, identity=["o_orderstatus"]))
+
+
+@query("SELECT coalesce(sum(n), 0)::BIGINT AS n_rows, count(*) AS n_keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
+def duplicate_keys(spark, d):
+    return contract.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 0 OR o_totalprice > 200000 ORDER BY o_orderkey LIMIT 3")
+def contract_offenders(spark, d):
+    return contract.offenders(table(spark, d, "orders"), "o_totalprice", 0, 200000, "o_orderkey")
