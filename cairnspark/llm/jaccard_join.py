@@ -13,30 +13,37 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.common import stored
 from cairnspark.llm.components import components
+from cairnspark.llm.words import hashed_words, mixed
 
-#: Shingles that the global order puts last, the most frequent ones: 8 MB. It bears on speed, not on results.
-FREQUENT = 1 << 19
+#: Shingles that the global order puts last, the most frequent ones: 4 MB. It bears on speed, not on results.
+FREQUENT = 1 << 18
 #: Bits of the filter that tells which documents' sets a verification needs: 1 MB; false positives are joined away.
 MEMBER_BITS = 1 << 23
 _ROW = 1 << 15
-SKETCH = 4  # words of 64 bits
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit values of a text's word shingles, A-Z lower-cased; with fewer words, the whole sequence as one."""
-    import xxhash
-
-    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(tokens)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, n)
-    width = min(words, n)
-    if not n:
-        return h
-    acc = np.full(n - width + 1, width, np.uint64)
-    for k in range(width):
-        acc = (acc ^ (acc >> np.uint64(29))) * _A + h[k : n - width + 1 + k]
-    return np.unique((acc ^ (acc >> np.uint64(32))) * _B)
+SKETCH = 4  # words of 64 bits, beside each prefix shingle
+WIDE = 2048  # bits of the sketch that is compared once per candidate pair
+_A = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(column: pa.Array, words: int):
+    """For each text: sorted distinct 64-bit values of its word shingles, A-Z lower-cased; with fewer words, the whole sequence as one."""
+    for _, values, bounds in hashed_words(column):
+        sizes = np.diff(bounds)
+        if not len(values):
+            yield from (values for _ in sizes)
+            continue
+        wide = np.full(max(0, len(values) - words + 1), words, np.uint64)
+        for k in range(words if len(wide) else 0):
+            wide = (wide ^ (wide >> np.uint64(29))) * _A + values[k : len(values) - words + 1 + k]
+        wide = mixed(wide)
+        for n, start in zip(sizes.tolist(), bounds.tolist(), strict=False):
+            if n >= words:
+                yield np.unique(wide[start : start + n - words + 1])
+            else:
+                acc = np.full(min(n, 1), n, np.uint64)
+                for k in range(n):
+                    acc = (acc ^ (acc >> np.uint64(29))) * _A + values[start + k]
+                yield mixed(acc)
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -70,8 +77,7 @@ def _scan(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
 
         for batch in batches:
             sizes, nodes = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.column(1), words):
                 sizes.append(len(s))
                 nodes.append(node_of(s))
                 held.append(s)
@@ -99,14 +105,13 @@ def _prefixes(docs: DataFrame, words: int, percent: int, keys: np.ndarray, count
     """node, n, prefix (its first shingles, rare ones first) and a parity sketch of the whole set, for sets that another one can link to."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))  # at most FREQUENT entries
     least = -(-percent // (100 - percent)) if percent < 100 else None
-    names = ["node", "n", "prefix", *(f"s{i}" for i in range(SKETCH))]
+    names = ["node", "n", "prefix", "wide", *(f"s{i}" for i in range(SKETCH))]
 
     def measure(batches):
         keys, counts = shared.value
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.column(1), words):
                 if least is None or len(s) < least:
                     continue
                 order = s
@@ -115,54 +120,75 @@ def _prefixes(docs: DataFrame, words: int, percent: int, keys: np.ndarray, count
                     df = np.where(keys[at] == s, counts[at], 0)
                     if df.any():
                         order = s[np.argsort(df, kind="stable")]
-                parity = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
-                sketch = np.packbits(parity.astype(np.uint8)).view(np.int64)
-                rows.append((node_of(s), len(s), order[: prefix_length(len(s), percent)].view(np.int64), *sketch.tolist()))
+                wide = (np.bincount((s >> np.uint64(20)).astype(np.int64) % WIDE, minlength=WIDE) % 2).astype(np.uint8)
+                sketch = np.packbits(wide.reshape(-1, 64 * SKETCH).sum(axis=0, dtype=np.uint8) % 2).view(np.int64)
+                rows.append((node_of(s), len(s), order[: prefix_length(len(s), percent)].view(np.int64), np.packbits(wide).tobytes(), *sketch.tolist()))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * SKETCH]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.int64()] * SKETCH]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    schema = "node long, n long, prefix array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+    schema = "node long, n long, prefix array<long>, wide binary, " + ", ".join(f"s{i} long" for i in range(SKETCH))
     return docs.mapInArrow(measure, schema).dropDuplicates(["node"])
 
 
-def _members(pairs: DataFrame) -> np.ndarray:
-    """A bitmap over the nodes of pairs, MEMBER_BITS long."""
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(MEMBER_BITS)).alias("slot"))
+def _refined(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance): the pairs whose wide sketches differ in no more bits than the sets may in shingles."""
+
+    def compare(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDE // 8) for i in (4, 5))
+            distance = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)
+            keep = distance <= na + nb + 2 * (-percent * (na + nb) // (100 + percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance)], ["a", "b", "distance"]).filter(pa.array(keep))
+
+    of = {x: info.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"}
+    rows = pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "na", "nb", "wide_a", "wide_b")
+    return rows.mapInArrow(compare, "a long, b long, distance long")
+
+
+def _slot(node, doc_id):
+    return F.pmod(F.pmod(node, F.lit(MEMBER_BITS)) + F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(MEMBER_BITS)) * 7919, F.lit(MEMBER_BITS))
+
+
+def _members(names: DataFrame, nodes: DataFrame) -> np.ndarray:
+    """A bitmap, MEMBER_BITS long and packed, over the smallest documents of the nodes that are named."""
+    slots = names.join(nodes, "node").select(_slot(F.col("node"), F.col("least")).alias("slot"))
     rows = slots.groupBy(F.floor(F.col("slot") / _ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits")).collect()
     bits = np.zeros(MEMBER_BITS // 8, np.uint8)
     for r in rows:
         bits[r["row"] * _ROW // 8 : (r["row"] + 1) * _ROW // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return np.unpackbits(bits, bitorder="little").astype(bool)
+    return bits
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, fragments: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int, fragments: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps are counted fragment by fragment of the global order and summed."""
-    member = docs.sparkSession.sparkContext.broadcast(np.packbits(_members(pairs)))
+    members = [_members(pairs.select(F.col(x).alias("node")).distinct(), nodes) for x in "ab"]
+    shared = docs.sparkSession.sparkContext.broadcast(members)
+    names, kinds = ["node", "fragment", "part", "n", "is_a", "is_b"], [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.bool_(), pa.bool_()]
 
     def cut(batches):
-        wanted = np.unpackbits(member.value)
+        member = [np.unpackbits(m, bitorder="little").astype(bool) for m in shared.value]
         for batch in batches:
-            nodes, numbers, parts, sizes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, words)
+            rows: list[tuple] = []
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
+                if not len(s):
+                    continue
                 node = node_of(s)
-                if len(s) and wanted[node % MEMBER_BITS]:
+                slot = (node % MEMBER_BITS + (doc_id or 0) % MEMBER_BITS * 7919) % MEMBER_BITS
+                if member[0][slot] or member[1][slot]:
                     edges = np.searchsorted(s, (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64).astype(np.uint64))
-                    for f, part in enumerate(np.split(s, edges)):
-                        nodes.append(node)
-                        numbers.append(f)
-                        parts.append(part.view(np.int64))
-                        sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["node", "fragment", "part", "n"])
-
-    found = docs.mapInArrow(cut, "node long, fragment int, part array<long>, n long")
-    members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    parts = stored(found.join(members, "node", "left_semi").dropDuplicates(["node", "fragment"]), "fragments")
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a"), F.col("n").alias("na"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b"), F.col("n").alias("nb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("overlap"))
-    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+                    rows += [(node, f, part.view(np.int64), len(s), member[0][slot], member[1][slot]) for f, part in enumerate(np.split(s, edges))]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    parts = stored(docs.mapInArrow(cut, "node long, fragment int, part array<long>, n long, is_a boolean, is_b boolean"), "fragments")
+    right = parts.where("is_b").select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b"), F.col("n").alias("nb"))
+    left = parts.where("is_a").select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a"), F.col("n").alias("na"))
+    partial = pairs.select("a", "b").join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "fragment", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("overlap"))
+    # A repeated row may have given a fragment twice; it counts once.
+    once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))
+    sums = once.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return sums.where(F.col("overlap") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
@@ -173,7 +199,7 @@ def _may_link(x: str, y: str, percent: int):
     return (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent) & (different <= nx + ny - 2 * _needed(nx, ny, percent))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int = 4, star_rounds: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct word shingles;
@@ -181,9 +207,9 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, fragments
     for 64-bit hashing of shingles.
 
     Nodes are distinct sets, so copies of any number cost one node. Candidates share a prefix shingle. First
-    each prefix shingle's nodes are compared to one of them (stars), and what links becomes one component;
-    then all candidate pairs of different components are compared, so no component is missed, and
-    pairs within a dense group aren't made.
+    every node is compared to the most alike of the nodes picked for its prefix shingles (stars), and what links
+    becomes one component; then all candidate pairs of different components are compared, so no component
+    is missed, and the pairs within a dense group aren't made.
 
     Null and empty texts have no shingles and link with nothing: their component is their own doc_id. A null
     doc_id takes part but never names a component unless there is no other; repeated rows get the same
@@ -192,42 +218,38 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, fragments
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = _scan(rows, words)
     ids = scan.where("not shingle").select("doc_id", "n", "node")
+    nodes = stored(ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     info = stored(_prefixes(rows, words, percent, *_frequent(scan)), "prefixes")
     sketch = [f"s{i}" for i in range(SKETCH)]
-    postings = info.select("node", "n", F.posexplode("prefix").alias("place", "token"))
-    by_token = Window.partitionBy("token")
-    shared = postings.withColumn("nodes", F.count("*").over(by_token)).where("nodes > 1").drop("nodes")
-    buckets = stored(shared.drop("n").join(info.drop("prefix"), "node"), "buckets")
-
-    labels = None  # node -> component, for nodes that have a link
-    for turn in range(star_rounds + 1):
-        if labels is None:
-            named = buckets.withColumn("component", F.col("node"))
-        else:
-            named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn < star_rounds:
-            rank = F.xxhash64("node", F.lit(turn))
-            centres = named.groupBy("token").agg(F.min_by(F.struct("node", "n", *sketch, "component"), rank).alias("c")).select("token", "c.*")
-            pairs = named.alias("x").join(centres.alias("y"), "token").where((F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        else:
-            # Of two sets that link, the smaller one shares a shingle of its shorter index prefix.
-            early = F.col("x.place") <= F.col("x.n") - F.ceil(F.lit(2 * percent) * F.col("x.n") / F.lit(100 + percent) - F.lit(1e-9))
-            ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-            mixed = stored(named, "named-buckets")
-            several = mixed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-            mixed = mixed.join(several, "token", "left_semi")
-            pairs = mixed.alias("x").join(mixed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ordered & early & _may_link("x", "y", percent))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        links = stored(_verified(rows, stored(pairs, "pairs"), words, percent, fragments), "links")
-        if labels is not None:
-            links = links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = components(links)
-    nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(nodes.join(least, "component").select("node", "component_id"), "node-components")
-    return ids.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    postings = info.select("node", F.posexplode("prefix").alias("place", "token"))
+    shared = postings.withColumn("nodes", F.count("*").over(Window.partitionBy("token"))).where("nodes > 1").drop("nodes")
+    buckets = stored(shared.join(info.select("node", "n", *sketch), "node"), "buckets")
+
+    # Stars: every node is compared to the most alike of the nodes that its shingles name.
+    centre = F.min_by(F.struct("node", "n", *sketch), F.xxhash64("node")).alias("c"), F.max_by(F.struct("node", "n", *sketch), F.xxhash64("node")).alias("d")
+    centres = buckets.groupBy("token").agg(*centre).select("token", F.explode(F.array("c", "d")).alias("c")).select("token", "c.*")
+    near = buckets.alias("x").join(centres.alias("y"), "token").where((F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent))
+    near = _refined(near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), info, percent)
+    stars = stored(near.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")), "stars")
+    links = _verified(rows, stars, nodes, words, percent, fragments)
+    labels = stored(components(links), "labels")
+
+    # Then all candidates of different components. Of two sets that link, the smaller one shares a shingle of its shorter index prefix.
+    named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = stored(named, "named-buckets")
+    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    named = named.join(several, "token", "left_semi")
+    early = F.col("x.place") <= F.col("x.n") - F.ceil(F.lit(2 * percent) * F.col("x.n") / F.lit(100 + percent) - F.lit(1e-9))
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    rest = named.alias("x").join(named.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ordered & early & _may_link("x", "y", percent))
+    rest = _refined(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), info, percent)
+    more = _verified(rows, stored(rest, "pairs"), nodes, words, percent, fragments)
+    labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    joined = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = stored(joined.join(least, "component").select("node", "component_id"), "node-components")
+    return ids.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
