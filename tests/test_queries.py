@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, and invariants of the harder operators."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     def norm(v):
-        return None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) else str(v)
+        return None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) else str(v)
 
     columns = sorted(frame.columns)
     return columns, sorted((tuple(norm(v) for v in r) for r in frame[columns].itertuples(index=False)), key=str)
