@@ -81,7 +81,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_chars: int = 50_000, seed: int = 5) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_chars: int = 50_000, seed: int = 5) -> ToxicityModel:
     """Fits on about ``max_rows`` labelled documents at most, drawn alike from both labels.
 
     A document's label is the largest of its labels; null labels and ids are left out, as are sampled texts of more than
@@ -94,11 +94,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max
 
     def extract(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(features(t)).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["toxic", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.unique(features(t)).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "toxic", "slots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(drawn, "doc_id")
-    found = rows.select("toxic", "text").mapInArrow(extract, "toxic int, slots binary").collect()
-    return ToxicityModel.fit(sorted(((np.frombuffer(bytes(r["slots"]), np.int32).astype(np.int64), int(r["toxic"] > 0)) for r in found), key=lambda x: (x[1], x[0].tobytes())))
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, slots binary").toArrow()
+    order = np.lexsort((found.column("toxic").to_numpy(), found.column("doc_id").to_numpy()))
+    slots, toxic = found.column("slots"), found.column("toxic").to_numpy()
+    return ToxicityModel.fit([(np.frombuffer(slots[int(i)].as_buffer(), np.int32), int(toxic[i] > 0)) for i in order])
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
