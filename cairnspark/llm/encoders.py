@@ -18,8 +18,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]").search
 #: A line feed or none, a word of Latin letters with or without its space, and marks: three pre-tokens at most.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PARTS = re.compile(f"(\n?)( ?[{_LATIN}]+)([.,;:!?]*)").fullmatch
-#: Distinct units that a worker keeps; then it starts anew.
-CACHE_UNITS = 1_000_000
+#: Distinct units of a generation. A worker keeps two: what the newer one lacks is looked up in the older one.
+CACHE_UNITS = 200_000
 
 _loaded: dict = {}
 
@@ -50,6 +50,7 @@ class ByteLevelIds(dict):
 
     def __init__(self, name: str):
         super().__init__()
+        self.older: dict = {}
         self.tokenizer = _tokenizer(name)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
         self.kind = "H" if self.dtype == "<u2" else "I"
@@ -63,8 +64,10 @@ class ByteLevelIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        parts = _PARTS(unit)
-        if parts and (parts[1] or parts[3]):  # its pre-tokens are kept apart
+        parts = None if unit in self.older else _PARTS(unit)
+        if unit in self.older:
+            ids = self.older[unit]
+        elif parts and (parts[1] or parts[3]):  # its pre-tokens are kept apart
             ids = b"".join(self[x] for x in parts.groups() if x)
         elif parts:
             ids = array(self.kind, [t.id for t in self.model.tokenize(unit.translate(self.shown))]).tobytes()
@@ -79,6 +82,7 @@ class ByteLevelIds(dict):
         if not self.splits or _ODD_SPACE(text) or any(" " in s for s in self.special):
             return np.frombuffer(self._whole(text), self.dtype)
         if len(self) > CACHE_UNITS:
+            self.older = dict(self)
             self.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, _UNITS(text))), self.dtype)
 
@@ -88,6 +92,7 @@ class WordPieceCounts(dict):
 
     def __init__(self, name: str):
         super().__init__()
+        self.older: dict = {}
         if name.endswith(".model"):
             import sentencepiece
 
@@ -100,7 +105,7 @@ class WordPieceCounts(dict):
             self.count = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.count(word)
+        n = self[word] = self.older[word] if word in self.older else self.count(word)
         return n
 
     def total(self, text: str) -> int:
@@ -108,6 +113,7 @@ class WordPieceCounts(dict):
         if self.whole:
             return self.count(text)
         if len(self) > CACHE_UNITS:
+            self.older = dict(self)
             self.clear()
         frequencies: dict[str, int] = {}
         for word in _WORDS(text):
