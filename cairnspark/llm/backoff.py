@@ -26,6 +26,21 @@ _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as the steps between them, six bytes each where all fit in that; a first byte tells."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    width = 6 if len(steps) < 2 or int(steps[1:].max()) < 1 << 48 else 8
+    return bytes([width]) + steps[:1].tobytes() + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    width, first = data[0], np.frombuffer(data, "<u8", 1, 1)
+    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(rest), 8), np.uint8)
+    steps[:, :width] = rest
+    return np.cumsum(np.concatenate([first, steps.view("<u8").ravel()]), dtype=np.uint64)
+
+
 def token_hashes(text: str | None) -> np.ndarray:
     """64-bit values of a text's words, A-Z lower-cased, and of the end."""
     import xxhash
@@ -54,7 +69,7 @@ class BlockGrams:
                 key = longer
             usable = np.flatnonzero(depth >= n - 1)
             keys, inverse = np.unique(key[usable], return_inverse=True)
-            places = np.full(len(word), -1, np.int64)
+            places = np.full(len(word), -1, np.int32)
             places[usable] = inverse
             self.keys.append(keys)
             self.places.append(places)
@@ -92,7 +107,7 @@ def _batch(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, _KINDS, strict=True)], _NAMES)
 
 
-def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars: int = 24_000_000) -> DataFrame:
+def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars: int = 6_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
     ``docs`` has doc_id, text and held_out; rows where held_out is false are learned from. Tokens are words
@@ -106,8 +121,22 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
     bits = max(1, (blocks - 1).bit_length())
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
+    def squeeze(batches):
+        """Texts are shuffled twice, so they are compressed before."""
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(3, write_content_size=True).compress
+        for batch in batches:
+            texts = [pack(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "text", "held_out", "block"])
+
     def texts_of(table):
-        return table.column("text").to_pylist(), table.column("held_out").to_numpy().astype(bool)
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        return [unpack(t).decode("utf-8", "surrogatepass") if t else "" for t in table.column("text").to_pylist()], table.column("held_out").to_numpy().astype(bool)
+
+    dealt = dealt.mapInArrow(squeeze, "doc_id long, text binary, held_out boolean, block int")
 
     def ask(table: pa.Table) -> pa.Table:
         grams, block, rows = BlockGrams(*texts_of(table), order), table.column("block")[0].as_py(), []
@@ -115,12 +144,12 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
             edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             for bucket, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)):
                 if len(k):
-                    rows.append((n, bucket, block, k.tobytes(), c.astype("<u4").tobytes(), 0, 0))
+                    rows.append((n, bucket, block, packed_keys(k), c.astype("<u4").tobytes(), 0, 0))
         return _batch(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         order_, bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
-        keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+        keys = [unpacked_keys(k) for k in table.column("keys").to_pylist()]
         counts = [np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
@@ -130,7 +159,7 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
             at += len(k)
             more = total != c
             if more.any():
-                rows.append((order_, bucket, block, k[more].tobytes(), total[more].astype("<u4").tobytes(), 0, 0))
+                rows.append((order_, bucket, block, packed_keys(k[more]), total[more].astype("<u4").tobytes(), 0, 0))
         return _batch([*rows, (order_, bucket, -1, b"", b"", int(totals.sum()), int((totals > 0).sum()))])
 
     asked = dealt.groupBy("block").applyInArrow(ask, _PARTS)
@@ -139,11 +168,12 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
     tokens, types = int(sums[0] or 0), int(sums[1] or 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held_out = left.column("held_out").to_numpy().astype(bool)
-        grams = BlockGrams(left.column("text").to_pylist(), held_out, order)
+        texts, held_out = texts_of(left)
+        grams = BlockGrams(texts, held_out, order)
+        del texts
         for n, k, c in zip(right.column("order").to_pylist(), right.column("keys").to_pylist(), right.column("counts").to_pylist(), strict=True):
             keys = grams.keys[n - 1]
-            grams.counts[n - 1][np.searchsorted(keys, np.frombuffer(k, "<u8"))] = np.frombuffer(c, "<u4")
+            grams.counts[n - 1][np.searchsorted(keys, unpacked_keys(k))] = np.frombuffer(c, "<u4")
         known, base, arcs = BackoffAutomaton(grams.counts, tokens, types, mix).traverse(grams.places)
         sums = [np.add.reduceat(x, grams.starts) if len(x) else x for x in (known.astype(np.int64), base, arcs)]
         n = len(grams.sizes)
