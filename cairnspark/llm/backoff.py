@@ -41,6 +41,22 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, steps.view("<u8").ravel()]), dtype=np.uint64)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in the least of 1, 2, 4 or 8 bytes that fits them all; a first byte tells."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(counts) or int(counts.max()) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each hash range begins among sorted keys, and their end."""
+    inner = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    return np.concatenate([[0], inner, [len(keys)]])
+
+
 def token_hashes(text: str | None) -> np.ndarray:
     """64-bit values of a text's words, A-Z lower-cased, and of the end."""
     import xxhash
@@ -141,16 +157,16 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
     def ask(table: pa.Table) -> pa.Table:
         grams, block, rows = BlockGrams(*texts_of(table), order), table.column("block")[0].as_py(), []
         for n, (keys, counts) in enumerate(zip(grams.keys, grams.counts, strict=True), 1):
-            edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            for bucket, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)):
-                if len(k):
-                    rows.append((n, bucket, block, packed_keys(k), c.astype("<u4").tobytes(), 0, 0))
+            edges = bucket_edges(keys, bits)
+            for bucket in np.flatnonzero(np.diff(edges)).tolist():
+                at = slice(edges[bucket], edges[bucket + 1])
+                rows.append((n, bucket, block, packed_keys(keys[at]), packed_counts(counts[at]), 0, 0))
         return _batch(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         order_, bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
         keys = [unpacked_keys(k) for k in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()]
+        counts = [unpacked_counts(c) for c in table.column("counts").to_pylist()]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
         rows, at = [], 0
@@ -159,7 +175,8 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
             at += len(k)
             more = total != c
             if more.any():
-                rows.append((order_, bucket, block, packed_keys(k[more]), total[more].astype("<u4").tobytes(), 0, 0))
+                # the block has the same keys in the same order: a bit for each tells which ones get a total
+                rows.append((order_, bucket, block, np.packbits(more).tobytes(), packed_counts(total[more]), 0, 0))
         return _batch([*rows, (order_, bucket, -1, b"", b"", int(totals.sum()), int((totals > 0).sum()))])
 
     asked = dealt.groupBy("block").applyInArrow(ask, _PARTS)
@@ -171,9 +188,11 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
         texts, held_out = texts_of(left)
         grams = BlockGrams(texts, held_out, order)
         del texts
-        for n, k, c in zip(right.column("order").to_pylist(), right.column("keys").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            keys = grams.keys[n - 1]
-            grams.counts[n - 1][np.searchsorted(keys, unpacked_keys(k))] = np.frombuffer(c, "<u4")
+        edges = [bucket_edges(keys, bits) for keys in grams.keys]
+        for n, bucket, more, c in zip(*(right.column(x).to_pylist() for x in ("order", "bucket", "keys", "counts")), strict=True):
+            at = slice(edges[n - 1][bucket], edges[n - 1][bucket + 1])
+            more = np.unpackbits(np.frombuffer(more, np.uint8))[: at.stop - at.start].astype(bool)
+            grams.counts[n - 1][at][more] = unpacked_counts(c)
         known, base, arcs = BackoffAutomaton(grams.counts, tokens, types, mix).traverse(grams.places)
         sums = [np.add.reduceat(x, grams.starts) if len(x) else x for x in (known.astype(np.int64), base, arcs)]
         n = len(grams.sizes)
@@ -182,7 +201,7 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
             [x.split()[0] for x in SCORES.split(", ")],
         )
 
-    return dealt.groupBy("block").cogroup(answers.where("block >= 0").select("block", "order", "keys", "counts").groupBy("block")).applyInArrow(run, SCORES)
+    return dealt.groupBy("block").cogroup(answers.where("block >= 0").select("block", "order", "bucket", "keys", "counts").groupBy("block")).applyInArrow(run, SCORES)
 
 
 SQL = r"""
