@@ -30,9 +30,13 @@ def features(text: str | None) -> np.ndarray:
 
 
 class Ftrl:
-    """Per-coordinate rates, L1 and L2; presence features; slot 2**BITS is the intercept, which L1 spares."""
+    """Per-coordinate rates, L1 and L2; presence features; slot 2**BITS is the intercept, which L1 spares.
 
-    def __init__(self, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0):
+    The defaults of ``alpha`` and ``l1`` have the least log loss on a fourth of the training labels that was
+    kept from fitting for that; labels of the held-out third had no part in it.
+    """
+
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
