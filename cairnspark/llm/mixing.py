@@ -1,4 +1,4 @@
-"""Mixing sources to target weights (10): iterative proportional fitting, then sampling by calibrated probabilities."""
+"""Mixing sources to target weights (10): iterative proportional fitting, then sampling by calibrated rates, with repeats."""
 
 from __future__ import annotations
 
@@ -61,24 +61,16 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int
 
 
 def probabilities(cells: dict[tuple, float], weights: dict[tuple, float], budget: float) -> dict[tuple, float]:
-    """min(1, s * weight / tokens) with the s that makes the expected tokens ``budget`` times all of them, where that can be."""
-    total = sum(cells.values())
-    ratio = {k: weights[k] * total / cells[k] if cells[k] else 1.0 for k in cells}
-
-    def expected(s):
-        return sum(min(1.0, s * ratio[k]) * cells[k] for k in cells)
+    """How often a document of each cell is drawn in expectation: budget * weight / share. Above 1 it is drawn repeatedly.
 
-    low, high = 0.0, 1.0
-    while expected(high) < budget * total and high < 1e12:
-        high *= 2
-    for _ in range(100):
-        middle = (low + high) / 2
-        low, high = (middle, high) if expected(middle) < budget * total else (low, middle)
-    return {k: min(1.0, high * r) for k, r in ratio.items()}
+    The expected tokens are ``budget`` times all of them, in shares that are the weights; nothing is clipped.
+    """
+    total = sum(cells.values())
+    return {k: budget * (weights[k] * total / cells[k] if cells[k] else 1.0) for k in cells}
 
 
 def fit_mix(rows: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float, min_share: float, budget: float) -> tuple[list[list[str]], dict[tuple, tuple]]:
-    """Named values of each dimension, and (weight, probability) of each cell.
+    """Named values of each dimension, and (weight, expected draws) of each cell.
 
     Values with less than ``min_share`` of the tokens and no target are pooled, so there are at most
     1 / min_share values and the targets' own on each side: the cells that reach the driver are bounded.
@@ -104,34 +96,71 @@ def fit_mix(rows: DataFrame, targets: dict[str, dict[str, float]] | None, alpha:
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, min_share: float = 0.005, budget: float = 0.8, seed: int = 17) -> DataFrame:
-    """``docs`` with __source, __lang, __topic (pooled), __tokens, __weight, __probability and __sampled.
+    """``docs`` with __source, __lang, __topic (pooled), __tokens, __weight, __expected, __probability, __copies and __sampled.
 
     The weights of (source, language, topic) cells are raked to the targets: shares of tokens for each
-    dimension, or where none are given the natural shares to the power ``alpha``. A document is sampled
-    with probability min(1, s * weight / tokens of its cell), s chosen so that about ``budget`` of all
-    tokens are drawn; the draw is a hash of the document, so it is repeatable.
+    dimension, or where none are given the natural shares to the power ``alpha``. A document is drawn
+    __expected = budget * weight / share of its cell times in expectation, repeatedly where that is above 1:
+    the whole part for sure, the rest by a hash of the document, so the draw is repeatable. So the expected
+    tokens are ``budget`` times all of them, and their shares meet the targets; ``marginals`` reports them.
 
-    Nulls of a dimension are the value (none); null and empty texts have no tokens and go with their cell
-    (or by the natural share where a cell has no tokens); repeated rows are drawn alike; an empty table gives no rows.
+    Nulls of a dimension are the value (none); null and empty texts have no tokens and go with their cell, once
+    at most (or by ``budget`` where a cell has no tokens); repeated rows are drawn alike; an empty table gives no rows.
     """
     rows = _rows(docs)
     named, cells = fit_mix(rows, targets, alpha, min_share, budget)
-    table = docs.sparkSession.createDataFrame([(*k, *v) for k, v in cells.items()], "__c_source string, __c_lang string, __c_topic string, __weight double, __probability double")
+    table = docs.sparkSession.createDataFrame([(*k, *v) for k, v in cells.items()], "__c_source string, __c_lang string, __c_topic string, __weight double, __expected double")
     for d, values in zip(DIMENSIONS, named, strict=True):
         rows = rows.withColumn(f"__{d}", F.when(F.col(f"__{d}").isin(values), F.col(f"__{d}")).otherwise(REST))
     same = [F.col(f"__{d}") == F.col(f"__c_{d}") for d in DIMENSIONS]
     # Bounded by min_share and the targets, see fit_mix.
     found = rows.join(F.broadcast(table), same, "left").drop(*(f"__c_{d}" for d in DIMENSIONS))
-    return found.withColumn("__sampled", unit_hash(F.lit(seed), "doc_id", "text") < F.coalesce(F.col("__probability"), F.lit(0.0)))
+    return _drawn(found, seed)
+
+
+def _drawn(found: DataFrame, seed: int) -> DataFrame:
+    """Adds how often each row is drawn to rows that have their cell's __expected."""
+    expected = F.coalesce(F.col("__expected"), F.lit(0.0))
+    found = found.withColumn("__expected", F.when(F.col("__tokens") > 0, expected).otherwise(F.least(expected, F.lit(1.0))))
+    whole = F.floor("__expected")
+    copies = whole + (unit_hash(F.lit(seed), "doc_id", "text") < F.col("__expected") - whole).cast("long")
+    return found.withColumn("__copies", copies).withColumns({"__probability": F.least("__expected", F.lit(1.0)), "__sampled": F.col("__copies") > 0})
 
 
 def mixing(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, source, lang, topic (pooled), n_tokens, weight, probability, sampled for every document."""
+    """doc_id, source, lang, topic (pooled), n_tokens, weight, probability, sampled, expected, copies for every document."""
     columns = [c for c in ("doc_id", "text", *DIMENSIONS) if c in docs.columns]
-    names = {"__source": "source", "__lang": "lang", "__topic": "topic", "__tokens": "n_tokens", "__weight": "weight", "__probability": "probability", "__sampled": "sampled"}
+    names = {"__source": "source", "__lang": "lang", "__topic": "topic", "__tokens": "n_tokens", "__weight": "weight", "__probability": "probability", "__sampled": "sampled", "__expected": "expected", "__copies": "copies"}
     return mixed(docs.select(*columns), **parameters).select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
 
 
 def sample_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The sampled rows of ``docs``, all columns as they are."""
-    return mixed(docs, **parameters).where("__sampled").select(*docs.columns)
+    """The drawn rows of ``docs``, each as often as it is drawn, all columns as they are."""
+    drawn = mixed(docs, **parameters).where("__sampled").select(*docs.columns, F.col("__copies").cast("int").alias("__copies"))
+    return drawn.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+
+
+def marginals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, **parameters) -> DataFrame:
+    """dimension, value and its shares of the tokens: natural, target, expected of the draw, drawn."""
+    rows = mixed(docs, targets, alpha, **parameters)
+    n = F.col("__tokens")
+    cells = stored(rows.groupBy("__source", "__lang", "__topic").agg(F.sum(n).alias("n"), F.sum(n * F.col("__expected")).alias("e"), F.sum(n * F.col("__copies")).alias("d")), "mix-drawn")
+    out = None
+    for d in DIMENSIONS:
+        own = (targets or {}).get(d, {})
+        sums = cells.groupBy(F.col(f"__{d}").alias("value")).agg(*(F.sum(c).alias(c) for c in "ned"))
+        part = _wanted(sums, own, alpha).crossJoin(F.broadcast(_wanted(sums, own, alpha).agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "wanted", "e", "d")))))
+        shares = [(F.col(c) / F.nullif(F.col(f"all_{c}"), F.lit(0))).alias(name) for c, name in (("n", "natural"), ("wanted", "target"), ("e", "expected"), ("d", "drawn"))]
+        part = part.select(F.lit(d).alias("dimension"), "value", *shares)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _wanted(sums: DataFrame, own: dict[str, float], alpha: float) -> DataFrame:
+    """Adds to (value, n) the tokens wanted of each value, up to a factor: as ``rake`` takes targets."""
+    if not own:
+        return sums.withColumn("wanted", F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(alpha))).otherwise(0.0))
+    given = sums.sparkSession.createDataFrame([(k, float(v)) for k, v in own.items()], "value string, given double")
+    everything = sums.agg(F.sum("n").alias("everything"))
+    found = sums.join(F.broadcast(given), "value", "left").crossJoin(F.broadcast(everything))
+    return found.withColumn("wanted", F.when(F.col("n") > 0, F.coalesce("given", F.col("n") / F.col("everything"))).otherwise(0.0)).drop("given", "everything")

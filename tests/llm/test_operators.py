@@ -182,3 +182,16 @@ def test_mixing(docs, empty):
     got = mixing.mixing(docs).collect()
     assert len(got) == len(ROWS) and {r.source for r in got} == {"a", "b", "(rest)"}  # the null source has few tokens and is pooled
     assert mixing.mixing(empty).count() == 0 and mixing.sample_mix(docs).columns == docs.columns
+
+
+def test_mix_meets_its_targets(spark):
+    """One source and language rule, so that rare cells are wanted more often than they have documents."""
+    rows = [(i, f"w{i} " * 19 + "end.", "en" if i % 50 else "es", f"s{i % 7}" if i % 9 == 0 else "hot") for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for targets in (None, {"source": {"hot": 0.2}, "lang": {"en": 0.4, "es": 0.6}}):
+        found = mixing.marginals(table, targets).collect()
+        assert max(abs(r.expected - r.target) for r in found) < 1e-6 and max(abs(r.expected - r.natural) for r in found) > 0.05
+        assert max(abs(r.drawn - r.target) for r in found) < 0.02
+        drawn = Counter(r.source for r in mixing.sample_mix(table, targets=targets).collect())  # all texts have 20 tokens
+        assert {r.value: r.drawn for r in found if r.dimension == "source"} == pytest.approx({k: n / drawn.total() for k, n in drawn.items()})
+        assert drawn.total() == pytest.approx(0.8 * len(rows), rel=0.02)
