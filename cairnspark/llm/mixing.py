@@ -10,6 +10,8 @@ from cairnspark.llm.common import WORD_PATTERN, stored, unit_hash
 
 DIMENSIONS = ("source", "lang", "topic")
 REST, NONE = "(rest)", "(none)"
+#: So many cells are raked on the driver and broadcast; where there are more, Spark rakes them. It bears on speed, not on results.
+COLLECTED = 50_000
 
 
 def form_topic(text):
@@ -47,7 +49,8 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int
     sides = []
     for d, target in enumerate(targets):
         values = sorted({k[d] for k in names})
-        at = np.array([values.index(k[d]) for k in names])
+        place = {v: i for i, v in enumerate(values)}
+        at = np.array([place[k[d]] for k in names])
         share = np.bincount(at, w, len(values))
         wanted = np.array([target.get(v, s) for v, s in zip(values, share, strict=True)]) * (share > 0)
         sides.append((at, wanted / wanted.sum() if wanted.sum() > 0 else share))
@@ -69,53 +72,101 @@ def probabilities(cells: dict[tuple, float], weights: dict[tuple, float], budget
     return {k: budget * (weights[k] * total / cells[k] if cells[k] else 1.0) for k in cells}
 
 
-def fit_mix(rows: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float, min_share: float, budget: float) -> tuple[list[list[str]], dict[tuple, tuple]]:
-    """Named values of each dimension, and (weight, expected draws) of each cell.
+def _named(fine: DataFrame, targets: dict[str, dict[str, float]] | None, min_share: float) -> list[list[str]] | None:
+    """The values of each dimension that aren't pooled; None where no value is."""
+    if min_share <= 0:
+        return None
+    least, named = min_share * max(fine.agg(F.sum("tokens")).first()[0] or 0, 1), []
+    for d in DIMENSIONS:
+        sums = fine.groupBy(f"__{d}").agg(F.sum("tokens").alias("tokens"))
+        kept = sums.where((F.col("tokens") >= least) | F.col(f"__{d}").isin(list((targets or {}).get(d, {}))))
+        named.append([r[0] for r in kept.select(f"__{d}").collect()])  # at most 1 / min_share and the targets' own
+    return named
+
 
-    Values with less than ``min_share`` of the tokens and no target are pooled, so there are at most
-    1 / min_share values and the targets' own on each side: the cells that reach the driver are bounded.
+def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float, rounds: int = 500, tolerance: float = 1e-10) -> DataFrame:
+    """``rake`` for any number of cells, a table (__source, __lang, __topic, tokens, ...); adds __weight.
+
+    A weight is the cell's tokens times a factor for each of its values, so a step is a sum for each value
+    of one dimension and the factors are all that is stored. It ends when no sum of a round was off by
+    more than ``tolerance``, or after ``rounds``.
     """
-    fine = stored(rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens")), "mix-cells")
-    total = fine.agg(F.sum("tokens")).first()[0] or 0
-    named, shares = [], []
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return cells.withColumn("__weight", F.lit(0.0))
+    wanted, factors = {}, {}
     for d in DIMENSIONS:
-        own = (targets or {}).get(d, {})
-        sums = fine.groupBy(f"__{d}").agg(F.sum("tokens").alias("tokens"))
-        kept = sums.where((F.col("tokens") >= min_share * max(total, 1)) | F.col(f"__{d}").isin(list(own))).collect()
-        named.append(sorted(r[0] for r in kept))
-        shares.append(own or {r[0]: r["tokens"] ** alpha for r in kept})
-    pooled = [F.when(F.col(f"__{d}").isin(v), F.col(f"__{d}")).otherwise(REST).alias(d) for d, v in zip(DIMENSIONS, named, strict=True)]
-    cells = {tuple(r[:3]): float(r[3]) for r in fine.groupBy(*pooled).agg(F.sum("tokens").alias("tokens")).collect()}
-    for d, share in enumerate(shares):
-        if not (targets or {}).get(DIMENSIONS[d]):
-            rest = sum(n for k, n in cells.items() if k[d] == REST)
-            share[REST] = rest**alpha
-    weights = rake(cells, shares)
-    chances = probabilities(cells, weights, budget)
-    return named, {k: (weights[k], chances[k]) for k in cells}
-
-
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, min_share: float = 0.005, budget: float = 0.8, seed: int = 17) -> DataFrame:
-    """``docs`` with __source, __lang, __topic (pooled), __tokens, __weight, __expected, __probability, __copies and __sampled.
+        sums = _wanted(cells.groupBy(F.col(f"__{d}").alias("value")).agg(F.sum("tokens").alias("n")), (targets or {}).get(d, {}), alpha)
+        whole = sums.agg(F.sum("wanted")).first()[0]
+        wanted[d] = stored(sums.select("value", (F.col("wanted") / whole if whole > 0 else F.col("n") / total).alias("wanted")), "mix-targets")
+        factors[d] = wanted[d].select("value", F.lit(1.0).alias("factor"))
+
+    def weighted():
+        out = cells.withColumn("__weight", F.col("tokens") / total)
+        for d, factor in factors.items():
+            out = out.join(factor.withColumnsRenamed({"value": f"__{d}", "factor": "__factor"}), f"__{d}").withColumn("__weight", F.col("__weight") * F.col("__factor")).drop("__factor")
+        return out
+
+    for _ in range(rounds):
+        worst = 0.0
+        for d in DIMENSIONS:
+            sums = weighted().groupBy(F.col(f"__{d}").alias("value")).agg(F.sum("__weight").alias("share"))
+            step = F.when(F.col("share") > 0, F.col("wanted") / F.col("share")).otherwise(0.0)
+            step = factors[d].join(sums, "value").join(wanted[d], "value").select("value", (F.col("factor") * step).alias("factor"), F.abs(F.col("share") - F.col("wanted")).alias("off"))
+            step = stored(step, "mix-factors")
+            worst = max(worst, step.agg(F.max("off")).first()[0])
+            factors[d] = step.drop("off")
+        if worst <= tolerance:
+            break
+    out = weighted()
+    return out.withColumn("__weight", F.col("__weight") / out.agg(F.sum("__weight")).first()[0])
+
+
+def _fitted(rows: DataFrame, cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float, budget: float, collected: int) -> DataFrame:
+    """``rows`` with the __weight and __expected draws of their cell. No row is lost, whatever the number of cells."""
+    spark = rows.sparkSession
+    keys = [f"__{d}" for d in DIMENSIONS]
+    if len(found := cells.select(*keys, "tokens").limit(collected + 1).collect()) <= collected:
+        tokens = {tuple(r[:3]): float(r[3]) for r in found}
+        shares = []
+        for d, name in enumerate(DIMENSIONS):
+            sums: dict[str, float] = {}
+            for k, n in tokens.items():
+                sums[k[d]] = sums.get(k[d], 0.0) + n
+            shares.append((targets or {}).get(name) or {v: n**alpha for v, n in sums.items()})
+        weights = rake(tokens, shares)
+        expected = probabilities(tokens, weights, budget)
+        table = spark.createDataFrame([(*k, weights[k], expected[k]) for k in tokens], ", ".join(f"{k} string" for k in keys) + ", __weight double, __expected double")
+        return rows.join(F.broadcast(table), keys, "left")
+    total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
+    often = F.when(F.col("tokens") > 0, F.col("__weight") * total / F.col("tokens")).otherwise(1.0) * budget
+    table = stored(rake_table(cells, targets, alpha).withColumn("__expected", often), "mix-weights")
+    # Cells with many rows are broadcast, so that none of them lands in one task; of the others each has few rows.
+    hot = table.orderBy(F.desc("rows"), *keys).limit(collected).drop("tokens", "rows")
+    hot = F.broadcast(stored(hot, "mix-hot"))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(table.drop("tokens", "rows"), keys))
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, min_share: float = 0.005, budget: float = 0.8, seed: int = 17, collected: int = COLLECTED) -> DataFrame:
+    """``docs`` with __source, __lang, __topic, __tokens, __weight, __expected, __probability, __copies and __sampled.
 
     The weights of (source, language, topic) cells are raked to the targets: shares of tokens for each
     dimension, or where none are given the natural shares to the power ``alpha``. A document is drawn
     __expected = budget * weight / share of its cell times in expectation, repeatedly where that is above 1:
     the whole part for sure, the rest by a hash of the document, so the draw is repeatable. So the expected
     tokens are ``budget`` times all of them, and their shares meet the targets; ``marginals`` reports them.
+    Values with less than ``min_share`` of the tokens and no target are pooled as (rest); with a ``min_share``
+    of 0 none are, and every value has its own target, however many there are.
 
     Nulls of a dimension are the value (none); null and empty texts have no tokens and go with their cell, once
     at most (or by ``budget`` where a cell has no tokens); repeated rows are drawn alike; an empty table gives no rows.
     """
-    rows = _rows(docs)
-    named, cells = fit_mix(rows, targets, alpha, min_share, budget)
-    table = docs.sparkSession.createDataFrame([(*k, *v) for k, v in cells.items()], "__c_source string, __c_lang string, __c_topic string, __weight double, __expected double")
-    for d, values in zip(DIMENSIONS, named, strict=True):
-        rows = rows.withColumn(f"__{d}", F.when(F.col(f"__{d}").isin(values), F.col(f"__{d}")).otherwise(REST))
-    same = [F.col(f"__{d}") == F.col(f"__c_{d}") for d in DIMENSIONS]
-    # Bounded by min_share and the targets, see fit_mix.
-    found = rows.join(F.broadcast(table), same, "left").drop(*(f"__c_{d}" for d in DIMENSIONS))
-    return _drawn(found, seed)
+    rows, keys = _rows(docs), [f"__{d}" for d in DIMENSIONS]
+    cells = stored(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("rows")), "mix-cells")
+    if named := _named(cells, targets, min_share):
+        pooled = {k: F.when(F.col(k).isin(values), F.col(k)).otherwise(REST) for k, values in zip(keys, named, strict=True)}
+        rows, cells = rows.withColumns(pooled), cells.withColumns(pooled).groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
+    return _drawn(_fitted(rows, cells, targets, alpha, budget, collected), seed)
 
 
 def _drawn(found: DataFrame, seed: int) -> DataFrame:
@@ -128,7 +179,7 @@ def _drawn(found: DataFrame, seed: int) -> DataFrame:
 
 
 def mixing(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, source, lang, topic (pooled), n_tokens, weight, probability, sampled, expected, copies for every document."""
+    """doc_id, source, lang, topic, n_tokens, weight, probability, sampled, expected, copies for every document."""
     columns = [c for c in ("doc_id", "text", *DIMENSIONS) if c in docs.columns]
     names = {"__source": "source", "__lang": "lang", "__topic": "topic", "__tokens": "n_tokens", "__weight": "weight", "__probability": "probability", "__sampled": "sampled", "__expected": "expected", "__copies": "copies"}
     return mixed(docs.select(*columns), **parameters).select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))

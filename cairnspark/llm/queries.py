@@ -50,7 +50,7 @@ def op9_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    return mixing.mixing(documents(spark, sf_dir, "doc_id", "text", "lang", "source"), min_share=0.0)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

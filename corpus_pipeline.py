@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws about four fifths of the tokens, raked towards even sources, languages and topics; documents of scarce cells repeatedly."""
-    return mixing.sample_mix(docs.select(*COLUMNS))
+    return mixing.sample_mix(docs.select(*COLUMNS), min_share=0.0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -195,3 +196,18 @@ def test_mix_meets_its_targets(spark):
         drawn = Counter(r.source for r in mixing.sample_mix(table, targets=targets).collect())  # all texts have 20 tokens
         assert {r.value: r.drawn for r in found if r.dimension == "source"} == pytest.approx({k: n / drawn.total() for k, n in drawn.items()})
         assert drawn.total() == pytest.approx(0.8 * len(rows), rel=0.02)
+
+
+def test_mix_pools_no_value_where_none_is_to_be(spark, monkeypatch):
+    """A hot source and a tail of 100, each under a two-hundredth of the tokens; raked by the driver and by Spark."""
+    rows = [(i, f"w{i} " * 9 + "end.", ["en", "es", "is"][0 if i % 5 else 2 if i % 25 else 1], "hot" if i % 3 else f"s{i % 300}", f"t{i % 2}") for i in range(6000)]
+    table = spark.createDataFrame([*rows, (None, None, None, None, None)], "doc_id long, text string, lang string, source string, topic string")
+    one = {r.doc_id: r for r in mixing.mixing(table, min_share=0.0).collect()}
+    assert {(r.doc_id, r.lang, r.source, r.topic) for r in one.values()} == {(r[0], *r[2:]) for r in rows} | {(None, "(none)", "(none)", "(none)")}
+    shares = mixing.marginals(table, min_share=0.0).collect()
+    assert sum(r.dimension == "source" for r in shares) == 102 and max(abs(r.expected - r.target) for r in shares) < 1e-6
+    for name in ("rake", "rake_table"):  # two rounds, equal in both, are enough to compare them
+        monkeypatch.setattr(mixing, name, partial(getattr(mixing, name), rounds=2))
+    one, other = ({r.doc_id: r for r in mixing.mixing(table, min_share=0.0, collected=n).collect()} for n in (mixing.COLLECTED, 4))
+    assert other.keys() == one.keys()
+    assert all(other[i].weight == pytest.approx(one[i].weight, rel=1e-6, abs=1e-12) and other[i].expected == pytest.approx(one[i].expected, rel=1e-6) for i in one)
