@@ -64,7 +64,9 @@ def _needed(na, nb, percent: int):
 
 
 def _scan(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
-    """A row per document (doc_id, n, node), and a row for each shingle that a task met twice or more (node: the shingle, n: how often)."""
+    """A row per document (doc_id, n, node, hash of the text), and a row for each shingle that a task met twice or more (node: the shingle, n: how often)."""
+
+    names = ["shingle", "doc_id", "n", "node", "hash"]
 
     def measure(batches):
         held: list[np.ndarray] = []
@@ -73,7 +75,7 @@ def _scan(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
         def frequent():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             keys, counts = keys[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), bool)), pa.nulls(len(keys), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(keys.view(np.int64))], ["shingle", "doc_id", "n", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), bool)), pa.nulls(len(keys), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64())], names)
 
         for batch in batches:
             sizes, nodes = [], []
@@ -85,11 +87,11 @@ def _scan(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
                 if size >= flush:
                     yield frequent()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), bool)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["shingle", "doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), bool)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), batch.column(2)], names)
         if held:
             yield frequent()
 
-    return stored(docs.mapInArrow(measure, "shingle boolean, doc_id long, n long, node long"), "shingle-scan")
+    return stored(docs.withColumn("hash", F.xxhash64("text")).mapInArrow(measure, "shingle boolean, doc_id long, n long, node long, hash long"), "shingle-scan")
 
 
 def _frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -199,26 +201,13 @@ def _may_link(x: str, y: str, percent: int):
     return (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent) & (different <= nx + ny - 2 * _needed(nx, ny, percent))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
-
-    Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct word shingles;
-    component_id is the smallest doc_id reachable by links, itself included. Sets are compared exactly but
-    for 64-bit hashing of shingles.
-
-    Nodes are distinct sets, so copies of any number cost one node. Candidates share a prefix shingle. First
-    every node is compared to the most alike of the nodes picked for its prefix shingles (stars), and what links
-    becomes one component; then all candidate pairs of different components are compared, so no component
-    is missed, and the pairs within a dense group aren't made.
-
-    Null and empty texts have no shingles and link with nothing: their component is their own doc_id. A null
-    doc_id takes part but never names a component unless there is no other; repeated rows get the same
-    result each; other columns are ignored; an empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, words: int, percent: int, fragments: int) -> DataFrame:
+    """For every row doc_id, hash (of the text), n, component_id, and whether it is its component's first: least by id (null last), node and hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = _scan(rows, words)
-    ids = scan.where("not shingle").select("doc_id", "n", "node")
-    nodes = stored(ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    ids = scan.where("not shingle").select("doc_id", "n", "node", "hash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "hash")).alias("first")
+    nodes = stored(ids.where("n > 0").groupBy("node").agg(first).select("node", F.col("first.doc_id").alias("least"), "first"), "nodes")
     info = stored(_prefixes(rows, words, percent, *_frequent(scan)), "prefixes")
     sketch = [f"s{i}" for i in range(SKETCH)]
     postings = info.select("node", F.posexplode("prefix").alias("place", "token"))
@@ -247,16 +236,46 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, fragments
     labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     joined = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = stored(joined.join(least, "component").select("node", "component_id"), "node-components")
-    return ids.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = joined.groupBy("component").agg(F.min("first").alias("first"))
+    found = stored(joined.drop("first").join(least, "component").select("node", "first"), "node-components")
+    own = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "hash")
+    return ids.join(found, "node", "left").select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), own.eqNullSafe(F.col("first")).alias("is_first"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``.
+
+    Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct word shingles;
+    component_id is the smallest doc_id reachable by links, itself included. Sets are compared exactly but
+    for 64-bit hashing of shingles.
+
+    Nodes are distinct sets, so copies of any number cost one node. Candidates share a prefix shingle. First
+    every node is compared to the most alike of the nodes picked for its prefix shingles (stars), and what links
+    becomes one component; then all candidate pairs of different components are compared, so no component
+    is missed, and the pairs within a dense group aren't made.
+
+    Null and empty texts have no shingles and link with nothing: their component is their own doc_id. A null
+    doc_id takes part but never names a component unless there is no other; repeated rows get the same
+    result each; other columns are ignored; an empty table gives no rows.
+    """
+    found = _grouped(docs, words, percent, fragments)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component, the smallest doc_id's (one of its rows, if it is repeated), all columns as they are."""
-    groups = similar_groups(docs, words, percent)
-    dropped = groups.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` with one row of each component, the smallest doc_id's (null last; one of its rows, if it is repeated), all columns as they are.
+
+    It is decided for each (doc_id, text), so rows without an id and the other texts of an id stay. Texts without shingles all stay.
+    """
+    kinds = _grouped(docs, words, percent, 4).where("n > 0").groupBy("doc_id", "hash").agg(F.first("is_first").alias("is_first"), F.count("*").alias("times"))
+    kinds = stored(kinds.where("not is_first or times > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "is_first"), "not-kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = docs.join(kinds, same, "left_anti")
+    repeated = kinds.where("is_first")
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return kept.union(once)
 
 
 SQL = r"""

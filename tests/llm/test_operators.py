@@ -211,3 +211,19 @@ def test_mix_pools_no_value_where_none_is_to_be(spark, monkeypatch):
     one, other = ({r.doc_id: r for r in mixing.mixing(table, min_share=0.0, collected=n).collect()} for n in (mixing.COLLECTED, 4))
     assert other.keys() == one.keys()
     assert all(other[i].weight == pytest.approx(one[i].weight, rel=1e-6, abs=1e-12) and other[i].expected == pytest.approx(one[i].expected, rel=1e-6) for i in one)
+
+
+def test_keep_one_decides_by_row(spark):
+    """Null ids that link with an id, with each other or with nothing; an id with two texts; repeated rows."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [
+        (1, text("a")), (None, near("a")), (None, text("clean")),  # a null id linked to an id; a clean null id stays
+        (5, near("a")), (5, text("b")), (6, near("b")), (None, text("b")),  # an id with two texts: the second one is its group's first
+        (None, text("c")), (None, near("c")), (None, text("c")),  # a group without ids keeps one row
+        (9, text("d")), (9, text("d")), (9, near("d")), (10, text("d")),  # repeats of the smallest id: one row
+        (11, None), (11, None), (None, ""),  # no shingles: all stay
+    ]
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80).collect())
+    groups = Counter((i, t.split()[0] if t else t) for i, t in kept.elements())
+    assert groups == Counter({(1, "a0"): 1, (None, "clean0"): 1, (5, "b0"): 1, (None, "c0"): 1, (9, "d0"): 1, (11, None): 2, (None, ""): 1})
