@@ -93,8 +93,9 @@ class BlockGrams:
 
 
 class BackoffAutomaton:
-    """States are n-grams with a training count; arcs carry log10 probabilities, failure arcs the backoff weight.
+    """The scores of a weighted backoff automaton, from count arrays: neither states nor arcs are built.
 
+    Its states would be n-grams with a training count; arcs carry log10 probabilities, failure arcs the backoff weight.
     P1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); Pn(w | h) = mix * c(hw) / c(h) + (1 - mix) * Pn-1(w | shorter h)
     if c(h) > 0, else Pn-1. So an unseen arc costs log10(1 - mix) and follows the failure arc to the shorter state.
     """
