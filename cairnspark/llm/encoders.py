@@ -1,7 +1,8 @@
-"""Exact encoders that meet each distinct white-space unit once per worker.
+"""Exact encoders that meet each distinct pre-token once per worker, as long as its table holds it.
 
-A byte-level pre-token never spans the start of a run of white space, so a text's ids are those of
-its units (a run of white space and the non-space run after it), one after the other.
+A byte-level vocabulary encodes pre-tokens one by one, and none spans the start of a run of white space. What a
+pattern of the standard library can tell for sure (Latin words, digits, ASCII marks, white space) is cut
+into pre-tokens; the library cuts everything else, from one such boundary to the next white space.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ _UNITS = re.compile(r"\s*\S+|\s+").findall
 _WORDS = re.compile(r"[^ \t\n\r]+").findall
 #: Python counts these four as white space, the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
-#: A line feed or none, a word of Latin letters with or without its space, and marks: three pre-tokens at most.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PARTS = re.compile(f"(\n?)( ?[{_LATIN}]+)([.,;:!?]*)").fullmatch
-#: Distinct units of a generation. A worker keeps two: what the newer one lacks is looked up in the older one.
-CACHE_UNITS = 200_000
+_MARKS = r"!-/:-@\[-`{-~"
+_SURE = r"(?![^\x00-\x7fÀ-ɏ])"  # no letter or digit of another kind goes on with the run
+_PRETOKENS = re.compile(rf" ?[{_LATIN}]++{_SURE}| ?[0-9]++{_SURE}|'(?:[stmd]|re|ve|ll)| ?[{_MARKS}]++{_SURE}| ?\S+|\s+(?!\S)|\s+").findall
+#: Distinct pre-tokens of a generation. A worker keeps two: what the newer one lacks is looked up in the older one.
+CACHE_UNITS = 100_000
 
 _loaded: dict = {}
 
@@ -46,7 +48,7 @@ def _tokenizer(name: str):
 
 
 class ByteLevelIds(dict):
-    """unit -> its ids as little-endian bytes. For byte-level vocabularies without a normalizer."""
+    """pre-token -> its ids as little-endian bytes. For byte-level vocabularies without a normalizer."""
 
     def __init__(self, name: str):
         super().__init__()
@@ -55,26 +57,27 @@ class ByteLevelIds(dict):
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
         self.kind = "H" if self.dtype == "<u2" else "I"
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.splits = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
-        latin = [c for c in map(chr, range(0x250)) if c == " " or re.fullmatch(f"[{_LATIN}]", c)]
-        self.shown = {ord(c): self.pre.pre_tokenize_str(c)[0][0] for c in latin} if self.splits else {}
+        pre = self.tokenizer.pre_tokenizer
+        self.splits = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
+        if self.splits:
+            self.tokenizer.model._resize_cache(0)  # this table is the cache
+            self.model, self.pre = self.tokenizer.model.tokenize, pre.pre_tokenize_str
+            self.shown = {ord(c): self.pre(c)[0][0] for c in map(chr, range(0x250)) if c == " " or c.isalpha()}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        parts = None if unit in self.older else _PARTS(unit)
         if unit in self.older:
             ids = self.older[unit]
-        elif parts and (parts[1] or parts[3]):  # its pre-tokens are kept apart
-            ids = b"".join(self[x] for x in parts.groups() if x)
-        elif parts:
-            ids = array(self.kind, [t.id for t in self.model.tokenize(unit.translate(self.shown))]).tobytes()
-        elif any(s in unit for s in self.special):
-            ids = self._whole(unit)
         else:
-            ids = array(self.kind, [t.id for piece, _ in self.pre.pre_tokenize_str(unit) for t in self.model.tokenize(piece)]).tobytes()
+            if unit.isascii() and unit.isprintable():
+                pieces = self.model(unit.replace(" ", self.shown[32]))
+            elif unit.lstrip(" ").isalpha() and max(unit) < "\u0250":
+                pieces = self.model(unit.translate(self.shown))
+            else:
+                pieces = [t for piece, _ in self.pre(unit) for t in self.model(piece)]
+            ids = array(self.kind, [t.id for t in pieces]).tobytes()
         self[unit] = ids
         return ids
 
@@ -84,7 +87,10 @@ class ByteLevelIds(dict):
         if len(self) > CACHE_UNITS:
             self.older = dict(self)
             self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, _UNITS(text))), self.dtype)
+        if any(s in text for s in self.special):  # a special string lies within a unit between white space
+            parts = [self._whole(u) if any(s in u for s in self.special) else b"".join(map(self.__getitem__, _PRETOKENS(u))) for u in _UNITS(text)]
+            return np.frombuffer(b"".join(parts), self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, _PRETOKENS(text))), self.dtype)
 
 
 class WordPieceCounts(dict):
@@ -133,3 +139,8 @@ def word_pieces(name: str) -> WordPieceCounts:
     if ("counts", name) not in _loaded:
         _loaded["counts", name] = WordPieceCounts(name)
     return _loaded["counts", name]
+
+
+def release() -> None:
+    """Lets go of this worker's tables: for tasks of another kind that follow in the same worker."""
+    _loaded.clear()
