@@ -44,6 +44,16 @@ def test_unit_encoder_is_the_library(text):
     assert list(byte_level("byte_bpe_50k.json").encode(text)) == ids_of(text)[:-1]
 
 
+def test_long_texts_and_words_hash_as_short_ones(monkeypatch):
+    from cairnspark.llm import words
+    import pyarrow as pa
+
+    texts = pa.array(["Ab cd " * 40, None, "x" * 200, "y" * 63 + " z", " " * 90, ""])
+    whole = [v[b[i] : b[i + 1]].tolist() for _, v, b in words.hashed_words(texts) for i in range(len(b) - 1)]
+    monkeypatch.setattr(words, "CHUNK", 64)
+    assert whole == [v[b[i] : b[i + 1]].tolist() for _, v, b in words.hashed_words(texts) for i in range(len(b) - 1)]
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(0)
     for values in (np.zeros(0, np.uint64), np.array([0]), np.array([5, 5, 5]), np.sort(rng.integers(0, 10**7, 1000))):
@@ -83,10 +93,40 @@ def test_packing(docs, empty):
 
 
 def test_local_search_empties_a_bin():
-    bins = [packing.Bins(1, Counter({6: 1, 2: 1})), packing.Bins(1, Counter({5: 1, 3: 1})), packing.Bins(1, Counter({4: 1}))]
-    after = packing.local_search(bins, 10)
-    assert sum(b.count for b in after) == 2
-    assert sum((Counter({n: k * b.count for n, k in b.items.items()}) for b in after), Counter()) == Counter({6: 1, 2: 1, 5: 1, 3: 1, 4: 1})
+    lengths = [6, 2, 5, 3, 4]
+    bins = packing.Bins([[6, 2], [5, 3], [4]], 10)
+    bins.search()
+    after = bins.contents()
+    assert len(after) == 2 and sorted(x for b in after for x in b) == sorted(lengths) and bins.steps.total()
+    assert max(map(sum, after)) <= 10
+
+
+@pytest.mark.parametrize("lengths", [[], [1], [7] * 50, list(range(1, 65)) * 5, [64, 64, 33, 31, 1]])
+def test_packed_lengths_stay(lengths):
+    bins = packing.pack_lengths(lengths, 64)
+    assert sorted(x for b in bins.contents() for x in b) == sorted(lengths) and all(sum(b) <= 64 for b in bins.contents())
+    squares = lambda bs: sum(sum(b) ** 2 for b in bs)
+    order = np.random.default_rng(1).permutation(len(lengths))
+    assert squares(bins.contents()) >= squares(packing.arrival_fit([lengths[i] for i in order], 64))
+
+
+def test_packing_reaches_its_bound(spark, monkeypatch):
+    """Exchanges do part of the packing, and few sequences are more than the bound; also where slots stand for several pieces."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    pieces = packing.stored(packing.cut_documents(rows), "test-pieces")
+    lengths = [r.length for r in pieces.select("length").collect()]
+    least = -(-sum(lengths) // 2048)
+    assert packing.Slots(Counter(lengths), 2048).bins.steps.total() > 100
+    for slots in (packing.SLOTS, 300):
+        got = packing.place(pieces, 2048, slots).collect()
+        bins = {}
+        for r in got:
+            bins.setdefault(r.sequence_id, []).append(r)
+        assert sorted(r.length for r in got) == sorted(lengths)
+        assert len(bins) <= least * (1.01 if slots > len(lengths) else 1.05)
+        for b in bins.values():
+            b.sort(key=lambda r: r.offset)
+            assert [r.offset for r in b] == np.cumsum([0, *[r.length for r in b]])[:-1].tolist() and sum(r.length for r in b) <= 2048
 
 
 def test_exact_dedup(docs, empty):
