@@ -6,19 +6,26 @@ into fragments of the global order, whose overlaps are counted apart and summed
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import stored
+from cairnspark.llm import encoders
+from cairnspark.llm.common import by_bytes, stored
 from cairnspark.llm.components import components
 from cairnspark.llm.words import hashed_words, mixed
 
 #: Shingles that the global order puts last, the most frequent ones: 4 MB. It bears on speed, not on results.
 FREQUENT = 1 << 18
-#: Bits of the filter that tells which documents' sets a verification needs: 1 MB; false positives are joined away.
-MEMBER_BITS = 1 << 23
+#: Most bits of the filter that tells which documents' sets a verification needs: 16 MB. It has 16 bits for each set
+#: as long as they fit; false positives cost time and are joined away.
+MEMBER_BITS = 1 << 27
+#: Pairs of one set that are verified together; a set with more of them is dealt over several keys.
+SHARE = 256
 _ROW = 1 << 15
 SKETCH = 4  # words of 64 bits, beside each prefix shingle
 WIDE = 2048  # bits of the sketch that is compared once per candidate pair
@@ -63,12 +70,13 @@ def _needed(na, nb, percent: int):
     return F.ceil(percent * (na + nb) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _scan(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
-    """A row per document (doc_id, n, node, hash of the text), and a row for each shingle that a task met twice or more (node: the shingle, n: how often)."""
+def _scan(docs: DataFrame, words: int, flush: int = 1_000_000) -> DataFrame:
+    """A row per document (doc_id, n, node, hash of the text), and a row for each shingle that is there twice or more among ``flush`` that a task met one after the other (node: the shingle, n: how often)."""
 
     names = ["shingle", "doc_id", "n", "node", "hash"]
 
     def measure(batches):
+        encoders.release()
         held: list[np.ndarray] = []
         size = 0
 
@@ -77,7 +85,7 @@ def _scan(docs: DataFrame, words: int, flush: int = 4_000_000) -> DataFrame:
             keys, counts = keys[counts > 1], counts[counts > 1]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), bool)), pa.nulls(len(keys), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64())], names)
 
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             sizes, nodes = [], []
             for s in shingle_sets(batch.column(1), words):
                 sizes.append(len(s))
@@ -111,7 +119,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, keys: np.ndarray, count
 
     def measure(batches):
         keys, counts = shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             rows: list[tuple] = []
             for s in shingle_sets(batch.column(1), words):
                 if least is None or len(s) < least:
@@ -137,7 +145,7 @@ def _refined(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance): the pairs whose wide sketches differ in no more bits than the sets may in shingles."""
 
     def compare(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 4):
             na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDE // 8) for i in (4, 5))
             distance = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)
@@ -149,48 +157,61 @@ def _refined(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long, distance long")
 
 
-def _slot(node, doc_id):
-    return F.pmod(F.pmod(node, F.lit(MEMBER_BITS)) + F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(MEMBER_BITS)) * 7919, F.lit(MEMBER_BITS))
+def _slot(node, doc_id, bits: int):
+    return F.pmod(F.pmod(node, F.lit(bits)) + F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(bits)) * 7919, F.lit(bits))
 
 
 def _members(names: DataFrame, nodes: DataFrame) -> np.ndarray:
-    """A bitmap, MEMBER_BITS long and packed, over the smallest documents of the nodes that are named."""
-    slots = names.join(nodes, "node").select(_slot(F.col("node"), F.col("least")).alias("slot"))
+    """A bitmap, packed, over the smallest documents of the nodes that are named; of MEMBER_BITS at most."""
+    found = stored(names.distinct().join(nodes, "node").select("node", "least"), "members")
+    size = min(MEMBER_BITS, max(_ROW, 1 << (16 * found.count()).bit_length()))
+    slots = found.select(_slot(F.col("node"), F.col("least"), size).alias("slot"))
     rows = slots.groupBy(F.floor(F.col("slot") / _ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits")).collect()
-    bits = np.zeros(MEMBER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in rows:
         bits[r["row"] * _ROW // 8 : (r["row"] + 1) * _ROW // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int, fragments: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted fragment by fragment of the global order and summed."""
-    members = [_members(pairs.select(F.col(x).alias("node")).distinct(), nodes) for x in "ab"]
+    """The pairs (a, b; a stored table) that link: overlaps are counted fragment by fragment of the global order and summed.
+
+    A set's pairs are dealt over as many keys as they need, so that the centre of a large star isn't one task's work.
+    """
+    members = [_members(pairs.select(F.col(x).alias("node")), nodes) for x in "ab"]
     shared = docs.sparkSession.sparkContext.broadcast(members)
-    names, kinds = ["node", "fragment", "part", "n", "is_a", "is_b"], [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.bool_(), pa.bool_()]
+    names, kinds = ["node", "fragment", "tag", "part", "n", "is_a", "is_b"], [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_(), pa.bool_()]
 
     def cut(batches):
-        member = [np.unpackbits(m, bitorder="little").astype(bool) for m in shared.value]
-        for batch in batches:
+        member, tag = shared.value, TaskContext.get().partitionId() << 36
+        for batch in by_bytes(batches, 1):
             rows: list[tuple] = []
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
                 if not len(s):
                     continue
-                node = node_of(s)
-                slot = (node % MEMBER_BITS + (doc_id or 0) % MEMBER_BITS * 7919) % MEMBER_BITS
-                if member[0][slot] or member[1][slot]:
+                node, inside = node_of(s), []
+                for bits in member:
+                    size = len(bits) * 8
+                    slot = (node % size + (doc_id or 0) % size * 7919) % size
+                    inside.append(bool(bits[slot >> 3] >> (slot & 7) & 1))
+                if any(inside):
+                    tag += 1
                     edges = np.searchsorted(s, (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64).astype(np.uint64))
-                    rows += [(node, f, part.view(np.int64), len(s), member[0][slot], member[1][slot]) for f, part in enumerate(np.split(s, edges))]
+                    rows += [(node, f, tag, part.view(np.int64), len(s), *inside) for f, part in enumerate(np.split(s, edges))]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    parts = stored(docs.mapInArrow(cut, "node long, fragment int, part array<long>, n long, is_a boolean, is_b boolean"), "fragments")
-    right = parts.where("is_b").select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b"), F.col("n").alias("nb"))
-    left = parts.where("is_a").select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a"), F.col("n").alias("na"))
-    partial = pairs.select("a", "b").join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "fragment", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("overlap"))
-    # A repeated row may have given a fragment twice; it counts once.
-    once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))
-    sums = once.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    parts = stored(docs.mapInArrow(cut, "node long, fragment int, tag long, part array<long>, n long, is_a boolean, is_b boolean"), "fragments")
+    # Repeated rows and false positives give a set's fragments more than once: the first of them stand for it.
+    firsts = {x: parts.where(f"fragment = 0 and is_{x}").groupBy(F.col("node").alias(x)).agg(F.min("tag").alias(f"tag_{x}")) for x in "ab"}
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).join(firsts["a"], "a")
+    shares = stored(shares, "verify-shares")
+    dealt = pairs.select("a", "b").join(shares, "a").join(firsts["b"], "b").select("a", "b", "tag_b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    right = parts.where("is_b").select(F.col("node").alias("b"), F.col("tag").alias("tag_b"), "fragment", F.col("part").alias("part_b"), F.col("n").alias("nb"))
+    left = parts.where("is_a").select(F.col("node").alias("a"), F.col("tag").alias("tag_a"), "fragment", F.col("part").alias("part_a"), F.col("n").alias("na"))
+    left = left.join(shares, ["a", "tag_a"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("tag_a", "shares")
+    partial = dealt.join(right, ["b", "tag_b"]).join(left, ["a", "fragment", "share"]).select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("overlap"))
+    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return sums.where(F.col("overlap") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
@@ -228,9 +249,13 @@ def _grouped(docs: DataFrame, words: int, percent: int, fragments: int) -> DataF
     named = stored(named, "named-buckets")
     several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     named = named.join(several, "token", "left_semi")
-    early = F.col("x.place") <= F.col("x.n") - F.ceil(F.lit(2 * percent) * F.col("x.n") / F.lit(100 + percent) - F.lit(1e-9))
+    # Sizes of sets that link are in the same band or the next one, so a shingle that many sets share is dealt by size.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(math.log(100 / percent), 1e-3) * 1.001)).cast("int")
+    early = F.col("place") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent) - F.lit(1e-9))
+    smaller = named.where(early).withColumn("band", F.explode(F.array(band, band + 1)))
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    rest = named.alias("x").join(named.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ordered & early & _may_link("x", "y", percent))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
+    rest = smaller.alias("x").join(named.withColumn("band", band).alias("y"), same & (F.col("x.component") != F.col("y.component")) & ordered & _may_link("x", "y", percent))
     rest = _refined(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), info, percent)
     more = _verified(rows, stored(rest, "pairs"), nodes, words, percent, fragments)
     labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
@@ -265,17 +290,18 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, fragments
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, the smallest doc_id's (null last; one of its rows, if it is repeated), all columns as they are.
 
-    It is decided for each (doc_id, text), so rows without an id and the other texts of an id stay. Texts without shingles all stay.
+    It is decided for each (doc_id, text), so rows without an id and the other texts of an id stay. Texts without
+    shingles (null, empty, white space) all stay; an empty table stays empty; column names of any kind stay untouched.
     """
     kinds = _grouped(docs, words, percent, 4).where("n > 0").groupBy("doc_id", "hash").agg(F.first("is_first").alias("is_first"), F.count("*").alias("times"))
-    kinds = stored(kinds.where("not is_first or times > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "is_first"), "not-kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    kept = docs.join(kinds, same, "left_anti")
+    kinds = stored(kinds.where("not is_first or times > 1").select(F.col("doc_id").alias("kind_id"), F.col("hash").alias("kind_hash"), "is_first"), "not-kept")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("kind_id")) & (F.col("hash") == F.col("kind_hash"))
+    kept = rows.join(kinds, same, "left_anti")
     repeated = kinds.where("is_first")
-    if repeated.isEmpty():
-        return kept
-    once = docs.join(repeated, same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
-    return kept.union(once)
+    if not repeated.isEmpty():
+        kept = kept.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["id", "hash"]))
+    return kept.select("row.*")
 
 
 SQL = r"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import unit_hash
+from cairnspark.llm.common import by_bytes, unit_hash
 
 BITS = 20
 #: Everything in ASCII but letters, digits and bytes of other alphabets parts words; A-Z are lower-cased.
@@ -97,7 +97,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max
     drawn = F.broadcast(named.where(unit_hash(F.lit(seed), "doc_id") < share))  # about max_rows ids
 
     def extract(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.unique(features(t)).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "toxic", "slots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(drawn, "doc_id")
@@ -112,7 +112,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     flag = ["held_out"] if "held_out" in docs.columns else []
 
     def apply(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist())), *([batch.column(2)] if flag else [])], ["doc_id", "score", *flag])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *flag).mapInArrow(apply, "doc_id long, score double" + ", held_out boolean" * bool(flag))
@@ -136,7 +136,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, held_out, threshold: float =
     place = names.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, place):
             yield batch.filter(pa.array(model.scores(batch.column(place).to_pylist()) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
