@@ -146,6 +146,46 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_digest_index_inserts_and_compacts(spark):
+    """Several inserts, levels that are compacted, filters without false negatives; as if all rows came at once."""
+    rng = np.random.default_rng(2)
+    rows = [(bytes([int(rng.integers(0, 40))]) * 4, int(rng.integers(0, 99)) if k % 9 else None, k) for k in range(300)]
+    for keep, fanout in (("max", 2), ("min", 3)):
+        index = exact_dedup.DigestIndex(keep, fanout)
+        for b in range(7):
+            index.insert(spark.createDataFrame(rows[b * 45 : (b + 1) * 45], "digest binary, doc_id long, tag long"))
+            assert all(len(runs) < fanout for runs in index.levels.values())
+        assert index.compactions >= 2 and max(index.levels) >= 1
+        for run in index.runs():
+            bits = 1 << 15
+            assert exact_dedup.filtered(run.rows, run.filter(bits), bits).where("not __inside").count() == 0
+            assert run.rows.count() == run.rows.select("digest").distinct().count()
+        got = {bytes(r.digest): (r.doc_id, r.n) for r in index.merged().rows.collect()}
+        want = {}
+        for d, i, _ in rows:
+            want.setdefault(d, []).append(i)
+        best = max if keep == "max" else min
+        assert got == {d: (best((i for i in own if i is not None), default=None), len(own)) for d, own in want.items()}
+
+
+def test_bytes_decide_where_digests_collide(spark):
+    rows = [(1, "aa"), (2, "AA"), (3, "bb"), (4, "ccc"), (None, "bb"), (5, None), (6, ""), (3, "bb"), (7, "dddd")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda text: F.length(text).cast("string").cast("binary")
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(table, digest=weak).collect())
+    assert got == Counter([(1, 2, 2, False), (2, 2, 2, True), (3, 3, 3, True), (3, 3, 3, False), (None, 3, 3, False), (4, 4, 1, True), (5, 6, 2, False), (6, 6, 2, True), (7, 7, 1, True)])
+
+
+def test_no_column_name_clashes(spark):
+    """Columns that the operators use inside are carried as they are."""
+    names = "id hash row digest kept_id kept_digest group_size kind_id kind_hash is_first __id __digest __row __hash __sampled __copies __source __weight __inside".split()
+    rows = spark.createDataFrame([(i, f"some text {i % 3} " * 9, "en", "a", *("x" + n for n in names)) for i in range(6)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for found in (exact_dedup.drop_copies(rows), jaccard_join.keep_one(rows), mixing.sample_mix(rows, budget=1.0)):
+        assert found.columns == rows.columns
+        kept = found.collect()
+        assert kept and all(r[n] == "x" + n for r in kept for n in names)
+
+
 def test_similar_groups(spark, empty):
     texts = {i: " ".join(f"w{i % 7}_{k}" if k != i else f"odd{i}" for k in range(60)) for i in range(40)}
     texts |= {50: None, 51: "", 52: "a b", 53: "A B", 54: texts[0], 55: "b a"}
