@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import shuffle_partitions, stored
+from cairnspark.llm.common import map_arrow, shuffle_partitions, stored
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -153,7 +153,7 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
         unpack = zstandard.ZstdDecompressor().decompress
         return [unpack(t).decode("utf-8", "surrogatepass") if t else "" for t in table.column("text").to_pylist()], table.column("held_out").to_numpy().astype(bool)
 
-    dealt = dealt.mapInArrow(squeeze, "doc_id long, text binary, held_out boolean, block int")
+    dealt = dealt.transform(map_arrow, squeeze, "doc_id long, text binary, held_out boolean, block int")
 
     def ask(table: pa.Table) -> pa.Table:
         grams, block, rows = BlockGrams(*texts_of(table), order), table.column("block")[0].as_py(), []

@@ -11,8 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,6 +62,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with BATCH_ROWS rows to a batch, set for the session where it has Spark's default of 10,000: texts are long, and of
+    each running task the JVM and the worker hold a whole batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices whose column ``text`` has about ``limit`` bytes, or one longer text: bounds what becomes Python objects at once."""
     for batch in batches:

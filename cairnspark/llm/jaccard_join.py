@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.llm import encoders
-from cairnspark.llm.common import by_bytes, stored
+from cairnspark.llm.common import by_bytes, map_arrow, stored
 from cairnspark.llm.components import components
 from cairnspark.llm.words import hashed_words, mixed
 
@@ -99,7 +99,7 @@ def _scan(docs: DataFrame, words: int, flush: int = 1_000_000) -> DataFrame:
         if held:
             yield frequent()
 
-    return stored(docs.withColumn("hash", F.xxhash64("text")).mapInArrow(measure, "shingle boolean, doc_id long, n long, node long, hash long"), "shingle-scan")
+    return stored(docs.withColumn("hash", F.xxhash64("text")).transform(map_arrow, measure, "shingle boolean, doc_id long, n long, node long, hash long"), "shingle-scan")
 
 
 def _frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, keys: np.ndarray, count
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "node long, n long, prefix array<long>, wide binary, " + ", ".join(f"s{i} long" for i in range(SKETCH))
-    return docs.mapInArrow(measure, schema).dropDuplicates(["node"])
+    return docs.transform(map_arrow, measure, schema).dropDuplicates(["node"])
 
 
 def _refined(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _refined(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
     of = {x: info.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"}
     rows = pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "na", "nb", "wide_a", "wide_b")
-    return rows.mapInArrow(compare, "a long, b long, distance long")
+    return rows.transform(map_arrow, compare, "a long, b long, distance long")
 
 
 def _slot(node, doc_id, bits: int):
@@ -201,7 +201,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, p
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    parts = stored(docs.mapInArrow(cut, "node long, fragment int, tag long, part array<long>, n long, is_a boolean, is_b boolean"), "fragments")
+    parts = stored(docs.transform(map_arrow, cut, "node long, fragment int, tag long, part array<long>, n long, is_a boolean, is_b boolean"), "fragments")
     # Repeated rows and false positives give a set's fragments more than once: the first of them stand for it.
     firsts = {x: parts.where(f"fragment = 0 and is_{x}").groupBy(F.col("node").alias(x)).agg(F.min("tag").alias(f"tag_{x}")) for x in "ab"}
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).join(firsts["a"], "a")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +137,8 @@ def _fitted(rows: DataFrame, cells: DataFrame, targets: dict[str, dict[str, floa
             shares.append((targets or {}).get(name) or {v: n**alpha for v, n in sums.items()})
         weights = rake(tokens, shares)
         expected = probabilities(tokens, weights, budget)
-        table = spark.createDataFrame([(*k, weights[k], expected[k]) for k in tokens], ", ".join(f"{k} string" for k in keys) + ", __weight double, __expected double")
+        columns = [*(pa.array([k[i] for k in tokens], pa.string()) for i in range(len(keys))), *(pa.array([of[k] for k in tokens], pa.float64()) for of in (weights, expected))]
+        table = spark.createDataFrame(pa.Table.from_arrays(columns, [*keys, "__weight", "__expected"]))  # from Arrow: no Python worker
         return rows.join(F.broadcast(table), keys, "left")
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
     often = F.when(F.col("tokens") > 0, F.col("__weight") * total / F.col("tokens")).otherwise(1.0) * budget
@@ -186,9 +188,15 @@ def mixing(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def sample_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The drawn rows of ``docs``, each as often as it is drawn, all columns as they are."""
-    drawn = mixed(docs, **parameters).where("__sampled").select(*docs.columns, F.col("__copies").cast("int").alias("__copies"))
-    return drawn.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+    """The drawn rows of ``docs``, each as often as it is drawn, all columns as they are, whatever their names.
+
+    Nulls of source, language or topic are a value of their own; texts without tokens go with their cell; repeated
+    rows are drawn alike; an empty table stays empty.
+    """
+    used = [docs[c] for c in ("doc_id", "text", *DIMENSIONS) if c in docs.columns]
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *used)
+    drawn = mixed(rows, **parameters).where("__sampled").select("row", F.col("__copies").cast("int").alias("copies"))
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def marginals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = 0.7, **parameters) -> DataFrame:
@@ -211,7 +219,7 @@ def _wanted(sums: DataFrame, own: dict[str, float], alpha: float) -> DataFrame:
     """Adds to (value, n) the tokens wanted of each value, up to a factor: as ``rake`` takes targets."""
     if not own:
         return sums.withColumn("wanted", F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(alpha))).otherwise(0.0))
-    given = sums.sparkSession.createDataFrame([(k, float(v)) for k, v in own.items()], "value string, given double")
+    given = sums.sparkSession.createDataFrame(pa.table({"value": pa.array(list(own), pa.string()), "given": pa.array([float(v) for v in own.values()], pa.float64())}))
     everything = sums.agg(F.sum("n").alias("everything"))
     found = sums.join(F.broadcast(given), "value", "left").crossJoin(F.broadcast(everything))
     return found.withColumn("wanted", F.when(F.col("n") > 0, F.coalesce("given", F.col("n") / F.col("everything"))).otherwise(0.0)).drop("given", "everything")

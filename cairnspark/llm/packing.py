@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import by_bytes, shuffle_partitions, stored
+from cairnspark.llm.common import by_bytes, map_arrow, shuffle_partitions, stored
 from cairnspark.llm.encoders import byte_level
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -204,7 +204,7 @@ def cut_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "tag"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", tag long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, cut, PIECES + ", tag long")
 
 
 def place(pieces: DataFrame, capacity: int, slots: int = SLOTS) -> DataFrame:
@@ -231,7 +231,7 @@ def place(pieces: DataFrame, capacity: int, slots: int = SLOTS) -> DataFrame:
             slot = rank // share
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(bins[slot] * share + rank % share), pa.array(places[slot])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "place"])
 
-    placed = ranked.mapInArrow(assign, PIECES + ", sequence_id long, place long")
+    placed = ranked.transform(map_arrow, assign, PIECES + ", sequence_id long, place long")
     # Pieces of a slot differ in length where it spans two lengths: offsets come from the pieces themselves.
     ahead = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import unit_hash
+from cairnspark.llm.common import map_arrow, unit_hash
 
 SIZES = (1, 2, 3, 4)
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: StringKernel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([batch.column(2)] if flag else [])], ["doc_id", "lang_pred", "score", *([flag] if flag else [])])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([flag] if flag else []))
-    return rows.mapInArrow(decide, SCHEMA + (", held_out boolean" if flag else ""))
+    return rows.transform(map_arrow, decide, SCHEMA + (", held_out boolean" if flag else ""))
 
 
 def language_id(docs: DataFrame, held_out) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.llm.common import map_arrow
 from cairnspark.llm.encoders import word_pieces
 
 
@@ -28,5 +29,5 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counts.total(t) if t else 0 for t in texts], pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "n_bytes"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = rows.mapInArrow(measure, "doc_id long, n_tokens long, n_bytes long")
+    counted = rows.transform(map_arrow, measure, "doc_id long, n_tokens long, n_bytes long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

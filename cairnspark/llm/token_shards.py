@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import shared_dir, shuffle_partitions, stored
+from cairnspark.llm.common import map_arrow, shared_dir, shuffle_partitions, stored
 from cairnspark.llm.encoders import byte_level
 
 _HEADER = struct.Struct("<4sIIQqIII")
@@ -165,7 +165,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
 
     tie = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards or shuffle_partitions(spark), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-    return stored(rows.mapInArrow(write, "part long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
+    return stored(rows.transform(map_arrow, write, "part long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -185,7 +185,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(shuffle_partitions(manifest.sparkSession)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(shuffle_partitions(manifest.sparkSession)).transform(map_arrow, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import by_bytes, unit_hash
+from cairnspark.llm.common import by_bytes, map_arrow, unit_hash
 
 BITS = 20
 #: Everything in ASCII but letters, digits and bytes of other alphabets parts words; A-Z are lower-cased.
@@ -101,7 +101,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.unique(features(t)).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "toxic", "slots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(drawn, "doc_id")
-    found = rows.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, slots binary").toArrow()
+    found = rows.select("doc_id", "toxic", "text").transform(map_arrow, extract, "doc_id long, toxic int, slots binary").toArrow()
     order = np.lexsort((found.column("toxic").to_numpy(), found.column("doc_id").to_numpy()))
     slots, toxic = found.column("slots"), found.column("toxic").to_numpy()
     return ToxicityModel.fit([(np.frombuffer(slots[int(i)].as_buffer(), np.int32), int(toxic[i] > 0)) for i in order])
@@ -115,7 +115,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
         for batch in by_bytes(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist())), *([batch.column(2)] if flag else [])], ["doc_id", "score", *flag])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *flag).mapInArrow(apply, "doc_id long, score double" + ", held_out boolean" * bool(flag))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *flag).transform(map_arrow, apply, "doc_id long, score double" + ", held_out boolean" * bool(flag))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -139,4 +139,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, held_out, threshold: float =
         for batch in by_bytes(batches, place):
             yield batch.filter(pa.array(model.scores(batch.column(place).to_pylist()) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(map_arrow, keep, docs.schema)
