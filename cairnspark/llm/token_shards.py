@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import map_arrow, shared_dir, shuffle_partitions, stored
+from cairnspark.llm.common import by_bytes, map_arrow, shared_dir, shuffle_partitions, stored
 from cairnspark.llm.encoders import byte_level
 
 _HEADER = struct.Struct("<4sIIQqIII")
@@ -75,10 +76,21 @@ class EliasFano:
         tail = np.unpackbits(self.low[at // 8 : (at + self.low_bits + 7) // 8 + 1], bitorder="little")[at % 8 : at % 8 + self.low_bits]
         return (one - i) << self.low_bits | int((tail.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum())
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | (low << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    def select_range(self, start: int, stop: int) -> np.ndarray:
+        """The numbers from ``start`` up to ``stop``, from the stretch of upper bits that has them and their own low bits; nothing else is expanded."""
+        start, stop = max(0, start), min(stop, self.n)
+        if start >= stop:
+            return np.zeros(0, np.int64)
+        block = start // self.STEP
+        first = int(self.samples[block])
+        last = -(-stop // self.STEP)
+        end = int(self.samples[last]) if last < len(self.samples) else len(self.high) * 8
+        ones = np.flatnonzero(np.unpackbits(self.high[first // 8 : end // 8 + 1], bitorder="little")) + first // 8 * 8
+        ones = ones[ones >= first][start - block * self.STEP : stop - block * self.STEP]
+        at = start * self.low_bits
+        tail = np.unpackbits(self.low[at // 8 : -(-stop * self.low_bits // 8)], bitorder="little")[at % 8 :][: (stop - start) * self.low_bits]
+        low = tail.reshape(stop - start, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        return ((ones - np.arange(start, stop)) << self.low_bits) | low
 
 
 def pack_shard(doc_ids: list, arrays: list[np.ndarray]) -> bytes:
@@ -111,8 +123,16 @@ class Shard:
         start, end = self.span(i)
         return self.tokens[start:end]
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + [int(x) + self.base for x in self.docs.all().astype(np.int64)]
+    def documents(self, block: int = 1024) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, start, ids) of every document, in order. Boundaries and ids come from the select structures, a block at a time."""
+        before = 0
+        for at in range(0, self.n_docs, block):
+            ends = self.ends.select_range(at, at + block).tolist()
+            known = self.docs.select_range(at - self.nulls, at + block - self.nulls).tolist()
+            ids = [None] * (len(ends) - len(known)) + [x + self.base for x in known]
+            for doc_id, end in zip(ids, ends, strict=True):
+                yield doc_id, before, self.tokens[before:end]
+                before = end
 
 
 def ids_crc32(ids: np.ndarray) -> int:
@@ -131,8 +151,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
 
     Returns the manifest, written to the shared folder: part, seq (their order), path, n_docs, n_ids.
     A task writes several shards when it has more than ``shard_ids`` ids, so that memory stays bounded.
-    Rows that share a doc_id are ordered by a hash of their text and spread by it. Null text counts as
-    empty (the end id alone); null ids come first.
+    Rows that share a doc_id are ordered by a hash of their text, repeats by their place in the table, and spread
+    by both. Null text counts as empty (the end id alone); null ids come first. ``folder`` is opened by
+    pyarrow: a local or mounted path, file://, hdfs://, s3:// and gs:// work.
     """
     spark = docs.sparkSession
 
@@ -152,7 +173,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
             doc_ids, arrays, held, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "seq", "path", "n_docs", "n_ids"])
 
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([encoder.encode(text), end]) if text else end
                 doc_ids.append(doc_id)
@@ -163,13 +184,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
         if doc_ids:
             yield flush()
 
-    tie = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards or shuffle_partitions(spark), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("tag")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tag"))
+    rows = rows.repartitionByRange(shards or shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(rows.transform(map_arrow, write, "part long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest lists."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest lists.
+
+    The manifest has a row for each shard of about ``shard_ids`` ids; their running total is one window, which bears
+    some million shards, that is 10^13 ids.
+    """
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per document
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
 
@@ -179,11 +205,11 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(path) as f:
                     shard = Shard(f.read())
-                ends = shard.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = shard.tokens.astype("<u4")
-                crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                out: list[list] = [[], [], [], []]
+                for doc_id, start, ids in shard.documents():
+                    for column, value in zip(out, (doc_id, start + base, len(ids), ids_crc32(ids)), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.repartition(shuffle_partitions(manifest.sparkSession)).transform(map_arrow, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
