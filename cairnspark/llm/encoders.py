@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 _UNITS = re.compile(r"\s*\S+|\s+").findall
-_WORDS = re.compile(r"[^ \t\n\r]+").findall
+WORDS = re.compile(r"[^ \t\n\r]+").findall
 #: Python counts these four as white space, the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -93,12 +93,11 @@ class ByteLevelIds(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, _PRETOKENS(text))), self.dtype)
 
 
-class WordPieceCounts(dict):
-    """pre-token -> its number of pieces, for vocabularies that drop white space and never span it."""
+class WordPieceCounts:
+    """How many pieces a text or pre-token has; ``whole``: only whole texts can be counted, as pieces may span white space."""
 
     def __init__(self, name: str):
-        super().__init__()
-        self.older: dict = {}
+        self.special: list[str] = []
         if name.endswith(".model"):
             import sentencepiece
 
@@ -106,26 +105,11 @@ class WordPieceCounts(dict):
             self.count = lambda text: len(processor.encode(text, num_threads=1))
         else:
             tokenizer = _tokenizer(name)
-            # Pieces that carry a word end, made from patterns without white space: units can be counted alone.
+            # Pieces that carry a word end, made from patterns without white space: pre-tokens can be counted alone.
             self.whole = getattr(tokenizer.model, "end_of_word_suffix", None) != "</w>"
+            self.special = [str(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
             self.count = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = self.older[word] if word in self.older else self.count(word)
-        return n
-
-    def total(self, text: str) -> int:
-        """Pieces of a text: each distinct pre-token is counted once and joined to its frequency in the text."""
-        if self.whole:
-            return self.count(text)
-        if len(self) > CACHE_UNITS:
-            self.older = dict(self)
-            self.clear()
-        frequencies: dict[str, int] = {}
-        for word in _WORDS(text):
-            frequencies[word] = frequencies.get(word, 0) + 1
-        return sum(n * self[word] for word, n in frequencies.items())
-
 
 def byte_level(name: str) -> ByteLevelIds:
     """This worker's encoder; its units stay from task to task."""
@@ -135,7 +119,7 @@ def byte_level(name: str) -> ByteLevelIds:
 
 
 def word_pieces(name: str) -> WordPieceCounts:
-    """This worker's counter; its pre-tokens stay from task to task."""
+    """This worker's counter."""
     if ("counts", name) not in _loaded:
         _loaded["counts", name] = WordPieceCounts(name)
     return _loaded["counts", name]

@@ -1,33 +1,139 @@
-"""Token counts (4): pieces once per distinct pre-token, joined to per-document frequencies, summed without ids."""
+"""Token counts (4): pieces once per distinct pre-token, joined to per-document pre-token frequencies, and summed without ids.
+
+A block of documents names its distinct pre-tokens once, and each of its documents has their frequencies as numbers
+into that list. Hash ranges of pre-tokens count the pieces of each distinct one, for all blocks, and answer
+every block with a list of counts; a block's documents are then products of frequencies and counts.
+"""
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import map_arrow
-from cairnspark.llm.encoders import word_pieces
+from cairnspark.llm.common import by_bytes, map_arrow, stored
+from cairnspark.llm.encoders import WORDS, word_pieces
+
+#: Bytes of text whose documents share a list of distinct pre-tokens.
+BLOCK_BYTES = 16 << 20
+#: Distinct pre-tokens, counted once for each block that has them, that a hash range has at most, about.
+RANGE_WORDS = 1_000_000
+_BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, kinds array<int>, whole array<long>, words array<binary>, ranges array<int>, sizes array<int>, places binary, times binary"
+
+
+class Block:
+    """The documents of a block: for each its distinct pre-tokens, as numbers in order of first sight, and how often it has them."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.doc_ids: list = []
+        self.n_bytes: list[int] = []
+        self.kinds: list[int] = []  # distinct pre-tokens of each document
+        self.whole: list[int] = []  # tokens of texts that can't be counted by pre-tokens
+        self.places: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+
+    def add(self, doc_id, n_bytes: int, words: list[str], whole: int) -> None:
+        numbers = self.numbers
+        seen = np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.int64, len(words))
+        places, times = np.unique(seen, return_counts=True)
+        self.doc_ids.append(doc_id)
+        self.n_bytes.append(n_bytes)
+        self.whole.append(whole)
+        self.kinds.append(len(places))
+        self.places.append(places.astype(np.uint32))
+        self.times.append(times.astype(np.uint32))
+
+    def row(self, block: int, ranges: int) -> tuple:
+        """One row: the lists, and the distinct pre-tokens by hash range, each range sorted and compressed."""
+        import xxhash
+
+        words = list(self.numbers)
+        hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) % np.uint64(ranges)
+        order = sorted(range(len(words)), key=lambda i: (hashed[i], words[i]))
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        kinds, starts = np.unique(hashed[order], return_index=True)
+        edges = [*starts.tolist(), len(words)]
+        packed = [zlib.compress("\n".join(words[i] for i in order[a:b]).encode("utf-8", "surrogatepass"), 1) for a, b in zip(edges, edges[1:], strict=False)]
+        places = rank[np.concatenate(self.places)] if self.places else np.zeros(0, np.uint32)
+        times = np.concatenate(self.times) if self.times else np.zeros(0, np.uint32)
+        return (block, self.doc_ids, self.n_bytes, self.kinds, self.whole, packed, kinds.astype(np.int32).tolist(), np.diff(edges).tolist(), zlib.compress(places.astype("<u4").tobytes(), 1), zlib.compress(times.astype("<u4").tobytes(), 1))
+
 
+def _blocks(docs: DataFrame, tokenizer: str, ranges: int, block_bytes: int) -> DataFrame:
+    def tally(batches):
+        counter, number = word_pieces(tokenizer), TaskContext.get().partitionId() << 32
+        block, held = Block(), 0
 
-def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        def batch_of(rows):
+            schema = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(rows, schema, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
+
+        for batch in by_bytes(batches, 1):
+            for doc_id, text, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                alone = counter.whole or any(" " in s for s in counter.special)
+                block.add(doc_id, n, WORDS(text) if text and not alone else [], counter.count(text) if text and alone else 0)
+                held += n
+            if held >= block_bytes:
+                yield batch_of(block.row(number, ranges))
+                block, held, number = Block(), 0, number + 1
+        if block.doc_ids:
+            yield batch_of(block.row(number, ranges))
+
+    return stored(docs.transform(map_arrow, tally, _BLOCKS), "pretoken-blocks")
+
+
+def _answers(blocks: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, range, counts): pieces of the pre-tokens that a block has in a range, each distinct one counted once for all blocks."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        counter = word_pieces(tokenizer)
+        known: dict[str, int] = {}
+        out = []
+        for packed in table.column("words").to_pylist():
+            words = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+            for w in words:
+                if w not in known:
+                    known[w] = counter.count(w)
+            out.append(zlib.compress(np.array([known[w] for w in words], "<u4").tobytes(), 1))
+        return pa.table([table.column("block"), table.column("range"), pa.array(out, pa.binary())], ["block", "range", "counts"])
+
+    asked = blocks.select("block", F.explode(F.arrays_zip("ranges", "words")).alias("a")).select("block", F.col("a.ranges").alias("range"), F.col("a.words").alias("words"))
+    return asked.groupBy("range").applyInArrow(answer, "block long, range int, counts binary")
+
+
+def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit for every row of ``docs``.
 
-    A worker keeps a table pre-token -> pieces, so that a pre-token is encoded once and not once per
-    document; each document's pre-token frequencies are joined to it and summed. A pre-token that holds
-    a special string is counted by the library, with its default handling of such strings. For
-    vocabularies whose pieces may span white space the library counts the whole text.
+    A pre-token, here a run without white space, is encoded once for the whole table; each document's frequencies
+    are joined to the counts and summed. A pre-token that holds a special string is counted by the library,
+    with its default handling of such strings. For vocabularies whose pieces may span white space the library
+    counts the whole text.
 
     Null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids give a row each; other
     columns are ignored; an empty table gives no rows.
     """
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"))
+    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    # A block has a new pre-token every 20 bytes or so; the ranges grow with the input, and so stay bounded.
+    blocks = _blocks(rows, tokenizer, max(16, -(-total // (20 * RANGE_WORDS))), block_bytes)
+    answers = _answers(blocks, tokenizer)
 
-    def measure(batches):
-        counts = word_pieces(tokenizer)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counts.total(t) if t else 0 for t in texts], pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "n_bytes"])
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        given = dict(zip(right.column("range").to_pylist(), right.column("counts").to_pylist(), strict=True))
+        counts = np.concatenate([np.frombuffer(zlib.decompress(given[r]), "<u4") for r in row["ranges"]]).astype(np.int64) if row["ranges"] else np.zeros(0, np.int64)
+        places, times = (np.frombuffer(zlib.decompress(row[c]), "<u4") for c in ("places", "times"))
+        pieces = np.concatenate([[0], np.cumsum(counts[places] * times)]).astype(np.int64)
+        ends = np.cumsum(row["kinds"], dtype=np.int64)
+        n_tokens = pieces[ends] - pieces[ends - np.array(row["kinds"], np.int64)] + np.array(row["whole"], np.int64)
+        return pa.table([pa.array(row["doc_id"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(n_tokens)], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = rows.transform(map_arrow, measure, "doc_id long, n_tokens long, n_bytes long")
+    held = blocks.select("block", "doc_id", "n_bytes", "kinds", "whole", "ranges", "places", "times")
+    counted = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, "doc_id long, n_bytes long, n_tokens long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
