@@ -20,7 +20,7 @@ FANOUT = 4
 #: Most bits of a run's filter: 32 MB. It has 16 bits for each digest as long as they fit; it only saves work.
 FILTER_BITS = 1 << 28
 #: Filters up to this size are broadcast, larger ones are joined by a shuffle.
-BROADCAST_BITS = 1 << 26
+BROADCAST_BITS = 1 << 25
 _ROW = 1 << 15  # bits in one row of bitmap_construct_agg
 RUN = "digest binary, doc_id long, tag long, n long"
 
@@ -45,24 +45,25 @@ def _slot(digest: Column | str, bits: int) -> Column:
 
 
 class Run:
-    """Distinct digests, sorted within files, each with the identifier that stays and how many rows it has; and their filter."""
+    """Distinct digests, sorted within files, each with the identifier that stays and how many rows it has."""
 
     def __init__(self, rows: DataFrame, level: int):
         self.level = level
         self.rows = stored(rows.sortWithinPartitions("digest"), f"digest-run-{level}")
         self.size = self.rows.count()
 
-    def filter(self, bits: int) -> DataFrame:
-        """(bucket, bits): a bitmap over the run's digests."""
-        slots = self.rows.select(_slot("digest", bits).alias("slot"))
-        return slots.groupBy(F.floor(F.col("slot") / _ROW).alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits"))
 
+def bitmaps(rows: DataFrame, bits: int, *keys: str) -> DataFrame:
+    """(keys, bucket, bits): a bitmap over the digests of ``rows``, one for each key."""
+    slots = rows.select(*keys, _slot("digest", bits).alias("slot"))
+    return slots.groupBy(*keys, F.floor(F.col("slot") / _ROW).alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits"))
 
-def filtered(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with ``__inside``: does the bitmap (of ``bits`` bits) have the row's digest. Without false negatives."""
-    bitmap = F.broadcast(bitmap) if bits <= BROADCAST_BITS else bitmap  # BROADCAST_BITS / 8 bytes at most
+
+def filtered(rows: DataFrame, bitmap: DataFrame, bits: int, *keys: str) -> DataFrame:
+    """``rows`` with ``__inside``: does the bitmap (of ``bits`` bits, for the row's keys) have the row's digest. Without false negatives."""
+    bitmap = F.broadcast(bitmap) if bits <= BROADCAST_BITS else bitmap  # BROADCAST_BITS / 8 bytes at most for each of FANOUT keys
+    found = rows.withColumn("bucket", F.floor(_slot("digest", bits) / _ROW)).join(bitmap, [*keys, "bucket"], "left")
     slot = _slot("digest", bits)
-    found = rows.join(bitmap, F.floor(slot / _ROW) == F.col("bucket"), "left")
     byte = F.conv(F.hex(F.substring(F.col("bits"), (slot % _ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     inside = F.coalesce(F.bit_get(byte, (slot % 8).cast("int")) == 1, F.lit(False))
     return found.withColumn("__inside", inside).drop("bucket", "bits")
@@ -97,12 +98,11 @@ class DigestIndex:
         """One run of the next level. Only digests that another run's filter has are shuffled."""
         self.compactions += 1
         bits = min(FILTER_BITS, max(_ROW, 1 << (16 * max(r.size for r in runs)).bit_length()))
-        filters = stored(reduce(DataFrame.unionByName, [r.filter(bits).withColumn("run", F.lit(i)) for i, r in enumerate(runs)]), "digest-filters")
-        parts = []
-        for i, r in enumerate(runs):
-            others = filters.where(F.col("run") != i).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-            parts.append(filtered(r.rows, others, bits))
-        rows = stored(reduce(DataFrame.unionByName, parts), "digest-candidates")
+        rows = reduce(DataFrame.unionByName, [r.rows.withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
+        filters = stored(bitmaps(rows, bits, "run"), "digest-filters")
+        others = filters.join(filters.select(F.col("run").alias("other"), "bucket", F.col("bits").alias("seen")), "bucket").where("run <> other")
+        others = others.groupBy("run", "bucket").agg(F.bitmap_or_agg("seen").alias("bits"))
+        rows = stored(filtered(rows, others, bits, "run").drop("run"), "digest-candidates")
         alone = rows.where("not __inside").drop("__inside")
         return Run(alone.unionByName(self._kept(rows.where("__inside"))), max(r.level for r in runs) + 1)
 
@@ -122,8 +122,7 @@ def _verified(docs: DataFrame, index: DigestIndex, merged: Run, digest) -> DataF
     """Digests that stand for different texts. Only rows that the filter of repeated digests has are compared; copies are combined before the shuffle."""
     repeated = stored(merged.rows.where("n > 1").select("digest"), "digest-repeated")
     bits = min(BROADCAST_BITS, max(_ROW, 1 << (16 * repeated.count()).bit_length()))
-    slots = repeated.select(_slot("digest", bits).alias("slot"))
-    bitmap = slots.groupBy(F.floor(F.col("slot") / _ROW).alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits"))
+    bitmap = bitmaps(repeated, bits)
     rows = docs.select(normal(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
     texts = filtered(rows, bitmap, bits).where("__inside").groupBy("digest", "text").agg(F.count("*").alias("n"))
     return texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")

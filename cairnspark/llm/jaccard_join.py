@@ -161,15 +161,16 @@ def _slot(node, doc_id, bits: int):
     return F.pmod(F.pmod(node, F.lit(bits)) + F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(bits)) * 7919, F.lit(bits))
 
 
-def _members(names: DataFrame, nodes: DataFrame) -> np.ndarray:
-    """A bitmap, packed, over the smallest documents of the nodes that are named; of MEMBER_BITS at most."""
-    found = stored(names.distinct().join(nodes, "node").select("node", "least"), "members")
+def _members(pairs: DataFrame, nodes: DataFrame) -> list[np.ndarray]:
+    """For either side of the pairs a bitmap, packed, over the smallest documents of its nodes; of MEMBER_BITS at most."""
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))).alias("s")).select("s.*").distinct()
+    found = stored(sides.join(nodes, "node").select("side", "node", "least"), "members")
     size = min(MEMBER_BITS, max(_ROW, 1 << (16 * found.count()).bit_length()))
-    slots = found.select(_slot(F.col("node"), F.col("least"), size).alias("slot"))
-    rows = slots.groupBy(F.floor(F.col("slot") / _ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits")).collect()
-    bits = np.zeros(size // 8, np.uint8)
+    slots = found.select("side", _slot(F.col("node"), F.col("least"), size).alias("slot"))
+    rows = slots.groupBy("side", F.floor(F.col("slot") / _ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("slot") % _ROW).alias("bits")).collect()
+    bits = [np.zeros(size // 8, np.uint8) for _ in "ab"]
     for r in rows:
-        bits[r["row"] * _ROW // 8 : (r["row"] + 1) * _ROW // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[r["side"]][r["row"] * _ROW // 8 : (r["row"] + 1) * _ROW // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
 
@@ -178,8 +179,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, p
 
     A set's pairs are dealt over as many keys as they need, so that the centre of a large star isn't one task's work.
     """
-    members = [_members(pairs.select(F.col(x).alias("node")), nodes) for x in "ab"]
-    shared = docs.sparkSession.sparkContext.broadcast(members)
+    shared = docs.sparkSession.sparkContext.broadcast(_members(pairs, nodes))
     names, kinds = ["node", "fragment", "tag", "part", "n", "is_a", "is_b"], [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_(), pa.bool_()]
 
     def cut(batches):

@@ -64,12 +64,13 @@ class ToxicityModel:
         return {"at": self.at, "weights": self.weights, "intercept": self.intercept, "_table": None}
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, int]], passes: int = 4, seed: int = 3) -> ToxicityModel:
-        learner, end = Ftrl(), np.array([1 << BITS])
+    def fit(cls, rows: list[tuple[bytes, int]], passes: int = 4, seed: int = 3, **rates: float) -> ToxicityModel:
+        """``rows``: packed slots and label."""
+        learner, end = Ftrl(**rates), np.array([1 << BITS])
         rng = np.random.default_rng(seed)
         for _ in range(passes):
             for i in rng.permutation(len(rows)):
-                learner.learn(np.concatenate([rows[i][0], end]), rows[i][1])
+                learner.learn(np.concatenate([_unpacked(rows[i][0]), end]), rows[i][1])
         at = np.flatnonzero(np.abs(learner.z[:-1]) > learner.l1)
         return cls(at, learner.weights(at), float(learner.weights(end)[0]) if rows else -4.0)
 
@@ -98,13 +99,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max
 
     def extract(batches):
         for batch in by_bytes(batches, 2):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.unique(features(t)).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "toxic", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_packed(np.unique(features(t))) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "toxic", "slots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(drawn, "doc_id")
     found = rows.select("doc_id", "toxic", "text").transform(map_arrow, extract, "doc_id long, toxic int, slots binary").toArrow()
     order = np.lexsort((found.column("toxic").to_numpy(), found.column("doc_id").to_numpy()))
     slots, toxic = found.column("slots"), found.column("toxic").to_numpy()
-    return ToxicityModel.fit([(np.frombuffer(slots[int(i)].as_buffer(), np.int32), int(toxic[i] > 0)) for i in order])
+    return ToxicityModel.fit([(slots[int(i)].as_py(), int(toxic[i] > 0)) for i in order])
+
+
+def _packed(slots: np.ndarray) -> bytes:
+    """Ascending slots as compressed steps: the sample is on the driver for as long as it is learned from."""
+    return zlib.compress(np.diff(slots, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int64)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

@@ -58,7 +58,18 @@ def test_elias_fano_round_trip():
     rng = np.random.default_rng(0)
     for values in (np.zeros(0, np.uint64), np.array([0]), np.array([5, 5, 5]), np.sort(rng.integers(0, 10**7, 1000))):
         ef = token_shards.EliasFano.from_bytes(token_shards.EliasFano.encode(values).to_bytes())
-        assert ef.all().tolist() == values.tolist() == [ef.select(i) for i in range(len(values))]
+        assert values.tolist() == [ef.select(i) for i in range(len(values))] == ef.select_range(0, len(values)).tolist()
+        for a, b in ((0, 1), (3, 70), (63, 64), (64, 129), (999, 1000), (5, 2000), (7, 7)):
+            assert ef.select_range(a, b).tolist() == values[a:b].tolist()
+
+
+def test_shard_documents():
+    arrays = [np.arange(n, dtype="<u2") for n in (3, 0, 70, 1, 5) * 40]
+    for ids in ([None] * 5 + list(range(10, 205)), [None] * 200, list(range(-5, 195))):
+        shard = token_shards.Shard(token_shards.pack_shard(ids, arrays))
+        got = list(shard.documents(block=64))
+        assert [g[0] for g in got] == ids and all(g[2].tolist() == a.tolist() == shard.document(i).tolist() for i, (g, a) in enumerate(zip(got, arrays, strict=True)))
+        assert [g[1] for g in got] == [shard.span(i)[0] for i in range(200)]
 
 
 def test_token_shards(docs, empty):
@@ -70,6 +81,25 @@ def test_token_shards(docs, empty):
     assert token_shards.token_shards(empty).count() == 0
 
 
+def test_pretokens_are_counted_once(docs, monkeypatch):
+    """Several blocks and ranges; each distinct pre-token meets the library once, in one range."""
+    monkeypatch.setattr(token_counts, "RANGE_WORDS", 1)
+    rows = docs.unionByName(docs)
+    blocks = token_counts._blocks(rows.select("doc_id", "text", F.octet_length("text").alias("n_bytes")).fillna(0, ["n_bytes"]), "word_bpe_49k.json", 7, 50)
+    assert blocks.count() > 3
+    asked = blocks.select("block", F.explode(F.arrays_zip("ranges", "words")).alias("a")).select("block", "a.ranges", "a.words").collect()
+    where = {}
+    for r in asked:
+        for w in zlib.decompress(r.words).decode().split("\n"):
+            where.setdefault(w, set()).add(r.ranges)
+    assert all(len(ranges) == 1 for ranges in where.values()) and set(where) == {w for _, t, *_ in ROWS for w in token_counts.WORDS(t or "")}
+    got = Counter(map(tuple, token_counts.count_tokens(rows, block_bytes=50).collect()))
+    assert got == Counter({k: 2 * n for k, n in Counter(map(tuple, token_counts.count_tokens(docs).collect())).items()})
+    for name in ("piece_bpe_32k.model", "byte_bpe_50k.json"):  # pieces may span white space: whole texts are counted
+        counter = token_counts.word_pieces(name)
+        assert {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, name).collect()} == {(i, counter.count(t or "")) for i, t, *_ in ROWS}
+
+
 def test_token_counts(docs, empty):
     tokenizer = _tokenizer("word_bpe_49k.json")
     want = Counter((i, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t, *_ in ROWS)
@@ -158,7 +188,7 @@ def test_digest_index_inserts_and_compacts(spark):
         assert index.compactions >= 2 and max(index.levels) >= 1
         for run in index.runs():
             bits = 1 << 15
-            assert exact_dedup.filtered(run.rows, run.filter(bits), bits).where("not __inside").count() == 0
+            assert exact_dedup.filtered(run.rows, exact_dedup.bitmaps(run.rows, bits), bits).where("not __inside").count() == 0
             assert run.rows.count() == run.rows.select("digest").distinct().count()
         got = {bytes(r.digest): (r.doc_id, r.n) for r in index.merged().rows.collect()}
         want = {}
