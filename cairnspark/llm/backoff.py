@@ -1,90 +1,117 @@
 """LM scoring (6): a weighted backoff automaton over smoothed n-grams, gathered block by block.
 
-The model is as large as the corpus and never sits in one place. Documents are dealt into blocks; each
-block asks, once for every distinct n-gram it has, how often the training documents have it; hash ranges
-of n-grams add the counts up and answer where other blocks have contributed. With the answers a block
-builds the part of the automaton that its texts can reach, and runs each text through it once.
+The model is as large as the corpus and never sits in one place. Documents are gathered into blocks as they
+lie in the table; each block asks, once for every distinct n-gram it has, how often the training documents have it; hash
+ranges of n-grams add the counts up and answer where other blocks have contributed. With the answers a block builds the
+states, arcs and failure arcs that its texts can reach, and runs its texts through them from left to right.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import map_arrow, shuffle_partitions, stored
+from cairnspark.llm.common import by_bytes, map_arrow, stored
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 END = b"\n"  # no word has it
-_PARTS = "order int, bucket int, block int, keys binary, counts binary, tokens long, types long"
-_NAMES = ["order", "bucket", "block", "keys", "counts", "tokens", "types"]
-_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+#: Bits of an n-gram's key: of 10^9 n-grams about one in 10^8 shares another one's key.
+KEY_BITS = 56
+#: Bytes of text in a block, about; one longer text is a block of its own.
+BLOCK_BYTES = 6_000_000
+_BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes array<long>, words binary, tokens binary"
+_PARTS = "order int, bucket int, block long, keys binary, counts binary, tokens long, types long"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as the steps between them, six bytes each where all fit in that; a first byte tells."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    width = 6 if len(steps) < 2 or int(steps[1:].max()) < 1 << 48 else 8
-    return bytes([width]) + steps[:1].tobytes() + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def unpacked_keys(data: bytes) -> np.ndarray:
-    width, first = data[0], np.frombuffer(data, "<u8", 1, 1)
-    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(rest), 8), np.uint8)
-    steps[:, :width] = rest
-    return np.cumsum(np.concatenate([first, steps.view("<u8").ravel()]), dtype=np.uint64)
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers, byte planes apart, compressed: planes of small numbers' high bytes vanish."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def packed_counts(counts: np.ndarray) -> bytes:
-    """Counts in the least of 1, 2, 4 or 8 bytes that fits them all; a first byte tells."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(counts) or int(counts.max()) < 1 << 8 * w)
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the steps between them."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def unpacked_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
 def bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each hash range begins among sorted keys, and their end."""
-    inner = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    inner = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
     return np.concatenate([[0], inner, [len(keys)]])
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """64-bit values of a text's words, A-Z lower-cased, and of the end."""
-    import xxhash
+class BlockTexts:
+    """The documents of a block as one row: distinct words as 64-bit values, and each token as a number among them. Bounded by the block's text."""
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    words.append(END)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {END: 0}
+        self.doc_ids: list = []
+        self.held_out: list[bool] = []
+        self.tokens: list[np.ndarray] = []
+
+    def add(self, doc_id, text: str | None, held_out: bool) -> None:
+        numbers = self.numbers
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        self.tokens.append(np.fromiter([*(numbers.setdefault(w, len(numbers)) for w in words), 0], np.uint32, len(words) + 1))
+        self.doc_ids.append(doc_id)
+        self.held_out.append(held_out)
+
+    def batch(self, block: int) -> pa.RecordBatch:
+        import xxhash
+        import zstandard
+
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, len(self.numbers))
+        tokens = np.concatenate(self.tokens).astype("<u4")
+        planes = zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes())
+        row = (block, self.doc_ids, self.held_out, [len(t) for t in self.tokens], words.tobytes(), planes)
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], _names(_BLOCKS))
 
 
 class BlockGrams:
-    """The n-grams of a block's documents: for each order their sorted distinct keys, and each token's place among them (-1: too near the start)."""
+    """The n-grams of a block's documents: for each order their sorted distinct keys, each token's place among them (-1: too near the
+    start), and their counts in the block's training documents."""
 
-    def __init__(self, texts: list[str | None], held_out: np.ndarray, order: int):
-        tokens = [token_hashes(t) for t in texts]
-        self.sizes = np.array([len(t) for t in tokens], np.int64)
+    def __init__(self, words: bytes, tokens: bytes, sizes: list[int], held_out: list[bool], order: int):
+        import zstandard
+
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), np.uint8).reshape(4, -1)
+        word = np.frombuffer(words, np.uint64)[np.ascontiguousarray(planes.T).view("<u4").ravel()]
+        self.sizes = np.array(sizes, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        key = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        word = key
-        train = np.repeat(~held_out, self.sizes)
-        depth = np.arange(len(key)) - np.repeat(self.starts, self.sizes)
+        train = np.repeat(~np.array(held_out, bool), self.sizes)
+        depth = np.arange(len(word)) - np.repeat(self.starts, self.sizes)
         self.keys, self.places, self.counts = [], [], []
+        key = word
         for n in range(1, order + 1):
             if n > 1:
                 longer = np.zeros_like(word)
                 longer[1:] = (key[:-1] ^ (key[:-1] >> np.uint64(32))) * _A + word[1:] * _B
                 key = longer
             usable = np.flatnonzero(depth >= n - 1)
-            keys, inverse = np.unique(key[usable], return_inverse=True)
+            keys, inverse = np.unique(key[usable] >> np.uint64(64 - KEY_BITS), return_inverse=True)
             places = np.full(len(word), -1, np.int32)
             places[usable] = inverse
             self.keys.append(keys)
@@ -93,38 +120,105 @@ class BlockGrams:
 
 
 class BackoffAutomaton:
-    """The scores of a weighted backoff automaton, from count arrays: neither states nor arcs are built.
+    """States, arcs and failure arcs of the n-grams of a block, from their counts in all training documents.
 
-    Its states would be n-grams with a training count; arcs carry log10 probabilities, failure arcs the backoff weight.
-    P1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); Pn(w | h) = mix * c(hw) / c(h) + (1 - mix) * Pn-1(w | shorter h)
-    if c(h) > 0, else Pn-1. So an unseen arc costs log10(1 - mix) and follows the failure arc to the shorter state.
+    A state is a history of up to order - 1 tokens that training documents have; the root is the empty one. From a
+    state h an arc leads to each token w that follows it there, with log10 P(w|h) as its weight; where there is none, the
+    failure arc leads to the state of the history without its first token, with log10(k / (c(h) + k)) as its weight. The
+    root has an arc for every token. P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); P(w|h) = (c(hw) + k P(w|shorter h)) / (c(h) + k).
+    An arc of the longest n-grams leads to the state of their last order - 1 tokens.
     """
 
-    def __init__(self, counts: list[np.ndarray], tokens: int, types: int, mix: float):
-        self.counts, self.mix, self.total = counts, mix, tokens + 0.1 * (types + 1)
-
-    def traverse(self, places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token of texts laid end to end: is it known, log10 P1, and its weight on the path, failures included."""
-        c = self.counts[0][places[0]]
-        unigram = (c + 0.1) / self.total
-        arc = np.log10(unigram)
-        prob = unigram
-        for n in range(1, len(places)):
-            state = np.zeros(len(c), np.int64)  # the count of the state before each token
-            before = places[n - 1][:-1]
-            state[1:] = np.where(before >= 0, self.counts[n - 1][np.maximum(before, 0)], 0)
-            state[places[n] < 0] = 0
-            seen = np.where(places[n] >= 0, self.counts[n][np.maximum(places[n], 0)], 0) if len(self.counts[n]) else np.zeros(len(c), np.int64)
-            prob = np.where(state > 0, self.mix * seen / np.maximum(state, 1) + (1 - self.mix) * prob, prob)
-            arc = np.where(state > 0, np.where(seen > 0, np.log10(prob), arc + math.log10(1 - self.mix)), arc)
-        return c > 0, np.log10(unigram), arc
-
-
-def _batch(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, _KINDS, strict=True)], _NAMES)
-
-
-def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars: int = 6_000_000) -> DataFrame:
+    def __init__(self, grams: BlockGrams, tokens: int, types: int, k: float):
+        self.order, self.places, self.counts = len(grams.keys), grams.places, grams.counts
+        self.weight, self.failure, self.shorter = [], [], []  # by order and n-gram: of its arc, of its state's failure arc, where that leads
+        probability = None
+        for n, (places, counts) in enumerate(zip(grams.places, grams.counts, strict=True), 1):
+            if n == 1:
+                shorter = np.zeros(len(counts), np.int32)
+                probability = (counts + 0.1) / (tokens + 0.1 * (types + 1))
+            else:
+                at = np.flatnonzero(places >= 0)
+                shorter, history = np.zeros(len(counts), np.int32), np.zeros(len(counts), np.int32)
+                shorter[places[at]] = grams.places[n - 2][at]
+                history[places[at]] = grams.places[n - 2][at - 1]
+                probability = (counts + k * probability[shorter]) / (grams.counts[n - 2][history] + k)
+            self.weight.append(np.log10(probability))
+            self.failure.append(np.log10(k / (counts + k)))
+            self.shorter.append(shorter)
+
+    def _step(self, at: np.ndarray, order: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Reads the token at each place from each state (``state`` among those of ``order``; both are moved on); the weights, failure arcs included."""
+        out = np.zeros(len(at))
+        after, moved = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        for n in range(self.order, 1, -1):
+            here = np.flatnonzero(order == n - 1)
+            if not len(here):
+                continue
+            arc = self.places[n - 1][at[here]]
+            there = self.counts[n - 1][arc] > 0
+            found, arc = here[there], arc[there]
+            out[found] += self.weight[n - 1][arc]
+            after[found], moved[found] = (n, arc) if n < self.order else (n - 1, self.shorter[n - 1][arc])
+            order[found] = -1
+            failed = here[~there]
+            out[failed] += self.failure[n - 2][state[failed]]
+            state[failed] = self.shorter[n - 2][state[failed]]
+            order[failed] = n - 2
+        here = np.flatnonzero(order == 0)
+        arc = self.places[0][at[here]]
+        out[here] += self.weight[0][arc]
+        known = self.counts[0][arc] > 0
+        after[here], moved[here] = known & (self.order > 1), arc
+        order[:], state[:] = after, moved
+        return out
+
+    def traverse(self, starts: np.ndarray, sizes: np.ndarray, stretch: int = 256) -> np.ndarray:
+        """The weight of each token on the path of its text, all texts side by side from left to right.
+
+        A state depends on order - 1 tokens at most, so a long text is run in stretches: each is led in from
+        the root by the order - 1 tokens before it, whose weights don't count.
+        """
+        parts = -(-sizes // stretch)
+        number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        lead = np.where(number > 0, self.order - 1, 0)
+        begin = np.repeat(starts, parts) + number * stretch - lead
+        length = np.minimum(np.repeat(sizes, parts) - number * stretch, stretch) + lead
+        by_length = np.argsort(-length, kind="stable")
+        begin, length, lead = begin[by_length], length[by_length], lead[by_length]
+        order, state = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
+        out = np.zeros(int(sizes.sum()))
+        for t in range(int(length[0]) if len(length) else 0):
+            active = int(np.searchsorted(-length, -t, side="left"))
+            at = begin[:active] + t
+            weights = self._step(at, order[:active], state[:active])
+            counted = t >= lead[:active]
+            out[at[counted]] = weights[counted]
+        return out
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, _KINDS, strict=True)], _names(_PARTS))
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    def gather(batches):
+        number, block, held = TaskContext.get().partitionId() << 32, BlockTexts(), 0
+        for batch in by_bytes(batches, 1):
+            for doc_id, text, held_out in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                block.add(doc_id, text, bool(held_out))
+            held += batch.column(1).nbytes
+            if held >= block_bytes:
+                yield block.batch(number)
+                number, block, held = number + 1, BlockTexts(), 0
+        if block.doc_ids:
+            yield block.batch(number)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
+    return stored(rows.transform(map_arrow, gather, _BLOCKS), "lm-blocks")
+
+
+def score_corpus(docs: DataFrame, order: int = 3, k: float = 2.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
     ``docs`` has doc_id, text and held_out; rows where held_out is false are learned from. Tokens are words
@@ -132,77 +226,61 @@ def score_corpus(docs: DataFrame, order: int = 2, mix: float = 0.6, block_chars:
     are documents of their own; other columns are ignored; an empty table gives no rows. If nothing is
     learned, every token has probability 1 under the base, as its formula says for N = V = 0.
     """
-    spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(shuffle_partitions(spark), -(-chars // block_chars))
-    bits = max(1, (blocks - 1).bit_length())
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-
-    def squeeze(batches):
-        """Texts are shuffled twice, so they are compressed before."""
-        import zstandard
+    blocks = _blocks(docs, block_bytes)
+    bits = max(1, (max(1, blocks.count()) - 1).bit_length())
 
-        pack = zstandard.ZstdCompressor(3, write_content_size=True).compress
-        for batch in batches:
-            texts = [pack(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "text", "held_out", "block"])
-
-    def texts_of(table):
-        import zstandard
+    def grams_of(row: dict) -> BlockGrams:
+        return BlockGrams(row["words"], row["tokens"], row["sizes"], row["held_out"], order)
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        return [unpack(t).decode("utf-8", "surrogatepass") if t else "" for t in table.column("text").to_pylist()], table.column("held_out").to_numpy().astype(bool)
-
-    dealt = dealt.transform(map_arrow, squeeze, "doc_id long, text binary, held_out boolean, block int")
-
-    def ask(table: pa.Table) -> pa.Table:
-        grams, block, rows = BlockGrams(*texts_of(table), order), table.column("block")[0].as_py(), []
-        for n, (keys, counts) in enumerate(zip(grams.keys, grams.counts, strict=True), 1):
-            edges = bucket_edges(keys, bits)
-            for bucket in np.flatnonzero(np.diff(edges)).tolist():
-                at = slice(edges[bucket], edges[bucket + 1])
-                rows.append((n, bucket, block, packed_keys(keys[at]), packed_counts(counts[at]), 0, 0))
-        return _batch(rows)
+    def ask(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                grams = grams_of(row)
+                for n, (keys, counts) in enumerate(zip(grams.keys, grams.counts, strict=True), 1):
+                    edges = bucket_edges(keys, bits)
+                    rows = [(n, b, row["block"], packed_keys(keys[edges[b] : edges[b + 1]]), packed(counts[edges[b] : edges[b + 1]]), 0, 0) for b in np.flatnonzero(np.diff(edges)).tolist()]
+                    yield from _table(rows).to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
         order_, bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
-        keys = [unpacked_keys(k) for k in table.column("keys").to_pylist()]
-        counts = [unpacked_counts(c) for c in table.column("counts").to_pylist()]
+        keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
+        counts = [unpacked(x).astype(np.int64) for x in table.column("counts").to_pylist()]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
         rows, at = [], 0
-        for block, k, c in zip(table.column("block").to_pylist(), keys, counts, strict=True):
-            total = totals[inverse[at : at + len(k)]]
-            at += len(k)
+        for block, x, c in zip(table.column("block").to_pylist(), keys, counts, strict=True):
+            total = totals[inverse[at : at + len(x)]]
+            at += len(x)
             more = total != c
             if more.any():
                 # the block has the same keys in the same order: a bit for each tells which ones get a total
-                rows.append((order_, bucket, block, np.packbits(more).tobytes(), packed_counts(total[more]), 0, 0))
-        return _batch([*rows, (order_, bucket, -1, b"", b"", int(totals.sum()), int((totals > 0).sum()))])
+                rows.append((order_, bucket, block, np.packbits(more).tobytes(), packed(total[more]), 0, 0))
+        return _table([*rows, (order_, bucket, -1, b"", b"", int(totals.sum()), int((totals > 0).sum()))])
 
-    asked = dealt.groupBy("block").applyInArrow(ask, _PARTS)
-    answers = stored(asked.groupBy("order", "bucket").applyInArrow(answer, _PARTS), "ngram-counts")
+    answers = stored(blocks.transform(map_arrow, ask, _PARTS).groupBy("order", "bucket").applyInArrow(answer, _PARTS), "ngram-counts")
     sums = answers.where("block = -1 and order = 1").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = int(sums[0] or 0), int(sums[1] or 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, held_out = texts_of(left)
-        grams = BlockGrams(texts, held_out, order)
-        del texts
+        row = left.to_pylist()[0]
+        grams = grams_of(row)
         edges = [bucket_edges(keys, bits) for keys in grams.keys]
         for n, bucket, more, c in zip(*(right.column(x).to_pylist() for x in ("order", "bucket", "keys", "counts")), strict=True):
             at = slice(edges[n - 1][bucket], edges[n - 1][bucket + 1])
             more = np.unpackbits(np.frombuffer(more, np.uint8))[: at.stop - at.start].astype(bool)
-            grams.counts[n - 1][at][more] = unpacked_counts(c)
-        known, base, arcs = BackoffAutomaton(grams.counts, tokens, types, mix).traverse(grams.places)
-        sums = [np.add.reduceat(x, grams.starts) if len(x) else x for x in (known.astype(np.int64), base, arcs)]
+            grams.counts[n - 1][at][more] = unpacked(c)
+        grams.keys = [None] * order  # places and counts are all that is needed from here on
+        automaton = BackoffAutomaton(grams, tokens, types, k)
+        arcs = automaton.traverse(grams.starts, grams.sizes)
+        known, base = grams.counts[0][grams.places[0]] > 0, automaton.weight[0][grams.places[0]]
+        sums = [np.add.reduceat(x, grams.starts) for x in (known.astype(np.int64), base, arcs)]
         n = len(grams.sizes)
-        return pa.Table.from_arrays(
-            [left.column("doc_id").combine_chunks(), pa.array(held_out), pa.array(grams.sizes), pa.array(sums[0]), pa.array(np.full(n, tokens)), pa.array(np.round(sums[1], 6)), pa.array(np.round(sums[2], 6))],
-            [x.split()[0] for x in SCORES.split(", ")],
-        )
+        columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(grams.sizes), pa.array(sums[0]), pa.array(np.full(n, tokens)), pa.array(np.round(sums[1], 6)), pa.array(np.round(sums[2], 6))]
+        return pa.Table.from_arrays(columns, _names(SCORES))
 
-    return dealt.groupBy("block").cogroup(answers.where("block >= 0").select("block", "order", "bucket", "keys", "counts").groupBy("block")).applyInArrow(run, SCORES)
+    given = answers.where("block >= 0").select("block", "order", "bucket", "keys", "counts")
+    return blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, SCORES)
 
 
 SQL = r"""
@@ -211,16 +289,19 @@ WITH d AS (
   FROM documents
 ), f AS (SELECT doc_id, {fold} AS held_out FROM documents
 ), t AS (SELECT doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d JOIN f USING (doc_id)
-), b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t
+), b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM t
 ), c1 AS (SELECT w, count(*) AS c FROM b WHERE NOT held_out GROUP BY w
 ), c2 AS (SELECT h, w, count(*) AS c FROM b WHERE NOT held_out AND h IS NOT NULL GROUP BY h, w
+), c3 AS (SELECT g, h, w, count(*) AS c FROM b WHERE NOT held_out AND g IS NOT NULL GROUP BY g, h, w
 ), z AS (SELECT sum(c) AS n, count(*) AS v FROM c1
 ), p AS (
-  SELECT b.doc_id, b.held_out, coalesce(c1.c, 0) AS c, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (z.n + 0.1::DOUBLE * (z.v + 1)) AS p1, ch.c AS ch, coalesce(c2.c, 0) AS chw, z.n
+  SELECT b.doc_id, b.held_out, coalesce(c1.c, 0) AS c, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (z.n + 0.1::DOUBLE * (z.v + 1)) AS p1, z.n,
+    coalesce(ch.c, 0) AS ch, coalesce(c2.c, 0) AS chw, coalesce(cgh.c, 0) AS cgh, coalesce(c3.c, 0) AS cghw
   FROM b CROSS JOIN z LEFT JOIN c1 ON c1.w = b.w LEFT JOIN c1 ch ON ch.w = b.h LEFT JOIN c2 ON c2.h = b.h AND c2.w = b.w
+  LEFT JOIN c2 cgh ON cgh.h = b.g AND cgh.w = b.h LEFT JOIN c3 ON c3.g = b.g AND c3.h = b.h AND c3.w = b.w
 )
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, any_value(n)::BIGINT AS train_tokens,
   round(sum(log10(p1)), 6) AS base_score,
-  round(sum(log10(CASE WHEN ch > 0 THEN 0.6::DOUBLE * chw / ch + 0.4::DOUBLE * p1 ELSE p1 END)), 6) AS score
+  round(sum(log10((cghw + 2.0::DOUBLE * (chw + 2.0::DOUBLE * p1) / (ch + 2.0::DOUBLE)) / (cgh + 2.0::DOUBLE))), 6) AS score
 FROM p GROUP BY doc_id, held_out
 """

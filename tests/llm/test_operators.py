@@ -236,21 +236,39 @@ def test_similar_groups(spark, empty):
     assert jaccard_join.keep_one(rows, 3, 80).columns == rows.columns
 
 
-def test_backoff_automaton(spark, docs):
+def test_backoff_automaton(spark, docs, empty):
     from math import log10
 
-    got = {(r.doc_id, r.n_tokens): r for r in backoff.score_corpus(docs.withColumn("held_out", F.coalesce(F.col("doc_id") == 7, F.lit(False)))).collect()}
+    rows = docs.withColumn("held_out", F.coalesce(F.col("doc_id") == 7, F.lit(False)))
     low = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + ["\n"]
     train = [low(t) for i, t, *_ in ROWS if i != 7]
-    one, two = Counter(w for d in train for w in d), Counter(p for d in train for p in zip(d, d[1:], strict=False))
-    n, v = sum(one.values()), len(one)
-    for i, t, *_ in ROWS:
-        d = low(t)
-        p1 = [(one[w] + 0.1) / (n + 0.1 * (v + 1)) for w in d]
-        p2 = [0.6 * two[d[k - 1], w] / one[d[k - 1]] + 0.4 * p1[k] if k and one[d[k - 1]] else p1[k] for k, w in enumerate(d)]
-        r = got[i, len(d)]
-        assert r.train_tokens == n and r.n_known == sum(one[w] > 0 for w in d)
-        assert r.base_score == pytest.approx(sum(map(log10, p1)), abs=1e-5) and r.score == pytest.approx(sum(map(log10, p2)), abs=1e-5)
+    counts = [Counter(tuple(d[k : k + n]) for d in train for k in range(len(d) - n + 1)) for n in range(1, 5)]
+    n, v = sum(counts[0].values()), len(counts[0])
+
+    def walk(d, order):
+        """One token after the other: the longest history that is a state, failing to shorter ones."""
+        known = total = base = 0.0
+        for k, w in enumerate(d):
+            p = p1 = (counts[0][w,] + 0.1) / (n + 0.1 * (v + 1))
+            for m in range(1, min(order - 1, k) + 1):
+                h = tuple(d[k - m : k])
+                p = (counts[m][*h, w] + 2 * p) / (counts[m - 1][h] + 2)
+            known, base, total = known + (counts[0][w,] > 0), base + log10(p1), total + log10(p)
+        return known, base, total
+
+    for order, size in ((3, 6_000_000), (3, 1), (1, 100), (2, 100), (4, 100)):
+        got = {(r.doc_id, r.n_tokens): r for r in backoff.score_corpus(rows, order, block_bytes=size).collect()}
+        for i, t, *_ in ROWS:
+            d = low(t)
+            r, (known, base, total) = got[i, len(d)], walk(d, order)
+            assert r.train_tokens == n and r.n_known == known and r.held_out == (i == 7)
+            assert r.base_score == pytest.approx(base, abs=1e-5) and r.score == pytest.approx(total, abs=1e-5)
+    assert backoff.score_corpus(empty.withColumn("held_out", F.lit(False))).count() == 0
+
+
+def test_packed_numbers():
+    for x in (np.zeros(0, np.uint64), np.array([0, 1, 255, 256, 2**56 - 1], np.uint64), np.arange(1000, dtype=np.uint64) ** 5):
+        assert backoff.unpacked(backoff.packed(x)).tolist() == backoff.unpacked_keys(backoff.packed_keys(x)).tolist() == x.tolist()
 
 
 def test_fertility(docs, empty):
