@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import map_arrow, unit_hash
+from cairnspark.llm.common import by_bytes, map_arrow, unit_hash
 
 SIZES = (1, 2, 3, 4)
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -127,21 +127,25 @@ class StringKernel:
         return names, scores
 
 
-def fit_language_id(labelled: DataFrame, per_language: int = 300, max_chars: int = 20_000, seed: int = 11) -> StringKernel:
-    """Fits on a bounded sample: about ``per_language`` texts (never more) of each language, none longer than ``max_chars``.
+def fit_language_id(labelled: DataFrame, per_language: int = 300, max_chars: int = 20_000, max_texts: int = 6_000, seed: int = 11) -> StringKernel:
+    """Fits on a bounded sample: ``per_language`` distinct texts of each language at most, none longer than ``max_chars``, and about
+    ``max_texts`` in all: with more languages each has fewer, one at least, so no language is left out.
 
-    ``labelled`` has text and lang; rows with a null in either are left out.
+    ``labelled`` has text and lang; rows with a null in either are left out. Texts are drawn by a hash, and a text
+    that many rows repeat is one text.
     """
-    usable = labelled.select("text", F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    drawn = unit_hash(F.lit(seed), "text")
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * per_language / n))).otherwise(share)
-    rows = sorted((r["u"], r["text"], r["lang"]) for r in usable.withColumn("u", drawn).where(F.col("u") < share).collect())
+    spark = labelled.sparkSession
+    usable = labelled.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
+    sizes = usable.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).toArrow()  # a row for each language
+    per_language = max(1, min(per_language, max_texts // max(1, sizes.num_rows)))
+    # A margin over the quota, wide for small ones, so that a language hardly ever falls short of it.
+    shares = np.minimum(1.0, (1.3 * per_language + 20) / np.maximum(1, sizes.column("n").to_numpy()))
+    table = spark.createDataFrame(pa.table({"lang": sizes.column("lang").combine_chunks(), "share": pa.array(shares, pa.float64())}))
+    rows = usable.join(F.broadcast(table), "lang").withColumn("u", unit_hash(F.lit(seed), "hash")).where("u < share")
+    found = sorted((r["u"], r["text"], r["lang"]) for r in rows.dropDuplicates(["lang", "hash"]).select("u", "text", "lang").collect())
     taken: dict[str, int] = {}
     chosen = []
-    for _, text, lang in rows:
+    for _, text, lang in found:
         taken[lang] = taken.get(lang, 0) + 1
         if taken[lang] <= per_language:
             chosen.append((text, lang))
@@ -156,7 +160,7 @@ def identify(docs: DataFrame, model: StringKernel) -> DataFrame:
     flag = "held_out" if "held_out" in docs.columns else None
 
     def decide(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             names, scores = model.decide(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([batch.column(2)] if flag else [])], ["doc_id", "lang_pred", "score", *([flag] if flag else [])])
 

@@ -284,6 +284,36 @@ def test_fertility(docs, empty):
     assert fertility.fertility(empty).count() == 0
 
 
+def test_fertility_bands(spark):
+    """Each band rejects what passes the base rules: encoded text, noise of rare characters, few tokens; hardly any other document is."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    planted = {
+        -1: " ".join("".join(rng.choice(letters, 60)) for _ in range(80)),
+        -2: " ".join("".join(map(chr, rng.integers(0x12000, 0x12300, 5))) for _ in range(80)),
+        -3: " ".join("ha" * k for k in range(1, 90)),
+    }
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    got = {r.doc_id: r for r in fertility.fertility(rows.unionByName(spark.createDataFrame([(i, t, "en") for i, t in planted.items()], rows.schema))).collect()}
+    assert all(not got[i].base_failed and not got[i].kept for i in planted)
+    others = [r for i, r in got.items() if i not in planted and not r.base_failed]
+    assert sum(not r.kept for r in others) <= 0.01 * len(others)
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    for i, t in texts.items():
+        lines = t.split("\n")
+        seen = [x for x in lines if x.strip(fertility.SPACES)]
+        assert got[i].n_symbols == sum(t.count(c) for c in "#*$%&|<>") and got[i].n_dup_lines == len(seen) - len(set(seen))
+
+
+def test_every_language_is_learned(spark):
+    """More languages than a fixed number, one text that a third of all rows repeat; a text without a twin is enough."""
+    alphabets = [chr(0x4E00 + 40 * k) for k in range(230)]
+    text = lambda k, j: " ".join(chr(ord(alphabets[k]) + (7 * j + i) % 40) * 3 for i in range(12))
+    rows = [(k * 10 + j, text(k, j), f"l{k:03d}") for k in range(230) for j in range(3)] + [(9000 + i, text(0, 0), "l000") for i in range(345)]
+    model = string_kernel.fit_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_texts=460)
+    assert model.classes == sorted(f"l{k:03d}" for k in range(230))
+
+
 def test_language_id(spark, docs, empty):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = string_kernel.language_id(rows, F.col("doc_id") % 3 == 1).where("held_out").join(rows.select("doc_id", "lang"), "doc_id")
