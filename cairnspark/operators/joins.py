@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnspark.functions.scalar import haversine_km
+from cairnspark.operators.ranges import cut
 
 #: No place has fewer km to a degree of latitude.
 KM_PER_DEGREE = 110.5
+#: More than half of any great circle.
+WHOLE_GLOBE_KM = 20_200.0
 
 
 def many_to_one(fact: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,17 +40,17 @@ def orphans(fact: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataF
     return fact.join(dimension, list(keys), "left_anti")
 
 
-def _cells(df: DataFrame, lat: str, lon: str, km: float, reach: int = 0) -> DataFrame:
+def _cells(df: DataFrame, lat: str, lon: str, km: float | Column, reach: int = 0) -> DataFrame:
     """Adds cell row and column; with ``reach`` a row for each cell that a circle of reach * km can touch.
 
     Rows of cells are ``km`` high. A cell row's width in degrees is that of its own latitude farthest
     from the equator, so neighbours are looked up row by row with that row's width; columns wrap at 180 degrees.
     """
-    step = km / KM_PER_DEGREE
+    step = (km if isinstance(km, Column) else F.lit(km)) / KM_PER_DEGREE
 
     def width(row: Column) -> Column:
         edge = F.least(F.greatest(F.abs(row), F.abs(row + 1)) * step, F.lit(89.0))
-        return F.least(F.lit(step) / F.cos(F.radians(edge)), F.lit(360.0))
+        return F.least(step / F.cos(F.radians(edge)), F.lit(360.0))
 
     row = F.floor(F.col(lat) / step).cast("long")
     placed = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
@@ -50,8 +58,8 @@ def _cells(df: DataFrame, lat: str, lon: str, km: float, reach: int = 0) -> Data
         return placed.withColumn("cy", row).withColumn("cx", F.floor((F.col(lon) + 180) / width(F.col("cy"))).cast("long"))
     rows = placed.withColumn("cy", F.explode(F.sequence(row - reach, row + reach)))
     # the circle's widest half-angle in longitude, by the latitude farthest from the equator that it touches
-    far = F.least(F.abs(F.col(lat)) + reach * step, F.lit(89.0))
-    half = F.least(F.lit(reach * step) / F.cos(F.radians(far)), F.lit(180.0))
+    far = F.least(F.abs(F.col(lat)) + step * reach, F.lit(89.0))
+    half = F.least(step * reach / F.cos(F.radians(far)), F.lit(180.0))
     left, right = F.col(lon) + 180 - half, F.col(lon) + 180 + half
     w = width(F.col("cy"))
     spans = F.sequence(F.floor(left / w).cast("long"), F.floor(right / w).cast("long"))
@@ -59,41 +67,82 @@ def _cells(df: DataFrame, lat: str, lon: str, km: float, reach: int = 0) -> Data
     return rows.withColumn("cx", F.explode(F.array_distinct(seam)))
 
 
-def radius_pairs(queries: DataFrame, pool: DataFrame, km: float, same: Sequence[str] = (), lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Pairs (q_*, p_*, km) within the radius and equal in ``same``: an equi join on cells, then the exact distance."""
+def radius_pairs(queries: DataFrame, pool: DataFrame, km: float | Column, same: Sequence[str] = (), lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Pairs (q_*, p_*, km) within the radius and equal in ``same``: an equi join on cells, then the exact distance.
+
+    A radius that is a column is an expression over columns of ``same``, which both sides have.
+    """
     q = _cells(queries, lat, lon, km, 1)
     p = _cells(pool, lat, lon, km)
-    q = q.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], "cy", "cx", *[F.col(c).alias(f"__{c}") for c in same])
+    q = q.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], "cy", "cx", (km if isinstance(km, Column) else F.lit(km)).alias("__km"), *[F.col(c).alias(f"__{c}") for c in same])
     p = p.select(*[F.col(c).alias(f"p_{c}") for c in pool.columns], "cy", "cx", *[F.col(c).alias(f"__{c}") for c in same])
     pairs = q.join(p, ["cy", "cx", *[f"__{c}" for c in same]]).drop("cy", "cx", *[f"__{c}" for c in same])
     distance = haversine_km(F.col(f"q_{lat}"), F.col(f"q_{lon}"), F.col(f"p_{lat}"), F.col(f"p_{lon}"))
-    return pairs.withColumn("km", distance).where(F.col("km") <= km)
+    return pairs.withColumn("km", distance).where(F.col("km") <= F.col("__km")).drop("__km")
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str, km: float, lat: str = "lat", lon: str = "lon", exclude: tuple[str, str] | None = None, rounds: int = 16, same: Sequence[str] = ()) -> DataFrame:
-    """The k nearest of the pool for each query, ranked by (distance to 1e-6 km, pool key).
+def _start_levels(queries: DataFrame, pool: DataFrame, k: int, unit: float, lat: str, lon: str, same: Sequence[str], top_level: int) -> DataFrame:
+    """Queries with ``__level``: the radius unit * 2^(level / 2) that should hold k of the pool, by the pool's density around the query.
 
-    A ring of ``km`` is tried; queries that have fewer than k there go on with twice the radius. ``exclude`` names a
-    query and a pool column that must differ (the own group). No all-pairs join at any size.
+    Counts of the finest cells of a quadtree in degrees are added up for coarser ones; a query takes the density of
+    the smallest cell around it that holds k. A wrong guess costs a round, never a result.
     """
-    found, left = None, queries
-    for _ in range(rounds):
-        pairs = radius_pairs(left, pool, km, same, lat, lon)
+    finest, depth = 1 / 1024, 19
+    cell = {"__y": F.floor(F.col(lat) / finest).cast("long"), "__x": F.floor(F.col(lon) / finest).cast("long")}
+    keys = [f"__s_{c}" for c in same]
+    named = {f"__s_{c}": F.col(c) for c in same}
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("__j")
+    up = [F.expr("shiftright(__y, __j)").alias("__uy"), F.expr("shiftright(__x, __j)").alias("__ux")]
+    counts = pool.withColumns({**cell, **named}).groupBy("__y", "__x", *keys).agg(F.count("*").alias("__c"))
+    tree = counts.select("*", levels).groupBy("__j", *up, *keys).agg(F.sum("__c").alias("__c")).where(F.col("__c") >= k)
+    mine = queries.withColumns({**cell, **named}).select("__y", "__x", *keys).distinct()
+    smallest = mine.select("*", levels).select("*", *up).join(tree, ["__j", "__uy", "__ux", *keys]).groupBy("__y", "__x", *keys).agg(F.min(F.struct("__j", "__c")).alias("__m"))
+    side = F.pow(F.lit(2.0), F.col("__m.__j")) * finest * KM_PER_DEGREE
+    area = side * side * F.greatest(F.cos(F.radians(F.col(lat))), F.lit(0.01))
+    radius = F.sqrt((k + 3 * k**0.5 + 1) * area / F.col("__m.__c") / F.pi())
+    level = F.least(F.greatest(F.ceil(2 * F.log2(radius / unit)), F.lit(-40)), F.lit(top_level)).cast("int")
+    return queries.withColumns({**cell, **named}).join(smallest, ["__y", "__x", *keys], "left").withColumn("__level", F.coalesce(level, F.lit(top_level))).drop("__y", "__x", "__m", *keys)
+
+
+def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str, km: float = 1.0, lat: str = "lat", lon: str = "lon", exclude: tuple[str, str] | None = None, same: Sequence[str] = ()) -> DataFrame:
+    """The k nearest of the pool for each query, ranked by (distance to 1e-6 km, pool key); ``key`` is unique in both tables.
+
+    Each query starts with a radius by the density around it and goes on with twice the radius until it has k or the
+    radius spans the globe, so none is lost; ``km`` is only the unit of the radii. ``exclude`` names a query and a pool
+    column that must differ (the own group). Only keys and places are joined and ranked; other columns follow at the end.
+    Of pool rows at one place only those that can be among any query's k are kept. No all-pairs join at any size.
+    Rows without a place have no neighbours.
+    """
+    top_level = math.ceil(2 * math.log2(WHOLE_GLOBE_KM / km))
+    mine, theirs = exclude or (key, key)
+    both = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    q = queries.where(both).select(F.col(key).alias("q"), F.col(lat).alias("a"), F.col(lon).alias("o"), F.col(mine).alias("e"), *[F.col(c).alias(f"s_{c}") for c in same])
+    p = pool.where(both).select(F.col(key).alias("p"), F.col(lat).alias("a"), F.col(lon).alias("o"), F.col(theirs).alias("e"), *[F.col(c).alias(f"s_{c}") for c in same])
+    place = ["a", "o", *[f"s_{c}" for c in same]]
+    if exclude:
+        p = p.withColumn("i", F.row_number().over(Window.partitionBy(*place, "e").orderBy("p"))).where(F.col("i") <= k)
+    # any one excluded value has at most k of these, so 2k hold the k least of the rest
+    p = p.withColumn("i", F.row_number().over(Window.partitionBy(*place).orderBy("p"))).where(F.col("i") <= (2 * k if exclude else k)).drop("i")
+    p = cut(p)
+    left = cut(_start_levels(q, p, k, km, "a", "o", [f"s_{c}" for c in same], top_level))
+    parts = []
+    while levels := [r[0] for r in left.select("__level").distinct().collect()]:  # about 80 levels at most
+        radius = F.least(F.lit(km) * F.pow(F.lit(2.0), F.col("__level") / 2), F.lit(WHOLE_GLOBE_KM))
+        shelves = p.select("*", F.explode(F.array(*map(F.lit, levels))).alias("__level"))
+        pairs = radius_pairs(left, shelves, radius, [f"s_{c}" for c in same] + ["__level"], "a", "o")
         if exclude:
-            pairs = pairs.where(~F.col(f"q_{exclude[0]}").eqNullSafe(F.col(f"p_{exclude[1]}")))
-        rank = Window.partitionBy(f"q_{key}").orderBy(F.round("km", 6), f"p_{key}")
-        ranked = pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        done = ranked.groupBy(f"q_{key}").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col(f"q_{key}").alias(key))
-        last = km > 20_100
-        part = ranked if last else ranked.join(done.withColumnRenamed(key, f"q_{key}"), f"q_{key}", "left_semi")
-        found = part if found is None else found.unionByName(part)
-        if last:
-            break
-        left = left.join(done, key, "left_anti").checkpoint() if queries.sparkSession.sparkContext.getCheckpointDir() else left.join(done, key, "left_anti").cache()
-        if not left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).limit(1).count():
-            break
-        km = km * 2 if km < 10_000 else 20_200
-    return found
+            pairs = pairs.where(~F.col("q_e").eqNullSafe(F.col("p_e")))
+        near = pairs.select("q_q", "p_p", "km", "q___level", F.row_number().over(Window.partitionBy("q_q").orderBy(F.round("km", 6), "p_p")).alias("rank")).where(F.col("rank") <= k)
+        ranked = cut(near.withColumn("n", F.count("*").over(Window.partitionBy("q_q"))))
+        complete = (F.col("n") >= k) | (F.col("q___level") >= top_level)
+        parts.append(ranked.where(complete).select("q_q", "p_p", "km", "rank"))
+        done = ranked.where(complete & (F.col("rank") == 1)).select(F.col("q_q").alias("q"))
+        left = cut(left.where(F.col("__level") < top_level).join(done, "q", "left_anti").withColumn("__level", F.least(F.col("__level") + 2, F.lit(top_level))))
+    none = p.sparkSession.createDataFrame([], T.StructType([T.StructField("q_q", queries.schema[key].dataType), T.StructField("p_p", pool.schema[key].dataType), T.StructField("km", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
+    found = reduce(DataFrame.unionByName, parts, none) if not parts else reduce(DataFrame.unionByName, parts)
+    wide_q = queries.select(F.col(key).alias("q_q"), *[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    wide_p = pool.select(F.col(key).alias("p_p"), *[F.col(c).alias(f"p_{c}") for c in pool.columns])
+    return found.join(wide_q, "q_q").join(wide_p, "p_p").drop("q_q", "p_p")
 
 
 def neighbour_stats(ranked: DataFrame, key: str, value: str, ks: Sequence[int]) -> DataFrame:
@@ -119,18 +168,43 @@ def comparables(ranked: DataFrame, key: str, value: str, attribute: str, size: s
     return chosen.groupBy(F.col(f"q_{key}").alias(key)).agg(F.median(f"p_{value}").alias("comparable"), F.min("tier").cast("int").alias("tier"), F.count("*").alias("n_used"))
 
 
-def feature_knn(queries: DataFrame, pool: DataFrame, key: str, vector: str, target: str, k: int, blocks: int = 8) -> DataFrame:
+def feature_knn(queries: DataFrame, pool: DataFrame, key: str, vector: str, target: str, k: int, block_rows: int = 4_096) -> DataFrame:
     """k-NN regression on vectors with inverse-distance weights; exact matches alone vote where there are some.
 
-    Queries meet the pool block by block: ranks within a block first, then among blocks' best, so that a task
-    sees one block of the pool and k rows of each.
+    Exact, for a stated query set: blocks of about ``block_rows`` queries meet blocks of as many pool rows, each pair of
+    blocks is a task's matrix product, and the blocks' k best are merged. Distances are taken to 1e-9, ties by pool key.
+    Rows without a vector or target are left out.
     """
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    p = pool.select(F.col(key).alias("p"), F.col(vector).alias("pv"), F.col(target).cast("double").alias("y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    distance = F.sqrt(F.aggregate(F.zip_with("qv", "pv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = q.join(p, "block").withColumn("d", F.round(distance, 9))
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q", "block").orderBy("d", "p"))).where(F.col("r") <= k)
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(F.col("r") <= k)
+
+    def blocks(n: int) -> int:
+        return max(1, -(-n // block_rows))
+
+    q, p = queries.where(F.col(vector).isNotNull()), pool.where(F.col(vector).isNotNull() & F.col(target).isNotNull())
+    n_q, n_p = blocks(q.count()), blocks(p.count())
+    mine, other = (lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    q = q.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), mine(n_q).alias("qb"), other(n_p).alias("pb"))
+    p = p.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"), other(n_q).alias("qb"), mine(n_p).alias("pb"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+            norms, keys, ys = (b * b).sum(1), right["k"].to_numpy(), right["y"].to_numpy()
+            for i, row in enumerate(a):
+                rough = norms - 2 * (b @ row)
+                if len(b) > k:
+                    near = np.partition(rough, k - 1)[k - 1]
+                    chosen = np.flatnonzero(rough <= near + 1e-6 * (1 + abs(near) + row @ row))
+                else:
+                    chosen = np.arange(len(b))
+                d = np.round(np.sqrt(((b[chosen] - row) ** 2).sum(1)), 9)
+                order = np.lexsort((keys[chosen], d))[:k]
+                out.append(pd.DataFrame({"q": left["k"].iloc[i], "p": keys[chosen][order], "y": ys[chosen][order], "d": d[order]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "p": [], "y": [], "d": []})
+
+    schema = T.StructType([T.StructField("q", queries.schema[key].dataType), T.StructField("p", pool.schema[key].dataType), T.StructField("y", T.DoubleType()), T.StructField("d", T.DoubleType())])
+    found = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(best, schema)
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(F.col("r") <= k)
     exact = F.avg(F.when(F.col("d") == 0, F.col("y")))
     weight = F.when(F.col("d") > 0, 1 / F.when(F.col("d") > 0, F.col("d")))
-    return best.groupBy(F.col("q").alias(key)).agg(F.coalesce(exact, F.sum(weight * F.col("y")) / F.sum(weight)).alias("predicted"))
+    return found.groupBy(F.col("q").alias(key)).agg(F.coalesce(exact, F.sum(weight * F.col("y")) / F.sum(weight)).alias("predicted"))

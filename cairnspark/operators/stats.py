@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnspark.operators.ranges import average_ranks, cut, ordered_counts, percentiles
+
 
 def structure(df: DataFrame, group: str, size: str, kind: str, row: str) -> DataFrame:
     """Size, distinct values, extremes, median and first (by row key) of each group, its spread and typology score."""
@@ -23,8 +25,12 @@ def structure(df: DataFrame, group: str, size: str, kind: str, row: str) -> Data
 def level_stats(df: DataFrame, entity: str, level: str, values: Sequence[str]) -> DataFrame:
     """Statistics of entity means for each level: one aggregate for entities and one for the level."""
     entities = df.groupBy(entity, level).agg(*[F.avg(v).alias(v) for v in values])
-    columns = [f(v).alias(f"{v}_{name}") for v in values for name, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("count", F.count))]
-    return entities.groupBy(level).agg(*columns)
+    columns = [f(v).alias(f"{v}_{name}") for v in values for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))]
+    out = entities.groupBy(level).agg(*columns)
+    for v in values:
+        middle = percentiles(entities, [level], v, [0.5]).select(F.col(level).alias("__l"), F.col("quantiles")[0].alias(f"{v}_median"))
+        out = out.join(middle, F.col(level).eqNullSafe(F.col("__l")), "left").drop("__l")
+    return out
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -68,19 +74,21 @@ def dominance(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def quantile_class(df: DataFrame, value: str, labels: Sequence[str]) -> DataFrame:
-    """Classes of equal share by interpolated, right-closed edges; one aggregate row is joined to all."""
+    """Classes of equal share by interpolated, right-closed edges; one row of edges is joined to all. Null values have no class."""
     k = len(labels)
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("__edges"))
+    edges = percentiles(df, (), value, [i / k for i in range(1, k)], "__edges")
     named = F.when(F.col(value).isNull(), None)
     for i, label in enumerate(labels[:-1]):
         named = named.when(F.col(value) <= F.col("__edges")[i], label)
-    return df.join(F.broadcast(edges), how="cross").withColumn("class", named.otherwise(labels[-1])).drop("__edges")  # one row
+    return df.join(F.broadcast(edges), how="left").withColumn("class", named.otherwise(labels[-1])).drop("__edges")  # one row
 
 
 def standardised(df: DataFrame, values: Sequence[str], clip: float = 8.0) -> DataFrame:
     """Median for nulls, then (x - mean) / population deviation (1 if none), clipped; fitted on all rows of ``df``."""
-    medians = df.agg(*[F.median(v).alias(f"__m_{v}") for v in values])
-    filled = df.join(F.broadcast(medians), how="cross").withColumns({v: F.coalesce(F.col(v), F.col(f"__m_{v}")) for v in values})
+    filled = df
+    for v in values:
+        middle = percentiles(df, (), v, [0.5]).select(F.col("quantiles")[0].alias(f"__m_{v}"))
+        filled = filled.join(F.broadcast(middle), how="left").withColumn(v, F.coalesce(F.col(v), F.col(f"__m_{v}")))  # one row, none if all are null
     moments = filled.agg(*[f(v).alias(f"__{n}_{v}") for v in values for n, f in (("a", F.avg), ("s", F.stddev_pop))])
     scaled = {v: F.greatest(F.least((F.col(v) - F.col(f"__a_{v}")) / F.when(F.col(f"__s_{v}") > 1e-8, F.col(f"__s_{v}")).otherwise(1.0), F.lit(clip)), F.lit(-clip)) for v in values}
     return filled.join(F.broadcast(moments), how="cross").withColumns(scaled).select(*df.columns)
@@ -92,13 +100,12 @@ def group_folds(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def balanced_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Groups by size (largest first) dealt to and fro over the folds, within size classes, so that no window spans all groups."""
+    """Groups by size (largest first, then by key) dealt to and fro over the folds; ranked in ranges, also where all sizes are equal."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("n").orderBy(group)) - 1
-    earlier = sizes.groupBy("n").agg(F.count("*").alias("c")).select("n", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    dealt = sizes.withColumn("place", place).join(earlier, "n").withColumn("i", F.col("place") + F.col("before"))
-    turn = F.col("i") % (2 * k)
-    return df.join(dealt.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold")), group)
+    keyed = sizes.select(group, F.struct((-F.col("n")).alias("size"), F.col(group).alias("group")).alias("__order"))
+    turn = F.col("before") % (2 * k)
+    dealt = ordered_counts(keyed, (), "__order").select(F.col("value.group").alias("__k"), F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("__k"))).drop("__k")
 
 
 def smoothed_means(df: DataFrame, category: str, target: str, strength: float) -> DataFrame:
@@ -150,11 +157,26 @@ def fallback(df: DataFrame, levels: Sequence[str], target: str, least: int) -> D
     return out.withColumns({"fallback": F.coalesce(*tries), "depth": F.coalesce(*depths)}).drop(*[f"__{c}" for c in levels], *[f"__v{k}" for k in range(len(levels) + 1)])
 
 
-def metrics(y: str, p: str) -> list[Column]:
-    """MAE, MAPE, median APE, RMSE, median AE, R2 as aggregates of one pass."""
+def _middles(df: DataFrame, by: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Exact medians of several expressions for each group, each by ranges."""
+    out = None
+    for name, value in values.items():
+        one = percentiles(df.select(*by, value.alias("__v")), by, "__v", [0.5]).select(*by, F.col("quantiles")[0].alias(name))
+        out = one if out is None else out.join(one, [*by], "full") if by else out.join(one, how="full")
+    return out
+
+
+def metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """n, MAE, MAPE, median APE, RMSE, median AE, R2, bias; one row for each (non-null) group, or one in all. Rows without both values don't count."""
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     e, pct = F.abs(F.col(y) - F.col(p)), F.abs(F.col(y) - F.col(p)) / F.greatest(F.abs(F.col(y)), F.lit(1e-9))
     squares = F.sum(F.pow(F.col(y) - F.col(p), F.lit(2)))
-    return [F.avg(e).alias("mae"), F.avg(pct).alias("mape"), F.median(pct).alias("median_ape"), F.sqrt(F.avg(F.pow(F.col(y) - F.col(p), F.lit(2)))).alias("rmse"), F.median(e).alias("median_ae"), (1 - squares / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2")]
+    moments = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(e).alias("mae"), F.avg(pct).alias("mape"), F.sqrt(F.avg(F.pow(F.col(y) - F.col(p), F.lit(2)))).alias("rmse"),
+        (1 - squares / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"), F.avg(F.col(p) - F.col(y)).alias("bias"),
+    )
+    middles = _middles(df, by, {"median_ape": pct, "median_ae": e})
+    return moments.join(middles, [*by], "left") if by else moments.join(F.broadcast(middles), how="left")
 
 
 def segment_errors(df: DataFrame, y: str, p: str, segments: Sequence[str]) -> DataFrame:
@@ -162,13 +184,14 @@ def segment_errors(df: DataFrame, y: str, p: str, segments: Sequence[str]) -> Da
     long = df.select(y, p, F.explode(F.create_map(*[x for s in segments for x in (F.lit(s), F.coalesce(F.col(s).cast("string"), F.lit("missing")))])).alias("segment", "value"))
     e = F.abs(F.col(y) - F.col(p))
     pct = F.when(F.col(y) > 0, e / F.when(F.col(y) > 0, F.col(y)))
-    g = long.groupBy("segment", "value").agg(F.count("*").alias("n"), F.avg(y).alias("mean_actual"), F.avg(e).alias("mae"), F.avg(pct).alias("mape"), F.median(pct).alias("median_ape"), F.avg(F.col(p) - F.col(y)).alias("bias"), F.sum(e).alias("__e"))
+    g = long.groupBy("segment", "value").agg(F.count("*").alias("n"), F.avg(y).alias("mean_actual"), F.avg(e).alias("mae"), F.avg(pct).alias("mape"), F.avg(F.col(p) - F.col(y)).alias("bias"), F.sum(e).alias("__e"))
+    g = g.join(_middles(long, ["segment", "value"], {"median_ape": pct}), ["segment", "value"], "left")
     return g.withColumn("error_share", F.col("__e") / F.sum("__e").over(Window.partitionBy("segment"))).drop("__e")
 
 
 def compare_models(df: DataFrame, y: str, predictions: Sequence[str]) -> DataFrame:
-    long = df.unpivot([y], list(predictions), "model", "p")
-    return long.groupBy("model").agg(*metrics(y, "p")[:3], F.avg(F.col("p") - F.col(y)).alias("bias"))
+    """The metrics of each prediction column, a row for each."""
+    return metrics(df.unpivot([y], list(predictions), "model", "p"), y, "p", ["model"])
 
 
 def worst(df: DataFrame, y: str, p: str, key: str, n: int) -> DataFrame:
@@ -193,10 +216,63 @@ def nullified(df: DataFrame, columns: Sequence[str], key: str, fraction: float,
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation of two residual columns; ranks over all rows by range-partitioned value counts."""
+    """Rank correlation of two columns over the rows that have both; ranks from value counts in ranges, ties averaged."""
     ranked = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = ranked
     for c in (a, b):
-        counts = ranked.groupBy(c).agg(F.count("*").alias("__n"))
-        below = counts.select(c, (F.sum("__n").over(Window.orderBy(c)) - (F.col("__n") - 1) / F.lit(2.0)).alias(f"__r_{c}"))
-        ranked = ranked.join(below, c)
-    return ranked.agg(F.corr(f"__r_{a}", f"__r_{b}").alias("spearman"), F.count("*").alias("n"))
+        both = both.join(average_ranks(ranked, c).select(F.col("value").alias(c), F.col("rank").alias(f"__r_{c}")), c)
+    return both.agg(F.corr(f"__r_{a}", f"__r_{b}").alias("spearman"), F.count("*").alias("n"))
+
+
+def unit_value(df: DataFrame, level: str, value: str, size: str, reference: Column | None = None) -> DataFrame:
+    """Median value per unit of size of the row's level, else of all rows, times the row's size (null: 0).
+
+    Levels have medians from the ``reference`` rows only (all where None); sizes of 0 or less have no unit value.
+    """
+    units = df.withColumn("__u", F.col(value) / F.when(F.col(size) > 0, F.col(size)))
+    known = units if reference is None else units.where(reference)
+    level_middle = percentiles(known.where(F.col(level).isNotNull()), [level], "__u", [0.5]).select(level, F.col("quantiles")[0].alias("__m"))
+    overall = percentiles(units, (), "__u", [0.5]).select(F.col("quantiles")[0].alias("__o"))
+    joined = df.join(level_middle, level, "left").join(F.broadcast(overall), how="left")
+    return joined.withColumn("unit_value", F.coalesce("__m", "__o") * F.coalesce(F.col(size), F.lit(0))).drop("__m", "__o")
+
+
+def deviations(df: DataFrame, level_table: DataFrame, level: str, values: Sequence[str]) -> DataFrame:
+    """Each value's z-score against its level's mean and deviation in a ``level_stats`` table; null without spread or level."""
+    columns = [f"{v}_{m}" for v in values for m in ("mean", "std")]
+    joined = df.join(level_table.select(level, *[F.col(c).alias(f"__{c}") for c in columns]), level, "left")
+    scored = {f"{v}_z": (F.col(v) - F.col(f"__{v}_mean")) / F.when(F.col(f"__{v}_std") > 1e-9, F.col(f"__{v}_std")) for v in values}
+    return joined.withColumns(scored).drop(*[f"__{c}" for c in columns])
+
+
+def nested_means(df: DataFrame, levels: Sequence[str], target: str, strength: float) -> DataFrame:
+    """Smoothed mean and count of each row's cell at every depth of ``levels``: one aggregate, rolled up from the finest cells.
+
+    A null level counts as a level of its own. Columns ``mean_1`` .. and ``n_1`` .. follow the depth, coarsest first.
+    """
+    names = [f"__l{i}" for i in range(len(levels))]
+    keyed = df.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("__missing__")) for n, c in zip(names, levels, strict=True)})
+    cells = cut(keyed.groupBy(*names).agg(F.sum(target).alias("s"), F.count(target).alias("n")))
+    overall = cells.agg((F.sum("s") / F.sum("n")).alias("__g"))
+    out = keyed.join(F.broadcast(overall), how="left")
+    for k in range(1, len(levels) + 1):
+        part = cells.groupBy(*names[:k]).agg(F.sum("s").alias("__s"), F.sum("n").alias(f"n_{k}"))
+        out = out.join(part, names[:k], "left").withColumn(f"mean_{k}", (F.coalesce("__s", F.lit(0.0)) + strength * F.col("__g")) / (F.col(f"n_{k}") + strength)).drop("__s")
+    return out.drop(*names, "__g")
+
+
+def target_profile(df: DataFrame, target: str) -> DataFrame:
+    """One row: rows, nulls, mean, median, least and greatest value."""
+    row = df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(target).isNull()).alias("n_null"), F.avg(target).alias("mean"), F.min(target).alias("least"), F.max(target).alias("greatest"))
+    return row.join(F.broadcast(percentiles(df, (), target, [0.5]).select(F.col("quantiles")[0].alias("median"))), how="left")
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, share) of a column, nulls included."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("__t"))), how="cross").select("value", "n", (F.col("n") / F.col("__t")).alias("share"))
+
+
+def top(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """A report's n first rows by a column, greatest first, ties by key."""
+    return df.orderBy(F.desc_nulls_last(by), key).limit(n)

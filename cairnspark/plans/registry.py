@@ -183,13 +183,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(km, 6), p) AS i FROM pairs) SELECT k, avg(pv) FILTER (WHERE i <= 3) AS mean_k3, stddev_pop(pv) FILTER (WHERE i <= 3) AS std_k3, avg(pv) AS mean_k5, stddev_pop(pv) AS std_k5 FROM r WHERE i <= 5 GROUP BY k")
 def knn_stats(spark, d):
     c = places(spark, d)
-    return joins.neighbour_stats(joins.nearest(c, c, 5, "k", 5.0, exclude=("k", "k")), "k", "value", [3, 5])
+    return joins.neighbour_stats(joins.nearest(c, c, 5, "k", exclude=("k", "k")), "k", "value", [3, 5])
 
 
 @query(f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(km, 6), p) AS i FROM pairs), t AS (SELECT *, qa = pa AS s, pv BETWEEN qv * 0.8::DOUBLE AND qv * 1.2::DOUBLE AS b FROM r WHERE i <= 40), n AS (SELECT *, count(*) FILTER (WHERE s AND b) OVER w AS n1, count(*) FILTER (WHERE s) OVER w AS n2, count(*) FILTER (WHERE b) OVER w AS n3 FROM t WINDOW w AS (PARTITION BY k)), z AS (SELECT *, CASE WHEN n1 >= 4 THEN 1 WHEN n2 >= 4 THEN 2 WHEN n3 >= 4 THEN 3 ELSE 4 END AS tier FROM n), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS j FROM z WHERE CASE tier WHEN 1 THEN s AND b WHEN 2 THEN s WHEN 3 THEN b ELSE true END) SELECT k, median(pv) AS comparable, min(tier)::INT AS tier, count(*) AS n_used FROM f WHERE j <= 4 GROUP BY k")
 def comparables_cascade(spark, d):
     c = places(spark, d)
-    return joins.comparables(joins.nearest(c, c, 40, "k", 16.0, exclude=("k", "k")), "k", "value", "attr", "value", 0.2, 4)
+    return joins.comparables(joins.nearest(c, c, 40, "k", exclude=("k", "k")), "k", "value", "attr", "value", 0.2, 4)
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_totalprice AS y, o_orderpriority AS a, o_orderstatus AS b, (o_custkey % 50)::VARCHAR AS c FROM orders), l3 AS (SELECT a, b, c, avg(y) AS v FROM t GROUP BY ALL HAVING count(*) >= 5), l2 AS (SELECT a, b, avg(y) AS v FROM t GROUP BY ALL HAVING count(*) >= 5), l1 AS (SELECT a, avg(y) AS v FROM t GROUP BY ALL HAVING count(*) >= 5) SELECT o_orderkey, coalesce(l3.v, l2.v, l1.v, (SELECT avg(y) FROM t)) AS fallback, CASE WHEN l3.v IS NOT NULL THEN 3 WHEN l2.v IS NOT NULL THEN 2 WHEN l1.v IS NOT NULL THEN 1 ELSE 0 END AS depth FROM t LEFT JOIN l3 USING (a, b, c) LEFT JOIN l2 USING (a, b) LEFT JOIN l1 USING (a)""")
@@ -222,10 +222,8 @@ def smoothed_encode(spark, d):
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice / (1 + o_orderkey % 9) AS u, o_orderkey % 9 + 1 AS size FROM orders), m AS (SELECT o_orderpriority, median(u) AS m FROM o WHERE o_orderpriority NOT LIKE '1%' GROUP BY ALL) SELECT o_orderkey, coalesce(m, (SELECT median(u) FROM o)) * size AS unit_value FROM o LEFT JOIN m USING (o_orderpriority)""")
 def group_unit_price(spark, d):
-    o = table(spark, d, "orders").withColumn("size", F.col("o_orderkey") % 9 + 1).withColumn("u", F.col("o_totalprice") / F.col("size"))
-    m = o.where("o_orderpriority not like '1%'").groupBy("o_orderpriority").agg(F.median("u").alias("m"))
-    overall = o.agg(F.median("u").alias("g"))
-    return o.join(m, "o_orderpriority", "left").join(F.broadcast(overall), how="cross").select("o_orderkey", (F.coalesce("m", "g") * F.col("size")).alias("unit_value"))
+    o = table(spark, d, "orders").withColumn("size", F.col("o_orderkey") % 9 + 1)
+    return stats.unit_value(o, "o_orderpriority", "o_totalprice", "size", ~F.col("o_orderpriority").startswith("1")).select("o_orderkey", "unit_value")
 
 
 @query("""WITH p AS (SELECT o_custkey, date_trunc('month', o_orderdate)::DATE AS m, min(o_totalprice) AS v FROM orders GROUP BY ALL), w AS (SELECT o_custkey, min(v) FILTER (WHERE m = DATE '1997-12-01') AS lag_1, min(v) FILTER (WHERE m = DATE '1997-11-01') AS lag_2, min(v) FILTER (WHERE m = DATE '1996-12-01') AS lag_13 FROM p WHERE m IN (DATE '1997-12-01', DATE '1997-11-01', DATE '1996-12-01') GROUP BY o_custkey) SELECT *, CASE WHEN lag_13 > 0 THEN lag_1 / lag_13 - 1 END AS yoy FROM w""")
@@ -245,7 +243,7 @@ _METRICS = "avg(abs(y - p)) AS mae, avg(abs(y - p) / greatest(abs(y), 1e-9)) AS
 
 @query(f"{_PRICED} SELECT avg(abs(y - p)) AS mae, avg(abs(y - p) / greatest(abs(y), 1e-9)) AS mape, median(abs(y - p) / greatest(abs(y), 1e-9)) AS median_ape, sqrt(avg(pow(y - p, 2))) AS rmse, median(abs(y - p)) AS median_ae, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS r2 FROM (SELECT y, p_a AS p FROM t)")
 def regression_metrics(spark, d):
-    return priced(spark, d).agg(*stats.metrics("y", "p_a"))
+    return stats.metrics(priced(spark, d), "y", "p_a").select("mae", "mape", "median_ape", "rmse", "median_ae", "r2")
 
 
 @query(f"{_PRICED}, l AS (SELECT 'o_orderstatus' AS segment, o_orderstatus AS value, y, p_a AS p FROM t UNION ALL SELECT 'o_orderpriority', o_orderpriority, y, p_a FROM t) SELECT segment, value, count(*) AS n, avg(y) AS mean_actual, avg(abs(y - p)) AS mae, avg(abs(y - p) / y) AS mape, median(abs(y - p) / y) AS median_ape, avg(p - y) AS bias, sum(abs(y - p)) / sum(sum(abs(y - p))) OVER (PARTITION BY segment) AS error_share FROM l GROUP BY segment, value")
@@ -266,7 +264,7 @@ def impute_standardise(spark, d):
 
 @query(f"{_PRICED}, l AS (SELECT 'p_a' AS model, y, p_a AS p FROM t UNION ALL SELECT 'p_b', y, p_b FROM t) SELECT model, {_METRICS}, avg(p - y) AS bias FROM l GROUP BY model")
 def model_compare(spark, d):
-    return stats.compare_models(priced(spark, d), "y", ["p_a", "p_b"])
+    return stats.compare_models(priced(spark, d), "y", ["p_a", "p_b"]).select("model", "mae", "mape", "median_ape", "bias")
 
 
 @query("SELECT 'o_orderstatus' AS \"column\", count(*) AS n_rows, count(DISTINCT nullif(o_orderstatus, 'P')) AS n_distinct, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_null FROM orders UNION ALL SELECT 'o_custkey', count(*), count(DISTINCT o_custkey), 0 FROM orders")
