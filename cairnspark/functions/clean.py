@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SENTINEL = "__missing__"
 
@@ -28,12 +29,17 @@ def or_sentinel(c: Column) -> Column:
 
 
 def structs(c: Column, fields: str) -> Column:
-    """A string with a JSON array or object, or its single-quoted spelling, as an array of structs; null for junk."""
-    kind = f"array<struct<{fields}>>"
-    one = F.from_json(c, f"struct<{fields}>")
+    """A string with a JSON array or object, or its single-quoted spelling, as an array of structs; null for junk.
+
+    Text counts as JSON only if it parses as a whole; elements that are null are left out.
+    """
     spelled = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false"), "'", '"')
-    found = F.coalesce(F.when(F.trim(c).startswith("["), F.coalesce(F.from_json(c, kind), F.from_json(spelled, kind))), F.when(F.trim(c).startswith("{"), F.array(one)))
-    return F.filter(found, lambda x: x.isNotNull())
+
+    def parsed(text: Column) -> Column:
+        listed = F.when(F.trim(text).startswith("["), F.trim(text)).when(F.trim(text).startswith("{"), F.concat(F.lit("["), F.trim(text), F.lit("]")))
+        return F.when(F.try_parse_json(listed).isNotNull(), F.from_json(listed, f"array<struct<{fields}>>"))
+
+    return F.filter(F.coalesce(parsed(c), parsed(spelled)), lambda x: x.isNotNull())
 
 
 def matching(items: Column, field: str, value: Column) -> Column:
@@ -42,7 +48,10 @@ def matching(items: Column, field: str, value: Column) -> Column:
 
 
 def renamed(df: DataFrame, names: Mapping[str, str], aliases: Mapping[str, str] | None = None, constants: Mapping[str, object] | None = None, casts: Mapping[str, str] | None = None, drop: Sequence[str] = (), first: Sequence[str] = ()) -> DataFrame:
-    """Rename, alias, add constants that are absent, cast, drop, and put leading columns first."""
+    """Rename, alias, add constants that are absent, cast, drop, and put leading columns first; a name to rename that is absent raises."""
+    absent = set(names) - set(df.columns)
+    if absent:
+        raise KeyError(f"no columns {sorted(absent)}")
     df = df.withColumnsRenamed(dict(names)).drop(*drop)
     df = df.withColumns({a: F.col(b) for a, b in (aliases or {}).items()})
     df = df.withColumns({c: F.lit(v) for c, v in (constants or {}).items() if c not in df.columns})
@@ -76,6 +85,28 @@ def feature_columns(groups: Mapping[str, Sequence[str]], wanted: Sequence[str],
     return [c for c in names if c in available and c not in excluded]
 
 
+def once(df: DataFrame, columns: Sequence[str], step) -> DataFrame:
+    """Applies ``step`` unless all ``columns`` are there and each has a value in some row, so that a second run changes nothing."""
+    if all(c in df.columns for c in columns):
+        filled = df.agg(*[F.max(F.col(c).isNotNull()).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+        if all(filled):
+            return df
+    return step(df)
+
+
+def composed(df: DataFrame, *steps) -> DataFrame:
+    """Applies the steps in order as one lazy plan; later ones may use earlier ones' columns."""
+    for step in steps:
+        df = df.transform(step)
+    return df
+
+
+def split_kinds(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Numeric and other columns of a selection, each in order."""
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
+    return numeric, [c for c in columns if c not in numeric]
+
+
 def with_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds null columns for inputs that are absent."""
     return df.withColumns({c: F.lit(None).cast("double") for c in columns if c not in df.columns})

@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.operators.joins import feature_knn
+from cairnspark.operators.ranges import cut, percentiles
+from cairnspark.operators.stats import metrics
+from cairnspark.sources.tables import first_readable, new_path, write_part
+
 TRAINERS: dict[str, Callable[..., Estimator]] = {
     "boosted": lambda **p: GBTRegressor(**{"lossType": "absolute", "maxIter": 20, "maxDepth": 4, **p}),
     "boosted_shallow": lambda **p: GBTRegressor(**{"lossType": "absolute", "maxIter": 20, "maxDepth": 2, **p}),
@@ -34,16 +40,52 @@ def assembled(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     return Pipeline(stages=stages).fit(df).transform(df)
 
 
-def out_of_fold(df: DataFrame, label: str, fold: str, folds: int, bases: Mapping[str, Mapping], key: str, seed: int = 0) -> DataFrame:
-    """(key, fold, base, prediction): each row is predicted once by each base, by a model that did not see its fold."""
-    df = df.cache()
-    parts = []
+def out_of_fold(df: DataFrame, label: str, fold: str, folds: int, bases: Mapping[str, Mapping], key: str, seed: int = 0, path: str | None = None) -> DataFrame:
+    """(key, fold, base, prediction): each row is predicted once by each base, by a model that did not see its fold.
+
+    A base's parameters may name its learner (``learner``, else its own name), its columns of ``df`` (``features``, else the
+    features column), and ``early_stop``: boosting then ends by its error on an eighth of the training rows. Each (fold, base) is written under ``path``
+    as soon as it is scored; a run that finds it there doesn't fit it again. Without a path a new one is taken.
+    """
+    spark = df.sparkSession
+    path = path or new_path(spark, "out-of-fold")
+    data = cut(df)
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, prediction double, {fold} int, base string"
+    done = {(r[0], r[1]) for r in first_readable(spark, [path], schema).select(fold, "base").distinct().collect()}
     for f in range(folds):
-        train, valid = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
+        train, valid = data.where(F.col(fold) != f), data.where(F.col(fold) == f)
         for base, parameters in bases.items():
-            model = trainer(base, parameters, {"featuresCol": "features", "labelCol": label}, seed=seed, fold=f).fit(train)
-            parts.append(model.transform(valid).select(key, fold, F.lit(base).alias("base"), "prediction"))
-    return reduce(DataFrame.unionByName, parts)
+            if (f, base) in done:
+                continue
+            rest = {k: v for k, v in parameters.items() if k not in ("learner", "features", "early_stop")}
+            known, asked = train, valid
+            if "features" in parameters:
+                known, asked = (VectorAssembler(inputCols=list(parameters["features"]), outputCol="features").transform(d.drop("features")) for d in (train, valid))
+            if parameters.get("early_stop"):
+                known, rest = known.withColumn("__stop", F.pmod(F.xxhash64(key), F.lit(8)) == 0), {**rest, "validationIndicatorCol": "__stop"}
+            model = trainer(parameters.get("learner", base), {"featuresCol": "features"}, rest, {"labelCol": label}, seed=seed, fold=f).fit(known)
+            write_part(model.transform(asked).select(key, "prediction", F.lit(f).alias(fold), F.lit(base).alias("base")), path, fold, "base")
+    return spark.read.schema(schema).parquet(path).select(key, fold, "base", "prediction")
+
+
+def fold_metrics(predictions: DataFrame, df: DataFrame, label: str, fold: str, key: str) -> DataFrame:
+    """Metrics of each fold and base over the rows scored so far."""
+    return metrics(predictions.join(df.select(key, label), key), label, "prediction", [fold, "base"])
+
+
+def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
+    """A fitted tree model's features with their importances, greatest first."""
+    return sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def knn_fold(train: DataFrame, valid: DataFrame, key: str, inputs: Sequence[str], target: str, k: int, clip: float = 8.0) -> DataFrame:
+    """k-NN predictions of ``valid``: medians for nulls, means and deviations of ``train``, clipped, then block matrix products."""
+    middles = {c: r[0] for c in inputs for r in percentiles(train, (), c, [0.5]).select(F.col("quantiles")[0]).collect()}
+    filled = [d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middles.get(c, 0.0))) for c in inputs}) for d in (train, valid)]
+    row = filled[0].agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(inputs) for n, f in (("a", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = F.array(*[F.greatest(F.least((F.col(c) - (row[f"a{i}"] or 0.0)) / F.lit(row[f"s{i}"] if (row[f"s{i}"] or 0) > 1e-8 else 1.0), F.lit(clip)), F.lit(-clip)) for i, c in enumerate(inputs)])
+    t, v = (d.withColumn("__v", scaled) for d in filled)
+    return feature_knn(v, t, key, "__v", target, k)
 
 
 def wide(predictions: DataFrame, key: str, bases: Sequence[str]) -> DataFrame:
@@ -58,25 +100,96 @@ def ridge(df: DataFrame, label: str, inputs: Sequence[str], alpha: float = 1.0):
     return LinearRegression(featuresCol="__x", labelCol=label, elasticNetParam=0.0, standardization=False, solver="normal", regParam=alpha * row[0] / row[1]).fit(vectors)
 
 
-def cross_fitted_ridge(df: DataFrame, label: str, inputs: Sequence[str], fold: str, folds: int, alpha: float = 1.0) -> DataFrame:
-    """Ridge predictions of each fold from the others."""
-    parts = []
-    for f in range(folds):
-        model = ridge(df.where(F.col(fold) != f), label, inputs, alpha)
-        parts.append(model.transform(VectorAssembler(inputCols=list(inputs), outputCol="__x").transform(df.where(F.col(fold) == f))).drop("__x").withColumnRenamed("prediction", "stacked"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def search(df: DataFrame, label: str, fold: str, folds: int, base: str, grid: Sequence[Mapping]) -> list[tuple[float, Mapping]]:
+def _sums(df: DataFrame, label: str, inputs: Sequence[str], fold: str, centred: bool) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Centres, and for each fold the matrix of sums of products of (1, inputs, label): one aggregate, a row for each fold."""
+    names = [*inputs, label]
+    centre = np.array(df.agg(*[F.avg(c) for c in names]).first() if centred else [0.0] * len(names), dtype=float)
+    terms = [F.lit(1.0), *[F.col(c) - F.lit(float(m)) for c, m in zip(names, centre, strict=True)]]
+    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+    out = {}
+    for r in df.groupBy(fold).agg(*[F.sum(terms[i] * terms[j]).alias(f"m{i}_{j}") for i, j in pairs]).collect():
+        m = np.zeros((len(terms), len(terms)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"m{i}_{j}"]
+        out[r[fold]] = m
+    return centre, out
+
+
+def _nonnegative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least-squares weights with no negative one, from normal equations, by Lawson and Hanson's active sets."""
+    w, free, tolerance = np.zeros(len(b)), np.zeros(len(b), dtype=bool), 1e-12 * (1 + np.abs(b).max(initial=0.0))
+    while True:
+        slope = np.where(free, -np.inf, b - a @ w)
+        if not len(b) or slope.max() <= tolerance:
+            return w
+        free[slope.argmax()] = True
+        while True:
+            s = np.zeros(len(b))
+            s[free] = np.linalg.lstsq(a[np.ix_(free, free)], b[free], rcond=None)[0]
+            if (s[free] > 0).all():
+                break
+            short = free & (s <= 0)
+            w = w + (w[short] / (w[short] - s[short])).min() * (s - w)
+            free &= w > 1e-15
+        w = s
+
+
+def cross_fitted(df: DataFrame, label: str, inputs: Sequence[str], fold: str, alpha: float = 1.0, nonnegative: bool = False) -> dict[int, tuple[list[float], float]]:
+    """For each fold the weights and intercept fitted on the others, from sums of products: ridge with a free intercept, or non-negative weights without one."""
+    centre, sums = _sums(df, label, inputs, fold, not nonnegative)
+    whole, out = sum(sums.values()), {}
+    for f, own in sums.items():
+        m = whole - own
+        if nonnegative:
+            out[f] = (_nonnegative(m[1:-1, 1:-1], m[1:-1, -1]).tolist(), 0.0)
+            continue
+        mean = m[0, 1:] / max(m[0, 0], 1.0)
+        c = m[1:, 1:] - m[0, 0] * np.outer(mean, mean)
+        w = np.linalg.lstsq(c[:-1, :-1] + alpha * np.eye(len(inputs)), c[:-1, -1], rcond=None)[0]
+        out[f] = (w.tolist(), float(centre[-1] + mean[-1] - w @ (centre[:-1] + mean[:-1])))
+    return out
+
+
+def weighted(df: DataFrame, inputs: Sequence[str], fold: str, fitted: Mapping[int, tuple[Sequence[float], float]], name: str = "stacked") -> DataFrame:
+    """Applies each fold's weights to its rows."""
+    value = F.lit(None).cast("double")
+    for f, (w, intercept) in fitted.items():
+        value = F.when(F.col(fold) == f, reduce(lambda a, x: a + x, [F.col(c) * F.lit(float(v)) for c, v in zip(inputs, w, strict=True)], F.lit(float(intercept)))).otherwise(value)
+    return df.withColumn(name, value)
+
+
+def cross_fitted_ridge(df: DataFrame, label: str, inputs: Sequence[str], fold: str, alpha: float = 1.0) -> DataFrame:
+    """Ridge predictions of each fold from the others; ``inputs`` may have context columns beside the predictions."""
+    df = cut(df)
+    return weighted(df, inputs, fold, cross_fitted(df, label, inputs, fold, alpha))
+
+
+def search(df: DataFrame, label: str, fold: str, folds: int, base: str, grid: Sequence[Mapping], key: str) -> list[tuple[float, Mapping]]:
     """Mean absolute error of each parameter set over the folds, best first."""
     scored = []
     for parameters in grid:
-        p = out_of_fold(df, label, fold, folds, {base: parameters}, "__row") if "__row" in df.columns else out_of_fold(df.withColumn("__row", F.monotonically_increasing_id()), label, fold, folds, {base: parameters}, "__row")
-        keyed = df if "__row" in df.columns else df.withColumn("__row", F.monotonically_increasing_id())
-        scored.append((keyed.join(p, "__row").agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0], parameters))
+        predictions = out_of_fold(df, label, fold, folds, {base: parameters}, key)
+        scored.append((df.select(key, label).join(predictions, key).agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0], parameters))
     return sorted(scored, key=lambda x: x[0])
 
 
+def by_mode(df: DataFrame, y: str, predictions: Mapping[str, str]) -> DataFrame:
+    """Metrics of several predictions of the same rows (with and without a signal, say), a row for each mode."""
+    modes = [df.select(F.lit(m).alias("mode"), y, F.col(p).alias("p")) for m, p in predictions.items()]
+    return metrics(reduce(DataFrame.unionByName, modes), y, "p", ["mode"])
+
+
+def ablation(df: DataFrame, label: str, inputs: Sequence[str], fold: str, drops: Mapping[str, Sequence[str]], alpha: float = 1.0) -> DataFrame:
+    """Metrics of cross-fitted ridge with all inputs (``none``) and without each named set of them."""
+    df = cut(df)
+    scored = df
+    variants = {"none": (), **drops}
+    for i, gone in enumerate(variants.values()):
+        kept = [c for c in inputs if c not in gone]
+        scored = weighted(scored, kept, fold, cross_fitted(df, label, kept, fold, alpha), f"__p{i}")
+    return by_mode(scored, label, {v: f"__p{i}" for i, v in enumerate(variants)}).withColumnRenamed("mode", "dropped")
+
+
 def routed(df: DataFrame, signal: str, with_signal: str, without: str):
     """The prediction to use: by whether the signal is there."""
     return df.withColumn("routed", F.when(F.col(signal).isNotNull(), F.col(with_signal)).otherwise(F.col(without)))

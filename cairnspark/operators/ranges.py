@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnspark.sources.tables import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints: computed once, lineage cut. Where no folder is set, local mode gets a temporary one; on a cluster that is an error."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if context.master.partition("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-cut-")
-        context.setCheckpointDir(folder)
+    """Checkpoints in the shared folder: computed once, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

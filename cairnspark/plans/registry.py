@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.functions import clean, scalar, text
-from cairnspark.operators import contract, joins, learn, stats
+from cairnspark.operators import contract, joins, learn, ranges, stats
+from cairnspark.sources import tables
 from cairnspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,7 @@ _PAIRS = f"WITH c AS ({_PLACES}), pairs AS (SELECT x.k AS k, x.attr AS qa, x.val
 #: Word lists of our own test bed.
 ANCHORS = {"north": (33.9, -84.5), "south": (33.1, -84.4), "west": (33.5, -84.95)}
 BRANDS = ("part", "misty", "lavender blue")
+COMPASS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 STREETS = {"street": "st", "st": "st", "avenue": "ave", "ave": "ave", "road": "rd", "rd": "rd"}
 
 
@@ -132,10 +134,10 @@ def _addresses(spark, d):
 @query(rf"""WITH t AS (SELECT p_partkey, lower(p_name) AS n, {_ADDRESS} AS a FROM part) SELECT p_partkey, CASE WHEN n LIKE 'lavender blue %' OR n = 'lavender blue' THEN 'lavender blue' WHEN n LIKE 'misty %' OR n = 'misty' THEN 'misty' WHEN n LIKE 'part %' OR n = 'part' THEN 'part' ELSE regexp_extract(n, '^\S+') END AS brand, CASE p_partkey % 3 WHEN 0 THEN 'st' WHEN 1 THEN 'ave' ELSE '__missing__' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'ne oak hill street' WHEN p_partkey % 3 = 1 THEN 'oak hill ave' ELSE 'oak hill way' END AS street, CASE WHEN p_partkey % 3 = 0 THEN 'NE' ELSE '__missing__' END AS direction, 1 + p_partkey % 90 AS house FROM t""")
 def text_brand_street(spark, d):
     a = F.col("address")
-    return _addresses(spark, d).select("p_partkey", text.brand(F.col("p_name"), BRANDS).alias("brand"), text.street_type(a, STREETS).alias("kind"), text.street_name(a).alias("street"), text.direction(a).alias("direction"), text.house_number(a).alias("house"))
+    return _addresses(spark, d).select("p_partkey", text.brand(F.col("p_name"), BRANDS).alias("brand"), text.street_type(a, STREETS).alias("kind"), text.street_name(a).alias("street"), text.direction(a, COMPASS).alias("direction"), text.house_number(a).alias("house"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents) SELECT doc_id, (lower(t) LIKE '%the%' OR lower(t) LIKE '%der %')::INT AS has_any, regexp_matches(t, '^(The|Der|La)\s')::INT AS starts, regexp_matches(t, '[0-9]')::INT AS digit, (t LIKE '%&%')::INT AS ampersand, length(t) AS n_chars, CASE WHEN trim(t, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim(t, ' '), '\s+')) END::INT AS n_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) / greatest(length(t), 1)::DOUBLE AS upper_ratio, (contains(lower(t), lang))::INT AS lang_in FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents) SELECT doc_id, (lower(t) LIKE '%the%' OR lower(t) LIKE '%der %')::INT AS has_any, regexp_matches(t, '^(The|Der|La)\s')::INT AS starts, regexp_matches(t, '[0-9]')::INT AS digit, (t LIKE '%&%')::INT AS ampersand, length(t) AS n_chars, CASE WHEN trim(t, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim(t, ' '), '\s+')) END::INT AS n_words, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) / greatest(length(t), 1)::DOUBLE AS upper_ratio, (contains(lower(t), lang))::INT AS lang_in FROM t""")
 def text_flags_stats(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", text.any_of(t, ["the", "der "]).alias("has_any"), text.like(t, r"^(The|Der|La)\s").alias("starts"), text.like(t, "[0-9]").alias("digit"), text.like(t, "&").alias("ampersand"), *[c.alias(n) for n, c in text.statistics(t).items()], text.first_word_in(F.col("lang"), t).alias("lang_in"))
@@ -345,7 +347,7 @@ def stack_ridge(spark, d):
     data = learn.assembled(rows, ["quantity", "price", "lines"], ["o_orderpriority", "o_orderstatus"]).select("o_orderkey", "fold", "label", "features")
     bases = {"forest": {"numTrees": 5, "maxDepth": 4}, "linear": {}}
     found = learn.wide(learn.out_of_fold(data, "label", "fold", 3, bases, "o_orderkey"), "o_orderkey", list(bases))
-    stacked = learn.cross_fitted_ridge(data.select("o_orderkey", "fold", "label").join(found, "o_orderkey"), "label", ["pred_forest", "pred_linear"], "fold", 3)
+    stacked = learn.cross_fitted_ridge(data.select("o_orderkey", "fold", "label").join(found, "o_orderkey"), "label", ["pred_forest", "pred_linear"], "fold")
     return stacked.select("o_orderkey", "fold", "pred_forest", "pred_linear", "stacked")
 
 
@@ -364,3 +366,209 @@ def duplicate_keys(spark, d):
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 0 OR o_totalprice > 200000 ORDER BY o_orderkey LIMIT 3")
 def contract_offenders(spark, d):
     return contract.offenders(table(spark, d, "orders"), "o_totalprice", 0, 200000, "o_orderkey")
+
+
+# --- A: sources and sinks ------------------------------------------------------------------------
+@query("SELECT n_nationkey, n_name, NULL::DOUBLE AS feature FROM nation")
+def source_fallback(spark, d):
+    """The first path is absent, so the second is read; a feature table that is absent is empty and joins as nulls."""
+    found = tables.first_readable(spark, [tables.new_path(spark, "absent"), f"{d}/nation.parquet"])
+    features = tables.first_readable(spark, [tables.new_path(spark, "absent")], "n_nationkey int, feature double")
+    return joins.lookup(found, features, ["n_nationkey"], ["feature"]).select("n_nationkey", "n_name", "feature")
+
+
+@query("SELECT f AS format, o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders, (VALUES ('csv'), ('json'), ('parquet')) v(f)")
+def sink_round_trip(spark, d):
+    """Orders through each sink and back with one schema."""
+    o, parts = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), []
+    for fmt in ("csv", "json", "parquet"):
+        path = tables.new_path(spark, "sink") + f".{fmt}"
+        tables.write(o, path, fmt)
+        back = spark.read.schema(o.schema).json(path) if fmt == "json" else tables.read_batch(spark, path, o.schema)
+        parts.append(back.select(F.lit(fmt).alias("format"), "*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT o_orderkey, ((o_custkey * 2654435761) % 4294967296 // 65536 % 4)::INT AS fold, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS base FROM orders")
+def resumed_parts(spark, d):
+    """Half of the (fold, base) parts are written, the missing ones are found, written alone, and all are read back."""
+    o = stats.group_folds(table(spark, d, "orders"), "o_custkey", 4).select("o_orderkey", "fold", F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("base"))
+    path, schema = tables.new_path(spark, "parts"), "o_orderkey long, fold int, base string"
+    tables.write_part(o.where("fold < 2"), path, "fold", "base")
+    expected = o.select("fold", "base").distinct()
+    lacking = tables.missing_parts(spark.read.schema(schema).parquet(path), expected)
+    tables.write_part(o.join(F.broadcast(lacking), ["fold", "base"], "left_semi"), path, "fold", "base")
+    return spark.read.schema(schema).parquet(path)
+
+
+@query("SELECT s_suppkey, r_name AS name, r_regionkey::DOUBLE AS lat, r_regionkey * 2::DOUBLE AS lon FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def anchors_json(spark, d):
+    """A JSON document of places, one for each region, written and joined to suppliers."""
+    path = tables.new_path(spark, "anchors")
+    place = F.struct(F.col("r_name").alias("name"), F.col("r_regionkey").cast("double").alias("lat"), (F.col("r_regionkey") * F.lit(2.0)).alias("lon"))
+    table(spark, d, "region").agg(F.to_json(F.collect_list(place)).alias("value")).write.text(path)
+    anchors = tables.anchors_from_json(spark, path)
+    nations = joins.lookup(table(spark, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), table(spark, d, "region"), ["r_regionkey"], ["r_name"])
+    s = joins.lookup(table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), nations.withColumnRenamed("r_name", "name"), ["n_nationkey"], ["name"])
+    return joins.lookup(s, anchors, ["name"], ["lat", "lon"]).select("s_suppkey", "name", "lat", "lon")
+
+
+# --- B: projections ------------------------------------------------------------------------------
+@query("SELECT p_partkey, p_size, p_retailprice, p_brand, NULL::DOUBLE AS p_area FROM part")
+def feature_projection(spark, d):
+    """Named groups of columns, each once, those that exist, without identifiers; an input that is absent becomes nulls."""
+    p = clean.with_missing(table(spark, d, "part"), ["p_area"])
+    groups = {"size": ["p_size", "p_partkey", "p_none"], "price": ["p_retailprice", "p_size"], "kind": ["p_brand"], "area": ["p_area"]}
+    chosen = clean.feature_columns(groups, ["size", "price", "kind", "area"], p.columns, ["p_partkey"])
+    numeric, other = clean.split_kinds(p, chosen)
+    return clean.renamed(p.select("p_partkey", *numeric, *other, "p_type"), {}, drop=["p_type"])
+
+
+@query("SELECT p_partkey, p_size * 2 AS a, p_size * 2 + 1 AS b FROM part")
+def composed_steps(spark, d):
+    """Two steps, the second using the first's column, and a guard that keeps a second run from doubling again."""
+    def double(df):
+        return clean.once(df, ["a"], lambda x: x.withColumn("a", F.col("p_size") * 2 if "a" not in x.columns else F.col("a") * 2))
+
+    return clean.composed(table(spark, d, "part"), double, double, lambda x: x.withColumn("b", F.col("a") + 1)).select("p_partkey", "a", "b")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE NULL END::INTEGER AS n, CASE event_id % 6 WHEN 3 THEN (event_id % 7)::INTEGER WHEN 4 THEN (event_id % 7)::INTEGER END AS size FROM events")
+def json_junk(spark, d):
+    """Nested lists in their spellings: broken text, an empty list, a word, one quoted object, a list with a null name, null."""
+    k, size = F.col("event_id") % 6, (F.col("event_id") % 7).cast("string")
+    raw = F.when(k == 0, "{junk").when(k == 1, "[]").when(k == 2, "none").when(k == 3, F.concat(F.lit("{'name': None, 'size': "), size, F.lit("}"))).when(k == 4, F.concat(F.lit("[{'name': 'a', 'size': "), size, F.lit('}, null, {"name": "b"}]')))
+    raw = F.when(k == 4, F.translate(raw, '"', "'")).otherwise(raw)
+    items = clean.structs(raw, "name string, size int")
+    return table(spark, d, "events").select("event_id", F.when(items.isNotNull(), F.size(items)).alias("n"), F.get(items, F.lit(0))["size"].alias("size"))
+
+
+# --- D to G: lookups, nested means, reports ------------------------------------------------------
+@query("WITH l AS (SELECT o_custkey, o_orderstatus, avg(o_totalprice) AS mean FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL) SELECT o_orderkey, coalesce(mean, -1) AS mean FROM orders LEFT JOIN l USING (o_custkey, o_orderstatus)")
+def two_key_lookup(spark, d):
+    o = table(spark, d, "orders")
+    means = o.where("o_orderkey % 3 = 0").groupBy("o_custkey", "o_orderstatus").agg(F.avg("o_totalprice").alias("mean"))
+    return joins.lookup(o, means, ["o_custkey", "o_orderstatus"], ["mean"], -1.0).select("o_orderkey", "mean")
+
+
+@query(f"{_PRICED}, j AS (SELECT coalesce(c_mktsegment, 'missing') AS value, y, p_a AS p FROM t LEFT JOIN customer ON o_custkey = c_custkey) SELECT value, count(*) AS n, avg(abs(y - p)) AS mae, median(abs(y - p) / y) AS median_ape FROM j GROUP BY value ORDER BY mae DESC, value LIMIT 3")
+def worst_segments(spark, d):
+    """Predictions with their customers' attributes; the three segments of the greatest error."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    joined = joins.lookup(priced(spark, d), c, ["o_custkey"], ["c_mktsegment"])
+    return stats.top(stats.segment_errors(joined, "y", "p_a", ["c_mktsegment"]), "mae", "value", 3).select("value", "n", "mae", "median_ape")
+
+
+@query("WITH s AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0), g AS (SELECT avg(o_totalprice) AS g FROM s), e AS (SELECT o_custkey, (sum(o_totalprice) + 10 * any_value(g)) / (count(*) + 10) AS encoded FROM s, g GROUP BY o_custkey) SELECT o_orderkey, coalesce(encoded, 0) AS encoded FROM orders LEFT JOIN e USING (o_custkey) WHERE o_orderkey % 5 = 0")
+def frozen_lookup(spark, d):
+    """An encoding fitted on some rows is stored, read again and joined to rows to score."""
+    o, path = table(spark, d, "orders"), tables.new_path(spark, "frozen")
+    tables.write(stats.smoothed_means(o.where("o_orderkey % 5 <> 0"), "o_custkey", "o_totalprice", 10.0), path)
+    frozen = tables.read_batch(spark, path)
+    return joins.lookup(o.where("o_orderkey % 5 = 0"), frozen, ["o_custkey"], ["encoded"], 0.0).select("o_orderkey", "encoded")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_totalprice AS y, o_orderpriority AS a, o_orderstatus AS b, o_custkey % 50 AS c, o_custkey AS f, avg(o_totalprice) OVER () AS g FROM orders) SELECT o_orderkey, """ + ", ".join(f"(sum(y) OVER w{i} + 8 * g) / (count(*) OVER w{i} + 8) AS mean_{i}, count(*) OVER w{i} AS n_{i}" for i in range(1, 5)) + " FROM t WINDOW w1 AS (PARTITION BY a), w2 AS (PARTITION BY a, b), w3 AS (PARTITION BY a, b, c), w4 AS (PARTITION BY a, b, c, f)")
+def nested_smoothed(spark, d):
+    t = table(spark, d, "orders").withColumn("c", F.col("o_custkey") % 50)
+    return stats.nested_means(t, ["o_orderpriority", "o_orderstatus", "c", "o_custkey"], "o_totalprice", 8.0).select("o_orderkey", *[f"{m}_{i}" for i in range(1, 5) for m in ("mean", "n")])
+
+
+@query("WITH e AS (SELECT o_custkey, o_orderpriority, avg(o_totalprice) AS v FROM orders GROUP BY ALL), s AS (SELECT o_orderpriority, avg(v) AS m, stddev_samp(v) AS s FROM e GROUP BY ALL) SELECT o_orderkey, (o_totalprice - m) / s AS z FROM orders JOIN s USING (o_orderpriority)")
+def level_deviation(spark, d):
+    o = table(spark, d, "orders")
+    levels = stats.level_stats(o, "o_custkey", "o_orderpriority", ["o_totalprice"])
+    return stats.deviations(o, levels, "o_orderpriority", ["o_totalprice"]).select("o_orderkey", F.col("o_totalprice_z").alias("z"))
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE o_totalprice > 400000) AS n_null, avg(v) AS mean, median(v) AS median, min(v) AS least, max(v) AS greatest FROM (SELECT o_totalprice, CASE WHEN o_totalprice <= 400000 THEN o_totalprice END AS v FROM orders)")
+def target_profile(spark, d):
+    return stats.target_profile(table(spark, d, "orders").withColumn("v", F.when(F.col("o_totalprice") <= 400000, F.col("o_totalprice"))), "v")
+
+
+@query("SELECT nullif(o_orderstatus, 'P') AS value, count(*) AS n, count(*) / (SELECT count(*) FROM orders)::DOUBLE AS share FROM orders GROUP BY ALL")
+def value_counts(spark, d):
+    return stats.value_counts(table(spark, d, "orders").withColumn("s", F.nullif("o_orderstatus", F.lit("P"))), "s")
+
+
+# --- I: out-of-fold predictions with closed forms ------------------------------------------------
+_ITEMS = "WITH t AS (SELECT o_orderkey, ((any_value(o_custkey) * 2654435761) % 4294967296 // 65536 % 3)::INT AS fold, sum(l_extendedprice) AS y, sum(l_quantity)::DOUBLE AS x1, count(*)::DOUBLE AS x2 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey), f AS (SELECT a.fold, regr_slope(y, x1) AS s1, regr_intercept(y, x1) AS i1, regr_slope(y, x2) AS s2, regr_intercept(y, x2) AS i2 FROM (VALUES (0), (1), (2)) a(fold) JOIN t ON t.fold <> a.fold GROUP BY a.fold), p AS (SELECT o_orderkey, fold, y, i1 + s1 * x1 AS p1, i2 + s2 * x2 AS p2 FROM t JOIN f USING (fold))"
+_BASES = {"p1": {"learner": "linear", "features": ["x1"], "regParam": 0.0}, "p2": {"learner": "linear", "features": ["x2"], "regParam": 0.0}}
+
+
+def _items(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    g = o.groupBy("o_orderkey", "o_custkey").agg(F.sum("l_extendedprice").alias("y"), F.sum("l_quantity").cast("double").alias("x1"), F.count("*").cast("double").alias("x2"))
+    return stats.group_folds(g, "o_custkey", 3)
+
+
+def _base_predictions(spark, d):
+    t = _items(spark, d)
+    return t, learn.out_of_fold(t, "y", "fold", 3, _BASES, "o_orderkey")
+
+
+def _with_bases(spark, d):
+    t, found = _base_predictions(spark, d)
+    return t.join(learn.wide(found, "o_orderkey", list(_BASES)).withColumnsRenamed({"pred_p1": "p1", "pred_p2": "p2"}), "o_orderkey")
+
+
+@query(f"{_ITEMS} SELECT o_orderkey, fold, 'p1' AS base, p1 AS prediction FROM p UNION ALL SELECT o_orderkey, fold, 'p2', p2 FROM p")
+def out_of_fold_linear(spark, d):
+    return _base_predictions(spark, d)[1]
+
+
+@query(f"{_ITEMS}, l AS (SELECT fold, 'p1' AS base, y, p1 AS p FROM p UNION ALL SELECT fold, 'p2', y, p2 FROM p) SELECT fold, base, count(*) AS n, {_METRICS}, sqrt(avg(pow(y - p, 2))) AS rmse FROM l GROUP BY ALL")
+def fold_metrics(spark, d):
+    t, found = _base_predictions(spark, d)
+    return learn.fold_metrics(found, t, "y", "fold", "o_orderkey").select("fold", "base", "n", "mae", "mape", "median_ape", "rmse")
+
+
+@query(f"{_ITEMS}, m AS (SELECT a.fold, avg(y) AS ym, avg(p1) AS m1, avg(p2) AS m2, count(*) * var_pop(p1) + 1 AS c11, count(*) * var_pop(p2) + 1 AS c22, count(*) * covar_pop(p1, p2) AS c12, count(*) * covar_pop(p1, y) AS b1, count(*) * covar_pop(p2, y) AS b2 FROM (VALUES (0), (1), (2)) a(fold) JOIN p ON p.fold <> a.fold GROUP BY a.fold), w AS (SELECT fold, ym, m1, m2, (c22 * b1 - c12 * b2) / (c11 * c22 - c12 * c12) AS w1, (c11 * b2 - c12 * b1) / (c11 * c22 - c12 * c12) AS w2 FROM m) SELECT o_orderkey, fold, ym + w1 * (p1 - m1) + w2 * (p2 - m2) AS stacked FROM p JOIN w USING (fold)")
+def stack_closed_form(spark, d):
+    return learn.cross_fitted_ridge(_with_bases(spark, d), "y", ["p1", "p2"], "fold", 1.0).select("o_orderkey", "fold", "stacked")
+
+
+@query(f"{_ITEMS}, m AS (SELECT a.fold, sum(p1 * p1) AS a11, sum(p2 * p2) AS a22, sum(p1 * p2) AS a12, sum(p1 * y) AS b1, sum(p2 * y) AS b2 FROM (VALUES (0), (1), (2)) a(fold) JOIN p ON p.fold <> a.fold GROUP BY a.fold), u AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS u1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS u2 FROM m), w AS (SELECT fold, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN u1 < 0 THEN 0 ELSE b1 / a11 END AS w1, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN u1 < 0 THEN b2 / a22 ELSE 0 END AS w2 FROM u) SELECT o_orderkey, fold, w1 * p1 + w2 * p2 AS stacked FROM p JOIN w USING (fold)")
+def stack_nonnegative(spark, d):
+    t = ranges.cut(_with_bases(spark, d))
+    return learn.weighted(t, ["p1", "p2"], "fold", learn.cross_fitted(t, "y", ["p1", "p2"], "fold", nonnegative=True)).select("o_orderkey", "fold", "stacked")
+
+
+@query(f"{_PRICED}, l AS (SELECT 'with' AS mode, y, p_a AS p FROM t UNION ALL SELECT 'without', y, p_b FROM t) SELECT mode, count(*) AS n, {_METRICS} FROM l GROUP BY mode")
+def two_way_evaluation(spark, d):
+    return learn.by_mode(priced(spark, d), "y", {"with": "p_a", "without": "p_b"}).select("mode", "n", "mae", "mape", "median_ape")
+
+
+def _ridge_of(x):
+    return f"SELECT a.fold, avg(y) - covar_pop({x}, y) * count(*) / (var_pop({x}) * count(*) + 1) * avg({x}) AS i, covar_pop({x}, y) * count(*) / (var_pop({x}) * count(*) + 1) AS s FROM (VALUES (0), (1), (2)) a(fold) JOIN t ON t.fold <> a.fold GROUP BY a.fold"
+
+
+@query(f"{_ITEMS}, r1 AS ({_ridge_of('x1')}), r2 AS ({_ridge_of('x2')}), l AS (SELECT 'lines' AS dropped, y, i + s * x1 AS p FROM t JOIN r1 USING (fold) UNION ALL SELECT 'quantity', y, i + s * x2 FROM t JOIN r2 USING (fold)) SELECT dropped, count(*) AS n, {_METRICS} FROM l GROUP BY dropped")
+def ablation(spark, d):
+    """Errors of ridge without each input; the row with all inputs is that of stack_closed_form's method and is left out here."""
+    return learn.ablation(_items(spark, d), "y", ["x1", "x2"], "fold", {"lines": ["x2"], "quantity": ["x1"]}).where("dropped <> 'none'").select("dropped", "n", "mae", "mape", "median_ape")
+
+
+@query("""WITH a AS (SELECT p_partkey, p_partkey % 10 = 0 AS q, nullif(p_size, 7)::DOUBLE AS s, p_retailprice AS r, p_size + p_retailprice AS y FROM part), m AS (SELECT median(s) AS ms, median(r) AS mr FROM a WHERE NOT q), b AS (SELECT p_partkey, q, coalesce(s, ms) AS s, r, y FROM a, m), z AS (SELECT avg(s) AS sa, stddev_pop(s) AS sd, avg(r) AS ra, stddev_pop(r) AS rd FROM b WHERE NOT q), c AS (SELECT p_partkey, q, greatest(least((s - sa) / sd, 8), -8) AS s, greatest(least((r - ra) / rd, 8), -8) AS r, y FROM b, z), d AS (SELECT x.p_partkey, o.p_partkey AS pid, o.y, round(sqrt(pow(x.s - o.s, 2) + pow(x.r - o.r, 2)), 9) AS d FROM c x JOIN c o ON x.q AND NOT o.q), k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, pid) AS i FROM d) SELECT p_partkey, coalesce(avg(y) FILTER (WHERE d = 0), sum(y / d) FILTER (WHERE d > 0) / sum(1 / d) FILTER (WHERE d > 0)) AS predicted FROM k WHERE i <= 5 GROUP BY p_partkey""")
+def knn_base(spark, d):
+    """Feature-space neighbours as a base learner: a stated tenth of the parts is predicted from all others."""
+    p = table(spark, d, "part").select("p_partkey", F.nullif("p_size", F.lit(7)).cast("double").alias("s"), F.col("p_retailprice").alias("r"), (F.col("p_size") + F.col("p_retailprice")).alias("y"))
+    return learn.knn_fold(p.where("p_partkey % 10 <> 0"), p.where("p_partkey % 10 = 0"), "p_partkey", ["s", "r"], "y", 5)
+
+
+@query()
+def boosted_importance(spark, d):
+    """Importances of boosted trees with early stopping, averaged over folds, greatest first."""
+    t = _items(spark, d)
+    names = ["x1", "x2"]
+    data = learn.assembled(t, names).withColumn("__stop", F.col("o_orderkey") % 8 == 0)
+    rows = [(f, n, g) for f in range(3) for n, g in learn.importances(learn.trainer("boosted", {"maxIter": 5, "labelCol": "y", "validationIndicatorCol": "__stop"}, fold=f).fit(data.where(F.col("fold") != f)), names)]
+    return stats.importance(spark.createDataFrame(rows, "fold int, feature string, gain double"), 3).orderBy(F.desc("gain"), "feature")
+
+
+@query("SELECT * FROM (VALUES ('missing', 'error', 'gone', 1::BIGINT), ('type', 'error', 'o_orderstatus', 1), ('extra', 'error', 'o_orderdate', 1)) v(kind, severity, \"column\", n) UNION ALL SELECT 'bounds', 'error', 'o_totalprice', count(*) FROM orders WHERE o_totalprice > 200000 HAVING count(*) > 0 UNION ALL SELECT 'null', 'error', 'o_orderpriority', count(*) FROM orders WHERE o_orderpriority LIKE '1%' HAVING count(*) > 0 UNION ALL SELECT 'duplicate', 'error', 'o_custkey,o_orderstatus', sum(n)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus HAVING count(*) > 1) HAVING count(*) > 0")
+def contract_report(spark, d):
+    """A strict contract that the table breaks in every way: a missing, an extra and a wrongly typed column, bounds, nulls, repeated keys."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).alias("o_orderpriority"), "o_totalprice", "o_orderdate")
+    spec = contract.Contract({"values": ("numeric", ["o_totalprice", "o_orderstatus", "gone"]), "names": ("string", ["o_orderpriority"])}, {"o_totalprice": (0, 200000)}, ["o_custkey", "o_orderstatus"], ["o_orderpriority"], strict=True)
+    return contract.validate(o, spec).drop("message")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,13 +14,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, local mode gets a temporary one; on a cluster that is an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return str(folder).rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def first_readable(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame:
-    """The first path that can be read; with a schema, an empty table of it if none can."""
+    """The first path that exists; with a schema, an empty table of it if none does. A path that exists and can't be read raises."""
     for path in paths:
         try:
             return spark.read.parquet(path)
-        except AnalysisException:
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     if schema is None:
         raise FileNotFoundError(", ".join(paths))
     return spark.createDataFrame([], schema)

@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.operators import contract, joins, learn, stats
+from cairnspark.functions import clean
+from cairnspark.operators import contract, joins, learn, ranges, stats
 from cairnspark.plans.registry import ORACLE, QUERIES, places
+from cairnspark.sources import tables
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -80,3 +82,73 @@ def test_ridge_is_the_closed_form(spark):
 def test_unknown_learner_raises():
     with pytest.raises(KeyError):
         learn.trainer("none such")
+
+
+def test_nearest_loses_no_query_at_any_density(spark):
+    """A crowd at one place, pairs a metre apart, far islands, the 180th meridian, a pole, rows without a place."""
+    points = [(i, 10.0, 10.0) for i in range(60)] + [(100, 10.00001, 10.0), (101, -45.0, 179.999), (102, -45.0, -179.999), (103, 89.9, 3.0), (104, 0.0, -120.0)]
+    df = spark.createDataFrame([(i, f"g{i % 2}", a, o) for i, a, o in points] + [(200, "g0", None, 1.0)], "k long, g string, lat double, lon double")
+    x, y = df.alias("x"), df.alias("y")
+    distance = joins.haversine_km(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))
+    for column in ("k", "g"):
+        pairs = x.crossJoin(y).where(F.col(f"x.{column}") != F.col(f"y.{column}")).withColumn("km", F.round(distance, 6)).where("km is not null").select("x.k", F.col("y.k").alias("p"), "km").collect()
+        wanted = set()
+        for q in {r[0] for r in pairs}:
+            wanted |= {(q, r[1]) for r in sorted((r for r in pairs if r[0] == q), key=lambda r: (r[2], r[1]))[:3]}
+        for unit in (0.1, 500.0):
+            assert {(r.q_k, r.p_k) for r in joins.nearest(df, df, 3, "k", unit, exclude=(column, column)).collect()} == wanted
+    assert joins.nearest(df.limit(0), df, 3, "k").count() == 0
+    assert joins.nearest(df, df.limit(0), 3, "k").count() == 0
+
+
+def test_exact_percentiles_and_ranks(spark):
+    values = [5.0, 1.0, 1.0, None, 8.0, 3.0, 3.0, 3.0]
+    df = spark.createDataFrame([(None if i % 2 else "a", v) for i, v in enumerate(values)], "g string, v double")
+    frame = df.toPandas()
+    assert ranges.percentiles(df, (), "v", [0.0, 0.3, 0.5, 1.0]).first()[0] == pytest.approx([frame.v.quantile(q) for q in (0.0, 0.3, 0.5, 1.0)])
+    found = {r.g: r.quantiles[0] for r in ranges.percentiles(df, ["g"], "v", [0.5]).collect()}
+    assert found == {g if isinstance(g, str) else None: m for g, m in frame.groupby("g", dropna=False).v.median().items()}
+    assert {r.value: r["rank"] for r in ranges.average_ranks(df, "v").collect()} == dict(zip(frame.v.dropna(), frame.v.dropna().rank(), strict=True))
+    assert ranges.percentiles(df.limit(0), (), "v", [0.5]).count() == 0
+
+
+def test_guards_raise(spark):
+    n = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(ValueError, match="repeats"):
+        joins.many_to_one(n, n, ["k"])
+    with pytest.raises(ValueError, match="without a match"):
+        joins.many_to_one(n.withColumn("k", F.lit(3)), n.limit(1), ["k"])
+    with pytest.raises(ValueError, match="both sides"):
+        clean.no_overlap(n, n, ["k"])
+    with pytest.raises(KeyError):
+        clean.renamed(n, {"gone": "x"})
+    with pytest.raises(FileNotFoundError):
+        tables.first_readable(spark, [tables.new_path(spark, "absent")])
+
+
+def test_weights_are_nonnegative_least_squares():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    y = x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=200)
+    w = learn._nonnegative(x.T @ x, x.T @ y)
+    slope = x.T @ (y - x @ w)
+    assert (w >= 0).all() and (slope <= 1e-8).all() and np.abs(slope[w > 0]).max() <= 1e-8
+
+
+def test_out_of_fold_goes_on_where_it_stopped(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i), 2.0 * i) for i in range(20)], "k long, fold int, x double, y double")
+    bases, path = {"a": {"learner": "linear", "features": ["x"], "regParam": 0.0}}, tables.new_path(spark, "resumed")
+    marked = spark.createDataFrame([(0, -1.0, 0, "a")], "k long, prediction double, fold int, base string")
+    tables.write_part(marked, path, "fold", "base")
+    found = {(r.fold, r.k): r.prediction for r in learn.out_of_fold(df, "y", "fold", 2, bases, "k", path=path).collect()}
+    assert found[0, 0] == -1.0 and len(found) == 11 and found[1, 3] == pytest.approx(6.0)
+    best = learn.search(df, "y", "fold", 2, "a", [{**bases["a"], "regParam": 50.0}, bases["a"]], "k")
+    assert best[0][1]["regParam"] == 0.0 and best[0][0] == pytest.approx(0.0, abs=1e-6)
+
+
+def test_boosting_stops_early(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 7 > 3)) for i in range(200)], "k long, fold int, x double, y double")
+    found = learn.out_of_fold(df, "y", "fold", 2, {"boosted": {"features": ["x"], "early_stop": True, "maxIter": 3}}, "k")
+    assert found.count() == 200
