@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm import backoff, exact_dedup, fertility, jaccard_join, mixing, packing, string_kernel, token_counts, token_shards, toxicity
 from cairnspark.llm.encoders import _tokenizer, byte_level
+from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, n_tokens int, node long"
 WORDS = "the cat sat on a mat and then it ran off to see what was new in town today".split()
@@ -385,3 +386,69 @@ def test_keep_one_decides_by_row(spark):
     kept = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80).collect())
     groups = Counter((i, t.split()[0] if t else t) for i, t in kept.elements())
     assert groups == Counter({(1, "a0"): 1, (None, "clean0"): 1, (5, "b0"): 1, (None, "c0"): 1, (9, "d0"): 1, (11, None): 2, (None, ""): 1})
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on what the one before wrote, on the smallest tables with planted copies, near copies, nulls and empty texts."""
+    import re
+
+    from corpus_pipeline import COLUMNS, STAGES
+
+    from cairnspark.llm.common import stored
+    from cairnspark.llm.queries import QUERIES
+
+    words_of = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def lower(text):
+        return re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+
+    table = spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS)
+    ids = [r.doc_id for r in table.orderBy("doc_id").select("doc_id").collect()]
+    one = table.where(F.col("doc_id") == ids[3]).first()
+    planted = [(ids[-1] + 1, one.text.upper()), (ids[-1] + 2, one.text), (ids[-1] + 3, one.text + " tail"), (ids[-1] + 4, None), (ids[-1] + 5, "")]
+    docs = table.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in planted], table.schema))
+    scores = {r.doc_id: r.predicted for r in next(q for n, q in QUERIES.items() if n.startswith("op5_"))(spark, SF).collect()}
+
+    out, seen = docs, []
+    for _, stage in STAGES:
+        out = stored(stage(spark, out, SF), "stage-test")
+        seen.append(out)
+    before = [docs, *seen[:-1]]
+    assert all(s.columns == list(COLUMNS) for s in seen[:-1])
+    rows = [[tuple(r) for r in s.collect()] for s in (*before, seen[-1])]
+
+    assert {r[0] for r in rows[1]} & set(ids) == {i for i in ids if not scores[i]}
+    last = {}
+    for r in rows[1]:
+        last[lower(r[1])] = max(last.get(lower(r[1]), -1), r[0])
+    assert sorted(r[0] for r in rows[2]) == sorted(last.values())
+
+    sets = {}
+    for r in rows[2]:
+        w = words_of.findall(lower(r[1]))
+        sets[r[0]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert len(sets) > len({root(i) for i in sets})
+    assert sorted(r[0] for r in rows[3]) == sorted({root(i) for i in sets})
+
+    assert set(rows[4]) <= set(rows[3]) and rows[4]
+    texts, pieces, sequences = {r[0]: ids_of(r[1]) for r in rows[4]}, Counter(), {}
+    for r in seen[-1].collect():
+        assert r.ids_crc32 == crc(texts[r.doc_id][r.start : r.start + r.length])
+        pieces[r.doc_id] += r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces == Counter({i: n * len(texts[i]) for i, n in Counter(r[0] for r in rows[4]).items()})
+    for parts in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)])]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
