@@ -140,7 +140,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the rows that the model rejects, all columns as they are."""
+    """``docs`` without the rows that the model rejects, all columns as they are.
+
+    Null and empty texts have no features and get the model's bias alone; repeated rows and ties are judged by their
+    text alone, so alike; an empty table stays empty.
+    """
     model = fit_toxicity(docs, labels.where(~held_out))
     names = docs.columns
     place = names.index("text")

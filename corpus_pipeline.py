@@ -1,6 +1,8 @@
 """From documents to packed training sequences, in five stages.
 
-Each stage reads what the one before has written; all but the last return the columns of documents.
+Each stage reads what the one before has written; all but the last return the columns of documents. Each takes those
+columns alone, so others of any name do no harm. Null and empty texts count as one text for exact copies, are never near
+copies of anything, and pack as their end id alone; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: The first stage is a trained model, which SQL doesn't express; tests compare stages with brute force.
+#: The first stage is a trained model, which SQL doesn't express; tests/llm compares the chain with brute force.
 ORACLE_SQL = None
 
 
