@@ -35,7 +35,7 @@ class Ftrl:
     ``choose_rates`` compares values of ``alpha`` and ``l1`` on training labels alone; the README has its figures.
     """
 
-    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
+    def __init__(self, alpha: float = 4.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -120,7 +120,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, **rates: float) -> Toxicity
     return ToxicityModel.fit(labelled_sample(docs, labels), **rates)
 
 
-def choose_rates(docs: DataFrame, labels: DataFrame, alphas=(0.5, 1.0, 2.0, 4.0), l1s=(1.0, 2.0, 4.0, 8.0, 16.0), parts: int = 4) -> DataFrame:
+def choose_rates(docs: DataFrame, labels: DataFrame, alphas=(0.5, 1.0, 2.0, 4.0, 8.0, 16.0), l1s=(2.0, 4.0, 8.0, 16.0), parts: int = 4) -> DataFrame:
     """alpha, l1, log_loss and weights (how many aren't zero) for each pair of rates, a task for each.
 
     ``labels`` are the training labels alone. One of ``parts`` parts of the labelled sample is kept from fitting and
