@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and the pipeline, with production parameters, and SQL where SQL expresses them."""
+"""The queries op1 to op13 and the pipeline, with production parameters, and SQL where SQL expresses them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import backoff, exact_dedup, fertility, jaccard_join, mixing, packing, string_kernel, token_counts, token_shards, toxicity
+from cairnspark.llm import backoff, exact_dedup, fertility, jaccard_join, mixing, packing, simhash, string_kernel, token_counts, token_shards, toxicity
 from cairnspark.llm.common import documents, remainder
 
 
@@ -53,13 +53,17 @@ def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(documents(spark, sf_dir, "doc_id", "text", "lang", "source"), min_share=0.0)
 
 
+def op11_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(documents(spark, sf_dir, "doc_id", "text"), words=3, distance=2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_tokeniser_fertility, op2_string_kernel_language, op3_elias_fano_shards, op4_pretoken_counts, op5_ftrl_toxicity, op6_backoff_automaton, op7_jaccard_fragments, op8_merge_index, op9_local_search_packing, op10_raked_mixture, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_tokeniser_fertility, op2_string_kernel_language, op3_elias_fano_shards, op4_pretoken_counts, op5_ftrl_toxicity, op6_backoff_automaton, op7_jaccard_fragments, op8_merge_index, op9_local_search_packing, op10_raked_mixture, op11_pivot_simhash, pipeline)}
 
 #: crc32 of the id's digits in SQL: each digit is followed by seven zeros, one bit is shifted out for each entry.
 _CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, 3988292384::BIGINT * (xor(c, x) & 1))), 4294967295::BIGINT)"
