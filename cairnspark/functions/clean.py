@@ -28,12 +28,27 @@ def or_sentinel(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(SENTINEL))
 
 
+#: Strings in either quotes, words, and what lies between.
+_TOKENS = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[A-Za-z_]+|[^A-Za-z_"']++|.)"""
+#: Words outside strings that JSON spells another way.
+_WORDS = {"None": "null", "True": "true", "False": "false"}
+
+
+def _json_token(token: Column) -> Column:
+    """A single-quoted string in double quotes: ``\\'`` loses its backslash, a bare ``"`` gets one; words by _WORDS; the rest as it is."""
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    inner = F.regexp_replace(F.regexp_replace(inner, r"(\\\\)|\\(')", "$1$2"), r'\G((?:[^"\\]|\\.)*+)"', r'$1\\"')
+    word = F.element_at(F.create_map(*[F.lit(x) for pair in _WORDS.items() for x in pair]), token)
+    return F.when(token.startswith("'") & (F.length(token) > 1), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(F.coalesce(word, token))
+
+
 def structs(c: Column, fields: str) -> Column:
     """A string with a JSON array or object, or its single-quoted spelling, as an array of structs; null for junk.
 
+    Strings are told from words, so an apostrophe in double quotes, an escaped one, and words in names stay as they are.
     Text counts as JSON only if it parses as a whole; elements that are null are left out.
     """
-    spelled = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false"), "'", '"')
+    spelled = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_TOKENS), F.lit(1)), _json_token), "")
 
     def parsed(text: Column) -> Column:
         listed = F.when(F.trim(text).startswith("["), F.trim(text)).when(F.trim(text).startswith("{"), F.concat(F.lit("["), F.trim(text), F.lit("]")))

@@ -31,8 +31,8 @@ def many_to_one(fact: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> D
 
 
 def lookup(df: DataFrame, values: DataFrame, keys: Sequence[str], columns: Sequence[str], default: Column | float | None = None) -> DataFrame:
-    """Left join to a lookup with one row per key; nulls take the default."""
-    joined = df.join(values.select(*keys, *columns), list(keys), "left")
+    """Left join to a lookup with one row per key; nulls take the default. A looked-up column takes the place of one of that name."""
+    joined = df.drop(*[c for c in columns if c not in keys]).join(values.select(*keys, *columns), list(keys), "left")
     return joined if default is None else joined.withColumns({c: F.coalesce(c, default if isinstance(default, Column) else F.lit(default)) for c in columns})
 
 

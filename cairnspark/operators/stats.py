@@ -7,15 +7,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.operators.ranges import average_ranks, cut, ordered_counts, percentiles
+from cairnspark.operators.ranges import average_ranks, cut, medians, ordered_counts, percentiles
+
+
+def _with_groups(df: DataFrame, table: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Left join on groups of which null is one."""
+    named = table.withColumnsRenamed({g: f"__by_{g}" for g in groups})
+    same = F.lit(True)
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__by_{g}"))
+    return df.join(named, same, "left").drop(*[f"__by_{g}" for g in groups])
 
 
 def structure(df: DataFrame, group: str, size: str, kind: str, row: str) -> DataFrame:
     """Size, distinct values, extremes, median and first (by row key) of each group, its spread and typology score."""
     g = df.groupBy(group).agg(
         F.count("*").alias("n"), F.countDistinct(size).alias("n_sizes"), F.countDistinct(kind).alias("n_kinds"), F.min(size).alias("size_min"),
-        F.max(size).alias("size_max"), F.median(size).alias("size_median"), F.min_by(kind, row).alias("first_kind"),
+        F.max(size).alias("size_max"), F.min_by(kind, row).alias("first_kind"),
     )
+    g = _with_groups(g, medians(df, [group], {"size_median": F.col(size)}), [group])
     spread = (F.col("size_max") - F.col("size_min")) / F.when(F.col("size_median") > 0, F.col("size_median"))
     tests = [F.col("n") >= 3, F.col("n_sizes") >= 2, F.col("n_kinds") >= 2, F.coalesce(F.col("spread") > 0.5, F.lit(False))]
     score = sum((t.cast("int") for t in tests[1:]), tests[0].cast("int"))
@@ -26,11 +36,7 @@ def level_stats(df: DataFrame, entity: str, level: str, values: Sequence[str]) -
     """Statistics of entity means for each level: one aggregate for entities and one for the level."""
     entities = df.groupBy(entity, level).agg(*[F.avg(v).alias(v) for v in values])
     columns = [f(v).alias(f"{v}_{name}") for v in values for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))]
-    out = entities.groupBy(level).agg(*columns)
-    for v in values:
-        middle = percentiles(entities, [level], v, [0.5]).select(F.col(level).alias("__l"), F.col("quantiles")[0].alias(f"{v}_median"))
-        out = out.join(middle, F.col(level).eqNullSafe(F.col("__l")), "left").drop("__l")
-    return out
+    return _with_groups(entities.groupBy(level).agg(*columns), medians(entities, [level], {f"{v}_median": F.col(v) for v in values}), [level])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -49,7 +55,8 @@ def lag_pivot(panel: DataFrame, keys: Sequence[str], month: str, value: str, anc
 def z_scores(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean, deviation, extremes, median of the group on each row, and the z-score (0 without spread)."""
     w = Window.partitionBy(group)
-    df = df.withColumns({"g_mean": F.avg(value).over(w), "g_std": F.stddev_samp(value).over(w), "g_min": F.min(value).over(w), "g_max": F.max(value).over(w), "g_median": F.median(value).over(w)})
+    df = df.withColumns({"g_mean": F.avg(value).over(w), "g_std": F.stddev_samp(value).over(w), "g_min": F.min(value).over(w), "g_max": F.max(value).over(w)})
+    df = _with_groups(df, medians(df, [group], {"g_median": F.col(value)}), [group])
     return df.withColumn("z", F.coalesce((F.col(value) - F.col("g_mean")) / F.when(F.col("g_std") > 1e-9, F.col("g_std")), F.lit(0.0)))
 
 
@@ -84,13 +91,11 @@ def quantile_class(df: DataFrame, value: str, labels: Sequence[str]) -> DataFram
 
 
 def standardised(df: DataFrame, values: Sequence[str], clip: float = 8.0) -> DataFrame:
-    """Median for nulls, then (x - mean) / population deviation (1 if none), clipped; fitted on all rows of ``df``."""
-    filled = df
-    for v in values:
-        middle = percentiles(df, (), v, [0.5]).select(F.col("quantiles")[0].alias(f"__m_{v}"))
-        filled = filled.join(F.broadcast(middle), how="left").withColumn(v, F.coalesce(F.col(v), F.col(f"__m_{v}")))  # one row, none if all are null
+    """Median for nulls, then (x - mean) / population deviation (1 if none), clipped; fitted on all rows of ``df``. A column without any value stays null."""
+    middle = medians(df, (), {f"__m_{v}": F.col(v) for v in values})
+    filled = df.join(F.broadcast(middle), how="cross").withColumns({v: F.coalesce(F.col(v), F.col(f"__m_{v}")) for v in values})  # one row
     moments = filled.agg(*[f(v).alias(f"__{n}_{v}") for v in values for n, f in (("a", F.avg), ("s", F.stddev_pop))])
-    scaled = {v: F.greatest(F.least((F.col(v) - F.col(f"__a_{v}")) / F.when(F.col(f"__s_{v}") > 1e-8, F.col(f"__s_{v}")).otherwise(1.0), F.lit(clip)), F.lit(-clip)) for v in values}
+    scaled = {v: F.when(F.col(v).isNotNull(), F.greatest(F.least((F.col(v) - F.col(f"__a_{v}")) / F.when(F.col(f"__s_{v}") > 1e-8, F.col(f"__s_{v}")).otherwise(1.0), F.lit(clip)), F.lit(-clip))) for v in values}
     return filled.join(F.broadcast(moments), how="cross").withColumns(scaled).select(*df.columns)
 
 
@@ -109,21 +114,47 @@ def balanced_folds(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def smoothed_means(df: DataFrame, category: str, target: str, strength: float) -> DataFrame:
-    """Empirical-Bayes mean of every non-null category: (n * mean + s * global) / (n + s)."""
+    """Empirical-Bayes mean of every non-null category: (n * mean + s * global) / (n + s); the global mean where a category has no target."""
     overall = df.agg(F.avg(target).alias("__g"))
     sums = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
-    return sums.join(F.broadcast(overall), how="cross").select(category, ((F.col("s") + strength * F.col("__g")) / (F.col("n") + strength)).alias("encoded"), "n")
+    return sums.join(F.broadcast(overall), how="cross").select(category, F.coalesce((F.col("s") + strength * F.col("__g")) / F.nullif(F.col("n") + strength, F.lit(0.0)), F.col("__g")).alias("encoded"), "n")
 
 
 def leave_fold_out(df: DataFrame, category: str, target: str, fold: str, strength: float) -> DataFrame:
-    """Each row's category mean from the other folds, smoothed to the other folds' mean: totals minus the fold's own."""
+    """Each row's category mean from the other folds, smoothed to the other folds' mean: totals minus the fold's own.
+    A null category, and one that the other folds lack, gets the other folds' mean."""
     by_fold = df.groupBy(category, fold).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
     cells = by_fold.withColumns({"rest_s": F.sum("s").over(Window.partitionBy(category)) - F.col("s"), "rest_n": F.sum("n").over(Window.partitionBy(category)) - F.col("n")})
     folds = df.groupBy(fold).agg(F.sum(target).alias("fs"), F.count(target).alias("fn"))
     total = folds.agg(F.sum("fs").alias("ts"), F.sum("fn").alias("tn"))
     prior = folds.join(F.broadcast(total), how="cross").select(fold, ((F.col("ts") - F.col("fs")) / F.nullif(F.col("tn") - F.col("fn"), F.lit(0))).alias("prior"))
-    encoded = cells.join(F.broadcast(prior), fold).select(category, fold, ((F.col("rest_s") + strength * F.col("prior")) / (F.col("rest_n") + strength)).alias("encoded"))
-    return df.join(encoded, [category, fold], "left")
+    smoothed = (F.coalesce("rest_s", F.lit(0.0)) + strength * F.col("prior")) / F.nullif(F.col("rest_n") + strength, F.lit(0.0))
+    encoded = cells.where(F.col(category).isNotNull()).join(F.broadcast(prior), fold).select(category, fold, smoothed.alias("encoded"))
+    joined = df.join(encoded, [category, fold], "left").join(F.broadcast(prior), fold, "left")
+    return joined.withColumn("encoded", F.coalesce("encoded", "prior")).drop("prior")
+
+
+def leave_fold_out_median(df: DataFrame, category: str, target: str, fold: str) -> DataFrame:
+    """Adds ``median`` and ``n_rest``: the exact median target of each row's category over the other folds, and how many rows that has.
+
+    Value counts of (category, value) less those of the fold give the counts that the fold may see, so a median costs
+    as many rows as there are distinct values, once for each fold. A null category, and one that the other folds lack, gets the
+    median of the other folds' rows.
+    """
+    folds = F.broadcast(df.select(F.col(fold).alias("__f")).distinct().agg(F.collect_set("__f").alias("__folds")))  # one row of fold numbers
+
+    def without_fold(by: Sequence[str]) -> DataFrame:
+        own = df.where(F.col(target).isNotNull()).groupBy(*by, F.col(target).alias("__y"), F.col(fold).alias("__f")).agg(F.count("*").alias("__n"))
+        both = own.groupBy(*by, "__y").agg(F.sum("__n").alias("__all"), F.map_from_entries(F.collect_list(F.struct("__f", "__n"))).alias("__own"))
+        rest = both.join(folds, how="cross").select(*by, "__y", F.explode("__folds").alias(fold), "__all", "__own")
+        counted = cut(rest.select(*by, fold, "__y", (F.col("__all") - F.coalesce(F.col("__own")[F.col(fold)], F.lit(0))).alias("__n")))
+        sizes = counted.groupBy(*by, fold).agg(F.sum("__n").alias("n_rest"))
+        return percentiles(counted, [*by, fold], "__y", [0.5], weight="__n").select(*by, fold, F.col("quantiles")[0].alias("median")).join(sizes, [*by, fold])
+
+    overall = without_fold([]).select(fold, F.col("median").alias("__overall"))
+    table = without_fold([category])
+    out = df.join(table, [category, fold], "left").join(F.broadcast(overall), fold, "left")
+    return out.withColumns({"median": F.coalesce("median", "__overall"), "n_rest": F.coalesce("n_rest", F.lit(0))}).drop("__overall")
 
 
 def leave_group_out(df: DataFrame, cell: Sequence[str], group: str, target: str, strength: float) -> DataFrame:
@@ -158,12 +189,8 @@ def fallback(df: DataFrame, levels: Sequence[str], target: str, least: int) -> D
 
 
 def _middles(df: DataFrame, by: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    """Exact medians of several expressions for each group, each by ranges."""
-    out = None
-    for name, value in values.items():
-        one = percentiles(df.select(*by, value.alias("__v")), by, "__v", [0.5]).select(*by, F.col("quantiles")[0].alias(name))
-        out = one if out is None else out.join(one, [*by], "full") if by else out.join(one, how="full")
-    return out
+    """Exact medians of several expressions for each group, in one pass."""
+    return medians(df, by, values)
 
 
 def metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -225,14 +252,14 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def unit_value(df: DataFrame, level: str, value: str, size: str, reference: Column | None = None) -> DataFrame:
-    """Median value per unit of size of the row's level, else of all rows, times the row's size (null: 0).
+    """Median value per unit of size of the row's level, else of all reference rows, times the row's size (null: 0).
 
-    Levels have medians from the ``reference`` rows only (all where None); sizes of 0 or less have no unit value.
+    Both medians are those of the ``reference`` rows only (all rows where None), so other rows' values move nothing; sizes of 0 or less have no unit value.
     """
     units = df.withColumn("__u", F.col(value) / F.when(F.col(size) > 0, F.col(size)))
     known = units if reference is None else units.where(reference)
     level_middle = percentiles(known.where(F.col(level).isNotNull()), [level], "__u", [0.5]).select(level, F.col("quantiles")[0].alias("__m"))
-    overall = percentiles(units, (), "__u", [0.5]).select(F.col("quantiles")[0].alias("__o"))
+    overall = percentiles(known, (), "__u", [0.5]).select(F.col("quantiles")[0].alias("__o"))
     joined = df.join(level_middle, level, "left").join(F.broadcast(overall), how="left")
     return joined.withColumn("unit_value", F.coalesce("__m", "__o") * F.coalesce(F.col(size), F.lit(0))).drop("__m", "__o")
 
@@ -248,10 +275,10 @@ def deviations(df: DataFrame, level_table: DataFrame, level: str, values: Sequen
 def nested_means(df: DataFrame, levels: Sequence[str], target: str, strength: float) -> DataFrame:
     """Smoothed mean and count of each row's cell at every depth of ``levels``: one aggregate, rolled up from the finest cells.
 
-    A null level counts as a level of its own. Columns ``mean_1`` .. and ``n_1`` .. follow the depth, coarsest first.
+    A null level counts as a level of its own, whatever texts there are. Columns ``mean_1`` .. and ``n_1`` .. follow the depth, coarsest first.
     """
     names = [f"__l{i}" for i in range(len(levels))]
-    keyed = df.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("__missing__")) for n, c in zip(names, levels, strict=True)})
+    keyed = df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for n, c in zip(names, levels, strict=True)})
     cells = cut(keyed.groupBy(*names).agg(F.sum(target).alias("s"), F.count(target).alias("n")))
     overall = cells.agg((F.sum("s") / F.sum("n")).alias("__g"))
     out = keyed.join(F.broadcast(overall), how="left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.functions import clean, scalar, text
-from cairnspark.operators import contract, joins, learn, ranges, stats
+from cairnspark.operators import contract, encode, joins, learn, ranges, stats
 from cairnspark.sources import tables
 from cairnspark.sources.tables import table
 
@@ -207,9 +207,10 @@ def feature_knn_regression(spark, d):
 
 
 # --- E, F, G: aggregates, windows, top-k ---------------------------------------------------------
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_quantity) AS n_sizes, count(DISTINCT l_returnflag) AS n_kinds, min(l_quantity) AS size_min, max(l_quantity) AS size_max, median(l_quantity) AS size_median FROM lineitem GROUP BY l_orderkey), s AS (SELECT *, (size_max - size_min) / nullif(size_median, 0) AS spread FROM g) SELECT *, (n >= 3)::INT + (n_sizes >= 2)::INT + (n_kinds >= 2)::INT + coalesce(spread > 0.5, false)::INT AS score, ((n >= 3) AND (n_sizes >= 2) AND (n_kinds >= 2) AND coalesce(spread > 0.5, false))::INT AS is_mixed FROM s""")
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_quantity) AS n_sizes, count(DISTINCT l_returnflag) AS n_kinds, min(l_quantity) AS size_min, max(l_quantity) AS size_max, median(l_quantity) AS size_median, arg_min(l_returnflag, l_linenumber * 1000000.0::DOUBLE + l_extendedprice) AS first_kind FROM lineitem GROUP BY l_orderkey), s AS (SELECT *, (size_max - size_min) / nullif(size_median, 0) AS spread FROM g) SELECT *, (n >= 3)::INT + (n_sizes >= 2)::INT + (n_kinds >= 2)::INT + coalesce(spread > 0.5, false)::INT AS score, ((n >= 3) AND (n_sizes >= 2) AND (n_kinds >= 2) AND coalesce(spread > 0.5, false))::INT AS is_mixed FROM s""")
 def group_typology(spark, d):
-    return stats.structure(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", "l_returnflag", "l_linenumber").drop("first_kind")
+    items = table(spark, d, "lineitem").withColumn("row", F.col("l_linenumber") * F.lit(1000000.0) + F.col("l_extendedprice"))
+    return stats.structure(items, "l_orderkey", "l_quantity", "l_returnflag", "row")
 
 
 @query("""WITH e AS (SELECT o_custkey, o_orderpriority, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT o_orderpriority, avg(v) AS o_totalprice_mean, median(v) AS o_totalprice_median, stddev_samp(v) AS o_totalprice_std, count(v) AS o_totalprice_count FROM e GROUP BY ALL""")
@@ -222,7 +223,7 @@ def smoothed_encode(spark, d):
     return stats.smoothed_means(table(spark, d, "orders"), "o_custkey", "o_totalprice", 10.0)
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice / (1 + o_orderkey % 9) AS u, o_orderkey % 9 + 1 AS size FROM orders), m AS (SELECT o_orderpriority, median(u) AS m FROM o WHERE o_orderpriority NOT LIKE '1%' GROUP BY ALL) SELECT o_orderkey, coalesce(m, (SELECT median(u) FROM o)) * size AS unit_value FROM o LEFT JOIN m USING (o_orderpriority)""")
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice / (1 + o_orderkey % 9) AS u, o_orderkey % 9 + 1 AS size FROM orders), m AS (SELECT o_orderpriority, median(u) AS m FROM o WHERE o_orderpriority NOT LIKE '1%' GROUP BY ALL) SELECT o_orderkey, coalesce(m, (SELECT median(u) FROM o WHERE o_orderpriority NOT LIKE '1%')) * size AS unit_value FROM o LEFT JOIN m USING (o_orderpriority)""")
 def group_unit_price(spark, d):
     o = table(spark, d, "orders").withColumn("size", F.col("o_orderkey") % 9 + 1)
     return stats.unit_value(o, "o_orderpriority", "o_totalprice", "size", ~F.col("o_orderpriority").startswith("1")).select("o_orderkey", "unit_value")
@@ -321,6 +322,44 @@ def leave_fold_out_encode(spark, d):
     return stats.leave_fold_out(o, "o_orderpriority", "o_totalprice", "fold", 10.0).select("o_orderkey", "fold", "encoded")
 
 
+_FOLDED = _PLACES.replace(" FROM customer", ", ((c_custkey * 2654435761) % 4294967296 // 65536 % 4)::INT AS fold FROM customer")
+
+
+@query(f"""WITH c AS ({_FOLDED}), f AS (SELECT a.fold, avg(value) AS prior FROM (SELECT DISTINCT fold FROM c) a JOIN c ON c.fold <> a.fold GROUP BY a.fold),
+e AS (SELECT a.fold, attr, (sum(value) + 10 * any_value(prior)) / (count(*) + 10) AS encoded, median(value) AS median, count(*) AS n_rest FROM f a JOIN c ON c.fold <> a.fold GROUP BY a.fold, attr),
+r AS (SELECT x.k, y.value, row_number() OVER (PARTITION BY x.k ORDER BY round({_KM.format(a='x.', b='y.')}, 6), y.k) AS i FROM c x JOIN c y ON x.fold <> y.fold), n AS (SELECT k, avg(value) AS near FROM r WHERE i <= 5 GROUP BY k)
+SELECT k, c.fold, encoded, median, n_rest, near, encoded * nation AS encoded_by_nation, median * nation AS median_by_nation, near * nation AS near_by_nation FROM c JOIN e USING (fold, attr) JOIN n USING (k)""")
+def fold_encodings(spark, d):
+    """Mean, median and neighbours of each row over the other folds, and their products with an attribute."""
+    rows = stats.group_folds(places(spark, d), "k", 4)
+    names = ["encoded", "median", "near"]
+    return encode.fold_encodings(rows, "k", "attr", "value", "nation", "fold", 10.0, 5).select("k", "fold", *names, "n_rest", *[f"{n}_by_nation" for n in names])
+
+
+@query("WITH t AS (SELECT o_custkey, avg(o_totalprice) AS o_totalprice, arg_min(nullif(o_orderstatus, 'P'), CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END) AS o_orderstatus FROM orders GROUP BY o_custkey) SELECT * FROM t")
+def entity_rows(spark, d):
+    """One row per customer: mean price, and the status of the first order that has one."""
+    o = table(spark, d, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+    return encode.one_per_entity(o, "o_custkey", ["o_totalprice"], ["o_orderstatus"], "o_orderkey")
+
+
+@query("WITH t AS (SELECT o_custkey, nullif(o_orderstatus, 'P') AS a, o_orderkey, o_orderdate, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / (1 + o_orderkey % 3) END AS u FROM orders) SELECT o_custkey, a, count(u) AS n, arg_min(o_orderdate, o_orderkey) AS o_orderdate, median(u) AS u_median FROM t GROUP BY o_custkey, a")
+def entity_attribute_pool(spark, d):
+    """Median unit price and first date of each (customer, status), also where the status is null or no order has a price."""
+    o = table(spark, d, "orders").select("o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("a"), "o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice") / (1 + F.col("o_orderkey") % 3)).alias("u"))
+    return encode.attribute_pool(o, "o_custkey", "a", "u", ["o_orderdate"], "o_orderkey")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'O''Hare' WHEN 1 THEN 'None Such' WHEN 2 THEN 'True \"False\"' WHEN 3 THEN 'it''s \\ x' END AS name, (event_id % 5 = 1) AS flag FROM events")
+def json_quotes(spark, d):
+    """Apostrophes in either quotes, quotes in single quotes, backslashes, and names with None and True in them."""
+    k = F.col("event_id") % 5
+    raw = F.when(k == 0, """[{'name': "O'Hare", 'flag': False}]""").when(k == 1, "{'name': 'None Such', 'flag': True}").when(k == 2, """[{'name': 'True "False"', 'flag': False}]""")
+    raw = raw.when(k == 3, r"[{'name': 'it\'s \\ x', 'flag': False}]").otherwise("{'name': None, 'flag': False}")
+    item = clean.matching(clean.structs(raw, "name string, flag boolean"), "name", F.lit("none such"))
+    return table(spark, d, "events").select("event_id", item["name"].alias("name"), item["flag"].alias("flag"))
+
+
 @query("SELECT o_orderkey, CASE WHEN NOT (((o_orderkey + 3) * 2654435761 % 4294967296) // 65536 % 10000 < 3000) THEN o_totalprice END AS o_totalprice FROM orders")
 def nullify_mask(spark, d):
     return stats.nullified(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], "o_orderkey", 0.3, 3)
@@ -543,10 +582,13 @@ def _ridge_of(x):
     return f"SELECT a.fold, avg(y) - covar_pop({x}, y) * count(*) / (var_pop({x}) * count(*) + 1) * avg({x}) AS i, covar_pop({x}, y) * count(*) / (var_pop({x}) * count(*) + 1) AS s FROM (VALUES (0), (1), (2)) a(fold) JOIN t ON t.fold <> a.fold GROUP BY a.fold"
 
 
-@query(f"{_ITEMS}, r1 AS ({_ridge_of('x1')}), r2 AS ({_ridge_of('x2')}), l AS (SELECT 'lines' AS dropped, y, i + s * x1 AS p FROM t JOIN r1 USING (fold) UNION ALL SELECT 'quantity', y, i + s * x2 FROM t JOIN r2 USING (fold)) SELECT dropped, count(*) AS n, {_METRICS} FROM l GROUP BY dropped")
+_BOTH = "SELECT a.fold, avg(y) AS ym, avg(x1) AS m1, avg(x2) AS m2, count(*) * var_pop(x1) + 1 AS c11, count(*) * var_pop(x2) + 1 AS c22, count(*) * covar_pop(x1, x2) AS c12, count(*) * covar_pop(x1, y) AS b1, count(*) * covar_pop(x2, y) AS b2 FROM (VALUES (0), (1), (2)) a(fold) JOIN t ON t.fold <> a.fold GROUP BY a.fold"
+
+
+@query(f"{_ITEMS}, r0 AS ({_BOTH}), r1 AS ({_ridge_of('x1')}), r2 AS ({_ridge_of('x2')}), l AS (SELECT 'none' AS dropped, y, ym + (c22 * b1 - c12 * b2) / (c11 * c22 - c12 * c12) * (x1 - m1) + (c11 * b2 - c12 * b1) / (c11 * c22 - c12 * c12) * (x2 - m2) AS p FROM t JOIN r0 USING (fold) UNION ALL SELECT 'lines', y, i + s * x1 AS p FROM t JOIN r1 USING (fold) UNION ALL SELECT 'quantity', y, i + s * x2 FROM t JOIN r2 USING (fold)) SELECT dropped, count(*) AS n, {_METRICS} FROM l GROUP BY dropped")
 def ablation(spark, d):
-    """Errors of ridge without each input; the row with all inputs is that of stack_closed_form's method and is left out here."""
-    return learn.ablation(_items(spark, d), "y", ["x1", "x2"], "fold", {"lines": ["x2"], "quantity": ["x1"]}).where("dropped <> 'none'").select("dropped", "n", "mae", "mape", "median_ape")
+    """Errors of ridge with all inputs and without each."""
+    return learn.ablation(_items(spark, d), "y", ["x1", "x2"], "fold", {"lines": ["x2"], "quantity": ["x1"]}).select("dropped", "n", "mae", "mape", "median_ape")
 
 
 @query("""WITH a AS (SELECT p_partkey, p_partkey % 10 = 0 AS q, nullif(p_size, 7)::DOUBLE AS s, p_retailprice AS r, p_size + p_retailprice AS y FROM part), m AS (SELECT median(s) AS ms, median(r) AS mr FROM a WHERE NOT q), b AS (SELECT p_partkey, q, coalesce(s, ms) AS s, r, y FROM a, m), z AS (SELECT avg(s) AS sa, stddev_pop(s) AS sd, avg(r) AS ra, stddev_pop(r) AS rd FROM b WHERE NOT q), c AS (SELECT p_partkey, q, greatest(least((s - sa) / sd, 8), -8) AS s, greatest(least((r - ra) / rd, 8), -8) AS r, y FROM b, z), d AS (SELECT x.p_partkey, o.p_partkey AS pid, o.y, round(sqrt(pow(x.s - o.s, 2) + pow(x.r - o.r, 2)), 9) AS d FROM c x JOIN c o ON x.q AND NOT o.q), k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, pid) AS i FROM d) SELECT p_partkey, coalesce(avg(y) FILTER (WHERE d = 0), sum(y / d) FILTER (WHERE d > 0) / sum(1 / d) FILTER (WHERE d > 0)) AS predicted FROM k WHERE i <= 5 GROUP BY p_partkey""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.functions import clean
-from cairnspark.operators import contract, joins, learn, ranges, stats
+from cairnspark.operators import contract, encode, joins, learn, ranges, stats
 from cairnspark.plans.registry import ORACLE, QUERIES, places
 from cairnspark.sources import tables
 from tests.conftest import SF
@@ -152,3 +152,56 @@ def test_boosting_stops_early(spark):
     df = spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 7 > 3)) for i in range(200)], "k long, fold int, x double, y double")
     found = learn.out_of_fold(df, "y", "fold", 2, {"boosted": {"features": ["x"], "early_stop": True, "maxIter": 3}}, "k")
     assert found.count() == 200
+
+
+def test_held_out_rows_move_no_unit_value(spark):
+    df = spark.createDataFrame([("a", 10.0, 1), ("b", 1000.0, 0), ("b", 1000.0, 0)], "c string, v double, known int").withColumn("size", F.lit(1))
+    assert {r.unit_value for r in stats.unit_value(df, "c", "v", "size", F.col("known") == 1).collect()} == {10.0}
+
+
+def test_standardised_keeps_columns_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None), (None, None)], "a double, b double")
+    found = stats.standardised(df, ["a", "b"]).collect()
+    assert [r.b for r in found] == [None] * 3 and sorted(r.a for r in found) == pytest.approx([-1.5**0.5, 0.0, 1.5**0.5])
+
+
+def test_single_quoted_lists_keep_their_names(spark):
+    texts = ["""[{'n': "O'Hare"}]""", "{'n': 'None Such'}", r"{'n': 'it\'s'}", """{'n': 'a "b" c'}""", "{'n': None}", "{'n': 'True'}", "{'n': 'x", "None", "[None, {'n': 'y'}]", '{"n": "None \'q\'"}', None, "", "'" * 5000]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(clean.structs(F.col("t"), "n string")).collect()]
+    assert [x and [y.n for y in x] for x in found] == [["O'Hare"], ["None Such"], ["it's"], ['a "b" c'], [None], ["True"], None, None, ["y"], ["None 'q'"], None, None, None]
+
+
+def test_lookup_takes_the_place_of_a_column(spark):
+    left, right = spark.createDataFrame([(1, 5.0), (2, 6.0)], "k int, v double"), spark.createDataFrame([(1, 7.0)], "k int, v double")
+    found = joins.lookup(left, right, ["k"], ["v"], 0.0)
+    assert found.columns == ["k", "v"] and {tuple(r) for r in found.collect()} == {(1, 7.0), (2, 0.0)}
+
+
+def test_null_levels_and_categories(spark):
+    df = spark.createDataFrame([(None, 1.0, 0), ("__missing__", 3.0, 0), ("a", None, 1), ("b", 5.0, 1)], "c string, y double, fold int")
+    found = {r.c: (r.mean_1, r.n_1) for r in stats.nested_means(df, ["c"], "y", 0.0).where("c <> 'a' or c is null").collect()}
+    assert found == {None: (1.0, 1), "__missing__": (3.0, 1), "b": (5.0, 1)}
+    assert {r.c: r.encoded for r in stats.smoothed_means(df, "c", "y", 2.0).collect()}["a"] == 3.0
+    assert {r.c: r.encoded for r in stats.leave_fold_out(df, "c", "y", "fold", 2.0).collect()} == {None: 5.0, "__missing__": 5.0, "a": 2.0, "b": 2.0}
+
+
+def test_own_fold_never_moves_its_encodings(spark):
+    """Mean, median and neighbours of a fold's rows stay when its targets change, and are those of a plain loop over folds."""
+    c = stats.group_folds(places(spark, SF), "k", 3).withColumn("value", F.when(F.col("k") % 13 > 0, F.round("value", -2))).withColumn("attr", F.when(F.col("k") % 7 > 0, F.col("attr")))
+    names = ["encoded", "median", "n_rest", "near"]
+    both = [{r.k: tuple(r) for r in encode.fold_encodings(d, "k", "attr", "value", "nation", "fold", 5.0, 3).select("k", "fold", *names).collect()} for d in (c, c.withColumn("value", F.when(F.col("fold") == 1, F.col("value") * 3 + 7).otherwise(F.col("value"))))]
+    assert {k: v for k, v in both[0].items() if v[1] == 1} == {k: v for k, v in both[1].items() if v[1] == 1} and both[0] != both[1]
+    frame = c.toPandas()
+    for fold in range(3):
+        rest = frame[(frame.fold != fold) & frame.value.notna()]
+        middle, n = rest.groupby("attr").value.median(), rest.groupby("attr").value.size()
+        for r in frame[frame.fold == fold].itertuples():
+            got = both[0][r.k]
+            assert got[3:5] == ((pytest.approx(middle[r.attr]), n[r.attr]) if isinstance(r.attr, str) else (pytest.approx(rest.value.median()), 0))
+
+
+def test_medians_of_several_columns_take_one_pass(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, None), (None, 9.0, None), ("b", None, None)], "g string, x double, y double")
+    found = {r.g: (r.mx, r.my) for r in ranges.medians(df, ["g"], {"mx": F.col("x"), "my": F.col("y")}).collect()}
+    assert found == {"a": (2.0, 2.0), None: (9.0, None)}
+    assert tuple(ranges.medians(df.limit(0), (), {"mx": F.col("x")}).first()) == (None,)
