@@ -168,42 +168,116 @@ def comparables(ranked: DataFrame, key: str, value: str, attribute: str, size: s
     return chosen.groupBy(F.col(f"q_{key}").alias(key)).agg(F.median(f"p_{value}").alias("comparable"), F.min("tier").cast("int").alias("tier"), F.count("*").alias("n_used"))
 
 
-def feature_knn(queries: DataFrame, pool: DataFrame, key: str, vector: str, target: str, k: int, block_rows: int = 4_096) -> DataFrame:
+def _pool_neighbours(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of ``right`` for each row of ``left``, by matrix product and then exactly."""
+    out = []
+    if len(left) and len(right):
+        a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        norms, keys, ys = (b * b).sum(1), right["k"].to_numpy(), right["y"].to_numpy()
+        for i, row in enumerate(a):
+            rough = norms - 2 * (b @ row)
+            if len(b) > k:
+                near = np.partition(rough, k - 1)[k - 1]
+                chosen = np.flatnonzero(rough <= near + 1e-6 * (1 + abs(near) + row @ row))
+            else:
+                chosen = np.arange(len(b))
+            d = np.round(np.sqrt(((b[chosen] - row) ** 2).sum(1)), 9)
+            order = np.lexsort((keys[chosen], d))[:k]
+            out.append(pd.DataFrame({"q": left["k"].iloc[i], "p": keys[chosen][order], "y": ys[chosen][order], "d": d[order]}))
+    return pd.concat(out) if out else pd.DataFrame({"q": [], "p": [], "y": [], "d": []})
+
+
+def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((rows * rows).sum(1)[:, None] - 2 * rows @ pivots.T + (pivots * pivots).sum(1)[None, :], 0.0))
+
+
+def _slack(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """More than a distance to a pivot can be wrong by, for each row."""
+    return 1e-6 * (1 + np.sqrt((rows * rows).sum(1)) + np.sqrt((pivots * pivots).sum(1).max(initial=0.0)))
+
+
+def partition_neighbours(queries: DataFrame, pool: DataFrame, k: int, block_rows: int, max_pivots: int) -> tuple[DataFrame, DataFrame]:
+    """The k nearest (q, p, y, d) of ``pool`` (k, v, y) for ``queries`` (k, v), some more than once, and the (home, pivot) partitions that met.
+
+    Pool rows belong to their nearest pivot, of which the greatest and least distance are known. A query first meets its home, the nearest
+    partitions that hold k rows; its k-th distance there bounds the rest: by the triangle inequality a partition whose distances to
+    the pivot all differ from the query's by more can't hold a nearer row and is skipped. Exact in any space; how much is skipped depends on the data.
+    """
+    spark = pool.sparkSession
+    answer = T.StructType([T.StructField("q", queries.schema["k"].dataType), T.StructField("p", pool.schema["k"].dataType), T.StructField("y", T.DoubleType()), T.StructField("d", T.DoubleType())])
+    if not (n_p := pool.count()):
+        return spark.createDataFrame([], answer), spark.createDataFrame([], "home int, pivot int")
+    n_pivots = 1 if n_p <= block_rows else min(max_pivots, 4 * -(-n_p // block_rows))
+    chosen = pool.orderBy(F.xxhash64("k"), "k").limit(n_pivots).select("v").collect()  # max_pivots rows at most
+    pivots = np.unique(np.array([r[0] for r in chosen], dtype=float), axis=0)
+
+    def assigned(batches):
+        for batch in batches:
+            rows = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, pivots.shape[1]))
+            d = _distances(rows, pivots)
+            yield batch.assign(pivot=d.argmin(1).astype("int32"), far=d.min(1) if len(batch) else []) if len(batch) else batch.assign(pivot=pd.Series(dtype="int32"), far=pd.Series(dtype=float))
+
+    placed = cut(pool.mapInPandas(assigned, T.StructType([*pool.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("far", T.DoubleType())])))
+    stats = {r["pivot"]: (r["n"], r["lo"], r["hi"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()}  # a row for each pivot
+    count, low, high = (np.array([stats.get(i, (0, np.inf, -np.inf))[j] for i in range(len(pivots))]) for j in range(3))
+
+    def homes(d: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(d, axis=1, kind="stable")
+        enough = (np.cumsum(count[order], axis=1) >= k).argmax(1) if count.sum() >= k else np.full(len(d), len(pivots) - 1)
+        return [row[: n + 1] for row, n in zip(order, enough, strict=True)]
+
+    def visits(first: bool):
+        def emit(batches):
+            for batch in batches:
+                out = []
+                if len(batch):
+                    rows = np.stack(batch["v"].to_numpy())
+                    d, slack = _distances(rows, pivots), _slack(rows, pivots)
+                    for i, home in enumerate(homes(d)):
+                        wanted = home
+                        if not first:
+                            bound = np.maximum(d[i] - high, low - d[i])
+                            wanted = np.setdiff1d(np.flatnonzero((count > 0) & (bound <= batch["limit"].iloc[i] + slack[i])), home)
+                        out += [(batch["k"].iloc[i], batch["v"].iloc[i], int(home[0]), int(x)) for x in wanted if count[x]]
+                yield pd.DataFrame(out, columns=["k", "v", "home", "pivot"])
+
+        return emit
+
+    kind = T.StructType([queries.schema["k"], queries.schema["v"], T.StructField("home", T.IntegerType()), T.StructField("pivot", T.IntegerType())])
+    share = lambda n: F.pmod(F.xxhash64("k"), n).cast("int")
+
+    def met(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Blocks of a partition's rows meet blocks of the queries of one home that ask for it."""
+        pairs = cut(asked.groupBy("home", "pivot").agg(F.ceil(F.count("*") / block_rows).alias("shares")))
+        blocks = placed.groupBy("pivot").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+        plan = pairs.join(blocks, "pivot")
+        left = asked.join(plan, ["home", "pivot"]).withColumn("qb", share(F.col("shares"))).withColumn("pb", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+        right = placed.join(plan, "pivot").withColumn("pb", share(F.col("blocks"))).withColumn("qb", F.explode(F.sequence(F.lit(0), (F.col("shares") - 1).cast("int"))))
+        by = ["home", "pivot", "qb", "pb"]
+        found = left.select("k", "v", *by).groupBy(*by).cogroup(right.select("k", "v", "y", *by).groupBy(*by)).applyInPandas(lambda a, b: _pool_neighbours(a, b, k), answer)
+        return cut(found), pairs.select("home", "pivot")
+
+    found, pairs = met(queries.mapInPandas(visits(True), kind))
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "p")))
+    limits = ranked.where(F.col("r") == k).select(F.col("q").alias("k"), F.col("d").alias("limit"))
+    more = queries.join(limits, "k", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    if len(pivots) == 1:
+        return found, pairs
+    rest, others = met(more.mapInPandas(visits(False), kind))
+    return found.unionByName(rest), pairs.unionByName(others)
+
+
+def feature_knn(queries: DataFrame, pool: DataFrame, key: str, vector: str, target: str, k: int, block_rows: int = 4_096, max_pivots: int = 1_024) -> DataFrame:
     """k-NN regression on vectors with inverse-distance weights; exact matches alone vote where there are some.
 
-    Exact, for a stated query set: blocks of about ``block_rows`` queries meet blocks of as many pool rows, each pair of
-    blocks is a task's matrix product, and the blocks' k best are merged. Distances are taken to 1e-9, ties by pool key.
+    Exact: the pool is parted by pivots and a query meets only parts that the triangle inequality can't rule out, in blocks of
+    about ``block_rows`` rows, each pair of blocks a task's matrix product. Distances are taken to 1e-9, ties by pool key.
     Rows without a vector or target are left out.
     """
-
-    def blocks(n: int) -> int:
-        return max(1, -(-n // block_rows))
-
-    q, p = queries.where(F.col(vector).isNotNull()), pool.where(F.col(vector).isNotNull() & F.col(target).isNotNull())
-    n_q, n_p = blocks(q.count()), blocks(p.count())
-    mine, other = (lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    q = q.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), mine(n_q).alias("qb"), other(n_p).alias("pb"))
-    p = p.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"), other(n_q).alias("qb"), mine(n_p).alias("pb"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            norms, keys, ys = (b * b).sum(1), right["k"].to_numpy(), right["y"].to_numpy()
-            for i, row in enumerate(a):
-                rough = norms - 2 * (b @ row)
-                if len(b) > k:
-                    near = np.partition(rough, k - 1)[k - 1]
-                    chosen = np.flatnonzero(rough <= near + 1e-6 * (1 + abs(near) + row @ row))
-                else:
-                    chosen = np.arange(len(b))
-                d = np.round(np.sqrt(((b[chosen] - row) ** 2).sum(1)), 9)
-                order = np.lexsort((keys[chosen], d))[:k]
-                out.append(pd.DataFrame({"q": left["k"].iloc[i], "p": keys[chosen][order], "y": ys[chosen][order], "d": d[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "p": [], "y": [], "d": []})
-
-    schema = T.StructType([T.StructField("q", queries.schema[key].dataType), T.StructField("p", pool.schema[key].dataType), T.StructField("y", T.DoubleType()), T.StructField("d", T.DoubleType())])
-    found = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(best, schema)
+    q = cut(queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")))
+    p = pool.where(F.col(vector).isNotNull() & F.col(target).isNotNull())
+    p = cut(p.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y")))
+    found, _ = partition_neighbours(q, p, k, block_rows, max_pivots)
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(F.col("r") <= k)
     exact = F.avg(F.when(F.col("d") == 0, F.col("y")))
     weight = F.when(F.col("d") > 0, 1 / F.when(F.col("d") > 0, F.col("d")))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -15,7 +21,7 @@ from pyspark.sql import functions as F
 from cairnspark.operators.joins import feature_knn
 from cairnspark.operators.ranges import cut, percentiles
 from cairnspark.operators.stats import metrics
-from cairnspark.sources.tables import first_readable, new_path, write_part
+from cairnspark.sources.tables import is_complete, new_path
 
 TRAINERS: dict[str, Callable[..., Estimator]] = {
     "boosted": lambda **p: GBTRegressor(**{"lossType": "absolute", "maxIter": 20, "maxDepth": 4, **p}),
@@ -40,37 +46,65 @@ def assembled(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     return Pipeline(stages=stages).fit(df).transform(df)
 
 
-def out_of_fold(df: DataFrame, label: str, fold: str, folds: int, bases: Mapping[str, Mapping], key: str, seed: int = 0, path: str | None = None) -> DataFrame:
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> str:
+    """A mark of the rows of some columns, in any order: their count and two sums of 64-bit hashes, from one aggregate."""
+    hashes = [F.sum(F.xxhash64(F.lit(i), *columns).cast("decimal(20,0)")) for i in (0, 1)]
+    return "/".join(map(str, df.agg(F.count("*"), *hashes).first()))
+
+
+def part_path(path: str, mark: str, label: str, base: str, parameters: Mapping, seed: int, fold: int) -> str:
+    """Where the predictions of one (base, fold) are stored: named by the data, the learner, its parameters and its seed."""
+    made = json.dumps([mark, label, base, parameters, seed], sort_keys=True, default=str)
+    return f"{path}/{base}-{hashlib.sha256(made.encode()).hexdigest()[:24]}/part={fold}"
+
+
+def out_of_fold(df: DataFrame, label: str, fold: str, folds: int, bases: Mapping[str, Mapping], key: str, seed: int = 0, path: str | None = None, only: Sequence[int] | None = None, parallel: int = 4, timed: bool = False) -> DataFrame:
     """(key, fold, base, prediction): each row is predicted once by each base, by a model that did not see its fold.
 
     A base's parameters may name its learner (``learner``, else its own name), its columns of ``df`` (``features``, else the
-    features column), and ``early_stop``: boosting then ends by its error on an eighth of the training rows. Each (fold, base) is written under ``path``
-    as soon as it is scored; a run that finds it there doesn't fit it again. Without a path a new one is taken.
+    features column), and ``early_stop``: boosting then ends by its error on an eighth of the training rows. Each (fold, base) is written under
+    ``path`` as soon as it is scored, in a folder named by a fingerprint of the data, the learner and its parameters; a run that finds it whole doesn't fit
+    it again, and other data or parameters never take it. Without a path a new one is taken. ``parallel`` models are fitted at once, each in a
+    scheduler pool of its own; ``only`` names the folds to predict (all where None); with ``timed`` there is a column ``seconds`` of the fit.
     """
     spark = df.sparkSession
     path = path or new_path(spark, "out-of-fold")
     data = cut(df)
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, prediction double, {fold} int, base string"
-    done = {(r[0], r[1]) for r in first_readable(spark, [path], schema).select(fold, "base").distinct().collect()}
-    for f in range(folds):
+    kind = df.schema[key].dataType.simpleString()
+    wanted = list(range(folds)) if only is None else list(only)
+    columns = {base: [key, fold, label, *p.get("features", ["features"])] for base, p in bases.items()}
+    marks = {tuple(c): fingerprint(data, c) for c in {tuple(c): c for c in columns.values()}.values()}
+    parts = {(base, f): part_path(path, marks[tuple(columns[base])], label, base, p, seed, f) for base, p in bases.items() for f in wanted}
+
+    def fit(job: tuple[str, int]) -> None:
+        base, f = job
+        parameters = bases[base]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{base}-{f}")
         train, valid = data.where(F.col(fold) != f), data.where(F.col(fold) == f)
-        for base, parameters in bases.items():
-            if (f, base) in done:
-                continue
-            rest = {k: v for k, v in parameters.items() if k not in ("learner", "features", "early_stop")}
-            known, asked = train, valid
-            if "features" in parameters:
-                known, asked = (VectorAssembler(inputCols=list(parameters["features"]), outputCol="features").transform(d.drop("features")) for d in (train, valid))
-            if parameters.get("early_stop"):
-                known, rest = known.withColumn("__stop", F.pmod(F.xxhash64(key), F.lit(8)) == 0), {**rest, "validationIndicatorCol": "__stop"}
-            model = trainer(parameters.get("learner", base), {"featuresCol": "features"}, rest, {"labelCol": label}, seed=seed, fold=f).fit(known)
-            write_part(model.transform(asked).select(key, "prediction", F.lit(f).alias(fold), F.lit(base).alias("base")), path, fold, "base")
-    return spark.read.schema(schema).parquet(path).select(key, fold, "base", "prediction")
+        rest = {k: v for k, v in parameters.items() if k not in ("learner", "features", "early_stop")}
+        known, asked = train, valid
+        if "features" in parameters:
+            known, asked = (VectorAssembler(inputCols=list(parameters["features"]), outputCol="features").transform(d.drop("features")) for d in (train, valid))
+        if parameters.get("early_stop"):
+            known, rest = known.withColumn("__stop", F.pmod(F.xxhash64(key), F.lit(8)) == 0), {**rest, "validationIndicatorCol": "__stop"}
+        began = time.monotonic()
+        model = trainer(parameters.get("learner", base), {"featuresCol": "features"}, rest, {"labelCol": label}, seed=seed, fold=f).fit(known)
+        seconds = time.monotonic() - began
+        found = model.transform(asked).select(key, "prediction", F.lit(f).alias(fold), F.lit(base).alias("base"), F.lit(seconds).alias("seconds"))
+        found.write.mode("overwrite").parquet(parts[job])
+
+    todo = [job for job, part in parts.items() if not is_complete(spark, part)]
+    if todo:
+        with ThreadPoolExecutor(max(1, min(parallel, len(todo)))) as pool:
+            list(pool.map(inheritable_thread_target(spark)(fit), todo))
+    schema = f"{key} {kind}, prediction double, {fold} int, base string, seconds double"
+    return spark.read.schema(schema).parquet(*parts.values()).select(key, fold, "base", "prediction", *(["seconds"] if timed else []))
 
 
 def fold_metrics(predictions: DataFrame, df: DataFrame, label: str, fold: str, key: str) -> DataFrame:
-    """Metrics of each fold and base over the rows scored so far."""
-    return metrics(predictions.join(df.select(key, label), key), label, "prediction", [fold, "base"])
+    """Metrics of each fold and base over the rows scored so far, with the seconds of its fit where ``predictions`` have them."""
+    found = metrics(predictions.join(df.select(key, label), key), label, "prediction", [fold, "base"])
+    return found.join(predictions.groupBy(fold, "base").agg(F.max("seconds").alias("seconds")), [fold, "base"]) if "seconds" in predictions.columns else found
 
 
 def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
@@ -164,13 +198,29 @@ def cross_fitted_ridge(df: DataFrame, label: str, inputs: Sequence[str], fold: s
     return weighted(df, inputs, fold, cross_fitted(df, label, inputs, fold, alpha))
 
 
-def search(df: DataFrame, label: str, fold: str, folds: int, base: str, grid: Sequence[Mapping], key: str) -> list[tuple[float, Mapping]]:
-    """Mean absolute error of each parameter set over the folds, best first."""
-    scored = []
-    for parameters in grid:
-        predictions = out_of_fold(df, label, fold, folds, {base: parameters}, key)
-        scored.append((df.select(key, label).join(predictions, key).agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0], parameters))
-    return sorted(scored, key=lambda x: x[0])
+def search(df: DataFrame, label: str, fold: str, folds: int, base: str, grid: Sequence[Mapping], key: str, path: str | None = None) -> list[tuple[float, Mapping]]:
+    """Mean absolute error of each parameter set over all folds, best first: the full grid."""
+    return [(error, parameters) for error, parameters, _ in halving(df, label, fold, folds, base, grid, key, keep=1.0, path=path)]
+
+
+def halving(df: DataFrame, label: str, fold: str, folds: int, base: str, grid: Sequence[Mapping], key: str, keep: float = 0.5, least: int = 2, path: str | None = None) -> list[tuple[float, Mapping, int]]:
+    """(mean absolute error, parameters, folds used), best first: successive halving over folds.
+
+    All sets are scored on one fold; the best ``keep`` of them (``least`` sets at least) go on to twice as many, until some have been scored on
+    all. A set's earlier folds are read from its stored parts, so a round costs only the new ones, and a run with the same ``path`` goes on where it stopped.
+    """
+    data = cut(df)
+    path = path or new_path(df.sparkSession, "search")
+    left, out, used = list(enumerate(grid)), {}, folds if keep >= 1 else 1
+    while True:
+        bases = {f"{base}-{i}": {"learner": base, **p} for i, p in left}
+        found = out_of_fold(data, label, fold, folds, bases, key, path=path, only=range(used))
+        errors = {r["base"]: r["e"] for r in found.join(data.select(key, label), key).groupBy("base").agg(F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("e")).collect()}  # a row for each set
+        out |= {i: (errors[f"{base}-{i}"], p, used) for i, p in left}
+        if used == folds:
+            return sorted(out.values(), key=lambda x: (-x[2], x[0]))
+        best = sorted(left, key=lambda x: (errors[f"{base}-{x[0]}"], x[0]))
+        left, used = best[: max(min(least, len(best)), math.ceil(keep * len(best)))], min(folds, 2 * used)
 
 
 def by_mode(df: DataFrame, y: str, predictions: Mapping[str, str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.functions import clean, scalar, text
-from cairnspark.operators import contract, encode, joins, learn, ranges, stats
+from cairnspark.operators import contract, encode, joins, learn, pyramid, ranges, stats
 from cairnspark.sources import tables
 from cairnspark.sources.tables import table
 
@@ -171,6 +171,13 @@ def radius_percentiles(spark, d):
     return _radius_percentiles(spark, d, 8.0)
 
 
+@query(f"{_PAIRS.replace('c_nationkey AS nation', 'c_nationkey AS nation')}, n AS (SELECT x.k, count(y.k) AS n FROM c x LEFT JOIN c y ON x.attr = y.attr AND x.nation <> y.nation AND {_KM.format(a='x.', b='y.')} <= 25 GROUP BY x.k) SELECT k, n FROM n")
+def range_count_rivals(spark, d):
+    """Customers of the same segment and another nation within 25 km, by a pyramid of cell counts."""
+    c = places(spark, d)
+    return pyramid.range_counts(c, c, "k", 25.0, ["attr"], exclude="nation")
+
+
 def _radius_percentiles(spark, d, km):
     c = places(spark, d)
     pairs = joins.radius_pairs(c, c, km, ["attr"]).where("q_k <> p_k")

@@ -45,6 +45,12 @@ def first_readable(spark: SparkSession, paths: Sequence[str], schema: str | None
     return spark.createDataFrame([], schema)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended: it leaves a file that says so when all its files are there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark))
+
+
 def anchors_from_json(spark: SparkSession, path: str) -> DataFrame:
     """name, lat, lon from a JSON document that is an array of such objects."""
     return spark.read.json(path, multiLine=True, schema="name string, lat double, lon double")

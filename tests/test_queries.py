@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.functions import clean
-from cairnspark.operators import contract, encode, joins, learn, ranges, stats
+from cairnspark.operators import contract, encode, joins, learn, pyramid, ranges, stats
 from cairnspark.plans.registry import ORACLE, QUERIES, places
 from cairnspark.sources import tables
 from tests.conftest import SF
@@ -138,14 +138,31 @@ def test_weights_are_nonnegative_least_squares():
 
 
 def test_out_of_fold_goes_on_where_it_stopped(spark):
+    """A whole part is taken as it is, a broken one is fitted again, and other parameters or data never take it."""
     df = spark.createDataFrame([(i, i % 2, float(i), 2.0 * i) for i in range(20)], "k long, fold int, x double, y double")
     bases, path = {"a": {"learner": "linear", "features": ["x"], "regParam": 0.0}}, tables.new_path(spark, "resumed")
-    marked = spark.createDataFrame([(0, -1.0, 0, "a")], "k long, prediction double, fold int, base string")
-    tables.write_part(marked, path, "fold", "base")
-    found = {(r.fold, r.k): r.prediction for r in learn.out_of_fold(df, "y", "fold", 2, bases, "k", path=path).collect()}
+    run = lambda d=df, b=bases: {(r.fold, r.k): r.prediction for r in learn.out_of_fold(d, "y", "fold", 2, b, "k", path=path).collect()}
+    part = learn.part_path(path, learn.fingerprint(df, ["k", "fold", "y", "x"]), "y", "a", bases["a"], 0, 0)
+    spark.createDataFrame([(0, -1.0, 0, "a", 0.5)], "k long, prediction double, fold int, base string, seconds double").write.parquet(part)
+    found = run()
     assert found[0, 0] == -1.0 and len(found) == 11 and found[1, 3] == pytest.approx(6.0)
-    best = learn.search(df, "y", "fold", 2, "a", [{**bases["a"], "regParam": 50.0}, bases["a"]], "k")
-    assert best[0][1]["regParam"] == 0.0 and best[0][0] == pytest.approx(0.0, abs=1e-6)
+    assert run(b={"a": {**bases["a"], "regParam": 1e-9}})[0, 0] == pytest.approx(0.0, abs=1e-6)
+    assert len(run(d=df.withColumn("y", F.col("y") + 1))) == 20
+    timed = learn.out_of_fold(df, "y", "fold", 2, bases, "k", path=path, timed=True)
+    assert {r.fold: r.seconds for r in learn.fold_metrics(timed, df, "y", "fold", "k").collect()}[0] == 0.5
+
+
+def test_halving_finds_the_grid_winner_with_fewer_fits(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 4, float(i), 2.0 * i + i % 3) for i in range(60)], "k long, fold int, x double, y double")
+    grid, path = [{"features": ["x"], "regParam": r} for r in (50.0, 20.0, 5.0, 1.0, 0.0)], tables.new_path(spark, "halving")
+    fits, real = [], learn.trainer
+    monkeypatch.setattr(learn, "trainer", lambda *a, **k: fits.append(1) or real(*a, **k))
+    whole = learn.search(df, "y", "fold", 4, "linear", grid, "k")
+    full, fits[:] = len(fits), []
+    found = learn.halving(df, "y", "fold", 4, "linear", grid, "k", path=path)
+    assert found[0][:2] == whole[0] and full == 20 and len(fits) < full and found[0][2] == 4 and len(found) == 5
+    fits.clear()
+    assert learn.halving(df, "y", "fold", 4, "linear", grid, "k", path=path)[0] == found[0] and not fits
 
 
 def test_boosting_stops_early(spark):
@@ -205,3 +222,53 @@ def test_medians_of_several_columns_take_one_pass(spark):
     found = {r.g: (r.mx, r.my) for r in ranges.medians(df, ["g"], {"mx": F.col("x"), "my": F.col("y")}).collect()}
     assert found == {"a": (2.0, 2.0), None: (9.0, None)}
     assert tuple(ranges.medians(df.limit(0), (), {"mx": F.col("x")}).first()) == (None,)
+
+
+def test_range_counts_are_those_of_all_pairs(spark):
+    """Near the pole, across the 180th meridian, at crowded places, with and without an own group, for several radii."""
+    import random
+
+    rng = random.Random(4)
+    points = [(i, rng.choice(["a", "b", None]), i % 3, 50 + rng.random(), 8 + rng.random()) for i in range(150)] + [(i, "a", i % 2, 10.0, 10.0) for i in range(200, 260)]
+    points += [(300 + i, "b", i, rng.choice([89.2, 89.7, -45.0]), rng.choice([179.99, -179.99, 10.0, -170.0])) for i in range(20)] + [(400, "a", 0, None, 1.0)]
+    df = spark.createDataFrame(points, "k long, attr string, g int, lat double, lon double")
+    x, y = df.alias("x"), df.alias("y")
+    pairs = x.crossJoin(y).withColumn("km", joins.haversine_km(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))).select("x.k", "km", (F.col("x.attr") == F.col("y.attr")).alias("same"), (F.col("x.g") != F.col("y.g")).alias("other")).toPandas()
+    for km, same, exclude in ((20.0, ["attr"], "g"), (3.0, [], None), (300.0, [], "g")):
+        kept = pairs[(pairs.km <= km) & (pairs.same.eq(True) if same else True) & (pairs.other if exclude else True)]
+        want = {p[0]: int((kept.k == p[0]).sum()) for p in points}
+        assert {r.k: r.n for r in pyramid.range_counts(df, df, "k", km, same, exclude).collect()} == want
+
+
+def test_compared_pairs_grow_with_the_border(spark):
+    """Four times the places in a circle: well under four times the comparisons; crowds at one place are compared once."""
+    def compared(n):
+        rows = spark.range(n).select(((F.col("id") * 7919 % 10007) / 10007 + 40).alias("a"), ((F.col("id") * 104729 % 10009) / 10009 + 9).alias("o"), F.lit(1).cast("long").alias("n"))
+        q = spark.createDataFrame([(1, 40.5, 9.5)], "__q long, a double, o double")
+        found = pyramid.decomposed(q, rows, 30.0, [])
+        return found.leaves.join(found.places.drop("a", "o"), ["level", "y", "x"]).count(), found.totals.agg(F.sum("n")).first()[0]
+
+    (few, inside), (more, inside4) = compared(2500), compared(10000)
+    assert inside4 > 3 * inside and more < 3 * few
+
+
+def test_pruned_neighbours_are_exact_and_skip_partitions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 4)) * 100
+    points = [(i, (centres[i % 12] + rng.normal(size=4)).tolist(), float(i % 7)) for i in range(600)] + [(600 + i, centres[0].tolist(), 1.0) for i in range(40)]
+    df = spark.createDataFrame(points, "k long, v array<double>, y double")
+    asked = df.where("k % 5 = 0").select("k", "v")
+    for k in (1, 6):
+        found, visits = joins.partition_neighbours(asked, df, k, 50, 16)
+        best = {}
+        for r in found.collect():
+            best.setdefault(r.q, set()).add((r.d, r.p))
+        v = np.array([p[1] for p in points])
+        for q in range(0, 640, 5):
+            d = np.round(np.sqrt(((v - v[q]) ** 2).sum(1)), 9)
+            assert sorted(best[q])[:k] == sorted(zip(d.tolist(), range(640), strict=True))[:k]
+        homes, met = visits.select("home").distinct().count(), visits.count()
+        assert met < 0.5 * homes * 16
+    assert joins.feature_knn(df.limit(0), df, "k", "v", "y", 3).count() == 0 == joins.feature_knn(df, df.limit(0), "k", "v", "y", 3).count()
