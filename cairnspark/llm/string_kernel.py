@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.llm.common import by_bytes, map_arrow, unit_hash
@@ -128,27 +128,24 @@ class StringKernel:
 
 
 def fit_language_id(labelled: DataFrame, per_language: int = 300, max_chars: int = 20_000, max_texts: int = 6_000, seed: int = 11) -> StringKernel:
-    """Fits on a bounded sample: ``per_language`` distinct texts of each language at most, none longer than ``max_chars``, and about
-    ``max_texts`` in all: with more languages each has fewer, one at least, so no language is left out.
+    """Fits on a bounded sample: ``per_language`` distinct texts of each language at most, none longer than ``max_chars``, and
+    ``max_texts`` in all: with more languages each has fewer, one at least. Of more languages than that those with most texts are learned.
 
     ``labelled`` has text and lang; rows with a null in either are left out. Texts are drawn by a hash, and a text
-    that many rows repeat is one text.
+    that many rows repeat is one text. A language with longer texts alone has none to learn from. What reaches the driver is the sample itself,
+    ranked by its hash in Spark.
     """
     spark = labelled.sparkSession
     usable = labelled.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    sizes = usable.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).toArrow()  # a row for each language
+    sizes = usable.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_texts).toArrow()  # a row for each language, max_texts at most
     per_language = max(1, min(per_language, max_texts // max(1, sizes.num_rows)))
-    # A margin over the quota, wide for small ones, so that a language hardly ever falls short of it.
+    # A margin over the quota, wide for small ones, so that a language hardly ever falls short of it, and a rank has few rows to sort.
     shares = np.minimum(1.0, (1.3 * per_language + 20) / np.maximum(1, sizes.column("n").to_numpy()))
     table = spark.createDataFrame(pa.table({"lang": sizes.column("lang").combine_chunks(), "share": pa.array(shares, pa.float64())}))
     rows = usable.join(F.broadcast(table), "lang").withColumn("u", unit_hash(F.lit(seed), "hash")).where("u < share")
-    found = sorted((r["u"], r["text"], r["lang"]) for r in rows.dropDuplicates(["lang", "hash"]).select("u", "text", "lang").collect())
-    taken: dict[str, int] = {}
-    chosen = []
-    for _, text, lang in found:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= per_language:
-            chosen.append((text, lang))
+    drawn = rows.dropDuplicates(["lang", "hash"]).select("u", "text", "lang")
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))).where(F.col("rank") <= per_language)
+    chosen = [(r["text"], r["lang"]) for r in sorted(ranked.collect(), key=lambda r: (r["u"], r["text"], r["lang"]))]  # max_texts at most
     return StringKernel.fit([t for t, _ in chosen], [y for _, y in chosen])
 
 

@@ -20,6 +20,8 @@ from cairnspark.llm.encoders import WORDS, word_pieces
 
 #: Bytes of text whose documents share a list of distinct pre-tokens.
 BLOCK_BYTES = 16 << 20
+#: Documents of a block; their texts may be empty.
+BLOCK_DOCS = 100_000
 #: Distinct pre-tokens, counted once for each block that has them, that a hash range has at most, about.
 RANGE_WORDS = 1_000_000
 _BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, kinds array<int>, whole array<long>, words array<binary>, ranges array<int>, sizes array<int>, places binary, times binary"
@@ -79,7 +81,7 @@ def _blocks(docs: DataFrame, tokenizer: str, ranges: int, block_bytes: int) -> D
                 alone = counter.whole or any(" " in s for s in counter.special)
                 block.add(doc_id, n, WORDS(text) if text and not alone else [], counter.count(text) if text and alone else 0)
                 held += n
-            if held >= block_bytes:
+            if held >= block_bytes or len(block.doc_ids) >= BLOCK_DOCS:
                 yield batch_of(block.row(number, ranges))
                 block, held, number = Block(), 0, number + 1
         if block.doc_ids:

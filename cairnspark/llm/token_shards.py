@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from itertools import islice
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,10 @@ _EF_HEADER = struct.Struct("<QQBI")
 MAGIC = b"EFT1"
 
 
+#: Documents of a shard, and of a batch that is read from one; texts may be empty, so ids alone bound neither.
+SHARD_DOCS, READ_DOCS = 1 << 20, 1 << 14
+
+
 class EliasFano:
     """A non-decreasing sequence of n numbers in [0, u] in about n * (2 + log2(u / n)) bits.
 
@@ -150,7 +155,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
     """Encodes every whole text, ends each document with ``end_id`` and writes shards in ascending doc_id order.
 
     Returns the manifest, written to the shared folder: part, seq (their order), path, n_docs, n_ids.
-    A task writes several shards when it has more than ``shard_ids`` ids, so that memory stays bounded.
+    A task writes several shards when it has more than ``shard_ids`` ids or SHARD_DOCS documents, so that memory stays bounded.
     Rows that share a doc_id are ordered by a hash of their text, repeats by their place in the table, and spread
     by both. Null text counts as empty (the end id alone); null ids come first. ``folder`` is opened by
     pyarrow: a local or mounted path, file://, hdfs://, s3:// and gs:// work.
@@ -179,7 +184,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
                 doc_ids.append(doc_id)
                 arrays.append(ids)
                 held += len(ids)
-                if held >= shard_ids:
+                if held >= shard_ids or len(doc_ids) >= SHARD_DOCS:
                     yield flush()
         if doc_ids:
             yield flush()
@@ -205,11 +210,10 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(path) as f:
                     shard = Shard(f.read())
-                out: list[list] = [[], [], [], []]
-                for doc_id, start, ids in shard.documents():
-                    for column, value in zip(out, (doc_id, start + base, len(ids), ids_crc32(ids)), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                rows = ((doc_id, start + base, len(ids), ids_crc32(ids)) for doc_id, start, ids in shard.documents())
+                while some := list(islice(rows, READ_DOCS)):
+                    columns = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.repartition(shuffle_partitions(manifest.sparkSession)).transform(map_arrow, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

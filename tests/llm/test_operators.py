@@ -489,3 +489,33 @@ def test_pipeline_stages_against_brute_force(spark):
     for parts in sequences.values():
         ends = [0, *np.cumsum([n for _, n in sorted(parts)])]
         assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_blocks_and_shards_of_empty_texts_are_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_counts, "BLOCK_DOCS", 50)
+    monkeypatch.setattr(token_shards, "SHARD_DOCS", 70)
+    monkeypatch.setattr(token_shards, "READ_DOCS", 16)
+    monkeypatch.setattr("cairnspark.llm.common.BATCH_ROWS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        rows = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "").alias("text"))
+        blocks = token_counts._blocks(rows.withColumn("n_bytes", F.lit(0).cast("long")), "word_bpe_49k.json", 16, 1 << 24)
+        assert blocks.select(F.max(F.size("doc_id"))).first()[0] <= 70 and blocks.select(F.sum(F.size("doc_id"))).first()[0] == 400
+        manifest = token_shards.write_shards(rows, f"file://{tmp_path}/shards", "byte_bpe_50k.json", shards=2)
+        assert manifest.agg(F.max("n_docs")).first()[0] <= 70
+        found = token_shards.read_shards(manifest, f"file://{tmp_path}/shards").orderBy("doc_id").collect()
+        assert [(r.doc_id, r.start, r.n_tokens) for r in found] == [(i, i, 1) for i in range(400)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """More languages than texts, and few languages with many: never more than max_texts reach the driver, and each language has its share."""
+    seen = []
+    monkeypatch.setattr(string_kernel.StringKernel, "fit", lambda texts, langs, *a, **k: seen.append(Counter(langs)))
+    many = spark.range(3000).select(F.concat(F.lit("text number "), F.col("id")).alias("text"), (F.col("id") % 1000).cast("string").alias("lang"))
+    few = many.withColumn("lang", (F.col("text").substr(-1, 1).cast("int") % 3).cast("string"))
+    string_kernel.fit_language_id(many, max_texts=200)
+    string_kernel.fit_language_id(many, max_texts=2500)
+    string_kernel.fit_language_id(few, per_language=50, max_texts=120)
+    assert [sum(c.values()) for c in seen] == [200, 2000, 120] and [set(c.values()) for c in seen] == [{1}, {2}, {40}]
