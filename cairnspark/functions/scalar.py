@@ -29,6 +29,31 @@ def grid_cell(lat: Column, lon: Column, step: float, missing: str = "__missing__
     return F.when(lat.isNull() | lon.isNull(), missing).otherwise(F.concat(part[0], F.lit("_"), part[1]))
 
 
+def curve_code(lat: Column, lon: Column, level: int) -> Column:
+    """The number of a cell of 360 / 2^level degrees along a Z-curve, null without a place: close places mostly have close numbers, so a
+    table sorted by it keeps them in the same files, and what is asked of a cell is a range of numbers. Levels up to 31."""
+    def spread(x: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    side = 360.0 / 2**level
+    y, x = F.floor((lat + 90) / side).cast("long"), F.pmod(F.floor((lon + 180) / side).cast("long"), F.lit(1 << level))
+    return F.shiftleft(spread(y), 1).bitwiseOR(spread(x))
+
+
+def curve_cell(lat: Column, lon: Column, level: int, missing: str = "__missing__") -> Column:
+    """The same number as ``level`` digits of base 4: a cell's parents are the prefixes of its name."""
+    code = curve_code(lat, lon, level)
+    return F.coalesce(F.lpad(F.conv(code.cast("string"), 10, 4), level, "0"), F.lit(missing))
+
+
+def curve_range(code: Column, level: int, finest: int) -> tuple[Column, Column]:
+    """The least and greatest ``finest`` code in a cell of a coarser level."""
+    first = F.shiftleft(code.cast("long"), 2 * (finest - level))
+    return first, first + ((1 << 2 * (finest - level)) - 1)
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b, with 1 for a denominator that is null or not positive."""
     return a / F.when(b > 0, b).otherwise(1.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,20 @@ def schema_issues(df: DataFrame, contract: Contract) -> list[tuple]:
     return out
 
 
-def value_issues(df: DataFrame, contract: Contract) -> DataFrame:
-    """Rows out of bounds and null identities: one aggregate for all columns."""
+def from_groups(groups: Mapping[str, Sequence[str]], kinds: Mapping[str, str], **rest) -> Contract:
+    """A contract from feature groups: a group's columns are of the kind that ``kinds`` has for it, ``any`` where it has none; a column counts in its first group."""
+    sections: dict[str, list[str]] = {}
+    seen: set[str] = set()
+    for group, columns in groups.items():
+        for c in columns:
+            if c not in seen:
+                seen.add(c)
+                sections.setdefault(kinds.get(group, "any"), []).append(c)
+    return Contract({kind: (kind, columns) for kind, columns in sections.items()}, **rest)
+
+
+def _checks(df: DataFrame, contract: Contract) -> list[tuple]:
+    """(kind, column, count of offending rows, message) of each bound and identity."""
     checks = []
     for c, (low, high) in contract.bounds.items():
         if c in df.columns:
@@ -47,6 +59,12 @@ def value_issues(df: DataFrame, contract: Contract) -> DataFrame:
             bad = bad if high is None else bad | (F.col(c) > high)
             checks.append(("bounds", c, F.count_if(bad), f"outside [{low}, {high}]"))
     checks += [("null", c, F.count_if(F.col(c).isNull()), "identity is null") for c in contract.identity if c in df.columns]
+    return checks
+
+
+def value_issues(df: DataFrame, contract: Contract) -> DataFrame:
+    """Rows out of bounds and null identities: one aggregate for all columns."""
+    checks = _checks(df, contract)
     if not checks:
         return df.sparkSession.createDataFrame([], ISSUES)
     row = df.agg(*[n.alias(f"n{i}") for i, (_, _, n, _) in enumerate(checks)])
@@ -54,6 +72,23 @@ def value_issues(df: DataFrame, contract: Contract) -> DataFrame:
     return row.select(F.explode(items).alias("i")).select("i.*").where("n > 0")
 
 
+def write_checked(df: DataFrame, contract: Contract, path: str, invariants: Mapping[str, Column] | None = None) -> DataFrame:
+    """Writes ``df`` and returns the issues of its schema and values, and each invariant (a condition of every row) that some rows break.
+
+    Counts are observed by the tasks that write, so the checks cost no scan and no job of their own; repeated keys, which need a shuffle, are ``validate``'s.
+    """
+    spark, observed = df.sparkSession, Observation()
+    checks = _checks(df, contract)
+    checks += [("invariant", name, F.count_if(~F.coalesce(c, F.lit(False))), "rows break it") for name, c in (invariants or {}).items()]
+    found = schema_issues(df, contract)
+    marked = df.observe(observed, *[n.alias(f"n{i}") for i, (_, _, n, _) in enumerate(checks)]) if checks else df
+    marked.write.parquet(path)
+    if checks:
+        row = observed.get
+        found += [(kind, "error", c, row[f"n{i}"], message) for i, (kind, c, _, message) in enumerate(checks) if row[f"n{i}"]]
+    return spark.createDataFrame(found, ISSUES)
+
+
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row: how many rows are in sets that share a key, and how many such sets; null keys are equal."""
     sets = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

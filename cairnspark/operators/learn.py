@@ -12,20 +12,22 @@ from functools import reduce
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml import Estimator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.operators.boosting import MedianBoosting
 from cairnspark.operators.joins import feature_knn
-from cairnspark.operators.ranges import cut, percentiles
+from cairnspark.operators.ranges import cut, ordered_counts, percentiles
 from cairnspark.operators.stats import metrics
 from cairnspark.sources.tables import is_complete, new_path
 
 TRAINERS: dict[str, Callable[..., Estimator]] = {
     "boosted": lambda **p: GBTRegressor(**{"lossType": "absolute", "maxIter": 20, "maxDepth": 4, **p}),
     "boosted_shallow": lambda **p: GBTRegressor(**{"lossType": "absolute", "maxIter": 20, "maxDepth": 2, **p}),
+    "boosted_median": lambda **p: MedianBoosting(**p),
     "forest": lambda **p: RandomForestRegressor(**{"numTrees": 20, "maxDepth": 6, **p}),
     "linear": lambda **p: LinearRegression(**{"regParam": 0.01, **p}),
 }
@@ -39,11 +41,24 @@ def trainer(name: str, *layers: Mapping, seed: int = 0, fold: int = 0) -> Estima
     return TRAINERS[name](**({} if name == "linear" else {"seed": seed + fold}), **parameters)
 
 
+def dictionary(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) of each distinct non-null value: its place in order, from ranks in ranges. No label reaches the driver, whatever the number of categories."""
+    values = df.select(column).distinct()
+    return cut(ordered_counts(values, (), column).select("value", F.col("before").cast("long").alias("code")))
+
+
+def encoded(df: DataFrame, column: str, codes: DataFrame, name: str) -> DataFrame:
+    """Adds the code of each row's value as ``name``; nulls and values that the dictionary lacks share the code after its last."""
+    size = codes.agg(F.count("*")).first()[0]
+    joined = df.join(codes.select(F.col("value").alias("__value"), F.col("code").alias("__code")), F.col(column) == F.col("__value"), "left")
+    return joined.withColumn(name, F.coalesce("__code", F.lit(size))).drop("__value", "__code")
+
+
 def assembled(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
-    """A features vector; categories are indexed over all rows, unseen ones kept apart; nulls are kept as NaN."""
-    stages: list = [StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep")] if categorical else []
-    stages.append(VectorAssembler(inputCols=[*numeric, *[f"{c}__i" for c in categorical]], outputCol="features", handleInvalid="keep"))
-    return Pipeline(stages=stages).fit(df).transform(df)
+    """A features vector; categories are codes from dictionaries over all rows, nulls have one of their own; null numbers are kept as NaN."""
+    for c in categorical:
+        df = encoded(df, c, dictionary(df, c), f"{c}__i")
+    return VectorAssembler(inputCols=[*numeric, *[f"{c}__i" for c in categorical]], outputCol="features", handleInvalid="keep").transform(df)
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> str:

@@ -143,6 +143,27 @@ def text_flags_stats(spark, d):
     return table(spark, d, "documents").select("doc_id", text.any_of(t, ["the", "der "]).alias("has_any"), text.like(t, r"^(The|Der|La)\s").alias("starts"), text.like(t, "[0-9]").alias("digit"), text.like(t, "&").alias("ampersand"), *[c.alias(n) for n, c in text.statistics(t).items()], text.first_word_in(F.col("lang"), t).alias("lang_in"))
 
 
+@query("WITH v AS (SELECT DISTINCT lower(string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[2]) AS v FROM part WHERE p_partkey % 3 = 0 AND p_name LIKE '% %'), n AS (SELECT p_partkey, lower(p_name) AS n, string_split(lower(p_name), ' ') AS w FROM part) SELECT p_partkey, coalesce(v, w[1]) AS brand FROM n LEFT JOIN v ON v = w[1] || ' ' || w[2]")
+def long_vocabulary(spark, d):
+    """Names against a vocabulary that is a table: the first two words of a third of all names."""
+    p = table(spark, d, "part")
+    words = F.split(F.lower("p_name"), " ")
+    vocabulary = p.where("p_partkey % 3 = 0 and p_name like '% %'").select(F.array_join(F.slice(words, 1, 2), " ").alias("v"))
+    return text.brands(p, "p_name", vocabulary, "v", "brand").select("p_partkey", "brand")
+
+
+@query("SELECT doc_id, coalesce(contains(lower(text), 'the') OR contains(lower(text), 'der ') OR contains(lower(text), 'qu') OR contains(lower(text), '99'), false)::INT AS has_any FROM documents")
+def many_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.any_of_many(F.col("text"), ["the", "der ", "qu", "99", *[f"not in any text {i}" for i in range(2000)]]).alias("has_any"))
+
+
+@query(f"WITH c AS ({_PLACES}), t AS (SELECT k, CASE WHEN k % 11 > 0 THEN floor((lat + 90) / (360 / 4096.0::DOUBLE))::BIGINT END AS y, floor((lon + 180) / (360 / 4096.0::DOUBLE))::BIGINT AS x FROM c), n AS (SELECT k, coalesce(list_aggregate(list_transform(range(11, -1, -1), lambda i: (((y >> i) & 1) * 2 + ((x >> i) & 1))::VARCHAR), 'string_agg', ''), '') AS s, y FROM t) SELECT k, CASE WHEN y IS NULL THEN '__missing__' ELSE s END AS fine, CASE WHEN y IS NULL THEN '__missing__' ELSE left(s, 7) END AS coarse FROM n")
+def curve_cells(spark, d):
+    """Cells along a Z-curve at two levels; the coarse name is a prefix of the fine one."""
+    lat = F.when(F.col("k") % 11 != 0, F.col("lat"))
+    return places(spark, d).select("k", scalar.curve_cell(lat, F.col("lon"), 12).alias("fine"), scalar.curve_cell(lat, F.col("lon"), 7).alias("coarse"))
+
+
 # --- D: joins ------------------------------------------------------------------------------------
 @query("SELECT c_custkey, c_name, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def m2o_join_guard(spark, d):
@@ -605,6 +626,21 @@ def knn_base(spark, d):
     return learn.knn_fold(p.where("p_partkey % 10 <> 0"), p.where("p_partkey % 10 = 0"), "p_partkey", ["s", "r"], "y", 5)
 
 
+@query("WITH t AS (SELECT p_partkey, nullif(p_brand, 'Brand#11') AS b FROM part), c AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS code FROM (SELECT DISTINCT b FROM t WHERE b IS NOT NULL)) SELECT p_partkey, coalesce(code, (SELECT count(*) FROM c)) AS code FROM t LEFT JOIN c USING (b)")
+def dictionary_codes(spark, d):
+    p = table(spark, d, "part").withColumn("b", F.nullif("p_brand", F.lit("Brand#11")))
+    return learn.encoded(p, "b", learn.dictionary(p, "b"), "code").select("p_partkey", "code")
+
+
+@query("SELECT 'bounds' AS kind, 'error' AS severity, 'o_totalprice' AS \"column\", count(*) AS n, 'outside [0, 200000]' AS message FROM orders WHERE o_totalprice < 0 OR o_totalprice > 200000 HAVING count(*) > 0 UNION ALL SELECT 'null', 'error', 'o_orderstatus', count(*), 'identity is null' FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0 UNION ALL SELECT 'invariant', 'error', 'dear_or_open', count(*), 'rows break it' FROM orders WHERE NOT (o_totalprice > 1000 OR o_orderstatus = 'O') HAVING count(*) > 0 UNION ALL SELECT 'extra', 'warning', 'o_custkey', 1, 'column is not in the contract'")
+def checked_write(spark, d):
+    """Orders are written once; bounds, nulls and an invariant are counted by the same job, after a contract built from groups."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_totalprice")
+    groups = {"price": ["o_totalprice", "o_orderkey"], "kind": ["o_orderstatus", "o_totalprice"]}
+    spec = contract.from_groups(groups, {"price": "numeric", "kind": "string"}, bounds={"o_totalprice": (0, 200000)}, identity=["o_orderstatus"])
+    return contract.write_checked(o, spec, tables.new_path(spark, "checked"), {"dear_or_open": (F.col("o_totalprice") > 1000) | F.coalesce(F.col("o_orderstatus") == "O", F.lit(False))})
+
+
 @query()
 def boosted_importance(spark, d):
     """Importances of boosted trees with early stopping, averaged over folds, greatest first."""

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.functions import clean
-from cairnspark.operators import contract, encode, joins, learn, pyramid, ranges, stats
+from cairnspark.functions import clean, scalar, text
+from cairnspark.operators import boosting, contract, encode, joins, learn, pyramid, ranges, stats
 from cairnspark.plans.registry import ORACLE, QUERIES, places
 from cairnspark.sources import tables
 from tests.conftest import SF
@@ -272,3 +272,73 @@ def test_pruned_neighbours_are_exact_and_skip_partitions(spark):
         homes, met = visits.select("home").distinct().count(), visits.count()
         assert met < 0.5 * homes * 16
     assert joins.feature_knn(df.limit(0), df, "k", "v", "y", 3).count() == 0 == joins.feature_knn(df, df.limit(0), "k", "v", "y", 3).count()
+
+
+def test_median_boosting_is_the_plain_loop(spark):
+    """Each round's leaf values are the medians of its residuals, predictions their sum, and the error falls; early stopping keeps the best rounds."""
+    frame = pd.DataFrame({"k": range(240)})
+    frame["x"], frame["z"] = frame.k * 37 % 101 / 10.0, frame.k % 5 * 1.0
+    frame["y"] = (frame.x > 5) * 10.0 + frame.z + (frame.k % 17 == 0) * 500.0
+    data = learn.assembled(spark.createDataFrame(frame), ["x", "z"])
+    model = boosting.MedianBoosting(labelCol="y", maxIter=4, maxDepth=3, stepSize=0.5).fit(data)
+    plain = pd.Series(frame.y.median(), index=frame.k)
+    y = frame.set_index("k").y
+    for i, tree in enumerate(model.trees):
+        leaf = tree.copy().setLeafCol("leaf").transform(data).select("k", "leaf").toPandas().set_index("k").leaf
+        middle = (y - plain).groupby(leaf).median()
+        assert middle.to_dict() == pytest.approx(model.leaves[i])
+        plain = plain + 0.5 * leaf.map(middle)
+    found = model.transform(data).select("k", "prediction").toPandas().set_index("k").prediction
+    assert found.sort_index().to_numpy() == pytest.approx(plain.sort_index().to_numpy())
+    ordinary = y[y < 400].index
+    assert (y - found)[ordinary].abs().mean() < 0.5 * (y - y.median())[ordinary].abs().mean()
+    stopped = boosting.MedianBoosting(labelCol="y", maxIter=6, maxDepth=2, stepSize=2.5, validationIndicatorCol="held", patience=1).fit(data.withColumn("held", F.col("k") % 4 == 0))
+    assert len(stopped.trees) < 6
+    folds = learn.out_of_fold(data.withColumn("fold", F.col("k").cast("int") % 2), "y", "fold", 2, {"boosted_median": {"maxIter": 2}}, "k")
+    assert folds.count() == 240 and folds.where("prediction is null").count() == 0
+
+
+def test_dictionary_codes_bring_no_labels_to_the_driver(spark):
+    df = spark.range(5000).select("id", (F.col("id") * 7919 % 4999).cast("string").alias("c"))
+    codes = learn.dictionary(df, "c")
+    assert {r.value: r.code for r in codes.collect()} == {v: i for i, v in enumerate(sorted(str(x) for x in range(4999)))}
+    plan = learn.encoded(df, "c", codes, "code")._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "Python" not in plan
+    assert [r.code for r in learn.encoded(spark.createDataFrame([("no",), (None,)], "c string"), "c", codes, "code").collect()] == [4999, 4999]
+
+
+def test_curve_cells_nest_and_prune_files(spark):
+    c = places(spark, SF).withColumn("code", scalar.curve_code(F.col("lat"), F.col("lon"), 20))
+    names = c.select(*[scalar.curve_cell(F.col("lat"), F.col("lon"), n).alias(f"n{n}") for n in (3, 9, 20)]).collect()
+    assert all(r.n20.startswith(r.n9) and r.n9.startswith(r.n3) and len(r.n20) == 20 for r in names)
+    path = tables.new_path(spark, "clustered")
+    c.repartitionByRange(16, "code").sortWithinPartitions("code").write.parquet(path)
+    cell = c.select(scalar.curve_code(F.col("lat"), F.col("lon"), 10).alias("cell")).groupBy("cell").count().orderBy("count", "cell").first()["cell"]
+    low, high = spark.range(1).select(*scalar.curve_range(F.lit(cell), 10, 20)).first()
+    asked = spark.read.parquet(path).where(F.col("code").between(low, high))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(code,{low})" in plan and f"LessThanOrEqual(code,{high})" in plan
+    assert asked.count() == c.where(scalar.curve_code(F.col("lat"), F.col("lon"), 10) == cell).count() > 0
+    assert asked.select(F.input_file_name()).distinct().count() <= 3
+
+
+def test_long_word_lists_compile(spark):
+    df = spark.createDataFrame([("Token 99999 here",), ("none",), (None,), ("The Old  Mill Inn",)], "t string")
+    assert [r[0] for r in df.select(text.any_of_many(F.col("t"), [f"token {i}" for i in range(1000, 101000)])).collect()] == [1, 0, 0, 0]
+    assert [r[0] for r in df.select(text.any_of_many(F.col("t"), [])).collect()] == [0] * 4
+    entries = spark.range(100000).select(F.concat(F.lit("token "), F.col("id")).alias("v")).union(spark.createDataFrame([("old",), ("OLD  mill",)], "v string"))
+    found = {r.t: r.brand for r in text.brands(df, "t", entries, "v", "brand").collect()}
+    assert found == {"Token 99999 here": "token 99999", "none": "none", None: clean.SENTINEL, "The Old  Mill Inn": "old  mill"}
+
+
+def test_checked_writes_take_one_job_and_find_what_validate_finds(spark):
+    df = spark.createDataFrame([(1, "x", 5.0), (2, None, 50.0), (3, "y", -1.0)], "k long, name string, v double")
+    spec = contract.Contract({"any": ("any", ["k"]), "n": ("numeric", ["v", "name"])}, {"v": (0, 10)}, identity=["name"])
+    tracker, group = spark.sparkContext.statusTracker(), "checked"
+    spark.sparkContext.setJobGroup(group, group)
+    path = tables.new_path(spark, "checked")
+    found = contract.write_checked(df, spec, path)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1 and sorted(map(tuple, found.collect())) == sorted(map(tuple, contract.validate(df, spec).collect()))
+    assert spark.read.parquet(path).count() == 3 and contract.summary(found).count("\n") == found.count() - 1
