@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from cairnspark.sources.tables import new_path
 
 
+#: Rows of a group whose values one task may hold.
+SMALL_GROUP = 1 << 17
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: computed once, lineage cut, columns pruned by what follows."""
     path = new_path(df.sparkSession, "cut")
@@ -41,7 +45,16 @@ def ordered_counts(df: DataFrame, groups: Sequence[str], value: str, weight: str
 
 
 def percentiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float], name: str = "quantiles", weight: str | None = None) -> DataFrame:
-    """One row per group (one in all without groups, none for an empty table): exact interpolated percentiles of the non-null values as an array."""
+    """One row per group (one in all without groups, none for an empty table): exact interpolated percentiles of the non-null values as an array.
+
+    Where no group has more than SMALL_GROUP rows, which one count tells, each is one aggregate; else values are counted and ranked in ranges.
+    """
+    known = df.where(F.col(value).isNotNull())
+    rows = (F.sum(weight) if weight else F.count("*")).alias("n")
+    largest = known.groupBy(*groups).agg(rows).agg(F.max("n")).first()[0] or 0
+    if largest <= SMALL_GROUP:
+        exact = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(s)) for s in shares]), F.col(weight) if weight else F.lit(1))
+        return (known.where(F.col(weight) > 0) if weight else known).groupBy(*groups).agg(exact.alias(name)).where(F.col(name).isNotNull())
     found = []
     for share in shares:
         at = F.lit(float(share)) * (F.col("total") - 1)

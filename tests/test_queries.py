@@ -101,7 +101,9 @@ def test_nearest_loses_no_query_at_any_density(spark):
     assert joins.nearest(df, df.limit(0), 3, "k").count() == 0
 
 
-def test_exact_percentiles_and_ranks(spark):
+@pytest.mark.parametrize("small", [1 << 17, 0])
+def test_exact_percentiles_and_ranks(spark, monkeypatch, small):
+    monkeypatch.setattr(ranges, "SMALL_GROUP", small)
     values = [5.0, 1.0, 1.0, None, 8.0, 3.0, 3.0, 3.0]
     df = spark.createDataFrame([(None if i % 2 else "a", v) for i, v in enumerate(values)], "g string, v double")
     frame = df.toPandas()
@@ -202,7 +204,9 @@ def test_null_levels_and_categories(spark):
     assert {r.c: r.encoded for r in stats.leave_fold_out(df, "c", "y", "fold", 2.0).collect()} == {None: 5.0, "__missing__": 5.0, "a": 2.0, "b": 2.0}
 
 
-def test_own_fold_never_moves_its_encodings(spark):
+@pytest.mark.parametrize("small", [1 << 17, 0])
+def test_own_fold_never_moves_its_encodings(spark, monkeypatch, small):
+    monkeypatch.setattr(ranges, "SMALL_GROUP", small)
     """Mean, median and neighbours of a fold's rows stay when its targets change, and are those of a plain loop over folds."""
     c = stats.group_folds(places(spark, SF), "k", 3).withColumn("value", F.when(F.col("k") % 13 > 0, F.round("value", -2))).withColumn("attr", F.when(F.col("k") % 7 > 0, F.col("attr")))
     names = ["encoded", "median", "n_rest", "near"]
@@ -217,7 +221,9 @@ def test_own_fold_never_moves_its_encodings(spark):
             assert got[3:5] == ((pytest.approx(middle[r.attr]), n[r.attr]) if isinstance(r.attr, str) else (pytest.approx(rest.value.median()), 0))
 
 
-def test_medians_of_several_columns_take_one_pass(spark):
+@pytest.mark.parametrize("small", [1 << 17, 0])
+def test_medians_of_several_columns_take_one_pass(spark, monkeypatch, small):
+    monkeypatch.setattr(ranges, "SMALL_GROUP", small)
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, None), (None, 9.0, None), ("b", None, None)], "g string, x double, y double")
     found = {r.g: (r.mx, r.my) for r in ranges.medians(df, ["g"], {"mx": F.col("x"), "my": F.col("y")}).collect()}
     assert found == {"a": (2.0, 2.0), None: (9.0, None)}
