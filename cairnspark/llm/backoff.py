@@ -4,17 +4,24 @@ The model is as large as the corpus and never sits in one place. Documents are g
 lie in the table; each block asks, once for every distinct n-gram it has, how often the training documents have it; hash
 ranges of n-grams add the counts up and answer where other blocks have contributed. With the answers a block builds the
 states, arcs and failure arcs that its texts can reach, and runs its texts through them from left to right.
+
+Blocks and ranges both grow with the input, so they meet in steps: a block asks at most 2^FAN_BITS nodes, each of which
+adds up one range for one group of blocks and asks in turn, for all of them, nodes of finer ranges and larger groups.
+The last nodes have one range for all blocks, and the answers go back the same way. A node holds about as many n-grams
+as a block at every step, and there are log(blocks) / FAN_BITS steps: one up to 3 GB of text, two up to 1.5 TB, three beyond.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import by_bytes, map_arrow, stored
+from cairnspark.llm.common import by_bytes, even_steps, leading_bits, map_arrow, stored
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -23,9 +30,14 @@ END = b"\n"  # no word has it
 KEY_BITS = 56
 #: Bytes of text in a block, about; one longer text is a block of its own.
 BLOCK_BYTES = 6_000_000
+#: Documents of a block; their texts may be empty.
+BLOCK_DOCS = 100_000
+#: Bits of ranges, and of groups of blocks, that one step of asking tells apart.
+FAN_BITS = 9
 _BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, sizes array<long>, words binary, tokens binary"
-_PARTS = "order int, bucket int, block long, keys binary, counts binary, tokens long, types long"
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+#: From the block or node ``source``, to the node of an order, a group of blocks and a range (bucket).
+_PARTS = "order int, grp long, bucket int, source long, keys binary, counts binary, tokens long, types long"
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -56,9 +68,10 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-def bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each hash range begins among sorted keys, and their end."""
-    inner = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
+def bucket_edges(keys: np.ndarray, bits: int, prefix: int = 0, known: int = 0) -> np.ndarray:
+    """Where each hash range of ``bits`` bits begins among sorted keys that all begin with the ``known`` bits of ``prefix``, and their end."""
+    first, last = prefix << (bits - known), (prefix + 1) << (bits - known)
+    inner = np.searchsorted(keys, np.arange(first + 1, last, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
     return np.concatenate([[0], inner, [len(keys)]])
 
 
@@ -198,7 +211,44 @@ class BackoffAutomaton:
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, _KINDS, strict=True)], _names(_PARTS))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(_KINDS), _KINDS, strict=True)], _names(_PARTS))
+
+
+def _asked(order: int, group: int, source: int, keys: np.ndarray, counts: np.ndarray, bits: int, prefix: int = 0, known: int = 0) -> pa.Table:
+    """What a block or node asks: its keys and counts, a part for each range."""
+    edges, first = bucket_edges(keys, bits, prefix, known), prefix << (bits - known)
+    parts = [(first + b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges)).tolist()]
+    return _table([(order, group, b, source, packed_keys(keys[at]), packed(counts[at]), 0, 0) for b, at in parts])
+
+
+class Node:
+    """The parts that came to a node: their distinct keys, and the sums of their counts."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+        self.keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
+        self.counts = [unpacked(x).astype(np.int64) for x in table.column("counts").to_pylist()]
+        self.distinct, self.inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
+        self.totals = np.bincount(self.inverse, np.concatenate(self.counts), len(self.distinct)).astype(np.int64)
+
+    def answers(self) -> list[tuple]:
+        """For each part the totals that differ from its own counts."""
+        rows, at = [], 0
+        for n, bucket, source, x, c in zip(*(self.table.column(x).to_pylist() for x in ("order", "bucket", "source")), self.keys, self.counts, strict=True):
+            total = self.totals[self.inverse[at : at + len(x)]]
+            at += len(x)
+            more = total != c
+            if more.any():
+                # who asked has the same keys in the same order: a bit for each tells which ones get a total
+                rows.append((n, 0, bucket, source, np.packbits(more).tobytes(), packed(total[more]), 0, 0))
+        return rows
+
+
+def _take(counts: np.ndarray, edges: np.ndarray, place: int, more: bytes, given: bytes) -> None:
+    """Writes the totals of one answer over the counts that were asked for in the range at ``place``."""
+    at = slice(edges[place], edges[place + 1])
+    differ = np.unpackbits(np.frombuffer(more, np.uint8))[: at.stop - at.start].astype(bool)
+    counts[at][differ] = unpacked(given)
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -208,7 +258,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             for doc_id, text, held_out in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 block.add(doc_id, text, bool(held_out))
             held += batch.column(1).nbytes
-            if held >= block_bytes:
+            if held >= block_bytes or len(block.doc_ids) >= BLOCK_DOCS:
                 yield block.batch(number)
                 number, block, held = number + 1, BlockTexts(), 0
         if block.doc_ids:
@@ -218,7 +268,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return stored(rows.transform(map_arrow, gather, _BLOCKS), "lm-blocks")
 
 
-def score_corpus(docs: DataFrame, order: int = 3, k: float = 2.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_corpus(docs: DataFrame, order: int = 3, k: float = 2.0, block_bytes: int = BLOCK_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
     ``docs`` has doc_id, text and held_out; rows where held_out is false are learned from. Tokens are words
@@ -232,44 +282,55 @@ def score_corpus(docs: DataFrame, order: int = 3, k: float = 2.0, block_bytes: i
     def grams_of(row: dict) -> BlockGrams:
         return BlockGrams(row["words"], row["tokens"], row["sizes"], row["held_out"], order)
 
+    steps = even_steps(bits, fan_bits)
+    told = list(accumulate(steps))
+
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 grams = grams_of(row)
                 for n, (keys, counts) in enumerate(zip(grams.keys, grams.counts, strict=True), 1):
-                    edges = bucket_edges(keys, bits)
-                    rows = [(n, b, row["block"], packed_keys(keys[edges[b] : edges[b + 1]]), packed(counts[edges[b] : edges[b + 1]]), 0, 0) for b in np.flatnonzero(np.diff(edges)).tolist()]
-                    yield from _table(rows).to_batches()
+                    yield from _asked(n, row["grp"], row["block"], keys, counts, told[0]).to_batches()
 
-    def answer(table: pa.Table) -> pa.Table:
-        order_, bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
-        keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
-        counts = [unpacked(x).astype(np.int64) for x in table.column("counts").to_pylist()]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
-        rows, at = [], 0
-        for block, x, c in zip(table.column("block").to_pylist(), keys, counts, strict=True):
-            total = totals[inverse[at : at + len(x)]]
-            at += len(x)
-            more = total != c
-            if more.any():
-                # the block has the same keys in the same order: a bit for each tells which ones get a total
-                rows.append((order_, bucket, block, np.packbits(more).tobytes(), packed(total[more]), 0, 0))
-        return _table([*rows, (order_, bucket, -1, b"", b"", int(totals.sum()), int((totals > 0).sum()))])
+    def ask_on(step: int):
+        def ask(table: pa.Table) -> pa.Table:
+            order_, group, bucket = (table.column(x)[0].as_py() for x in ("order", "grp", "bucket"))
+            node = Node(table)
+            return _asked(order_, group >> steps[step], group, node.distinct, node.totals, told[step], bucket, told[step - 1])
 
-    answers = stored(blocks.transform(map_arrow, ask, _PARTS).groupBy("order", "bucket").applyInArrow(answer, _PARTS), "ngram-counts")
-    sums = answers.where("block = -1 and order = 1").agg(F.sum("tokens"), F.sum("types")).first()
+        return ask
+
+    def answer(table: pa.Table) -> pa.Table:
+        node = Node(table)
+        totals = (table.column("order")[0].as_py(), 0, 0, -1, b"", b"", int(node.totals.sum()), int((node.totals > 0).sum()))
+        return _table([*node.answers(), totals])
+
+    def answer_back(step: int):
+        def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+            node, bucket = Node(left), left.column("bucket")[0].as_py()
+            edges, first = bucket_edges(node.distinct, told[step], bucket, told[step - 1]), bucket << steps[step]
+            for part, more, given in zip(*(right.column(x).to_pylist() for x in ("part", "keys", "counts")), strict=True):
+                _take(node.totals, edges, part - first, more, given)
+            return _table(node.answers())
+
+        return answer
+
+    place = ["order", "grp", "bucket"]
+    asks = [blocks.withColumn("grp", leading_bits("block", bits - told[0])).transform(map_arrow, ask, _PARTS)]
+    for step in range(1, len(steps)):
+        asks[-1] = stored(asks[-1], "ngrams-asked")
+        asks.append(asks[-1].groupBy(*place).applyInArrow(ask_on(step), _PARTS))
+    answers = stored(asks[-1].groupBy(*place).applyInArrow(answer, _PARTS), "ngram-counts")
+    sums = answers.where("source = -1 and order = 1").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = int(sums[0] or 0), int(sums[1] or 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         grams = grams_of(row)
-        edges = [bucket_edges(keys, bits) for keys in grams.keys]
-        for n, bucket, more, c in zip(*(right.column(x).to_pylist() for x in ("order", "bucket", "keys", "counts")), strict=True):
-            at = slice(edges[n - 1][bucket], edges[n - 1][bucket + 1])
-            more = np.unpackbits(np.frombuffer(more, np.uint8))[: at.stop - at.start].astype(bool)
-            grams.counts[n - 1][at][more] = unpacked(c)
+        edges = [bucket_edges(keys, told[0]) for keys in grams.keys]
+        for n, bucket, more, given in zip(*(right.column(x).to_pylist() for x in ("order", "bucket", "keys", "counts")), strict=True):
+            _take(grams.counts[n - 1], edges[n - 1], bucket, more, given)
         grams.keys = [None] * order  # places and counts are all that is needed from here on
         automaton = BackoffAutomaton(grams, tokens, types, k)
         arcs = automaton.traverse(grams.starts, grams.sizes)
@@ -279,7 +340,11 @@ def score_corpus(docs: DataFrame, order: int = 3, k: float = 2.0, block_bytes: i
         columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(grams.sizes), pa.array(sums[0]), pa.array(np.full(n, tokens)), pa.array(np.round(sums[1], 6)), pa.array(np.round(sums[2], 6))]
         return pa.Table.from_arrays(columns, _names(SCORES))
 
-    given = answers.where("block >= 0").select("block", "order", "bucket", "keys", "counts")
+    answers = answers.where("source >= 0")
+    for step in range(len(steps) - 1, 0, -1):
+        given = answers.select("order", F.col("source").alias("grp"), F.shiftright("bucket", steps[step]).alias("bucket"), F.col("bucket").alias("part"), "keys", "counts")
+        answers = asks[step - 1].groupBy(*place).cogroup(given.groupBy(*place)).applyInArrow(answer_back(step), _PARTS)
+    given = answers.select(F.col("source").alias("block"), "order", "bucket", "keys", "counts")
     return blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, SCORES)
 
 

@@ -58,6 +58,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def even_steps(bits: int, most: int) -> list[int]:
+    """``bits`` in the fewest steps of at most ``most`` bits each, as even as can be."""
+    steps = max(1, -(-bits // most))
+    return [bits // steps + (i < bits % steps) for i in range(steps)]
+
+
+def leading_bits(column: str, bits: int) -> Column:
+    """The first ``bits`` bits of a hash of ``column``: a number of a group, of which 2 ** bits exist."""
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - bits) if bits else F.lit(0).cast("long")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -267,6 +267,32 @@ def test_backoff_automaton(spark, docs, empty):
     assert backoff.score_corpus(empty.withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_blocks_and_ranges_meet_in_steps(spark, docs, monkeypatch, tmp_path):
+    """However many steps, the rows are the same; what a block sends stays the same as blocks multiply, where one step would square it."""
+    rows = docs.withColumn("held_out", F.coalesce(F.col("doc_id") == 7, F.lit(False)))
+    want = Counter(map(tuple, backoff.score_corpus(rows).collect()))
+    for fan in (1, 2, 3):
+        assert Counter(map(tuple, backoff.score_corpus(rows, block_bytes=1, fan_bits=fan).collect())) == want
+    monkeypatch.setattr(token_counts, "RANGE_WORDS", 1)
+    want = Counter(map(tuple, token_counts.count_tokens(docs).collect()))
+    for fan in (2, 5):
+        assert Counter(map(tuple, token_counts.count_tokens(docs, block_bytes=50, fan_bits=fan).collect())) == want
+
+    def parts(texts: int) -> list[int]:
+        sent = []
+        keep = backoff.stored
+        monkeypatch.setattr(backoff, "stored", lambda df, name: sent.append(keep(df, name)) or sent[-1])
+        words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.xxhash64("id", i).cast("string")))
+        table = spark.range(0, texts, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit(False).alias("held_out"))
+        backoff.score_corpus(table.repartition(texts), 1, block_bytes=1, fan_bits=2)
+        monkeypatch.setattr(backoff, "stored", keep)
+        return [df.count() for df in sent]  # blocks, parts of each step but the last, answers
+
+    (few, *small), (many, *large) = parts(16), parts(64)
+    assert (few, many, len(small), len(large)) == (16, 64, 2, 3)
+    assert max(large[:-1]) <= 4 * many and max(small[:-1]) <= 4 * few
+
+
 def test_packed_numbers():
     for x in (np.zeros(0, np.uint64), np.array([0, 1, 255, 256, 2**56 - 1], np.uint64), np.arange(1000, dtype=np.uint64) ** 5):
         assert backoff.unpacked(backoff.packed(x)).tolist() == backoff.unpacked_keys(backoff.packed_keys(x)).tolist() == x.tolist()
