@@ -29,8 +29,8 @@ BLOCK_BYTES = 16 << 20
 BLOCK_DOCS = 100_000
 #: Distinct pre-tokens, counted once for each block that has them, that a hash range has at most, about.
 RANGE_WORDS = 1_000_000
-#: Bits of ranges, and of groups of blocks, that one step of asking tells apart.
-FAN_BITS = 9
+#: Bits of ranges, and of groups of blocks, that one step of asking tells apart: one step up to 160 GB of text, two beyond.
+FAN_BITS = 13
 _BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, kinds array<int>, whole array<long>, words array<binary>, ranges array<int>, sizes array<int>, places binary, times binary"
 
 
