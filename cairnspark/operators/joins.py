@@ -84,11 +84,12 @@ def radius_pairs(queries: DataFrame, pool: DataFrame, km: float | Column, same:
 def _start_levels(queries: DataFrame, pool: DataFrame, k: int, unit: float, lat: str, lon: str, same: Sequence[str], top_level: int) -> DataFrame:
     """Queries with ``__level``: the radius unit * 2^(level / 2) that should hold k of the pool, by the pool's density around the query.
 
-    Counts of the finest cells of a quadtree in degrees are added up for coarser ones; a query takes the density of
-    the smallest cell around it that holds k. A wrong guess costs a round, never a result.
+    Counts of the finest cells of a quadtree in degrees, whose root is the whole globe, are added up for coarser ones;
+    a query takes the density of the smallest cell around it that holds k. A wrong guess costs a round, never a result.
+    Where the pool has fewer than k rows the radius is the whole globe at once.
     """
-    finest, depth = 1 / 1024, 19
-    cell = {"__y": F.floor(F.col(lat) / finest).cast("long"), "__x": F.floor(F.col(lon) / finest).cast("long")}
+    finest, depth = 1 / 1024, 20
+    cell = {"__y": F.floor((F.col(lat) + 90) / finest).cast("long"), "__x": F.floor((F.col(lon) + 180) / finest).cast("long")}
     keys = [f"__s_{c}" for c in same]
     named = {f"__s_{c}": F.col(c) for c in same}
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("__j")
@@ -100,8 +101,10 @@ def _start_levels(queries: DataFrame, pool: DataFrame, k: int, unit: float, lat:
     side = F.pow(F.lit(2.0), F.col("__m.__j")) * finest * KM_PER_DEGREE
     area = side * side * F.greatest(F.cos(F.radians(F.col(lat))), F.lit(0.01))
     radius = F.sqrt((k + 3 * k**0.5 + 1) * area / F.col("__m.__c") / F.pi())
-    level = F.least(F.greatest(F.ceil(2 * F.log2(radius / unit)), F.lit(-40)), F.lit(top_level)).cast("int")
-    return queries.withColumns({**cell, **named}).join(smallest, ["__y", "__x", *keys], "left").withColumn("__level", F.coalesce(level, F.lit(top_level))).drop("__y", "__x", "__m", *keys)
+    # null where no cell holds k; greatest would skip the null, so that comes first
+    level = F.coalesce(F.ceil(2 * F.log2(radius / unit)), F.lit(top_level))
+    level = F.least(F.greatest(level, F.lit(-40)), F.lit(top_level)).cast("int")
+    return queries.withColumns({**cell, **named}).join(smallest, ["__y", "__x", *keys], "left").withColumn("__level", level).drop("__y", "__x", "__m", *keys)
 
 
 def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str, km: float = 1.0, lat: str = "lat", lon: str = "lon", exclude: tuple[str, str] | None = None, same: Sequence[str] = ()) -> DataFrame:

@@ -101,6 +101,20 @@ def test_nearest_loses_no_query_at_any_density(spark):
     assert joins.nearest(df, df.limit(0), 3, "k").count() == 0
 
 
+def test_lonely_queries_take_few_rounds(spark, monkeypatch):
+    """Queries in another hemisphere than the whole pool start from its density, not from the least radius."""
+    tables = []
+    monkeypatch.setattr(joins, "cut", lambda df: tables.append(df) or ranges.cut(df))
+    pool = spark.range(200).selectExpr("id AS k", "10.0 + id * 0.001 AS lat", "20.0 AS lon")
+    far = spark.createDataFrame([(1000, -60.0, -170.0), (1001, -89.0, 5.0)], "k long, lat double, lon double")
+    assert {(r.q_k, r["rank"], r.p_k) for r in joins.nearest(far, pool, 2, "k", 0.1).collect()} == {(1000, 1, 0), (1000, 2, 1), (1001, 1, 0), (1001, 2, 1)}
+    # the root cell's density says about 900 km at 89 degrees south, and each round doubles it: 2 tables a round, not 38 rounds from the least radius
+    assert len(tables) <= 2 + 2 * 7
+    tables.clear()
+    assert joins.nearest(far, pool.limit(1), 2, "k", 0.1).count() == 2
+    assert len(tables) == 4
+
+
 @pytest.mark.parametrize("small", [1 << 17, 0])
 def test_exact_percentiles_and_ranks(spark, monkeypatch, small):
     monkeypatch.setattr(ranges, "SMALL_GROUP", small)
