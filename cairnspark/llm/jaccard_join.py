@@ -11,7 +11,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.llm import encoders
@@ -26,6 +26,8 @@ FREQUENT = 1 << 18
 MEMBER_BITS = 1 << 27
 #: Pairs of one set that are verified together; a set with more of them is dealt over several keys.
 SHARE = 256
+#: Sets with one shingle in their prefixes that one task may join; a shingle of more sets is dealt over several keys.
+HOT = 4_096
 _ROW = 1 << 15
 SKETCH = 4  # words of 64 bits, beside each prefix shingle
 WIDE = 2048  # bits of the sketch that is compared once per candidate pair
@@ -222,6 +224,30 @@ def _may_link(x: str, y: str, percent: int):
     return (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent) & (different <= nx + ny - 2 * _needed(nx, ny, percent))
 
 
+def _hot(spark: SparkSession, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(token, deals) for the shingles that more than HOT documents were seen to have: at most FREQUENT rows, so they are broadcast."""
+    hot = counts > HOT
+    table = pa.table({"token": keys[hot].view(np.int64), "deals": -(-counts[hot].astype(np.int64) // HOT)})
+    return F.broadcast(spark.createDataFrame(table, "token long, deals long"))
+
+
+def _deal(token: str, deals, share):
+    """A shingle's key, or one of its ``deals`` keys. Two shingles of one key make more candidates, never fewer."""
+    return F.when(deals > 1, F.xxhash64(token, share)).otherwise(F.col(token))
+
+
+def _dealt(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``key``: rows of a hot shingle go to one of its keys, by node."""
+    rows = df.join(hot, "token", "left")
+    return rows.withColumn("key", _deal("token", F.col("deals"), F.pmod(F.xxhash64("node"), F.col("deals")))).drop("deals")
+
+
+def _spread(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``key``: rows of a hot shingle are there once for each of its keys."""
+    rows = df.join(hot, "token", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)) - 1)))
+    return rows.withColumn("key", _deal("token", F.col("deals"), F.col("share"))).drop("deals", "share")
+
+
 def _grouped(docs: DataFrame, words: int, percent: int, fragments: int) -> DataFrame:
     """For every row doc_id, hash (of the text), n, component_id, and whether it is its component's first: least by id (null last), node and hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -229,16 +255,19 @@ def _grouped(docs: DataFrame, words: int, percent: int, fragments: int) -> DataF
     ids = scan.where("not shingle").select("doc_id", "n", "node", "hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "hash")).alias("first")
     nodes = stored(ids.where("n > 0").groupBy("node").agg(first).select("node", F.col("first.doc_id").alias("least"), "first"), "nodes")
-    info = stored(_prefixes(rows, words, percent, *_frequent(scan)), "prefixes")
+    frequent = _frequent(scan)
+    hot = _hot(docs.sparkSession, *frequent)
+    info = stored(_prefixes(rows, words, percent, *frequent), "prefixes")
     sketch = [f"s{i}" for i in range(SKETCH)]
-    postings = info.select("node", F.posexplode("prefix").alias("place", "token"))
-    shared = postings.withColumn("nodes", F.count("*").over(Window.partitionBy("token"))).where("nodes > 1").drop("nodes")
+    postings = _dealt(info.select("node", F.posexplode("prefix").alias("place", "token")), hot)
+    # A hot shingle is kept whatever its count; the window holds the postings of one key.
+    shared = postings.withColumn("nodes", F.count("*").over(Window.partitionBy("key"))).where("nodes > 1 or key <> token").drop("nodes", "key")
     buckets = stored(shared.join(info.select("node", "n", *sketch), "node"), "buckets")
 
     # Stars: every node is compared to the most alike of the nodes that its shingles name.
     centre = F.min_by(F.struct("node", "n", *sketch), F.xxhash64("node")).alias("c"), F.max_by(F.struct("node", "n", *sketch), F.xxhash64("node")).alias("d")
     centres = buckets.groupBy("token").agg(*centre).select("token", F.explode(F.array("c", "d")).alias("c")).select("token", "c.*")
-    near = buckets.alias("x").join(centres.alias("y"), "token").where((F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent))
+    near = _dealt(buckets, hot).drop("token").alias("x").join(_spread(centres, hot).drop("token").alias("y"), "key").where((F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent))
     near = _refined(near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), info, percent)
     stars = stored(near.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")), "stars")
     links = _verified(rows, stars, nodes, words, percent, fragments)
@@ -247,15 +276,18 @@ def _grouped(docs: DataFrame, words: int, percent: int, fragments: int) -> DataF
     # Then all candidates of different components. Of two sets that link, the smaller one shares a shingle of its shorter index prefix.
     named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "named-buckets")
-    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    named = named.join(several, "token", "left_semi")
-    # Sizes of sets that link are in the same band or the next one, so a shingle that many sets share is dealt by size.
+    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / HOT).alias("cuts")).where("lo <> hi").select("token", "cuts")
+    named = _dealt(named, hot).join(_spread(several, hot).select("key", "token", "cuts"), ["key", "token"]).drop("key")
+    # Sizes of sets that link are in the same band or the next one, so a shingle that many sets share is dealt by size,
+    # and its band by a grid: a set's row (of the smaller ones) or column is by its node, and it is there in all cells of it.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(math.log(100 / percent), 1e-3) * 1.001)).cast("int")
     early = F.col("place") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent) - F.lit(1e-9))
-    smaller = named.where(early).withColumn("band", F.explode(F.array(band, band + 1)))
+    own, others = F.pmod(F.xxhash64("node"), F.col("cuts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
+    sides = ["node", "n", "component", *sketch, "cell"]
+    smaller = named.where(early).withColumn("band", F.explode(F.array(band, band + 1))).withColumn("other", others).withColumn("cell", F.xxhash64("token", "band", own, "other")).select(sides)
+    larger = named.withColumn("band", band).withColumn("other", others).withColumn("cell", F.xxhash64("token", "band", "other", own)).select(sides)
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-    rest = smaller.alias("x").join(named.withColumn("band", band).alias("y"), same & (F.col("x.component") != F.col("y.component")) & ordered & _may_link("x", "y", percent))
+    rest = smaller.alias("x").join(larger.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component")) & ordered & _may_link("x", "y", percent))
     rest = _refined(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), info, percent)
     more = _verified(rows, stored(rest, "pairs"), nodes, words, percent, fragments)
     labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))

@@ -217,7 +217,9 @@ def test_no_column_name_clashes(spark):
         assert kept and all(r[n] == "x" + n for r in kept for n in names)
 
 
-def test_similar_groups(spark, empty):
+@pytest.mark.parametrize("hot", [4_096, 2])
+def test_similar_groups(spark, empty, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     texts = {i: " ".join(f"w{i % 7}_{k}" if k != i else f"odd{i}" for k in range(60)) for i in range(40)}
     texts |= {50: None, 51: "", 52: "a b", 53: "A B", 54: texts[0], 55: "b a"}
     rows = spark.createDataFrame([*texts.items(), (54, texts[0])], "doc_id long, text string")
@@ -237,6 +239,23 @@ def test_similar_groups(spark, empty):
     assert jaccard_join.keep_one(rows, 3, 80).columns == rows.columns
 
 
+@pytest.mark.parametrize("hot", [4_096, 3])
+def test_shingles_that_most_sets_share(spark, monkeypatch, hot):
+    """Every set is made of few words that all others use too, so prefixes are hot: dealt over keys and cells of a grid, the links are those of all pairs."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(18)]
+    texts = {i: " ".join(rng.choice(words, int(rng.integers(5, 14)), replace=False)) for i in range(150)}
+    sets, group = {i: set(t.split()) for i, t in texts.items()}, {i: i for i in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])]
+    while any(group[a] != group[b] for a, b in links):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    assert 20 < len(set(group.values())) < 150
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame([*texts.items()], "doc_id long, text string"), 1, 70).collect()}
+    assert got == group
+
+
 def test_backoff_automaton(spark, docs, empty):
     from math import log10
 
