@@ -25,7 +25,7 @@ def fold_encodings(df: DataFrame, key: str, category: str, target: str, attribut
     known = df.where(F.col(target).isNotNull())
     ranked = nearest(df.select(key, lat, lon, fold), known.select(key, lat, lon, fold, target), k, key, exclude=(fold, fold))
     near = neighbour_stats(ranked, key, target, [k]).select(key, F.col(f"mean_k{k}").alias("near"))
-    out = out.join(near, key, "left")
+    out = out.join(near.hint("merge"), key, "left")  # a row for each key: never broadcast
     return out.withColumns({f"{c}_by_{attribute}": F.col(c) * F.col(attribute) for c in ("encoded", "median", "near")})
 
 

@@ -21,6 +21,14 @@ KM_PER_DEGREE = 110.5
 WHOLE_GLOBE_KM = 20_200.0
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A table that grows with the input: joined by sorted shuffles, never sent whole to the driver, however small its files are.
+
+    Spark compares the size of files with its broadcast threshold; repeated values and few columns make millions of rows look small.
+    """
+    return df.hint("merge")
+
+
 def many_to_one(fact: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join that raises if the dimension repeats a key or lacks one: two checks, one aggregate each."""
     if dimension.groupBy(*keys).count().where("count > 1").limit(1).count():
@@ -76,7 +84,7 @@ def radius_pairs(queries: DataFrame, pool: DataFrame, km: float | Column, same:
     p = _cells(pool, lat, lon, km)
     q = q.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], "cy", "cx", (km if isinstance(km, Column) else F.lit(km)).alias("__km"), *[F.col(c).alias(f"__{c}") for c in same])
     p = p.select(*[F.col(c).alias(f"p_{c}") for c in pool.columns], "cy", "cx", *[F.col(c).alias(f"__{c}") for c in same])
-    pairs = q.join(p, ["cy", "cx", *[f"__{c}" for c in same]]).drop("cy", "cx", *[f"__{c}" for c in same])
+    pairs = q.join(_dealt(p), ["cy", "cx", *[f"__{c}" for c in same]]).drop("cy", "cx", *[f"__{c}" for c in same])
     distance = haversine_km(F.col(f"q_{lat}"), F.col(f"q_{lon}"), F.col(f"p_{lat}"), F.col(f"p_{lon}"))
     return pairs.withColumn("km", distance).where(F.col("km") <= F.col("__km")).drop("__km")
 
@@ -97,14 +105,14 @@ def _start_levels(queries: DataFrame, pool: DataFrame, k: int, unit: float, lat:
     counts = pool.withColumns({**cell, **named}).groupBy("__y", "__x", *keys).agg(F.count("*").alias("__c"))
     tree = counts.select("*", levels).groupBy("__j", *up, *keys).agg(F.sum("__c").alias("__c")).where(F.col("__c") >= k)
     mine = queries.withColumns({**cell, **named}).select("__y", "__x", *keys).distinct()
-    smallest = mine.select("*", levels).select("*", *up).join(tree, ["__j", "__uy", "__ux", *keys]).groupBy("__y", "__x", *keys).agg(F.min(F.struct("__j", "__c")).alias("__m"))
+    smallest = mine.select("*", levels).select("*", *up).join(_dealt(tree), ["__j", "__uy", "__ux", *keys]).groupBy("__y", "__x", *keys).agg(F.min(F.struct("__j", "__c")).alias("__m"))
     side = F.pow(F.lit(2.0), F.col("__m.__j")) * finest * KM_PER_DEGREE
     area = side * side * F.greatest(F.cos(F.radians(F.col(lat))), F.lit(0.01))
     radius = F.sqrt((k + 3 * k**0.5 + 1) * area / F.col("__m.__c") / F.pi())
     # null where no cell holds k; greatest would skip the null, so that comes first
     level = F.coalesce(F.ceil(2 * F.log2(radius / unit)), F.lit(top_level))
     level = F.least(F.greatest(level, F.lit(-40)), F.lit(top_level)).cast("int")
-    return queries.withColumns({**cell, **named}).join(smallest, ["__y", "__x", *keys], "left").withColumn("__level", level).drop("__y", "__x", "__m", *keys)
+    return queries.withColumns({**cell, **named}).join(_dealt(smallest), ["__y", "__x", *keys], "left").withColumn("__level", level).drop("__y", "__x", "__m", *keys)
 
 
 def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str, km: float = 1.0, lat: str = "lat", lon: str = "lon", exclude: tuple[str, str] | None = None, same: Sequence[str] = ()) -> DataFrame:
@@ -140,12 +148,14 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str, km: float = 1
         complete = (F.col("n") >= k) | (F.col("q___level") >= top_level)
         parts.append(ranked.where(complete).select("q_q", "p_p", "km", "rank"))
         done = ranked.where(complete & (F.col("rank") == 1)).select(F.col("q_q").alias("q"))
-        left = cut(left.where(F.col("__level") < top_level).join(done, "q", "left_anti").withColumn("__level", F.least(F.col("__level") + 2, F.lit(top_level))))
+        left = cut(left.where(F.col("__level") < top_level).join(_dealt(done), "q", "left_anti").withColumn("__level", F.least(F.col("__level") + 2, F.lit(top_level))))
     none = p.sparkSession.createDataFrame([], T.StructType([T.StructField("q_q", queries.schema[key].dataType), T.StructField("p_p", pool.schema[key].dataType), T.StructField("km", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
     found = reduce(DataFrame.unionByName, parts, none) if not parts else reduce(DataFrame.unionByName, parts)
-    wide_q = queries.select(F.col(key).alias("q_q"), *[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    wide_p = pool.select(F.col(key).alias("p_p"), *[F.col(c).alias(f"p_{c}") for c in pool.columns])
-    return found.join(wide_q, "q_q").join(wide_p, "p_p").drop("q_q", "p_p")
+    wide_q = queries.select(F.col(key).alias("q_q"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != key])
+    wide_p = pool.select(F.col(key).alias("p_p"), *[F.col(c).alias(f"p_{c}") for c in pool.columns if c != key])
+    # queries last, and their key from the joined one: what groups by it needs no further shuffle
+    both = found.join(_dealt(wide_p), "p_p").join(_dealt(wide_q), "q_q")
+    return both.select("km", "rank", *[(F.col("q_q") if c == key else F.col(f"q_{c}")).alias(f"q_{c}") for c in queries.columns], *[(F.col("p_p") if c == key else F.col(f"p_{c}")).alias(f"p_{c}") for c in pool.columns])
 
 
 def neighbour_stats(ranked: DataFrame, key: str, value: str, ks: Sequence[int]) -> DataFrame:

@@ -40,7 +40,7 @@ def ordered_counts(df: DataFrame, groups: Sequence[str], value: str, weight: str
     earlier = mine.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__g", "__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__start"), F.sum("__s").over(mine).alias("total"))
     within = F.sum("n").over(Window.partitionBy("__part", "__g").orderBy("value")) - F.col("n")
-    placed = ranged.withColumn("__in", within).join(offsets, ["__part", "__g"])
+    placed = ranged.withColumn("__in", within).join(offsets.hint("merge"), ["__part", "__g"])  # the counts' files look small; they must not be broadcast
     return placed.select("__g", "value", "n", (F.col("__start") + F.col("__in")).alias("before"), "total")
 
 

@@ -115,6 +115,16 @@ def test_lonely_queries_take_few_rounds(spark, monkeypatch):
     assert len(tables) == 4
 
 
+def test_nearest_sends_no_table_to_the_driver(spark, monkeypatch):
+    """Tables that grow with the input aren't broadcast, however small their files: not in the rounds, the result or the encodings made of it."""
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(joins, "cut", lambda df: seen(df) or ranges.cut(df))
+    c = stats.group_folds(places(spark, SF), "k", 3)
+    seen(joins.neighbour_stats(joins.nearest(c, c, 3, "k", exclude=("fold", "fold")), "k", "value", [3]))
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
+
+
 @pytest.mark.parametrize("small", [1 << 17, 0])
 def test_exact_percentiles_and_ranks(spark, monkeypatch, small):
     monkeypatch.setattr(ranges, "SMALL_GROUP", small)
