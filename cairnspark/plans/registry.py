@@ -183,8 +183,8 @@ def group_broadcast(spark, d):
 @query(f"{_PAIRS} SELECT c.k, count(p) AS n FROM c LEFT JOIN pairs ON pairs.k = c.k AND km <= 8 AND qa = pa GROUP BY c.k")
 def radius_count(spark, d):
     c = places(spark, d)
-    pairs = joins.radius_pairs(c, c, 8.0, ["attr"]).where("q_k <> p_k").groupBy(F.col("q_k").alias("k")).agg(F.count("*").alias("n"))
-    return joins.lookup(c, pairs, ["k"], ["n"], 0).select("k", "n")
+    found = pyramid.range_counts(c, c, "k", 8.0, ["attr"])
+    return found.select("k", F.greatest(F.col("n") - 1, F.lit(0)).alias("n"))  # not the customer itself
 
 
 @query(f"{_PAIRS}, a AS (SELECT k, count(*) AS n, quantile_cont(pv, [0.25, 0.5, 0.75]) AS q FROM pairs WHERE km <= 8 AND qa = pa GROUP BY k HAVING count(*) >= 3) SELECT c.k, q[1] AS p25, q[2] AS p50, q[3] AS p75, q[3] - q[1] AS iqr FROM c LEFT JOIN a ON a.k = c.k")
@@ -194,7 +194,7 @@ def radius_percentiles(spark, d):
 
 @query(f"{_PAIRS.replace('c_nationkey AS nation', 'c_nationkey AS nation')}, n AS (SELECT x.k, count(y.k) AS n FROM c x LEFT JOIN c y ON x.attr = y.attr AND x.nation <> y.nation AND {_KM.format(a='x.', b='y.')} <= 25 GROUP BY x.k) SELECT k, n FROM n")
 def range_count_rivals(spark, d):
-    """Customers of the same segment and another nation within 25 km, by a pyramid of cell counts."""
+    """Customers of the same segment and another nation within 25 km, counted in blocks of cells."""
     c = places(spark, d)
     return pyramid.range_counts(c, c, "k", 25.0, ["attr"], exclude="nation")
 
