@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.functions import clean, scalar, text
-from cairnspark.operators import contract, encode, joins, learn, pyramid, ranges, stats
+from cairnspark.operators import circles, contract, encode, joins, learn, pyramid, ranges, stats
 from cairnspark.sources import tables
 from cairnspark.sources.tables import table
 
@@ -201,8 +201,7 @@ def range_count_rivals(spark, d):
 
 def _radius_percentiles(spark, d, km):
     c = places(spark, d)
-    pairs = joins.radius_pairs(c, c, km, ["attr"]).where("q_k <> p_k")
-    g = pairs.groupBy(F.col("q_k").alias("k")).agg(F.count("*").alias("n"), F.percentile("p_value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).where("n >= 3")
+    g = circles.percentiles(c, c, "k", "value", km, [0.25, 0.5, 0.75], ["attr"]).where("n >= 3").hint("merge")
     return c.select("k").join(g, "k", "left").select("k", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 

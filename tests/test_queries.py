@@ -296,6 +296,25 @@ def test_blocks_are_dealt_in_shares(spark, monkeypatch):
     assert {r.k: r.n for r in pyramid.range_counts(c, c, "k", 30.0, ["attr"], "nation").collect()} == whole and sum(whole.values()) > 0
 
 
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_percentiles_in_circles_make_no_pairs(spark, monkeypatch, most):
+    """Those of all pairs, with null values, own rows, the 180th meridian and crowded cells; pairs are joined for crowded cells only."""
+    joined = []
+    monkeypatch.setattr(circles, "VALUE_ROWS", most)
+    monkeypatch.setattr(circles, "radius_pairs", lambda *x: joined.append(x) or joins.radius_pairs(*x))
+    c = places(spark, SF).withColumn("value", F.when(F.col("k") % 7 > 0, F.col("value"))).withColumn("lon", F.when(F.col("lon") < -84.5, F.col("lon") + 264.5).otherwise(F.col("lon") - 95.5))
+    found = circles.percentiles(c, c, "k", "value", 30.0, [0.0, 0.3, 0.5], ["attr"])
+    assert len(joined) == 1 and ("Union" in found._jdf.queryExecution().executedPlan().toString()) == (most == 1)
+    x, y = c.alias("x"), c.alias("y")
+    pairs = x.crossJoin(y).where((F.col("x.k") != F.col("y.k")) & (F.col("x.attr") == F.col("y.attr")) & (joins.haversine_km(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon")) <= 30.0)).select("x.k", F.col("y.value").alias("v")).toPandas()
+    got = {r.k: r for r in found.collect()}
+    assert len(got) == pairs.k.nunique() > 50
+    for k, v in pairs.groupby("k").v:
+        assert got[k].n == len(v)
+        if v.notna().any():
+            assert got[k].q == pytest.approx([v.quantile(s) for s in (0.0, 0.3, 0.5)])
+
+
 def test_compared_pairs_grow_with_the_border(spark):
     """Four times the places in a circle: well under four times the comparisons; crowds at one place are compared once."""
     def compared(n):
