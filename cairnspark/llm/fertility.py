@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,10 +45,17 @@ def repeated_words(words: list[str]) -> int:
     return covered
 
 
+@lru_cache(1 << 16)
+def _script(character: str) -> str:
+    return unicodedata.name(character, "OTHER").split()[0].lower()
+
+
 def script_of(text: str) -> str:
-    """The script of most of the letters in evenly spaced places of the whole text, by their Unicode names."""
-    letters = [c for c in text[:: max(1, len(text) // 64)] if c.isalpha()]
-    names = Counter(unicodedata.name(c, "OTHER").split()[0].lower() for c in letters)
+    """The script of most of the letters of the whole text, by their Unicode names."""
+    names: Counter = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            names[_script(c)] += n
     return min(names, key=lambda k: (-names[k], k)) if names else "none"
 
 

@@ -330,6 +330,14 @@ def test_fertility(docs, empty):
     assert fertility.fertility(empty).count() == 0
 
 
+def test_every_letter_counts_for_the_script():
+    """Letters that evenly spaced places would miss: every other one of a text, and all but the places looked at before."""
+    assert fertility.script_of("aя" * 40 + "яя" * 40) == "cyrillic"
+    assert fertility.script_of(("a" + "я" * 9) * 64) == "cyrillic"
+    assert fertility.script_of("ab1я") == "latin"
+    assert fertility.script_of("12 !") == "none" == fertility.script_of("")
+
+
 def test_fertility_bands(spark):
     """Each band rejects what passes the base rules: encoded text, noise of rare characters, few tokens; hardly any other document is."""
     rng = np.random.default_rng(4)
