@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnspark.operators import ranges
 from cairnspark.operators.ranges import average_ranks, cut, medians, ordered_counts, percentiles
 
 
@@ -20,12 +21,20 @@ def _with_groups(df: DataFrame, table: DataFrame, groups: Sequence[str]) -> Data
 
 
 def structure(df: DataFrame, group: str, size: str, kind: str, row: str) -> DataFrame:
-    """Size, distinct values, extremes, median and first (by row key) of each group, its spread and typology score."""
-    g = df.groupBy(group).agg(
-        F.count("*").alias("n"), F.countDistinct(size).alias("n_sizes"), F.countDistinct(kind).alias("n_kinds"), F.min(size).alias("size_min"),
-        F.max(size).alias("size_max"), F.min_by(kind, row).alias("first_kind"),
-    )
-    g = _with_groups(g, medians(df, [group], {"size_median": F.col(size)}), [group])
+    """Size, distinct values, extremes, median and first (by row key) of each group, its spread and typology score.
+
+    Where no group has more than SMALL_GROUP rows, which one count tells, all of them are one aggregate and the rows are shuffled once; else
+    distinct values and medians are counted apart.
+    """
+    plain = [F.count("*").alias("n"), F.min(size).alias("size_min"), F.max(size).alias("size_max"), F.min_by(kind, row).alias("first_kind")]
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= ranges.SMALL_GROUP:
+        different = [F.size(F.collect_set(c)).cast("long").alias(n) for c, n in ((size, "n_sizes"), (kind, "n_kinds"))]
+        g = df.groupBy(group).agg(*plain, *different, F.percentile(F.col(size).cast("double"), F.lit(0.5)).alias("size_median"))
+    else:
+        g = df.groupBy(group).agg(*plain, F.countDistinct(size).alias("n_sizes"), F.countDistinct(kind).alias("n_kinds"))
+        g = _with_groups(g, medians(df, [group], {"size_median": F.col(size)}), [group])
+    g = g.select(group, "n", "n_sizes", "n_kinds", "size_min", "size_max", "first_kind", "size_median")
     spread = (F.col("size_max") - F.col("size_min")) / F.when(F.col("size_median") > 0, F.col("size_median"))
     tests = [F.col("n") >= 3, F.col("n_sizes") >= 2, F.col("n_kinds") >= 2, F.coalesce(F.col("spread") > 0.5, F.lit(False))]
     score = sum((t.cast("int") for t in tests[1:]), tests[0].cast("int"))

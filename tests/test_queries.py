@@ -254,6 +254,17 @@ def test_medians_of_several_columns_take_one_pass(spark, monkeypatch, small):
     assert tuple(ranges.medians(df.limit(0), (), {"mx": F.col("x")}).first()) == (None,)
 
 
+@pytest.mark.parametrize("small", [1 << 17, 0])
+def test_structure_of_small_groups_is_one_aggregate(spark, monkeypatch, small):
+    """The same rows either way, with null groups and values; small groups need one shuffle and no join."""
+    monkeypatch.setattr(ranges, "SMALL_GROUP", small)
+    df = spark.createDataFrame([("a", 1.0, "x", 2), ("a", 3.0, None, 1), ("a", None, "y", 3), (None, 2.0, "x", 1), ("b", None, None, 1)], "g string, v double, k string, r long")
+    found = stats.structure(df, "g", "v", "k", "r")
+    assert {r.g: tuple(r)[1:8] for r in found.collect()} == {"a": (3, 2, 2, 1.0, 3.0, None, 2.0), None: (1, 1, 1, 2.0, 2.0, "x", 2.0), "b": (1, 0, 0, None, None, None, None)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert small == 0 or ("Join" not in plan and plan.count("Exchange") == 1)
+
+
 def test_range_counts_are_those_of_all_pairs(spark):
     """Near the pole, across the 180th meridian, at crowded places, with and without an own group, for several radii."""
     import random
