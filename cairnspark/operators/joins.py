@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -19,6 +19,8 @@ from cairnspark.operators.ranges import cut
 KM_PER_DEGREE = 110.5
 #: More than half of any great circle.
 WHOLE_GLOBE_KM = 20_200.0
+#: Numbers in the vectors that one batch of visits holds, before a query's last.
+VISIT_VALUES = 1 << 18
 
 
 def _dealt(df: DataFrame) -> DataFrame:
@@ -196,8 +198,18 @@ def _pool_neighbours(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.Data
                 chosen = np.arange(len(b))
             d = np.round(np.sqrt(((b[chosen] - row) ** 2).sum(1)), 9)
             order = np.lexsort((keys[chosen], d))[:k]
-            out.append(pd.DataFrame({"q": left["k"].iloc[i], "p": keys[chosen][order], "y": ys[chosen][order], "d": d[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"q": [], "p": [], "y": [], "d": []})
+            out.append((np.full(len(order), i), chosen[order], d[order]))
+    if not out:
+        return pd.DataFrame({"q": [], "p": [], "y": [], "d": []})
+    query, place, d = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pd.DataFrame({"q": left["k"].to_numpy()[query], "p": keys[place], "y": ys[place], "d": d})
+
+
+def _pieces(batches: Iterable[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """Batches of ``rows`` at most, so that distances to all pivots take a bounded table."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows]
 
 
 def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -225,10 +237,9 @@ def partition_neighbours(queries: DataFrame, pool: DataFrame, k: int, block_rows
     pivots = np.unique(np.array([r[0] for r in chosen], dtype=float), axis=0)
 
     def assigned(batches):
-        for batch in batches:
-            rows = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, pivots.shape[1]))
-            d = _distances(rows, pivots)
-            yield batch.assign(pivot=d.argmin(1).astype("int32"), far=d.min(1) if len(batch) else []) if len(batch) else batch.assign(pivot=pd.Series(dtype="int32"), far=pd.Series(dtype=float))
+        for batch in _pieces(batches):
+            d = _distances(np.stack(batch["v"].to_numpy()), pivots)
+            yield batch.assign(pivot=d.argmin(1).astype("int32"), far=d.min(1))
 
     placed = cut(pool.mapInPandas(assigned, T.StructType([*pool.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("far", T.DoubleType())])))
     stats = {r["pivot"]: (r["n"], r["lo"], r["hi"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()}  # a row for each pivot
@@ -241,18 +252,20 @@ def partition_neighbours(queries: DataFrame, pool: DataFrame, k: int, block_rows
 
     def visits(first: bool):
         def emit(batches):
-            for batch in batches:
-                out = []
-                if len(batch):
-                    rows = np.stack(batch["v"].to_numpy())
-                    d, slack = _distances(rows, pivots), _slack(rows, pivots)
-                    for i, home in enumerate(homes(d)):
-                        wanted = home
-                        if not first:
-                            bound = np.maximum(d[i] - high, low - d[i])
-                            wanted = np.setdiff1d(np.flatnonzero((count > 0) & (bound <= batch["limit"].iloc[i] + slack[i])), home)
-                        out += [(batch["k"].iloc[i], batch["v"].iloc[i], int(home[0]), int(x)) for x in wanted if count[x]]
-                yield pd.DataFrame(out, columns=["k", "v", "home", "pivot"])
+            for batch in _pieces(batches):
+                rows = np.stack(batch["v"].to_numpy())
+                d, slack, out = _distances(rows, pivots), _slack(rows, pivots), []
+                for i, home in enumerate(homes(d)):
+                    wanted = home
+                    if not first:
+                        bound = np.maximum(d[i] - high, low - d[i])
+                        wanted = np.setdiff1d(np.flatnonzero((count > 0) & (bound <= batch["limit"].iloc[i] + slack[i])), home)
+                    out += [(batch["k"].iloc[i], batch["v"].iloc[i], int(home[0]), int(x)) for x in wanted if count[x]]
+                    if len(out) * (1 + rows.shape[1]) >= VISIT_VALUES:  # a query may ask for all pivots, each time with its vector
+                        yield pd.DataFrame(out, columns=["k", "v", "home", "pivot"])
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=["k", "v", "home", "pivot"])
 
         return emit
 

@@ -360,6 +360,38 @@ def test_pruned_neighbours_are_exact_and_skip_partitions(spark):
     assert joins.feature_knn(df.limit(0), df, "k", "v", "y", 3).count() == 0 == joins.feature_knn(df, df.limit(0), "k", "v", "y", 3).count()
 
 
+def test_visits_come_in_bounded_batches(spark, monkeypatch):
+    """Queries that rule out no partition ask for all of them: their vectors leave a task a few at a time, and the neighbours stay."""
+    import numpy as np
+
+    v = np.random.default_rng(5).normal(size=(400, 24))
+    df = spark.createDataFrame([(i, x.tolist(), float(i % 7)) for i, x in enumerate(v)], "k long, v array<double>, y double")
+    sizes = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(joins, "VISIT_VALUES", 25 * 40)
+    emitted = []
+
+    def watched(self, function, schema):
+        def run(batches):
+            for out in function(batches):
+                if list(out.columns) == ["k", "v", "home", "pivot"] and len(out) > 40 + 64:
+                    sizes.add(1)
+                yield out
+
+        emitted.append(schema)
+        return original(self, run, schema)
+
+    original = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", watched)
+    found, visits = joins.partition_neighbours(df.select("k", "v"), df, 3, 10, 64)
+    best = {}
+    for r in found.collect():
+        best.setdefault(r.q, set()).add((r.d, r.p))
+    assert len(emitted) == 3 and sizes.value == 0 and visits.count() > 1000
+    for q in range(400):
+        d = np.round(np.sqrt(((v - v[q]) ** 2).sum(1)), 9)
+        assert sorted(best[q])[:3] == sorted(zip(d.tolist(), range(400), strict=True))[:3]
+
+
 def test_median_boosting_is_the_plain_loop(spark):
     """Each round's leaf values are the medians of its residuals, predictions their sum, and the error falls; early stopping keeps the best rounds."""
     frame = pd.DataFrame({"k": range(240)})
