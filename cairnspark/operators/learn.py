@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.operators.boosting import MedianBoosting
 from cairnspark.operators.joins import feature_knn
-from cairnspark.operators.ranges import cut, ordered_counts, percentiles
+from cairnspark.operators.ranges import cut, dealt, ordered_counts, percentiles
 from cairnspark.operators.stats import metrics
 from cairnspark.sources.tables import is_complete, new_path
 
@@ -116,9 +116,15 @@ def out_of_fold(df: DataFrame, label: str, fold: str, folds: int, bases: Mapping
     return spark.read.schema(schema).parquet(*parts.values()).select(key, fold, "base", "prediction", *(["seconds"] if timed else []))
 
 
+def scored(predictions: DataFrame, df: DataFrame, label: str, key: str) -> DataFrame:
+    """``predictions`` with their labels, in tasks of bounded rows."""
+    rows = predictions.count()
+    return dealt(predictions, rows, key).join(dealt(df.select(key, label), rows, key), key)
+
+
 def fold_metrics(predictions: DataFrame, df: DataFrame, label: str, fold: str, key: str) -> DataFrame:
     """Metrics of each fold and base over the rows scored so far, with the seconds of its fit where ``predictions`` have them."""
-    found = metrics(predictions.join(df.select(key, label), key), label, "prediction", [fold, "base"])
+    found = metrics(scored(predictions, df, label, key), label, "prediction", [fold, "base"])
     return found.join(predictions.groupBy(fold, "base").agg(F.max("seconds").alias("seconds")), [fold, "base"]) if "seconds" in predictions.columns else found
 
 

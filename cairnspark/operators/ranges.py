@@ -12,6 +12,8 @@ from cairnspark.sources.tables import new_path
 
 #: Rows of a group whose values one task may hold.
 SMALL_GROUP = 1 << 17
+#: Rows that a task gets, about, where tables are joined by a key of one or a few rows.
+TASK_ROWS = 1 << 19
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,6 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by a hash of the keys, in as many parts as leave a task about TASK_ROWS of ``rows``, one for each core at least: what a task
+    holds doesn't grow with the table. Tables that are joined take the same ``rows``."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def _group(groups: Sequence[str]) -> Column:
     return F.struct(*[F.col(g) for g in groups]) if groups else F.struct(F.lit(0))
 

@@ -563,13 +563,16 @@ _BASES = {"p1": {"learner": "linear", "features": ["x1"], "regParam": 0.0}, "p2"
 
 
 def _items(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    g = o.groupBy("o_orderkey", "o_custkey").agg(F.sum("l_extendedprice").alias("y"), F.sum("l_quantity").cast("double").alias("x1"), F.count("*").cast("double").alias("x2"))
+    lines = table(spark, d, "lineitem")
+    n = lines.count()
+    sums = ranges.dealt(lines, n, "l_orderkey").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("y"), F.sum("l_quantity").alias("x1"), F.count("*").alias("x2"))
+    o = ranges.dealt(table(spark, d, "orders"), n, "o_orderkey").join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
+    g = o.groupBy("o_orderkey", "o_custkey").agg(F.sum("y").alias("y"), F.sum("x1").cast("double").alias("x1"), F.sum("x2").cast("double").alias("x2"))
     return stats.group_folds(g, "o_custkey", 3)
 
 
 def _base_predictions(spark, d):
-    t = _items(spark, d)
+    t = ranges.cut(_items(spark, d))
     return t, learn.out_of_fold(t, "y", "fold", 3, _BASES, "o_orderkey")
 
 

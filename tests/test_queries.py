@@ -178,6 +178,17 @@ def test_out_of_fold_goes_on_where_it_stopped(spark):
     assert {r.fold: r.seconds for r in learn.fold_metrics(timed, df, "y", "fold", "k").collect()}[0] == 0.5
 
 
+def test_tasks_of_joined_predictions_have_bounded_rows(spark, monkeypatch):
+    """The rows of a task stay as they are when the table grows, whatever the session's shuffle partitions."""
+    monkeypatch.setattr(ranges, "TASK_ROWS", 100)
+    df = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("fold"), F.col("id").cast("double").alias("y"))
+    found = df.select("k", "fold", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("base"), F.col("y").alias("prediction")).where("not (k = 7 and base = 'b')")
+    for table, rows in ((learn.scored(found, df, "y", "k"), 5999),):
+        assert table.count() == rows
+        assert max(r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()) < 200
+    assert {(r.fold, r.base): (r.n, r.mae) for r in learn.fold_metrics(found, df, "y", "fold", "k").collect()} == {(0, "a"): (1500, 0.0), (1, "a"): (1500, 0.0), (0, "b"): (1500, 0.0), (1, "b"): (1499, 0.0)}
+
+
 def test_halving_finds_the_grid_winner_with_fewer_fits(spark, monkeypatch):
     df = spark.createDataFrame([(i, i % 4, float(i), 2.0 * i + i % 3) for i in range(60)], "k long, fold int, x double, y double")
     grid, path = [{"features": ["x"], "regParam": r} for r in (50.0, 20.0, 5.0, 1.0, 0.0)], tables.new_path(spark, "halving")
