@@ -144,8 +144,8 @@ def knn_fold(train: DataFrame, valid: DataFrame, key: str, inputs: Sequence[str]
 
 
 def wide(predictions: DataFrame, key: str, bases: Sequence[str]) -> DataFrame:
-    """One row per key with every base's prediction; keys that lack one are left out."""
-    return predictions.groupBy(key).agg(*[F.min(F.when(F.col("base") == b, F.col("prediction"))).alias(f"pred_{b}") for b in bases]).dropna()
+    """One row per key with every base's prediction; keys that lack one are left out. Tasks have bounded rows: a key has few, which adding up before the shuffle would not lessen."""
+    return dealt(predictions, predictions.count(), key).groupBy(key).agg(*[F.min(F.when(F.col("base") == b, F.col("prediction"))).alias(f"pred_{b}") for b in bases]).dropna()
 
 
 def ridge(df: DataFrame, label: str, inputs: Sequence[str], alpha: float = 1.0):

@@ -578,7 +578,7 @@ def _base_predictions(spark, d):
 
 def _with_bases(spark, d):
     t, found = _base_predictions(spark, d)
-    return t.join(learn.wide(found, "o_orderkey", list(_BASES)).withColumnsRenamed({"pred_p1": "p1", "pred_p2": "p2"}), "o_orderkey")
+    return ranges.dealt(t, found.count(), "o_orderkey").join(learn.wide(found, "o_orderkey", list(_BASES)).withColumnsRenamed({"pred_p1": "p1", "pred_p2": "p2"}), "o_orderkey")
 
 
 @query(f"{_ITEMS} SELECT o_orderkey, fold, 'p1' AS base, p1 AS prediction FROM p UNION ALL SELECT o_orderkey, fold, 'p2', p2 FROM p")

@@ -183,7 +183,7 @@ def test_tasks_of_joined_predictions_have_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(ranges, "TASK_ROWS", 100)
     df = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("fold"), F.col("id").cast("double").alias("y"))
     found = df.select("k", "fold", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("base"), F.col("y").alias("prediction")).where("not (k = 7 and base = 'b')")
-    for table, rows in ((learn.scored(found, df, "y", "k"), 5999),):
+    for table, rows in ((learn.scored(found, df, "y", "k"), 5999), (learn.wide(found, "k", ["a", "b"]), 2999)):
         assert table.count() == rows
         assert max(r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()) < 200
     assert {(r.fold, r.base): (r.n, r.mae) for r in learn.fold_metrics(found, df, "y", "fold", "k").collect()} == {(0, "a"): (1500, 0.0), (1, "a"): (1500, 0.0), (0, "b"): (1500, 0.0), (1, "b"): (1499, 0.0)}
