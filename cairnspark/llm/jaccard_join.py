@@ -248,6 +248,17 @@ def _spread(df: DataFrame, hot: DataFrame) -> DataFrame:
     return rows.withColumn("key", _deal("token", F.col("deals"), F.col("share"))).drop("deals", "share")
 
 
+def _several(named: DataFrame) -> DataFrame:
+    """(token, cuts) for the shingles whose sets are of different components, from rows (token, node, place, component).
+
+    Of shingles that the same sets have, the first in the global order stands for all: it makes the same pairs, once. A hash of 64 bits,
+    the count and the outermost components name the sets; a shingle that is earlier in the order is earlier in each of them, so its least place is less.
+    """
+    first = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("place").alias("place")]
+    tokens = named.groupBy("token").agg(*first).where("lo <> hi")
+    return tokens.groupBy("lo", "hi", "sets", "mark").agg(F.min_by("token", "place").alias("token")).select("token", F.ceil(F.col("sets") / HOT).alias("cuts"))
+
+
 def _grouped(docs: DataFrame, words: int, percent: int, fragments: int) -> DataFrame:
     """For every row doc_id, hash (of the text), n, component_id, and whether it is its component's first: least by id (null last), node and hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -264,30 +275,33 @@ def _grouped(docs: DataFrame, words: int, percent: int, fragments: int) -> DataF
     shared = postings.withColumn("nodes", F.count("*").over(Window.partitionBy("key"))).where("nodes > 1 or key <> token").drop("nodes", "key")
     buckets = stored(shared.join(info.select("node", "n", *sketch), "node"), "buckets")
 
-    # Stars: every node is compared to the most alike of the nodes that its shingles name.
+    # Stars: every node is compared to the nodes that its shingles name. All that may link are verified, not the most alike alone: where a
+    # node links to several centres, their stars become one component, and fewer pairs of different components are left.
     centre = F.min_by(F.struct("node", "n", *sketch), F.xxhash64("node")).alias("c"), F.max_by(F.struct("node", "n", *sketch), F.xxhash64("node")).alias("d")
     centres = buckets.groupBy("token").agg(*centre).select("token", F.explode(F.array("c", "d")).alias("c")).select("token", "c.*")
     near = _dealt(buckets, hot).drop("token").alias("x").join(_spread(centres, hot).drop("token").alias("y"), "key").where((F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent))
-    near = _refined(near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), info, percent)
-    stars = stored(near.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")), "stars")
+    stars = stored(_refined(near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), info, percent), "stars")
     links = _verified(rows, stars, nodes, words, percent, fragments)
     labels = stored(components(links), "labels")
 
     # Then all candidates of different components. Of two sets that link, the smaller one shares a shingle of its shorter index prefix.
     named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "named-buckets")
-    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / HOT).alias("cuts")).where("lo <> hi").select("token", "cuts")
+    several = _several(named)
     named = _dealt(named, hot).join(_spread(several, hot).select("key", "token", "cuts"), ["key", "token"]).drop("key")
     # Sizes of sets that link are in the same band or the next one, so a shingle that many sets share is dealt by size,
     # and its band by a grid: a set's row (of the smaller ones) or column is by its node, and it is there in all cells of it.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(math.log(100 / percent), 1e-3) * 1.001)).cast("int")
     early = F.col("place") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent) - F.lit(1e-9))
     own, others = F.pmod(F.xxhash64("node"), F.col("cuts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
-    sides = ["node", "n", "component", *sketch, "cell"]
+    sides = ["node", "n", "place", "component", *sketch, "cell"]
     smaller = named.where(early).withColumn("band", F.explode(F.array(band, band + 1))).withColumn("other", others).withColumn("cell", F.xxhash64("token", "band", own, "other")).select(sides)
     larger = named.withColumn("band", band).withColumn("other", others).withColumn("cell", F.xxhash64("token", "band", "other", own)).select(sides)
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    rest = smaller.alias("x").join(larger.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component")) & ordered & _may_link("x", "y", percent))
+    # The first shingle that they share has as many behind it, in either set, as they need in all: at others a pair need not be made.
+    behind = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    first = behind >= _needed(F.col("x.n"), F.col("y.n"), percent)
+    rest = smaller.alias("x").join(larger.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component")) & ordered & first & _may_link("x", "y", percent))
     rest = _refined(rest.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), info, percent)
     more = _verified(rows, stored(rest, "pairs"), nodes, words, percent, fragments)
     labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))

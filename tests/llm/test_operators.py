@@ -256,6 +256,15 @@ def test_shingles_that_most_sets_share(spark, monkeypatch, hot):
     assert got == group
 
 
+def test_shingles_of_the_same_sets_make_their_pairs_once(spark, monkeypatch):
+    """Of shingles 10 to 12, which sets 1 and 2 have, the first stands for all; 30 is of one component alone; 21 has other sets than 20."""
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    had = {10: {1: 4, 2: 0}, 11: {1: 5, 2: 1}, 12: {1: 9, 2: 7}, 20: {1: 6, 2: 2, 3: 0}, 21: {1: 7, 3: 1}, 30: {3: 2, 4: 0}}
+    rows = [(token, node, place, min(node, 3)) for token, places in had.items() for node, place in places.items()]
+    named = spark.createDataFrame(rows, "token long, node long, place int, component long").repartition(3)
+    assert {tuple(r) for r in jaccard_join._several(named).collect()} == {(10, 1), (20, 2), (21, 1)}
+
+
 def test_backoff_automaton(spark, docs, empty):
     from math import log10
 
