@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +21,7 @@ from cairnspark.operators.ranges import cut
 KM_PER_DEGREE = 110.5
 #: More than half of any great circle.
 WHOLE_GLOBE_KM = 20_200.0
-#: Numbers in the vectors that one batch of visits holds, before a query's last.
+#: Numbers in the vectors of a block of rows, and of the pairs whose distances are taken at once.
 VISIT_VALUES = 1 << 18
 
 
@@ -183,28 +185,6 @@ def comparables(ranked: DataFrame, key: str, value: str, attribute: str, size: s
     return chosen.groupBy(F.col(f"q_{key}").alias(key)).agg(F.median(f"p_{value}").alias("comparable"), F.min("tier").cast("int").alias("tier"), F.count("*").alias("n_used"))
 
 
-def _pool_neighbours(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of ``right`` for each row of ``left``, by matrix product and then exactly."""
-    out = []
-    if len(left) and len(right):
-        a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        norms, keys, ys = (b * b).sum(1), right["k"].to_numpy(), right["y"].to_numpy()
-        for i, row in enumerate(a):
-            rough = norms - 2 * (b @ row)
-            if len(b) > k:
-                near = np.partition(rough, k - 1)[k - 1]
-                chosen = np.flatnonzero(rough <= near + 1e-6 * (1 + abs(near) + row @ row))
-            else:
-                chosen = np.arange(len(b))
-            d = np.round(np.sqrt(((b[chosen] - row) ** 2).sum(1)), 9)
-            order = np.lexsort((keys[chosen], d))[:k]
-            out.append((np.full(len(order), i), chosen[order], d[order]))
-    if not out:
-        return pd.DataFrame({"q": [], "p": [], "y": [], "d": []})
-    query, place, d = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pd.DataFrame({"q": left["k"].to_numpy()[query], "p": keys[place], "y": ys[place], "d": d})
-
-
 def _pieces(batches: Iterable[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
     """Batches of ``rows`` at most, so that distances to all pivots take a bounded table."""
     for batch in batches:
@@ -221,12 +201,111 @@ def _slack(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return 1e-6 * (1 + np.sqrt((rows * rows).sum(1)) + np.sqrt((pivots * pivots).sum(1).max(initial=0.0)))
 
 
+def _in_blocks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of all batches in tables of ``rows`` rows; the last may have fewer."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if (n := sum(x.num_rows for x in held)) >= rows:
+            table, whole = pa.Table.from_batches(held), n - n % rows
+            yield from (table.slice(i, rows) for i in range(0, whole, rows))
+            held = table.slice(whole).to_batches()
+    if any(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a table, which all have one length, a row for each; floats stay as they are, to be stored."""
+    rows = _numbers(table["v"].combine_chunks().flatten()).reshape(table.num_rows, -1)
+    return rows if rows.dtype == np.float32 else rows.astype(float)
+
+
+def _vectors(batch: pd.DataFrame) -> np.ndarray:
+    """To reckon with: sums of squares of floats would be wrong by more than ``_slack``."""
+    return np.stack(batch["v"].to_numpy()).astype(float)
+
+
+def _lists(*columns) -> list[pa.Array]:
+    """A row that holds each column as one list."""
+    arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns]
+    return [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays]
+
+
+def _first_copies(keys: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places, in order, of the rows that have fewer than k equal ones with lesser keys: of equal rows no others can be among k nearest."""
+    order = np.argsort(keys, kind="stable")
+    values = pd.Series([rows[i].tobytes() for i in order])
+    return np.sort(order[(values.groupby(values).cumcount() < k).to_numpy()])
+
+
+@contextmanager
+def _few_records(spark: SparkSession, n: int) -> Iterator[None]:
+    """Queries that run inside send Python ``n`` rows at a time, for rows that hold blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class _Nearest:
+    """The k nearest rows so far, by (distance, key), for each query of a block; ``within`` bounds the k-th distance."""
+
+    def __init__(self, rows: np.ndarray, within: np.ndarray, k: int):
+        self.rows, self.within, self.k = rows.astype(float), within.copy(), k
+        self.norms, self.found, self.waiting = (self.rows * self.rows).sum(1), [], 0
+
+    def meet(self, mine: np.ndarray, keys: np.ndarray, others: np.ndarray, ys: np.ndarray) -> None:
+        """Queries ``mine`` meet rows: by matrix product those that can be near enough, of these the exact distances.
+
+        Comparisons are turned so that what is no number is kept, and sorted last as in SQL.
+        """
+        sizes, step, pairs = (others * others).sum(1), max(1, (1 << 20) // len(others)), max(1, VISIT_VALUES // max(1, others.shape[1]))
+        for part in (mine[i : i + step] for i in range(0, len(mine), step)):
+            rough, norms, within = sizes - 2 * self.rows[part] @ others.T, self.norms[part], self.within[part]
+            if len(others) > self.k and len(open_ := np.flatnonzero(np.isinf(within))):
+                near = np.partition(rough[open_], self.k - 1, axis=1)[:, self.k - 1]
+                within[open_] = np.sqrt(np.maximum(near + norms[open_], 0.0))
+            # more than the product, and distances that are equal to 1e-9, can be off by
+            slack = 1e-9 * (norms + sizes.max() + within * within) + 2e-9 * within + 1e-18
+            query, other = np.nonzero(~(rough > (within * within - norms + slack)[:, None]))
+            for i in range(0, len(query), pairs):
+                q, o = part[query[i : i + pairs]], other[i : i + pairs]
+                d = np.round(np.sqrt(((others[o] - self.rows[q]) ** 2).sum(1)), 9)
+                self.found.append((q, keys[o], ys[o], d))
+                self.waiting += len(q)
+            if self.waiting > 4 * self.k * len(self.rows) + VISIT_VALUES:
+                self.least()
+
+    def least(self) -> tuple[np.ndarray, ...] | None:
+        """Drops all but the k nearest: (query, key, y, distance)."""
+        if not self.found:
+            return None
+        q, keys, ys, d = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((keys, d, q))
+        rank = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        kept, last = order[rank < self.k], order[rank == self.k - 1]
+        self.within[q[last]] = np.fmin(self.within[q[last]], d[last])
+        self.found, self.waiting = [(q[kept], keys[kept], ys[kept], d[kept])], 0
+        return self.found[0]
+
+
 def partition_neighbours(queries: DataFrame, pool: DataFrame, k: int, block_rows: int, max_pivots: int) -> tuple[DataFrame, DataFrame]:
-    """The k nearest (q, p, y, d) of ``pool`` (k, v, y) for ``queries`` (k, v), some more than once, and the (home, pivot) partitions that met.
+    """The k nearest (q, p, y, d) of ``pool`` (k, v, y) for ``queries`` (k, v), among some that aren't, and the (home, pivot) partitions that met.
 
     Pool rows belong to their nearest pivot, of which the greatest and least distance are known. A query first meets its home, the nearest
     partitions that hold k rows; its k-th distance there bounds the rest: by the triangle inequality a partition whose distances to
     the pivot all differ from the query's by more can't hold a nearer row and is skipped. Exact in any space; how much is skipped depends on the data.
+
+    Queries of near homes and rows of near pivots are packed into blocks, a row of a table for each, of which pairs are joined where one
+    may want the other. No row is sent anywhere for each partition that it meets, so that what is shuffled and written grows with
+    the input even if every query must meet all rows; pairs of blocks stream through tasks that keep k rows for each query of one block.
     """
     spark = pool.sparkSession
     answer = T.StructType([T.StructField("q", queries.schema["k"].dataType), T.StructField("p", pool.schema["k"].dataType), T.StructField("y", T.DoubleType()), T.StructField("d", T.DoubleType())])
@@ -234,75 +313,125 @@ def partition_neighbours(queries: DataFrame, pool: DataFrame, k: int, block_rows
         return spark.createDataFrame([], answer), spark.createDataFrame([], "home int, pivot int")
     n_pivots = 1 if n_p <= block_rows else min(max_pivots, 4 * -(-n_p // block_rows))
     chosen = pool.orderBy(F.xxhash64("k"), "k").limit(n_pivots).select("v").collect()  # max_pivots rows at most
-    pivots = np.unique(np.array([r[0] for r in chosen], dtype=float), axis=0)
+    pivots = np.unique(np.nan_to_num(np.array([r[0] for r in chosen], dtype=float), posinf=0.0, neginf=0.0), axis=0)  # any point can be one
+    rows_at_most = max(1, min(block_rows, VISIT_VALUES // max(1, pivots.shape[1])))
+
+    def blocks(rows: DataFrame, n: int, by: Sequence[str], packed, kind: str) -> DataFrame:
+        """Rows in order, packed into blocks and written in files of few blocks."""
+        n = max(1, -(-n // rows_at_most))
+        files = max(min(n, spark.sparkContext.defaultParallelism), -(-n // 16))
+        return cut(rows.repartitionByRange(files, *by).sortWithinPartitions(*by).mapInArrow(packed, kind))
 
     def assigned(batches):
         for batch in _pieces(batches):
-            d = _distances(np.stack(batch["v"].to_numpy()), pivots)
+            d = _distances(_vectors(batch), pivots)
             yield batch.assign(pivot=d.argmin(1).astype("int32"), far=d.min(1))
 
-    placed = cut(pool.mapInPandas(assigned, T.StructType([*pool.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("far", T.DoubleType())])))
-    stats = {r["pivot"]: (r["n"], r["lo"], r["hi"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()}  # a row for each pivot
+    def pool_blocks(batches):
+        for table in _in_blocks(batches, rows_at_most):
+            table = table.take(_first_copies(_numbers(table["k"]), _matrix(table), k))
+            vectors, held = pa.array([_matrix(table).tobytes()], pa.binary()), np.unique(_numbers(table["pivot"]))
+            columns = {n: x for n, x in zip(("p", "y", "pivot", "far", "held"), _lists(*(table[n] for n in ("k", "y", "pivot", "far")), held), strict=True)}
+            yield pa.RecordBatch.from_pydict({**columns, "w": vectors})
+
+    key_of = lambda df: df.schema["k"].dataType.simpleString()
+    placed = pool.mapInPandas(assigned, T.StructType([*pool.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("far", T.DoubleType())]))
+    placed = blocks(placed, n_p, ["pivot", "far", "k"], pool_blocks, f"p array<{key_of(pool)}>, y array<double>, pivot array<int>, far array<double>, held array<int>, w binary")
+    each = placed.select(F.explode(F.arrays_zip("pivot", "far")).alias("r")).groupBy("r.pivot").agg(F.count("*").alias("n"), F.min("r.far").alias("lo"), F.max("r.far").alias("hi"))
+    stats = {r["pivot"]: (r["n"], r["lo"], r["hi"]) for r in each.collect()}  # a row for each pivot
     count, low, high = (np.array([stats.get(i, (0, np.inf, -np.inf))[j] for i in range(len(pivots))]) for j in range(3))
 
-    def homes(d: np.ndarray) -> list[np.ndarray]:
-        order = np.argsort(d, axis=1, kind="stable")
-        enough = (np.cumsum(count[order], axis=1) >= k).argmax(1) if count.sum() >= k else np.full(len(d), len(pivots) - 1)
-        return [row[: n + 1] for row, n in zip(order, enough, strict=True)]
+    def homed(batches):
+        """Each query's nearest pivot, and how far from it those pivots are whose partitions hold k rows."""
+        for batch in _pieces(batches):
+            d = _distances(_vectors(batch), pivots)
+            order = np.argsort(d, axis=1, kind="stable")
+            enough = (np.cumsum(count[order], axis=1) >= k).argmax(1) if count.sum() >= k else np.full(len(d), len(pivots) - 1)
+            yield batch.assign(home=order[:, 0].astype("int32"), within=np.take_along_axis(d, order, 1)[np.arange(len(d)), enough])
+
+    def wants(rows: np.ndarray, within: np.ndarray, these: np.ndarray, first: bool) -> np.ndarray:
+        """Whether a row wants to meet the partition of each of these pivots."""
+        d, most = _distances(rows, pivots[these]), (within + _slack(rows, pivots))[:, None]
+        return (count[these] > 0) & ~((d if first else np.maximum(d - high[these], low[these] - d)) > most)
 
     def visits(first: bool):
         def emit(batches):
             for batch in _pieces(batches):
-                rows = np.stack(batch["v"].to_numpy())
-                d, slack, out = _distances(rows, pivots), _slack(rows, pivots), []
-                for i, home in enumerate(homes(d)):
-                    wanted = home
-                    if not first:
-                        bound = np.maximum(d[i] - high, low - d[i])
-                        wanted = np.setdiff1d(np.flatnonzero((count > 0) & (bound <= batch["limit"].iloc[i] + slack[i])), home)
-                    out += [(batch["k"].iloc[i], batch["v"].iloc[i], int(home[0]), int(x)) for x in wanted if count[x]]
-                    if len(out) * (1 + rows.shape[1]) >= VISIT_VALUES:  # a query may ask for all pivots, each time with its vector
-                        yield pd.DataFrame(out, columns=["k", "v", "home", "pivot"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=["k", "v", "home", "pivot"])
+                asked = wants(_vectors(batch), batch["within"].to_numpy(), np.arange(len(pivots)), first)
+                query, pivot = np.nonzero(asked)
+                yield pd.DataFrame({"home": batch["home"].to_numpy()[query], "pivot": pivot.astype("int32")}).drop_duplicates()
 
         return emit
 
-    kind = T.StructType([queries.schema["k"], queries.schema["v"], T.StructField("home", T.IntegerType()), T.StructField("pivot", T.IntegerType())])
-    share = lambda n: F.pmod(F.xxhash64("k"), n).cast("int")
-
-    def met(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Blocks of a partition's rows meet blocks of the queries of one home that ask for it."""
-        pairs = cut(asked.groupBy("home", "pivot").agg(F.ceil(F.count("*") / block_rows).alias("shares")))
-        blocks = placed.groupBy("pivot").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
-        plan = pairs.join(blocks, "pivot")
-        left = asked.join(plan, ["home", "pivot"]).withColumn("qb", share(F.col("shares"))).withColumn("pb", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        right = placed.join(plan, "pivot").withColumn("pb", share(F.col("blocks"))).withColumn("qb", F.explode(F.sequence(F.lit(0), (F.col("shares") - 1).cast("int"))))
-        by = ["home", "pivot", "qb", "pb"]
-        found = left.select("k", "v", *by).groupBy(*by).cogroup(right.select("k", "v", "y", *by).groupBy(*by)).applyInPandas(lambda a, b: _pool_neighbours(a, b, k), answer)
-        return cut(found), pairs.select("home", "pivot")
-
-    found, pairs = met(queries.mapInPandas(visits(True), kind))
+    def met(asked: DataFrame, first: bool) -> DataFrame:
+        """The k nearest that queries find in each part of the pool's blocks, in partitions that they want."""
+        everything = np.arange(len(pivots))
+
+        def query_blocks(batches):
+            for table in _in_blocks(batches, rows_at_most):
+                rows, within = _matrix(table), _numbers(table["within"])
+                wanted = np.zeros(len(pivots), dtype=bool)
+                for i in range(0, len(rows), 512):
+                    wanted |= wants(rows[i : i + 512].astype(float), within[i : i + 512], everything, first).any(0)
+                columns = dict(zip(("k", "within", "wanted"), _lists(table["k"], table["within"], np.flatnonzero(wanted).astype("int32")), strict=True))
+                yield pa.RecordBatch.from_pydict({**columns, "v": pa.array([rows.tobytes()], pa.binary())})
+
+        def compared(batches):
+            block, state, keys, kinds = None, None, None, None
+
+            def ended():
+                if state and (best := state.least()):
+                    q, p, y, d = best
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(q)), pa.array(p, kinds), pa.array(y, pa.float64()), pa.array(d, pa.float64())], ["q", "p", "y", "d"])
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    if batch["block"][i].as_py() != block:
+                        yield from ended()
+                        block, keys, kinds = batch["block"][i].as_py(), batch["k"][i].values, batch["p"].type.value_type
+                        bounds = _numbers(batch["within"][i].values)
+                        rows = np.frombuffer(batch["v"][i].as_buffer(), query_type).reshape(len(keys), -1)
+                        state = _Nearest(rows, np.full(len(keys), np.inf) if first else bounds, k)
+                    theirs, ys, owner = (_numbers(batch[c][i].values) for c in ("p", "y", "pivot"))
+                    others = np.frombuffer(batch["w"][i].as_buffer(), pool_type).reshape(len(theirs), -1)
+                    held = np.unique(owner)
+                    for pivot, asking in zip(held, wants(state.rows, bounds if first else state.within, held, first).T, strict=True):
+                        if asking.any():
+                            its = np.flatnonzero(owner == pivot)
+                            state.meet(np.flatnonzero(asking), theirs[its], others[its].astype(float), ys[its])
+            yield from ended()
+
+        left = blocks(asked, n_q, ["home", "k"], query_blocks, f"k array<{key_of(queries)}>, within array<double>, wanted array<int>, v binary").withColumn("block", F.monotonically_increasing_id())
+        pairs = left.join(placed.drop("far").hint("shuffle_replicate_nl"), F.arrays_overlap("wanted", "held"))
+        with _few_records(spark, 8):
+            return cut(pairs.select("block", "k", "within", "v", "p", "y", "pivot", "w").mapInArrow(compared, answer))
+
+    query_type, pool_type = ("float32" if df.schema["v"].dataType.elementType == T.FloatType() else "float64" for df in (queries, pool))
+    asked = cut(queries.mapInPandas(homed, T.StructType([*queries.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("within", T.DoubleType())])))
+    n_q = asked.count()
+    found = met(asked, True)
+    if len(pivots) == 1:
+        return found, asked.mapInPandas(visits(True), "home int, pivot int").distinct()
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "p")))
     limits = ranked.where(F.col("r") == k).select(F.col("q").alias("k"), F.col("d").alias("limit"))
-    more = queries.join(limits, "k", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
-    if len(pivots) == 1:
-        return found, pairs
-    rest, others = met(more.mapInPandas(visits(False), kind))
-    return found.unionByName(rest), pairs.unionByName(others)
+    bounded = asked.drop("within").join(_dealt(limits), "k", "left").select("k", "v", "home", F.coalesce("limit", F.lit(float("inf"))).alias("within"))
+    return met(bounded, False), bounded.mapInPandas(visits(False), "home int, pivot int").distinct()
 
 
 def feature_knn(queries: DataFrame, pool: DataFrame, key: str, vector: str, target: str, k: int, block_rows: int = 4_096, max_pivots: int = 1_024) -> DataFrame:
     """k-NN regression on vectors with inverse-distance weights; exact matches alone vote where there are some.
 
     Exact: the pool is parted by pivots and a query meets only parts that the triangle inequality can't rule out, in blocks of
-    about ``block_rows`` rows, each pair of blocks a task's matrix product. Distances are taken to 1e-9, ties by pool key.
-    Rows without a vector or target are left out.
+    at most ``block_rows`` rows, each pair of them a matrix product. Distances are taken to 1e-9, ties by pool key.
+    Rows without a vector or target are left out. The pool is read some times over instead of being written twice.
     """
-    q = cut(queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")))
-    p = pool.where(F.col(vector).isNotNull() & F.col(target).isNotNull())
-    p = cut(p.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y")))
+
+    def of(df: DataFrame, *more: Column) -> DataFrame:
+        kind = df.schema[vector].dataType
+        v = F.col(vector) if kind in (T.ArrayType(T.FloatType(), True), T.ArrayType(T.FloatType(), False)) else F.col(vector).cast("array<double>")  # floats are exact in half the bytes
+        return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), v.alias("v"), *more)
+
+    q, p = of(queries), of(pool.where(F.col(target).isNotNull()), F.col(target).cast("double").alias("y"))
     found, _ = partition_neighbours(q, p, k, block_rows, max_pivots)
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(F.col("r") <= k)
     exact = F.avg(F.when(F.col("d") == 0, F.col("y")))

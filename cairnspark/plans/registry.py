@@ -229,8 +229,8 @@ def hier_fallback(spark, d):
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT * FROM embeddings WHERE vec_id % 10 <> 0), r AS (SELECT q.vec_id, p.label::DOUBLE AS y, round(sqrt(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))), 9) AS d, p.vec_id AS pid FROM q CROSS JOIN p), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, pid) AS i FROM r) SELECT vec_id, coalesce(avg(y) FILTER (WHERE d = 0), sum(y / d) FILTER (WHERE d > 0) / sum(1 / d) FILTER (WHERE d > 0)) AS predicted FROM k WHERE i <= 5 GROUP BY vec_id""")
 def feature_knn_regression(spark, d):
-    e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    return joins.feature_knn(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "vec_id", "v", "label", 5)
+    e = table(spark, d, "embeddings")
+    return joins.feature_knn(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "vec_id", "embedding", "label", 5)
 
 
 # --- E, F, G: aggregates, windows, top-k ---------------------------------------------------------

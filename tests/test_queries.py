@@ -1,5 +1,9 @@
 """Every registered query against its SQL in DuckDB, and invariants of the harder operators."""
 
+import glob
+import math
+import os
+
 import duckdb
 import pandas as pd
 import pytest
@@ -403,6 +407,52 @@ def test_visits_come_in_bounded_batches(spark, monkeypatch):
         assert sorted(best[q])[:3] == sorted(zip(d.tolist(), range(400), strict=True))[:3]
 
 
+def test_neighbours_that_meet_all_rows_take_little_disk(spark):
+    """Queries that rule out no partition: what is shuffled and written stays a few times the vectors, however many partitions meet."""
+    import numpy as np
+
+    v = np.random.default_rng(6).normal(size=(1500, 32))
+    df = spark.createDataFrame([(i, x.tolist(), float(i % 7)) for i, x in enumerate(v)], "k long, v array<double>, y double")
+    path = tables.new_path(spark, "vectors")
+    df.write.parquet(path)
+    df, context = spark.read.parquet(path), spark.sparkContext._jsc.sc()
+    folder, none = tables.shared_folder(spark).removeprefix("file://"), spark.sparkContext._jvm.java.util.ArrayList()
+
+    def used():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}, sum(os.path.getsize(f) for f in glob.glob(f"{folder}/*/*.parquet"))
+
+    earlier, kept = used()
+    found, visits = joins.partition_neighbours(df.where("k % 5 = 0").select("k", "v"), df.where("k % 5 <> 0"), 3, 20, 64)
+    stages, written = used()
+    shuffled = sum(n for stage, n in stages.items() if stage not in earlier)
+    assert 0 < shuffled < 4 * v.nbytes and written - kept < 4 * v.nbytes
+    rows = found.collect()
+    assert visits.count() > 0.9 * visits.select("home").distinct().count() * 64
+    others = np.flatnonzero(np.arange(1500) % 5)
+    for q in range(0, 1500, 5):
+        d = np.round(np.sqrt(((v[others] - v[q]) ** 2).sum(1)), 9)
+        assert sorted((r.d, r.p) for r in rows if r.q == q)[:3] == sorted(zip(d.tolist(), others.tolist(), strict=True))[:3]
+
+
+def test_neighbours_among_copies_and_without_numbers(spark):
+    """Ties of copies in many blocks go by key, also by text; vectors that hold no number come last, as in SQL, and a query that has one gets its row."""
+    nan = float("nan")
+    vectors = [[1.0, 0.0]] * 60 + [[0.0, 1.0]] * 60 + [[float(i), 3.0] for i in range(30)] + [[nan, 0.0]] * 2
+    df = spark.createDataFrame([(f"{i * 37 % 152:03}", v, float(i % 11)) for i, v in enumerate(vectors)], "k string, v array<float>, y double")
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [0.0, 5.0]), ("d", [nan, 1.0]), ("e", [nan, 0.0])], "k string, v array<float>")
+    found = {r.k: r.predicted for r in joins.feature_knn(asked, df, "k", "v", "y", 7, 8, 16).collect()}
+    rows = [(r.k, r.v, r.y) for r in df.collect()]
+    for q, v in {"a": (1.0, 0.0), "b": (1.0, 1.0), "c": (0.0, 5.0)}.items():
+        best = sorted((round(math.dist(v, w), 9), k, y) for k, w, y in rows if w[0] == w[0])[:7]
+        same = [y for d, _, y in best if d == 0]
+        assert found[q] == pytest.approx(sum(same) / len(same) if same else sum(y / d for d, _, y in best) / sum(1 / d for d, _, _ in best))
+    assert len(found) == 5 and math.isnan(found["d"]) and math.isnan(found["e"])
+    few = joins.feature_knn(asked, df.where("k >= '148'"), "k", "v", "y", 7, 2, 4)
+    assert few.count() == 5
+
+
 def test_median_boosting_is_the_plain_loop(spark):
     """Each round's leaf values are the medians of its residuals, predictions their sum, and the error falls; early stopping keeps the best rounds."""
     frame = pd.DataFrame({"k": range(240)})
